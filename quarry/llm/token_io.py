@@ -35,6 +35,7 @@ END_ID = 0
 CACHE_PIECES = 400_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
+_SPACE = re.compile(r"\s")
 _UNSAFE = re.compile(r"\s ")
 _BORDER = re.compile(r"(?<=\S)(?= )")
 
@@ -63,30 +64,56 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.alone = _splits_alone(self.tok.to_str())
-        self.known: dict[str, bytes] = {}
+        line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        #: word -> ids of a space and the word; two generations, so that frequent words stay
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """The library's ids of " " + word. Words without white space go in one call, a
+        line break between them: it is a piece and a token of its own there."""
+        plain = [bool(w) and not _SPACE.search(w) for w in words] if self.line is not None else [False] * len(words)
+        some = [w for w, ok in zip(words, plain, strict=True) if ok]
+        made: list[bytes] = []
+        if some:
+            ids = np.array(self.tok.encode_batch_fast(["\n".join([" " + w for w in some])], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = np.flatnonzero(ids == self.line)
+            data = ids.tobytes()
+            made = [data[a * 4 : b * 4] for a, b in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True)]
+        rest = iter(self.library([" " + w for w, ok in zip(words, plain, strict=True) if not ok]))
+        fast = iter(made)
+        return [next(fast if ok else rest) for ok in plain]
+
     def pieces(self, text: str) -> list[str]:
+        """The first piece, and the others without the space that each begins with."""
         if _UNSAFE.search(text) or text.startswith(" "):
-            return _BORDER.split(text)
-        words = text.split(" ")
-        return [words[0], *[" " + w for w in words[1:]]]
+            first, *rest = _BORDER.split(text)
+            return [first, *[p[1:] for p in rest]]
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.alone:
             return self.library(texts)
         cut = [self.pieces(t) for t in texts]
-        known = self.known
-        fresh = list({p for x in cut for p in x if p not in known})
-        if len(known) + len(fresh) > CACHE_PIECES:
-            known.clear()
-            fresh = list({p for x in cut for p in x})
+        heads = self.library([x[0] for x in cut])
+        for x in cut:
+            x[0] = ""
+        words = set().union(*cut)
+        if len(self.young) + len(words) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        fresh = list(words.difference(self.young))
+        again = [w for w in fresh if w in self.old]
+        self.young.update((w, self.old[w]) for w in again)
+        fresh = [w for w in fresh if w not in self.old] if again else fresh
         for i in range(0, len(fresh), 8192):
             part = fresh[i : i + 8192]
-            known.update(zip(part, self.library(part), strict=True))
-        return [b"".join(map(known.__getitem__, x)) for x in cut]
+            self.young.update(zip(part, self.spaced(part), strict=True))
+        known = self.young.__getitem__
+        return [h + b"".join(map(known, x[1:])) for h, x in zip(heads, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
