@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,27 @@ BITS = 4
 _PRIME = (1 << 31) - 1
 
 
+@lru_cache(maxsize=4)
+def probes(bins: int) -> np.ndarray:
+    """For each bin the order in which others are asked: a random function of bin and
+    attempt that asks no bin twice."""
+    return np.argsort(np.random.default_rng(bins).random((bins, bins)), axis=1)
+
+
 def densify(values: np.ndarray, empty: np.ndarray) -> np.ndarray:
     """values, empty: texts x bins; texts without any value are left alone."""
-    bins = values.shape[1]
-    todo_t, todo_b = np.nonzero(empty & ~empty.all(axis=1)[:, None])
-    attempt = 0
+    order, some = probes(values.shape[1]), ~empty
+    t, b = np.nonzero(empty & some.any(axis=1)[:, None])
     out = values.copy()
-    while len(todo_t):
-        attempt += 1
-        a, b = 40503 + 2654435 * attempt, 7919 * attempt + 104729
-        source = ((a * (todo_b + 1) + b) % _PRIME) % bins
-        free = ~empty[todo_t, source]
-        out[todo_t[free], todo_b[free]] = values[todo_t[free], source[free]]
-        todo_t, todo_b = todo_t[~free], todo_b[~free]
+    for attempt in range(4):  # mostly enough; then all attempts at once for what is left
+        source = order[b, attempt]
+        ok = some[t, source]
+        out[t[ok], b[ok]] = values[t[ok], source[ok]]
+        t, b = t[~ok], b[~ok]
+    for i in range(0, len(t), 8192):
+        x, y = t[i : i + 8192], b[i : i + 8192]
+        first = some[x[:, None], order[y]].argmax(axis=1)
+        out[x, y] = values[x, order[y, first]]
     return out
 
 
