@@ -79,12 +79,11 @@ def confirmed(kind: str, found: Column) -> Column:
     if kind == "ip":
         return found.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$")
     if kind == "card":
-        return luhn(_digits(found))
+        return _let(_digits(found), luhn)
     if kind == "phone":
         return F.length(_digits(found)).between(9, 15)
     if kind == "iban":
-        code = F.replace(found, F.lit(" "), F.lit(""))
-        return F.length(code).between(15, 34) & mod97(code)
+        return _let(F.replace(found, F.lit(" "), F.lit("")), lambda code: F.length(code).between(15, 34) & mod97(code))
     if kind == "ssn":
         return ~found.rlike(r"^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -104,31 +103,43 @@ def running(x: Column) -> Column:
     return F.when(F.size(x) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(F.transform(blocks, one)))
 
 
-def spans_of(text: Column, kind: Kind) -> Column:
-    """array<struct<kind, start, end, found, score>> of one kind, by start."""
+#: A character without which a kind cannot match: cheaper to look for than the pattern.
+_MARKS = {"email": "@", "phone": "+"}
+
+
+def _found(text: Column, kind: Kind) -> Column:
+    """array<struct<gap, own, found>>: each match after the text between it and the last."""
     rx = F.lit(kind.pattern)
-    hits, pieces = F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, kind.pattern, -1)
-    # length of the piece before each hit and of the hit itself
-    sizes = F.transform(hits, lambda h, i: F.struct(F.length(F.get(pieces, i)).cast("long").alias("gap"), F.length(h).cast("long").alias("own"), h.alias("found")))
+    size = lambda x: F.length(x).cast("long")
+    pairs = F.zip_with(F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, kind.pattern, -1), lambda h, p: F.struct(size(p).alias("gap"), size(h).alias("own"), h.alias("found")))
+    some = text.rlike(kind.pattern)
+    if kind.name in _MARKS:
+        some = F.contains(text, F.lit(_MARKS[kind.name])) & some
     none = F.array().cast("array<struct<gap:bigint,own:bigint,found:string>>")
-    return F.when(text.rlike(kind.pattern), sizes).otherwise(none)
+    # the piece behind the last match has none of its own
+    return F.when(some, F.filter(pairs, lambda s: s["found"].isNotNull())).otherwise(none)
 
 
 def _gaps(found: Column) -> Column:
-    """From the end of the last span before it (or the text's start) to each start."""
-    return F.transform(found, lambda s, i: s["gap"] + F.when(i > 0, F.get(found, i - 1)["own"]).otherwise(F.lit(0)))
+    """From the start of the last match (or of the text) to each start."""
+    before = F.concat(F.array(F.lit(0).cast("long")), F.transform(found, lambda s: s["own"]))
+    return F.zip_with(found, F.slice(before, F.lit(1), F.size(found)), lambda s, o: s["gap"] + o)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _placed(body: Column, found: Column, at: Column, kind: Kind) -> Column:
     """The confirmed spans of one kind with their places and scores."""
 
-    def span(s: Column, i: Column) -> Column:
-        start = F.get(at, i)
+    def span(s: Column, start: Column) -> Column:
         near = F.lower(F.substring(body, F.greatest(start - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT_CHARS)).cast("int")))
         score = F.lit(kind.prior) + F.when(near.rlike(kind.context), F.lit(kind.bonus)).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + s["own"]).alias("end"), s["found"].alias("found"), F.round(score, 3).alias("score"), F.lit(kind.base).alias("base"))
 
-    return F.filter(F.transform(found, span), lambda s: confirmed(kind.name, s["found"]) & (s["base"] | (s["score"] >= THRESHOLD)))
+    return F.filter(F.zip_with(found, at, span), lambda s: confirmed(kind.name, s["found"]) & (s["base"] | (s["score"] >= THRESHOLD)))
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -136,12 +147,12 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     kind in the order of KINDS and then by start; places are code points, end exclusive.
     Spans of a kind that is not base are there when their score reaches THRESHOLD."""
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({f"__q_{k.name}": spans_of(body, k) for k in KINDS})
-    steps = {f"__q_at_{k.name}": running(_gaps(F.col(f"__q_{k.name}"))) for k in KINDS}
-    out = out.withColumns(steps)
+    names = [k.name for k in KINDS]
+    out = docs.withColumns({f"__q_{k.name}": _found(body, k) for k in KINDS})
+    out = out.withColumns({f"__q_gap_{n}": _gaps(F.col(f"__q_{n}")) for n in names})
+    out = out.withColumns({f"__q_at_{n}": running(F.col(f"__q_gap_{n}")) for n in names})
     every = [_placed(body, F.col(f"__q_{k.name}"), F.col(f"__q_at_{k.name}"), k) for k in KINDS]
-    drop = [f"__q_{k.name}" for k in KINDS] + [f"__q_at_{k.name}" for k in KINDS]
-    return out.withColumn("spans", F.concat(*every)).drop(*drop)
+    return out.withColumn("spans", F.concat(*every)).drop(*[f"__q_{p}{n}" for p in ("", "gap_", "at_") for n in names])
 
 
 def _written(spans: Column) -> Column:
