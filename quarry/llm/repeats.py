@@ -76,7 +76,7 @@ def texts_of(batch: pa.RecordBatch, unit: str, size: int, k: int) -> Iterator[tu
 def find(docs: DataFrame, unit: str, size: int, k: int, mode: str) -> DataFrame:
     """The written table of step 2: marks (kind MARK: doc, lo, hi = end) and the contexts
     to compare (ANCHOR, HOT_ANCHOR: h, doc, lo, hi = first and last window start)."""
-    docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    docs = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, items in texts_of(batch, unit, size, k):
@@ -203,7 +203,9 @@ def union_marks(*parts: DataFrame) -> DataFrame:
 
 
 def cover(size: int, lo: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Which of size items lie in any of the ranges."""
+    """Which of size items lie in any of the ranges (cut off at the end: rows that share a
+    doc_id share ranges)."""
+    lo, end = np.minimum(lo, size), np.minimum(end, size)
     step = np.zeros(size + 1, dtype=np.int64)
     np.add.at(step, lo, 1)
     np.add.at(step, end, -1)

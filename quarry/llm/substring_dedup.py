@@ -35,6 +35,8 @@ def window_rows(doc, h, lo, hi, texts: list[bytes], unit: str, size: int, k: int
     the task as far as it sees."""
     text, ids = doc
     items = Items(texts, unit, size, k)
+    fits = hi + size <= items.lengths[text]  # not so where rows share a doc_id
+    text, h, lo, hi = text[fits], h[fits], lo[fits], hi[fits]
     row, start, w = items.all_windows(text, lo, hi)
     hh, dd = h[row], ids[text[row]]
     covered, rep, n = repeats.collapse(hh, w, dd, start, start, mode)

@@ -151,8 +151,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids, from the files at path."""
-    rows = spark.read.schema("doc_id long, n_tokens long, ids array<int>").parquet(path).select("*", F.col("_metadata.file_name").alias("file"))
-    return rows.join(starts(spark, path), ["file", "doc_id"]).select("doc_id", "start", "n_tokens", "ids")
+    rows = spark.read.schema("doc_id long, n_tokens long, ids array<int>").parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.join(starts(spark, path).select("file", "row", "start"), ["file", "row"]).select("doc_id", "start", "n_tokens", "ids")
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:

@@ -1,0 +1,281 @@
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from llm_frames import frame
+from pyspark.sql import functions as F
+
+from quarry.llm import decontam, fingerprint, license_scan, mixing, pii, quality, token_io
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TRICKY = [
+    "mail a@b.co_x@y.zz and .x@y.com, a@b, @c.d, é.a@b-c.d.e", "ip 1.2.3.4.5.6.7.8 1.2.3.256.1.2.3.4 0001.002.3.255 9999999999.1.1.1", "card 4111 1111 1111 1111, 4111-1111-1111-1112 41 11  1111111111111 4111111111111111",
+    "+1 (988) 555-2485 +49 30 1234567 +1 +12 +123456789 x +1.2.3.4.5.6.7.8.9.", "iban DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, DE89370400440532013001", "my ssn is 123-45-6789; 123-45-6789 000-12-3456 social security 219-09-9999",
+    "héllo 漢字 a@b.cd ñ 4111111111111111", "", None, "@" * 50 + "a." * 400, "1" * 5000 + " " + "1." * 3000,
+]
+
+
+def duck(spark, rows, sql):
+    con = duckdb.connect()
+    pdf = frame(spark, rows).toPandas()
+    con.register("documents", pdf)
+    return con.execute(sql).fetchall(), [d[0] for d in con.description]
+
+
+def test_pii_equals_sql(spark):
+    rows = list(enumerate(TRICKY))
+    got = pii.digest(frame(spark, rows))
+    want, names = duck(spark, rows, pii.oracle())
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want)
+
+
+def test_pii_against_plain_expressions(spark):
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def good(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in s.split("."))
+        if kind == "card":
+            total = sum(x if i % 2 == 0 else (2 * x) // 10 + (2 * x) % 10 for i, x in enumerate(map(int, reversed(d))))
+            return 13 <= len(d) <= 19 and total % 10 == 0
+        return kind == "email" or 9 <= len(d) <= 15
+
+    rng = random.Random(3)
+    parts = ["a@b.c", "1.2.3.4", "4111111111111111", "+1 234 567 8901", " ", ".", "-", "x", "é", "256", "@", "+", "7"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))) for i in range(150)] + [(900, None)]
+    for r in pii.digest(frame(spark, rows)).collect():
+        text = dict(rows)[r.doc_id] or ""
+        spans = [(k, m.start(), m.end()) for k, rx in kinds.items() for m in re.finditer(rx, text) if good(k, m[0])]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest(), text
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, _, _ in spans) for x in kinds)
+
+
+def test_pii_method_adds_checked_spans(spark):
+    got = {r.doc_id: r.spans for r in pii.digest(frame(spark, list(enumerate(TRICKY)))).collect()}
+    assert got[4].count("iban:") == 2  # the third has a wrong check sum
+    assert "ssn:10:21" in got[5] and got[5].count("ssn:") >= 1
+
+
+def mix_by_hand(rows):
+    size = {d: len(WORD.findall(t or "")) for d, t, _ in rows}
+    per = {}
+    for d, _, s in rows:
+        per[s] = per.get(s, 0) + size[d]
+    names = sorted((s for s in per if s is not None), key=lambda s: s.encode()) + [None] * (None in per)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, free = dict.fromkeys(names, 0.0), 1.5 * sum(per.values()), set(names)
+    while free and left > 1e-9:
+        total = sum(weight[s] for s in free)
+        share = {s: left * weight[s] / total for s in free}
+        left = 0.0
+        for s in list(free):
+            target[s] += share[s]
+            if target[s] > 2 * per[s]:
+                left += target[s] - 2 * per[s]
+                target[s] = 2.0 * per[s]
+                free.discard(s)
+    return size, per, target
+
+
+def test_mixing_meets_targets_to_the_word(spark, mixed):
+    df = frame(spark, mixed)
+    rows = [(r.doc_id, r.text, r.source) for r in df.collect()]
+    size, per, target = mix_by_hand(rows)
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    taken = {}
+    for d, _, s in rows:
+        r = got[d]
+        assert (r["size"], r.source_size) == (size[d], per[s]) and r.target == pytest.approx(target[s])
+        assert 0 <= r.taken <= 2 * size[d]
+        taken[s] = taken.get(s, 0) + r.taken
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in per)
+    assert {r.doc_id: r.taken for r in mixing.mix(df).collect()} == {d: r.taken for d, r in got.items()}
+
+
+def test_apply_mix_repeats_and_cuts(spark, mixed):
+    df = frame(spark, mixed)
+    want = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
+    out = mixing.apply_mix(df)
+    assert out.columns == df.columns
+    got = {}
+    for r in out.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(WORD.findall(r.text))
+        assert r.n_chars == len(r.text)
+    assert got == {d: n for d, n in want.items() if n}
+
+
+def test_mixing_equals_sql(spark, mixed):
+    rows = mixed[:40]
+    got = mixing.mix(frame(spark, rows))
+    want, names = duck(spark, rows, mixing.ORACLE)
+    short = lambda x: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in x)
+    assert short(got.select(*names).collect()) == short(want)
+
+
+def test_license_base_and_fuzzy(spark):
+    rows = [
+        (0, "Released under the MIT License."), (1, "Released undr the MIT Licence."), (2, "Apache License, Version 2.0 and under the mit-license; CC BY-NC 4.0"), (3, "nothing here, sunder the mitten license"),
+        (4, None), (5, ""), (6, "under the mit license " * 3), (7, "Under the GNU Genral Public License, version 3."),
+    ]
+    got = {r.doc_id: r for r in license_scan.digest(frame(spark, rows)).collect()}
+    assert (got[0].n_base, got[0].first_word, got[0].last_word, got[0].base_labels, got[0].score) == (1, 1, 1, "mit", 1.0)
+    assert (got[1].n_base, got[1].base_labels, got[1].labels) == (0, "", "mit") and 0.8 < got[1].score < 1
+    assert got[2].base_labels == "apache-2,cc-by-nc,mit" and got[2].n_base == 3
+    assert (got[3].n_base, got[3].labels, got[3].n_words) == (0, "", 6)
+    assert got[4].n_words == got[5].n_words == 0 and got[4].first_word is None
+    assert (got[6].n_base, got[6].first_word, got[6].last_word) == (3, 0, 8)
+    assert got[7].labels == "gpl"
+
+
+def test_license_seeds_lose_no_fuzzy_match():
+    import regex
+
+    rng = random.Random(5)
+    one = license_scan.scanner()
+    for _ in range(200):
+        n = rng.choice(license_scan.NOTICES)
+        s = list(n.phrase)
+        for _ in range(rng.randint(0, n.edits)):
+            i = rng.randrange(1, len(s) - 1)
+            s[i] = rng.choice("qxz")
+        line = "aa " + "".join(s) + " bb"
+        assert regex.search(f"(?:{regex.escape(n.phrase, special_only=True)}){{e<={n.edits}}}", line)
+        assert any(one.notices[f[0]].label == n.label for f in one.fuzzy(line)), line
+
+
+def test_token_files_round_trip(spark, mixed):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_io.default_tokenizer())
+    tok.encode_special_tokens = True
+    got = {r.doc_id: r for r in token_io.round_trip(frame(spark, mixed)).collect()}
+    start = 0
+    for d, t in sorted(mixed):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_pieces_give_the_library_s_ids():
+    rng = random.Random(5)
+    enc = token_io.Encoder(token_io.default_tokenizer())
+    parts = [" ", "  ", "\n", "\t", "a", "bc", "'s", "'", "9", "é", " ", "!", "\x1c", "\x85", "　", "<|endoftext|>", "Ω", "漢", "\r\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    assert enc.encode(texts) == enc.library(texts)
+
+
+def test_token_reader_reads_selectively(spark, mixed, tmp_path):
+    path = f"file://{tmp_path}/ids"
+    token_io.write(frame(spark, mixed), path)
+    one = token_io.read(spark, path).where("doc_id = 7").collect()
+    assert len(one) == 1 and one[0].n_tokens == len(one[0].ids) and one[0].ids[-1] == 0
+    assert token_io.starts(spark, path).count() == len(mixed)
+
+
+def test_fingerprints_estimate_likeness(spark, mixed):
+    rows = mixed[:80] + [(300, None), (301, "")]
+    ids = sorted((d for d, _ in rows), reverse=True)
+    text = {d: t or "" for d, t in rows}
+    got = {r.doc_id: r for r in fingerprint.fingerprints(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    wrong = []
+    for i, d in enumerate(ids):
+        t, n = text[d], text[ids[(i + 1) % len(ids)]]
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        assert (got[d].n_chars, got[d].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        a, b = (({tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())) for w in (WORD.findall(t), WORD.findall(edited)))
+        if len(a) > 40:
+            wrong.append(abs(len(a & b) / len(a | b) - got[d].near_edited))
+    assert np.mean(wrong) < 0.05
+    same = {}
+    for d in text:
+        same.setdefault(text[d], set()).add(got[d].fingerprint)
+    assert all(len(x) == 1 for x in same.values())
+    one = fingerprint.fingerprints(frame(spark, [(1, "a b c d e f")])).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+    assert fingerprint.fingerprints(frame(spark, rows).where(F.lit(False))).count() == 0
+
+
+def test_quality_learns_and_ignores_held_out_labels(spark):
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice(["the", "of", "river", "stone", "walked", "evening."]) for _ in range(rng.randint(20, 200)))
+    bad = lambda: " ".join(rng.choice(["BUY!!", "NOW!!", "CLICK!!"]) for _ in range(rng.randint(20, 200)))
+    rows = [(i, good() if i % 3 else bad()) for i in range(240)] + [(900, None), (901, "")]
+    docs = frame(spark, rows)
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    # labels of held-out rows are all wrong: they must not matter
+    labels = spark.createDataFrame([(i, int(bool(i % 3)) if not held(i) else int(not i % 3), 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.digest(docs, labels).collect()}
+    assert len(got) == len(rows) and all(r.held_out == held(d) for d, r in got.items())
+    assert np.mean([got[i].predicted == int(bool(i % 3)) for i in range(240) if held(i)]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
+    none = quality.digest(docs, labels.where(F.lit(False))).collect()
+    assert {r.score for r in none} == {0.5}
+    assert quality.keep(docs, labels).columns == docs.columns
+
+
+def test_quality_covers_whole_texts():
+    net = quality.Network.start()
+    rng = random.Random(1)
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 3, 511, 512, 513, 2000, 9001)]
+    one = [float(net.scores([t])[0]) for t in texts]
+    assert net.scores(texts) == pytest.approx(one)
+    changed = texts[-1][:-4] + bytes(255 - b for b in texts[-1][-4:])
+    z = net.responses(np.frombuffer(changed + b"\0" * 16, np.uint8), 4500)
+    assert z.shape == (4500, quality.FILTERS)
+
+
+def edits(pattern, text):
+    """Least edits of pattern against any part of text."""
+    row = np.zeros(len(text) + 1, dtype=int)
+    for i, c in enumerate(pattern):
+        new = np.empty_like(row)
+        new[0] = i + 1
+        for j, d in enumerate(text):
+            new[j + 1] = min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1)
+        row = new
+    return int(row.min())
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("the", "er", "on", "ing", "thb") for b in ("ti", "sh", "ou", "ha")]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(4, 25)))) for i in range(12)] + [(50, "tiny"), (51, None), (52, "")]
+    rows = []
+    for d in range(60):
+        x = [rng.choice(words) for _ in range(rng.randint(0, 30))]
+        t = list(rng.choice(items[:12])[1])
+        for _ in range(rng.choice([0, 0, 1, 3, 8, 30])):
+            i = rng.randrange(len(t))
+            r = rng.random()
+            if r < 0.4:
+                t[i] = rng.choice("qxz")
+            elif r < 0.7:
+                del t[i]
+            else:
+                t.insert(i, rng.choice("qxz"))
+        t = "".join(t)
+        rows.append((d, " ".join(x) + (" " + (t.upper() if d % 4 == 0 else t.replace(" ", " , ") if d % 4 == 1 else t) + " tail end" if d % 5 else "")))
+    rows += [(100, None), (101, "")]
+    fold = lambda s: re.sub("[^0-9a-z\x80-\U0010ffff]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), s or "")).strip()
+    want = {(d, i) for d, t in rows for i, b in items if len(fold(b)) >= decontam.Q and edits(fold(b), fold(t)) <= decontam.edits_of(len(fold(b)))}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.matches(frame(spark, rows), bench).collect()}
+    assert set(got) == want and len(want) > 20
+    for (d, i), r in got.items():
+        found = fold(dict(rows)[d].encode()[r.start : r.end].decode())
+        assert edits(fold(dict(items)[i]), found) <= r.edits
+    clean = {r.doc_id for r in decontam.clean(frame(spark, rows), bench).collect()}
+    assert clean == {d for d, _ in rows} - {d for d, _ in want}
+    assert decontam.matches(frame(spark, rows), bench.where(F.lit(False))).count() == 0
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [(1, "a")]).where(F.lit(False))
+    for f in (pii.digest, mixing.mix, mixing.apply_mix, license_scan.digest, token_io.round_trip):
+        assert f(none).count() == 0
