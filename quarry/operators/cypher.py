@@ -26,7 +26,7 @@ class CypherError(ValueError):
 
 def _clauses(text: str) -> list[tuple[str, str]]:
     hits = list(_CLAUSE.finditer(text))
-    if not hits or text[: hits[0].start()].strip():
+    if not hits or text[: hits[0].start()].strip() or not hits[0].group(1).upper().endswith("MATCH"):
         raise CypherError("a query begins with MATCH")
     ends = [*[h.start() for h in hits[1:]], len(text)]
     return [(re.sub(r"\s+", " ", h.group(1).upper()), text[h.end() : e].strip()) for h, e in zip(hits, ends, strict=True)]
