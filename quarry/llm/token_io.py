@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,21 @@ from pyspark.sql import functions as F
 from quarry.llm.common import as_bytes, passes, shared_dir
 
 END_ID = 0
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-_SPACE = re.compile(r"\s")
+
+
+def _byte_symbols() -> dict[int, str]:
+    """The symbol that byte-level models write for each byte: printable bytes stand for
+    themselves, the others, in order, for the characters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_SYMBOLS = _byte_symbols()
+_MARKS = ".,;:!?*#&%$|)\"]}"
 _UNSAFE = re.compile(r"\s ")
 _BORDER = re.compile(r"(?<=\S)(?= )")
 
@@ -64,29 +76,56 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.alone = _splits_alone(self.tok.to_str())
-        line = self.tok.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
+        self.model = Tokenizer(self.tok.model)  # without the splitter: takes symbols
         #: word -> ids of a space and the word; two generations, so that frequent words stay
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spaced(self, words: list[str]) -> list[bytes]:
-        """The library's ids of " " + word. Words without white space go in one call, a
-        line break between them: it is a piece and a token of its own there."""
-        plain = [bool(w) and not _SPACE.search(w) for w in words] if self.line is not None else [False] * len(words)
-        some = [w for w, ok in zip(words, plain, strict=True) if ok]
-        made: list[bytes] = []
-        if some:
-            ids = np.array(self.tok.encode_batch_fast(["\n".join([" " + w for w in some])], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = np.flatnonzero(ids == self.line)
-            data = ids.tobytes()
-            made = [data[a * 4 : b * 4] for a, b in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True)]
-        rest = iter(self.library([" " + w for w, ok in zip(words, plain, strict=True) if not ok]))
-        fast = iter(made)
-        return [next(fast if ok else rest) for ok in plain]
+    def learn(self, words: list[str]) -> None:
+        """Put the library's ids of " " + word in the cache. A word of letters is one piece
+        for the splitter, so the library's model gets its bytes' symbols directly."""
+        letters = [w for w in words if w.isalpha()]
+        if letters:
+            symbols = (" " + "\n ".join(letters)).encode().decode("latin-1").translate(_SYMBOLS).split(_SYMBOLS[10])
+            made = [e.ids for e in self.model.encode_batch_fast(symbols, add_special_tokens=False)]
+            ends = np.cumsum([len(x) for x in made]) * 4
+            data = np.fromiter(chain.from_iterable(made), dtype="<u4", count=int(ends[-1]) // 4).tobytes()
+            ends = ends.tolist()
+            self.young.update(zip(letters, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        rest = [w for w in words if not w.isalpha()]
+        if rest:
+            self.young.update(zip(rest, self.library([" " + w for w in rest]), strict=True))
+
+    def extend(self, words: set[str]) -> None:
+        """Make all words known. A word that ends in marks after a letter or digit is that
+        word and the marks: the pattern always parts them."""
+        young, old = self.young, self.old
+        whole, ended = set(), []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if len(core) < len(w) and core and core[-1].isalnum():
+                ended.append((w, core))
+                w = core
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    whole.add(w)
+        fresh = list(whole)
+        for i in range(0, len(fresh), 8192):
+            self.learn(fresh[i : i + 8192])
+        for w, core in ended:
+            tail = w[len(core) :]
+            marks = self.marks.get(tail)
+            if marks is None:
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
+                marks = self.marks[tail] = self.library([tail])[0]
+            young[w] = young[core] + marks
 
     def pieces(self, text: str) -> list[str]:
         """The first piece, and the others without the space that each begins with."""
@@ -105,13 +144,7 @@ class Encoder:
         words = set().union(*cut)
         if len(self.young) + len(words) > CACHE_PIECES:
             self.old, self.young = self.young, {}
-        fresh = list(words.difference(self.young))
-        again = [w for w in fresh if w in self.old]
-        self.young.update((w, self.old[w]) for w in again)
-        fresh = [w for w in fresh if w not in self.old] if again else fresh
-        for i in range(0, len(fresh), 8192):
-            part = fresh[i : i + 8192]
-            self.young.update(zip(part, self.spaced(part), strict=True))
+        self.extend(words.difference(self.young))
         known = self.young.__getitem__
         return [h + b"".join(map(known, x[1:])) for h, x in zip(heads, cut, strict=True)]
 
