@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import scalars as S
 from quarry.operators import classify, cluster, cypher, dbt, discover, drift, graph, paths, profile, reach, search, semantic, visibility
 from quarry.plans import sql_walk
-from quarry.sources import catalog
+from quarry.sources import catalog, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -570,3 +570,37 @@ def entity_pair_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = lambda a, b: F.round(F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)), 6)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return c.select("threshold", share(tp, tp + fp).alias("matched_precision"), share(tp, tp + fn).alias("recall"), share(tp * 2, tp * 2 + fp + fn).alias("f1"))
+
+
+# ---- warehouse catalogs ----------------------------------------------------------
+
+READS = [("a", "2024-05-01 10:00:00"), ("a", "2024-06-20 10:00:00"), ("b", "2024-01-01 00:00:00"), ("gone", "2024-06-01 00:00:00")]
+WRITES = [("a",), ("c",), ("c",)]
+
+
+@query("WITH " + _values("r", "t, ts", READS) + ", " + _values("w", "t", WRITES) + """, x AS (SELECT coalesce(r.t, w.t) AS table_name, rc, wc, last FROM (SELECT t, count(*) AS rc, max(ts::TIMESTAMP) AS last FROM r GROUP BY 1) r FULL JOIN (SELECT t, count(*) AS wc FROM w GROUP BY 1) w ON r.t = w.t)
+ SELECT table_name, coalesce(rc, 0) AS access_read_count, coalesce(wc, 0) AS access_write_count, floor(epoch(TIMESTAMP '2024-07-01' - last) / 86400)::BIGINT AS days_since_last_access, rc IS NULL OR floor(epoch(TIMESTAMP '2024-07-01' - last) / 86400) >= 90 AS potentially_unused FROM x WHERE table_name IN ('a', 'b', 'c')""")
+def warehouse_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = spark.createDataFrame(READS, "fq_name string, at string").withColumn("at", F.to_timestamp("at"))
+    tables = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "table_name string")
+    return warehouse.access(reads, spark.createDataFrame(WRITES, "fq_name string"), tables, F.lit("2024-07-01 00:00:00").cast("timestamp"))
+
+
+DEPS, TEXTS, STREAMS = [("t1", "v1")], [("t1", "v1"), ("t2", "v1"), ("v1", "v1")], [("t1", "s1")]
+TASK_READS, TASK_WRITES = [("k", "t1"), ("k", "t3")], [("k", "t3"), ("k", "t4")]
+
+
+@query("SELECT src_table, dst_table, lineage_type, confidence::DOUBLE AS confidence FROM (VALUES ('t1', 'v1', 'VIEW', 1.0), ('t2', 'v1', 'VIEW', 0.85), ('t1', 's1', 'STREAM', 1.0), ('t1', 't3', 'TASK', 0.85), ('t1', 't4', 'TASK', 0.85), ('t3', 't4', 'TASK', 0.85)) AS x(src_table, dst_table, lineage_type, confidence)")
+def warehouse_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = lambda rows: spark.createDataFrame(rows, "src_table string, dst_table string")
+    return warehouse.object_lineage(pair(DEPS), pair(TEXTS), pair(STREAMS), spark.createDataFrame(TASK_READS, "task string, src_table string"), spark.createDataFrame(TASK_WRITES, "task string, dst_table string"))
+
+
+STATS = [("a", "x", -0.5, 0.1234, ["p", "q"]), ("a", "y", 7.0, 0.0, None), ("b", "z", 3.0, 1.0, [])]
+
+
+@query("SELECT * FROM (VALUES ('a', 'x', 50::BIGINT, 12.34::DOUBLE, 'p,q'), ('a', 'y', 7, 0.0, NULL), ('b', 'z', 3, 100.0, '')) AS v(table_name, column_name, distinct_count, null_pct, mcv)")
+def warehouse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spark.createDataFrame([("a", 100)], "table_name string, row_count long")
+    x = warehouse.catalog_statistics(spark.createDataFrame(STATS, "table_name string, column_name string, n_distinct double, null_frac double, mcv array<string>"), counts)
+    return x.withColumn("mcv", F.array_join("mcv", ","))

@@ -3,7 +3,7 @@ import pytest
 from quarry import tools
 from quarry.operators.visibility import Profile
 from quarry.queries import LAYER
-from quarry.sources import catalog, dsn
+from quarry.sources import catalog, dsn, warehouse
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "orders", "lineitem")
@@ -59,3 +59,17 @@ def test_literals():
     assert dsn.parse_array_literal('{a,"b,c","d\\"e",NULL,}') == ["a", "b,c", 'd"e', None]
     assert dsn.parse_array_literal(None) == dsn.parse_array_literal("{}") == []
     assert dsn.parse_qualified('"DB"."S"."T.x"', "db") == ("S", "T.x") and dsn.parse_qualified("db.s.t", "other") is None
+
+
+def test_merged_grants_keep_other_settings():
+    before = {"old": {"allowed_tables": ["x"]}, "mixed": {"allowed_tables": ["x"], "hidden_columns": ["c"]}, "new": {"hidden_tables": ["h"]}}
+    got = warehouse.merge_grants(before, {"new": ["a", "b"], "empty": []})
+    assert got == {"mixed": before["mixed"], "new": {"hidden_tables": ["h"], "allowed_tables": ["a", "b"]}}
+    assert warehouse.merge_grants(before, {"new": ["a"]}, {"mixed"}) == before | {"mixed": {"hidden_columns": ["c"]}}
+
+
+def test_overlay_prefers_the_catalog(spark):
+    c = spark.createDataFrame([("a", "x", None, 5), ("a", "y", 1.5, None)], "table_name string, column_name string, null_pct double, distinct_count long")
+    s = spark.createDataFrame([("a", "x", 9.0, 7, "m"), ("a", "y", 9.0, 7, "n")], "table_name string, column_name string, null_pct double, distinct_count long, top string")
+    got = {r.column_name: (r.null_pct, r.distinct_count, r.top) for r in warehouse.overlay(c, s).collect()}
+    assert got == {"x": (9.0, 5, "m"), "y": (1.5, 7, "n")}
