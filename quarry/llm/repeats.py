@@ -127,7 +127,7 @@ def find(docs: DataFrame, unit: str, size: int, k: int, mode: str) -> DataFrame:
     return stash(dealt.mapInArrow(meet, ROW), "repeats")
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], by: str = "g", least: int = 1) -> Iterator[dict[str, np.ndarray]]:
+def whole_runs(batches: Iterator[pa.RecordBatch], by: str = "g") -> Iterator[dict[str, np.ndarray]]:
     """Sorted batches regrouped so that no run of equal `by` is divided; what is kept back
     is one run. Columns as numpy arrays, hashes unsigned."""
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +66,8 @@ def exact_windows(packs: DataFrame, contexts: DataFrame, unit: str, size: int, k
         for batch in batches:
             for part in repeats.z_passes(batch):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = {f: pa.compute.list_flatten(part.column(f)).to_numpy(zero_copy_only=False) for f in ("h", "lo", "hi")}
-                text = np.repeat(np.arange(len(ids)), pa.compute.list_value_length(part.column("h")).to_numpy(zero_copy_only=False))
+                flat = {f: pc.list_flatten(part.column(f)).to_numpy(zero_copy_only=False) for f in ("h", "lo", "hi")}
+                text = np.repeat(np.arange(len(ids)), pc.list_value_length(part.column("h")).to_numpy(zero_copy_only=False))
                 yield from window_rows((text, ids), flat["h"].astype(np.int64).view(np.uint64), flat["lo"].astype(np.int64), flat["hi"].astype(np.int64), repeats.unpacked(part), unit, size, k, mode)
 
     joined = repeats.attach(packs, repeats.listed(contexts, "h", "lo", "hi"), "inner")
