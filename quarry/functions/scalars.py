@@ -131,7 +131,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def staleness_days(then: Column, now: Column) -> Column:
-    return F.greatest(F.lit(0), F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 86400)).cast("long")
+    """Whole days, at least 0; null where there is no time."""
+    days = F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 86400)
+    return F.when(days < 0, 0).otherwise(days).cast("long")
 
 
 def table_id(connection: Column, schema: Column, table: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.scalars import staleness_days
+
 STALE_DAYS = 90
 MOST_COMMON = 20
 
@@ -21,7 +23,7 @@ def access(reads: DataFrame, writes: DataFrame, tables: DataFrame, now: Column,
     r = reads.groupBy("fq_name").agg(F.count(F.lit(1)).alias("rc"), F.max("at").alias("last"))
     w = writes.groupBy("fq_name").agg(F.count(F.lit(1)).alias("wc"))
     x = r.join(w, "fq_name", "full")
-    days = F.greatest(F.lit(0), F.floor((F.unix_timestamp(now) - F.unix_timestamp("last")) / 86400)).cast("long")
+    days = staleness_days(F.col("last"), now)
     x = x.join(tables, F.col("fq_name") == F.col("table_name"))
     return x.select("table_name", F.coalesce("rc", F.lit(0)).alias("access_read_count"), F.coalesce("wc", F.lit(0)).alias("access_write_count"), days.alias("days_since_last_access"), (F.col("rc").isNull() | (days >= stale_days)).alias("potentially_unused"))
 
