@@ -30,7 +30,7 @@ from quarry.llm import kernels
 from quarry.llm.common import as_bytes, passes
 
 Q = 8
-RATE = 0.1
+RATE = 0.12
 MIN_SHARED = 4
 BLOCK_BYTES = 16 << 20
 _BITS = 22
