@@ -3,13 +3,13 @@
 Sets are laid out by hash position and cut into position blocks, one more than two linked
 sets of that size can differ in (plus a few in place of empty ones): linked sets agree in
 a whole block. The index has a list for each block's content. Lists are sorted by set
-size, and the part of a list whose sizes or position histograms rule a link out is
+size, and the part of a list whose sizes or parity sketches rule a link out is
 skipped as a block (index-level skipping). Answers are derived from those of similar sets
 (answer-level skipping): equal sets are one set; in a list, sets are first compared with
-the list's leader only, and a set that is linked to it takes over its answers. Only then
-sets of one list that are still in different components are compared with each other, so
-no link between components is missed, and no pair inside a component is ever formed
-but those with a leader.
+the list's leader only, and a set that is linked to it takes over its answers; then a list's
+components are compared through one set each. Only after that, sets of one list that are
+still in different components are compared with each other, so no link between components
+is missed, and the pairs inside a component are never formed.
 
 A sketch (count_min) of all blocks drops those that occur once before they are shuffled.
 Verification compares the shingle sets of the two whole texts.
@@ -36,8 +36,10 @@ from quarry.llm.components import components
 
 WORDS = 3
 DOC, COPY, TEXT, BLOCK = 0, 1, 2, 3
-_SCHEMA = "kind int, g long, doc long, n long, other long, h0 long, h1 long, z binary"
-_ARROW = pa.schema([("kind", pa.int32()), ("g", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("other", pa.int64()), ("h0", pa.int64()), ("h1", pa.int64()), ("z", pa.binary())])
+_SCHEMA = "kind int, g long, doc long, n long, other long, odd binary, z binary"
+_ARROW = pa.schema([("kind", pa.int32()), ("g", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("other", pa.int64()), ("odd", pa.binary()), ("z", pa.binary())])
+#: bits of a set's parities: a bound on how far two sets differ
+PARITY = 512
 #: members that one copy of a leader's text is compared with
 MEMBERS = 256
 
@@ -97,15 +99,18 @@ def blocks(ids: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate(owners), np.concatenate(keys)
 
 
-def histograms(ids: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
-    """texts x 16 counts of hash positions, at most 255, packed in two words."""
-    count = np.bincount(ids * 16 + (h >> np.uint64(60)).astype(np.int64), minlength=16 * texts).reshape(texts, 16)
-    return np.minimum(count, 255).astype(np.uint8).view(np.int64)
+def parities(ids: np.ndarray, h: np.ndarray, texts: int) -> list[bytes]:
+    """For each text PARITY bits: whether an odd number of its shingles fall in a cell. A
+    shingle that only one of two sets has flips one bit, so the bits that differ are at
+    most the shingles that differ."""
+    cell = (kernels.mix(h ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(ids * PARITY + cell, minlength=PARITY * texts) & 1).astype(np.uint8).reshape(texts, PARITY)
+    return [r.tobytes() for r in np.packbits(odd, axis=1)]
 
 
 def possible(na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sizes and histograms leave a link possible (a, b: rows of two words)."""
-    differ = np.abs(a.view(np.uint8).reshape(-1, 16).astype(np.int32) - b.view(np.uint8).reshape(-1, 16)).sum(axis=1)
+    """Whether sizes and parities leave a link possible (a, b: rows of words of parities)."""
+    differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
     return (10 * np.minimum(na, nb) >= 9 * np.maximum(na, nb)) & (19 * differ <= na + nb)
 
 
@@ -117,7 +122,7 @@ def _table(kind, size: int, **columns) -> pa.RecordBatch:
             made.append(pa.array(np.full(size, kind, dtype=np.int32)))
         elif x is None:
             made.append(pa.nulls(size, field.type))
-        elif field.name == "z":
+        elif field.name in ("z", "odd"):
             made.append(pa.array(x, pa.binary()))
         else:
             x = np.ascontiguousarray(x)
@@ -127,7 +132,7 @@ def _table(kind, size: int, **columns) -> pa.RecordBatch:
 
 def _indexed(docs: DataFrame) -> DataFrame:
     """The written index: DOC rows (doc, n), COPY rows (doc equal to other), TEXT rows of
-    sets with a block that may repeat, and those BLOCK rows (g, doc, n, h0, h1)."""
+    sets with a block that may repeat, and those BLOCK rows (g, doc, n, odd)."""
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for i, j in passes(batch, "text", repeats.PASS):
@@ -165,8 +170,8 @@ def _indexed(docs: DataFrame) -> DataFrame:
                 keep[keep] = sketch.repeated(key[keep])
                 owner, key = owner[keep], key[keep]
                 if len(owner):
-                    hist = histograms(ids, h, len(doc)).reshape(-1, 2)
-                    yield _table(BLOCK, len(owner), g=key, doc=doc[owner], n=n[owner], h0=hist[owner, 0], h1=hist[owner, 1])
+                    odd = parities(ids, h, len(doc))
+                    yield _table(BLOCK, len(owner), g=key, doc=doc[owner], n=n[owner], odd=[odd[t] for t in owner.tolist()])
                     some = np.unique(owner)
                     yield _table(TEXT, len(some), doc=doc[some], z=[pack.compress(texts[t]) for t in some.tolist()])
 
@@ -180,32 +185,61 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
 
 
-def _hist(x: dict[str, np.ndarray], at) -> np.ndarray:
-    return np.ascontiguousarray(np.stack([x["h0"][at], x["h1"][at]], axis=1))
+def _words(x: dict) -> np.ndarray:
+    return np.frombuffer(b"".join(x["odd"].to_pylist()), dtype=np.uint64).reshape(-1, PARITY // 64)
 
 
 def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists sorted by size: each set with its list's leader. A set too large for the
-    leader, and what is behind it, skips to a leader of its own."""
+    """Lists in the order of doc_id: each set with its list's leader, the first. Sets whose
+    sizes rule a link with it out skip to a leader of their own. (The least doc_id leads in
+    most of a group's lists, so a group has few leaders.)"""
     for x in repeats.whole_runs(batches):
-        g, n, doc = x["g"], x["n"], x["doc"]
+        g, n, doc, odd = x["g"], x["n"], x["doc"], _words(x)
         left = np.arange(len(g))
         while len(left):
             lead = np.concatenate([[True], g[left][1:] != g[left][:-1]])
             own = left[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-            near = 9 * n[left] <= 10 * n[own]
+            near = 10 * np.minimum(n[left], n[own]) >= 9 * np.maximum(n[left], n[own])
             other = near & (left != own) & (doc[left] != doc[own])
             a, b = own[other], left[other]
-            ok = possible(n[a], n[b], _hist(x, a), _hist(x, b))
+            ok = possible(n[a], n[b], odd[a], odd[b])
             if ok.any():
                 yield _pairs(doc[a[ok]], doc[b[ok]])
             left = left[~near]
 
 
+def _bridges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists sorted by component (column other): one set of each further component with
+    one of the list's largest component, both those of least priority."""
+    for x in repeats.whole_runs(batches):
+        g, n, doc, comp = x["g"], x["n"], x["doc"], x["other"]
+        if not (comp != comp[0]).any():
+            continue
+        odd = _words(x)
+        # the set that stands for its component in its list, and the component's share
+        rank = kernels.mix(doc.view(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+        order = np.lexsort((rank, comp, g))
+        first = np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (comp[order][1:] != comp[order][:-1])])
+        at = order[first]
+        size = np.diff(np.concatenate([np.flatnonzero(first), [len(order)]]))
+        # the largest component of each list leads
+        by = np.lexsort((comp[at], -size, g[at]))
+        at = at[by]
+        lead = np.concatenate([[True], g[at][1:] != g[at][:-1]])
+        own = at[np.flatnonzero(lead)][np.cumsum(lead) - 1]
+        a, b = own[~lead], at[~lead]
+        ok = possible(n[a], n[b], odd[a], odd[b])
+        if ok.any():
+            yield _pairs(doc[a[ok]], doc[b[ok]])
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of one list in different components (column other)."""
     for x in repeats.whole_runs(batches):
         g, n, doc, comp = x["g"], x["n"], x["doc"], x["other"]
+        if not (comp != comp[0]).any():
+            continue
+        odd = _words(x)
         border = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
         mixed = np.add.reduceat(np.concatenate([[0], (comp[1:] != comp[:-1]) & (g[1:] == g[:-1])]).astype(np.int64), border[:-1]) > 0
         for i, j in zip(border[:-1][mixed].tolist(), border[1:][mixed].tolist(), strict=True):
@@ -215,7 +249,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b = np.arange(k + 1, reach[k - i])
                 b = b[comp[b] != comp[k]]
                 if len(b):
-                    ok = possible(n[k], n[b], np.repeat(_hist(x, [k]), len(b), axis=0), _hist(x, b))
+                    ok = possible(n[k], n[b], odd[k], odd[b])
                     if ok.any():
                         yield _pairs(np.full(int(ok.sum()), doc[k]), doc[b[ok]])
 
@@ -254,21 +288,29 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     index = _indexed(docs)
-    lists = index.where(F.col("kind") == BLOCK).select("g", "doc", "n", "h0", "h1")
+    lists = index.where(F.col("kind") == BLOCK).select("g", "doc", "n", "odd")
     texts = index.where(F.col("kind") == TEXT).select("doc", "z").dropDuplicates(["doc"])
     copies = index.where(F.col("kind") == COPY).select(F.col("doc").alias("u"), F.col("other").alias("v"))
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition("g").sortWithinPartitions("g", "n", "doc")
-
-    first = stash(dealt(lists).mapInArrow(_with_leaders, "a long, b long").distinct(), "jaccard-pairs")
-    links = stash(_linked(first, texts).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies), "jaccard-links")
-    comps = components(links)
-    known = lists.join(comps, "doc", "left").select("g", "doc", "n", "h0", "h1", F.coalesce("root", "doc").alias("other"))
-    rest = stash(dealt(known).mapInArrow(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
-    more = stash(_linked(rest, texts).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
-    if more.take(1):
-        comps = components(comps.select(F.col("doc").alias("u"), F.col("root").alias("v")).unionByName(more))
+    def dealt(rows: DataFrame, *order: str) -> DataFrame:
+        return rows.repartition("g").sortWithinPartitions("g", *order)
+
+    def with_components() -> DataFrame:
+        return lists.join(comps, "doc", "left").select("g", "doc", "n", "odd", F.coalesce("root", "doc").alias("other"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return stash(_linked(pairs, texts).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
+
+    tried = stash(dealt(lists, "doc").mapInArrow(_with_leaders, "a long, b long").distinct(), "jaccard-pairs")
+    comps = components(verified(tried).unionByName(copies))
+    # components meet through one set each before sets are compared one by one
+    for step, order in ((_bridges, ("other", "doc")), (_across, ("n", "doc"))):
+        pairs = dealt(with_components(), *order).mapInArrow(step, "a long, b long").distinct()
+        pairs = stash(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        links = verified(pairs)
+        tried = tried.unionByName(pairs)
+        if links.take(1):
+            comps = components(comps.select(F.col("doc").alias("u"), F.col("root").alias("v")).unionByName(links))
     sizes = index.where(F.col("kind") == DOC).select("doc", "n")
     out = sizes.join(comps, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
     nulls = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
