@@ -132,7 +132,7 @@ def _table(kind, size: int, **columns) -> pa.RecordBatch:
 
 def _indexed(docs: DataFrame) -> DataFrame:
     """The written index: DOC rows (doc, n), COPY rows (doc equal to other), TEXT rows of
-    sets with a block that may repeat, and those BLOCK rows (g, doc, n, odd)."""
+    sets with a block that may repeat (doc, n, odd, z), and those BLOCK rows (g, doc)."""
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for i, j in passes(batch, "text", repeats.PASS):
@@ -171,9 +171,9 @@ def _indexed(docs: DataFrame) -> DataFrame:
                 owner, key = owner[keep], key[keep]
                 if len(owner):
                     odd = parities(ids, h, len(doc))
-                    yield _table(BLOCK, len(owner), g=key, doc=doc[owner], n=n[owner], odd=[odd[t] for t in owner.tolist()])
+                    yield _table(BLOCK, len(owner), g=key, doc=doc[owner])
                     some = np.unique(owner)
-                    yield _table(TEXT, len(some), doc=doc[some], z=[pack.compress(texts[t]) for t in some.tolist()])
+                    yield _table(TEXT, len(some), doc=doc[some], n=n[some], odd=[odd[t] for t in some.tolist()], z=[pack.compress(texts[t]) for t in some.tolist()])
 
     return stash(docs.mapInArrow(emit, _SCHEMA), "jaccard-index")
 
@@ -185,6 +185,17 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, doc), sorted, of lists that hold more than one document."""
+    for x in repeats.whole_runs(batches):
+        g, doc = x["g"], x["doc"]
+        border = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1])
+        several = np.minimum.reduceat(doc, border) != np.maximum.reduceat(doc, border)
+        keep = np.repeat(several, np.diff(np.concatenate([border, [len(g)]])))
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(g[keep]).view(np.int64)), pa.array(doc[keep])], ["g", "doc"])
+
+
 def _words(x: dict) -> np.ndarray:
     return np.frombuffer(b"".join(x["odd"].to_pylist()), dtype=np.uint64).reshape(-1, PARITY // 64)
 
@@ -288,7 +299,11 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     index = _indexed(docs)
-    lists = index.where(F.col("kind") == BLOCK).select("g", "doc", "n", "odd")
+    # only the two narrow columns meet at first; sizes and sketches join what is left
+    blocks_ = index.where(F.col("kind") == BLOCK).select("g", "doc")
+    shared = stash(blocks_.repartition("g").sortWithinPartitions("g", "doc").mapInArrow(_shared, "g long, doc long"), "jaccard-lists")
+    sets = index.where(F.col("kind") == TEXT).select("doc", "n", "odd").dropDuplicates(["doc"])
+    lists = shared.join(sets, "doc")
     texts = index.where(F.col("kind") == TEXT).select("doc", "z").dropDuplicates(["doc"])
     copies = index.where(F.col("kind") == COPY).select(F.col("doc").alias("u"), F.col("other").alias("v"))
 
