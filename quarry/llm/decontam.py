@@ -30,8 +30,8 @@ from quarry.llm import kernels
 from quarry.llm.common import as_bytes, passes
 
 Q = 8
-RATE = 0.12
-MIN_SHARED = 4
+RATE = 0.1
+MIN_SHARED = 12
 BLOCK_BYTES = 16 << 20
 _BITS = 22
 PASS = 1 << 18
