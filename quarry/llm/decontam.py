@@ -169,6 +169,8 @@ def banded(pattern: np.ndarray, zone: np.ndarray, lo: int, hi: int, most: int) -
         row = np.minimum.accumulate(row - step) + step  # symbols of the zone are put in
         end += 1
         row = np.where((end >= 0) & (end <= n), row, big)
+        if i % 8 == 7 and int(row.min()) >> 32 > most:  # edits never fall again
+            return None
     at = int(row.argmin())
     if row[at] >> 32 > most:
         return None
