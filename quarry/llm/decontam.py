@@ -116,7 +116,10 @@ class Items:
             # a q-gram of the document counts once in a band
             p = pos[order]
             once = new | np.concatenate([[True], p[1:] != p[:-1]]) if len(d) else new
-            found.append((d[new], i[new], b[new], np.bincount(run, weights=once)))
+            # and so does one of the item
+            q = self.place[post][np.lexsort((self.place[post], own, item, doc))]
+            also = new | np.concatenate([[True], q[1:] != q[:-1]]) if len(d) else new
+            found.append((d[new], i[new], b[new], np.minimum(np.bincount(run, weights=once), np.bincount(run, weights=also))))
         # a band of width 2w is the two cells b and b + 1
         d, i, b, c = (np.concatenate([x[k] for x in found]) for k in range(4))
         order = np.lexsort((b, i, d))
