@@ -1,4 +1,7 @@
-"""N-gram Jaccard join at 0.9: which documents are linked, directly or through others.
+"""N-gram Jaccard join: which documents are linked, directly or through others.
+
+A Rule says how many words a shingle has and from which similarity sets are linked; block
+counts, size rule, parity bound and verification follow from it. OP8 is the rule of op8.
 
 Sets are laid out by hash position and cut into position blocks, one more than two linked
 sets of that size can differ in (plus a few in place of empty ones): linked sets agree in
@@ -23,6 +26,8 @@ other columns are ignored. Shingles are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,6 @@ from quarry.llm import count_min, kernels, repeats
 from quarry.llm.common import as_bytes, passes, stash
 from quarry.llm.components import components
 
-WORDS = 3
 DOC, COPY, TEXT, BLOCK = 0, 1, 2, 3
 _SCHEMA = "kind int, g long, doc long, n long, other long, odd binary, z binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("g", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("other", pa.int64()), ("odd", pa.binary()), ("z", pa.binary())])
@@ -44,23 +48,76 @@ PARITY = 512
 MEMBERS = 256
 
 
-def _bounds() -> np.ndarray:
-    out = [1, 9]
-    while out[-1] < 1 << 40:
-        out.append(-(-out[-1] * 3 // 2))
-    return np.array(out, dtype=np.int64)
+def _enough(least: int, differ: int) -> int:
+    """Blocks of which `least` shingles fill more than `differ` but for one set in many
+    thousands (by four standard deviations)."""
+    m = differ + 1
+    while True:
+        free = (1 - 1 / m) ** least
+        var = m * (m - 1) * max(0.0, 1 - 2 / m) ** least + m * free - (m * free) ** 2
+        if m - m * free - 4 * max(var, 0.0) ** 0.5 >= differ + 1:
+            return m
+        m += -(-m // 50)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Sets of shingles of so many words are linked from a similarity of num / den."""
+
+    words: int
+    num: int
+    den: int
+
+    @cached_property
+    def bounds(self) -> np.ndarray:
+        """Where bands of sizes begin; below the second only equal sets are linked. A set's
+        least partner is in its own band or the one before."""
+        out = [1, self.num // (self.den - self.num)]
+        while out[-1] < 1 << 40:
+            out.append(-(-out[-1] * 3 // 2))
+        return np.array(out, dtype=np.int64)
+
+    @cached_property
+    def differ(self) -> np.ndarray:
+        """In how many shingles linked sets differ at most, the smaller being of the band."""
+        most = self.bounds[1:] - 1
+        return (most + most * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+
+    @cached_property
+    def spare(self) -> np.ndarray:
+        """Blocks in place of empty ones. Where a block holds few shingles many are empty."""
+        out = (self.differ + 1) // 20
+        for b, (least, d) in enumerate(zip(self.bounds[:-1].tolist(), self.differ.tolist(), strict=True)):
+            if d and least < 4 * (d + 1):
+                out[b] = max(out[b], _enough(least, d) - d - 1)
+        return out
+
+    @cached_property
+    def blocks(self) -> np.ndarray:
+        return self.differ + 1 + self.spare
+
+    def least(self, n):
+        """Size of the smallest set that a set of n can be linked with."""
+        return -(-self.num * n // self.den)
+
+    def sizes(self, na, nb):
+        """Whether sizes leave a link possible."""
+        return self.den * np.minimum(na, nb) >= self.num * np.maximum(na, nb)
+
+    def near(self, differ, na, nb):
+        """Whether sets that differ in so many shingles can be linked."""
+        return (self.den + self.num) * differ <= (self.den - self.num) * (na + nb)
+
+    def linked(self, common: int, union: int) -> bool:
+        return self.den * common >= self.num * union
 
 
-BOUNDS = _bounds()
-_MOST = BOUNDS[1:] - 1
-DIFFER = (_MOST + _MOST * 10 // 9) // 19
-BLOCKS = DIFFER + 1 + (DIFFER + 1) // 20
-SPARE = (DIFFER + 1) // 20
+OP8 = Rule(words=3, num=9, den=10)
 
 
-def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(texts: list[bytes], rule: Rule = OP8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, hash) of the distinct shingles, sorted, and how many each text has."""
-    ids, h = kernels.shingle_sets(texts, WORDS, lower=True)
+    ids, h = kernels.shingle_sets(texts, rule.words, lower=True)
     order = np.lexsort((h, ids))
     ids, h = ids[order], h[order]
     if len(ids):
@@ -69,18 +126,18 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, h, np.bincount(ids, minlength=len(texts))
 
 
-def blocks(ids: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def blocks(ids: np.ndarray, h: np.ndarray, n: np.ndarray, rule: Rule = OP8) -> tuple[np.ndarray, np.ndarray]:
     """(text number, key) of every position block that a set puts in the index."""
     keys, owners = [], []
-    own = np.searchsorted(BOUNDS, n, side="right") - 1
-    low = np.searchsorted(BOUNDS, -(-9 * n // 10), side="right") - 1
+    own = np.searchsorted(rule.bounds, n, side="right") - 1
+    low = np.searchsorted(rule.bounds, rule.least(n), side="right") - 1
     for band, use in ((own, n > 0), (low, (n > 0) & (low < own))):
         at = use[ids]
         i, x = ids[at], h[at]
         if not len(i):
             continue
         b = np.maximum(band, 0)
-        m = np.where(use, BLOCKS[b], 0)
+        m = np.where(use, rule.blocks[b], 0)
         first = np.cumsum(m) - m
         salt = kernels.mix((b[i] + 77).astype(np.uint64))
         cell = first[i] + (kernels.mix(x ^ salt) % m[i].astype(np.uint64)).astype(np.int64)
@@ -89,7 +146,7 @@ def blocks(ids: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
         filled = np.bincount(cell, minlength=len(total)) > 0
         owner = np.repeat(np.arange(len(n)), m)
         empty = np.bincount(owner[~filled], minlength=len(n))
-        keep = filled | (empty > SPARE[b])[owner]
+        keep = filled | (empty > rule.spare[b])[owner]
         place = (np.arange(len(total)) - first[owner]).astype(np.uint64)
         key = kernels.mix(total + place * np.uint64(0x9E3779B97F4A7C15) + kernels.mix((b[owner] + 1000).astype(np.uint64)))
         keys.append(key[keep])
@@ -108,10 +165,10 @@ def parities(ids: np.ndarray, h: np.ndarray, texts: int) -> list[bytes]:
     return [r.tobytes() for r in np.packbits(odd, axis=1)]
 
 
-def possible(na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def possible(rule: Rule, na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sizes and parities leave a link possible (a, b: rows of words of parities)."""
     differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-    return (10 * np.minimum(na, nb) >= 9 * np.maximum(na, nb)) & (19 * differ <= na + nb)
+    return rule.sizes(na, nb) & rule.near(differ, na, nb)
 
 
 def _table(kind, size: int, **columns) -> pa.RecordBatch:
@@ -130,13 +187,13 @@ def _table(kind, size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, schema=_ARROW)
 
 
-def _indexed(docs: DataFrame) -> DataFrame:
+def _indexed(docs: DataFrame, rule: Rule) -> DataFrame:
     """The written index: DOC rows (doc, n), COPY rows (doc equal to other), TEXT rows of
     sets with a block that may repeat (doc, n, odd, z), and those BLOCK rows (g, doc)."""
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for i, j in passes(batch, "text", repeats.PASS):
-            yield blocks(*shingles(as_bytes(batch.slice(i, j - i).column("text")).to_pylist()))[1]
+            yield blocks(*shingles(as_bytes(batch.slice(i, j - i).column("text")).to_pylist(), rule), rule)[1]
 
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
     shared = docs.sparkSession.sparkContext.broadcast(count_min.build(docs, keys_of))
@@ -150,7 +207,7 @@ def _indexed(docs: DataFrame) -> DataFrame:
                 part = batch.slice(i, j - i)
                 texts = as_bytes(part.column("text")).to_pylist()
                 doc = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                ids, h, n = shingles(texts)
+                ids, h, n = shingles(texts, rule)
                 yield _table(DOC, len(doc), doc=doc, n=n)
                 sums = np.zeros((2, len(doc)), dtype=np.uint64)
                 np.add.at(sums[0], ids, kernels.mix(h ^ np.uint64(0xA24BAED4963EE407)))
@@ -165,7 +222,7 @@ def _indexed(docs: DataFrame) -> DataFrame:
                 if copies:
                     pair = np.array(copies, dtype=np.int64)
                     yield _table(COPY, len(pair), doc=pair[:, 0], other=pair[:, 1])
-                owner, key = blocks(ids, h, n)
+                owner, key = blocks(ids, h, n, rule)
                 keep = fresh[owner]
                 keep[keep] = sketch.repeated(key[keep])
                 owner, key = owner[keep], key[keep]
@@ -200,7 +257,7 @@ def _words(x: dict) -> np.ndarray:
     return np.frombuffer(b"".join(x["odd"].to_pylist()), dtype=np.uint64).reshape(-1, PARITY // 64)
 
 
-def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_leaders(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Lists in the order of doc_id: each set with its list's leader, the first. Sets whose
     sizes rule a link with it out skip to a leader of their own. (The least doc_id leads in
     most of a group's lists, so a group has few leaders.)"""
@@ -210,16 +267,16 @@ def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         while len(left):
             lead = np.concatenate([[True], g[left][1:] != g[left][:-1]])
             own = left[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-            near = 10 * np.minimum(n[left], n[own]) >= 9 * np.maximum(n[left], n[own])
+            near = rule.sizes(n[left], n[own])
             other = near & (left != own) & (doc[left] != doc[own])
             a, b = own[other], left[other]
-            ok = possible(n[a], n[b], odd[a], odd[b])
+            ok = possible(rule, n[a], n[b], odd[a], odd[b])
             if ok.any():
                 yield _pairs(doc[a[ok]], doc[b[ok]])
             left = left[~near]
 
 
-def _bridges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bridges(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Lists sorted by component (column other): one set of each further component with
     one of the list's largest component, both those of least priority."""
     for x in repeats.whole_runs(batches):
@@ -239,12 +296,12 @@ def _bridges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.concatenate([[True], g[at][1:] != g[at][:-1]])
         own = at[np.flatnonzero(lead)][np.cumsum(lead) - 1]
         a, b = own[~lead], at[~lead]
-        ok = possible(n[a], n[b], odd[a], odd[b])
+        ok = possible(rule, n[a], n[b], odd[a], odd[b])
         if ok.any():
             yield _pairs(doc[a[ok]], doc[b[ok]])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Pairs of one list in different components (column other)."""
     for x in repeats.whole_runs(batches):
         g, n, doc, comp = x["g"], x["n"], x["doc"], x["other"]
@@ -255,22 +312,22 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixed = np.add.reduceat(np.concatenate([[0], (comp[1:] != comp[:-1]) & (g[1:] == g[:-1])]).astype(np.int64), border[:-1]) > 0
         for i, j in zip(border[:-1][mixed].tolist(), border[1:][mixed].tolist(), strict=True):
             # sizes within reach are a block behind each set
-            reach = np.searchsorted(n[i:j], n[i:j] * 10 // 9, side="right") + i
+            reach = np.searchsorted(n[i:j], n[i:j] * rule.den // rule.num, side="right") + i
             for k in range(i, j - 1):
                 b = np.arange(k + 1, reach[k - i])
                 b = b[comp[b] != comp[k]]
                 if len(b):
-                    ok = possible(n[k], n[b], odd[k], odd[b])
+                    ok = possible(rule, n[k], n[b], odd[k], odd[b])
                     if ok.any():
                         yield _pairs(np.full(int(ok.sum()), doc[k]), doc[b[ok]])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Sorted by (a, salt, role): a leader's text, then the texts it is compared with."""
     lead, lead_set = None, None
     for batch in batches:
         for part in repeats.z_passes(batch):
-            ids, h, n = shingles(repeats.unpacked(part))
+            ids, h, n = shingles(repeats.unpacked(part), rule)
             first = np.searchsorted(ids, np.arange(len(n) + 1))
             a, b = [], []
             for t, (x, role, doc) in enumerate(zip(*(part.column(f).to_pylist() for f in ("a", "role", "doc")), strict=True)):
@@ -280,25 +337,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 elif x == lead:
                     at = np.searchsorted(lead_set, own)
                     common = int((lead_set[np.minimum(at, len(lead_set) - 1)] == own).sum())
-                    if 100 * common >= 90 * (len(own) + len(lead_set) - common):
+                    if rule.linked(common, len(own) + len(lead_set) - common):
                         a.append(x)
                         b.append(doc)
             if a:
                 yield _pairs(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose texts are linked. A leader with many members is dealt out."""
     per = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
     members = pairs.join(per, "a").select("a", F.pmod(F.hash("b"), "salts").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("doc"))
     leaders = per.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("doc"))
     rows = members.unionByName(leaders).join(texts, "doc").select("a", "salt", "role", "doc", "z")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "doc").mapInArrow(_verify, "a long, b long")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "doc").mapInArrow(partial(_verify, rule=rule), "a long, b long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, rule: Rule = OP8) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
-    index = _indexed(docs)
+    index = _indexed(docs, rule)
     # only the two narrow columns meet at first; sizes and sketches join what is left
     blocks_ = index.where(F.col("kind") == BLOCK).select("g", "doc")
     shared = stash(blocks_.repartition("g").sortWithinPartitions("g", "doc").mapInArrow(_shared, "g long, doc long"), "jaccard-lists")
@@ -314,13 +371,13 @@ def classes(docs: DataFrame) -> DataFrame:
         return lists.join(comps, "doc", "left").select("g", "doc", "n", "odd", F.coalesce("root", "doc").alias("other"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return stash(_linked(pairs, texts).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
+        return stash(_linked(pairs, texts, rule).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
 
-    tried = stash(dealt(lists, "doc").mapInArrow(_with_leaders, "a long, b long").distinct(), "jaccard-pairs")
+    tried = stash(dealt(lists, "doc").mapInArrow(partial(_with_leaders, rule=rule), "a long, b long").distinct(), "jaccard-pairs")
     comps = components(verified(tried).unionByName(copies))
     # components meet through one set each before sets are compared one by one
     for step, order in ((_bridges, ("other", "doc")), (_across, ("n", "doc"))):
-        pairs = dealt(with_components(), *order).mapInArrow(step, "a long, b long").distinct()
+        pairs = dealt(with_components(), *order).mapInArrow(partial(step, rule=rule), "a long, b long").distinct()
         pairs = stash(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         links = verified(pairs)
         tried = tried.unionByName(pairs)
@@ -332,8 +389,8 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.unionByName(nulls)
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, rule: Rule = OP8) -> DataFrame:
     """docs without those that are not the first of their component; all columns stay.
     Rows that share the kept doc_id stay."""
-    gone = classes(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__q_doc")).distinct()
+    gone = classes(docs, rule).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__q_doc")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__q_doc"], "left_anti")
