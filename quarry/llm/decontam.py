@@ -4,9 +4,10 @@ Texts are compared lower-cased, with every run of ASCII characters that are neit
 letters nor digits as one space. An item of m bytes that stands in a document with at
 most e = floor(RATE * m) edits shares at least m - q + 1 - q * e of its q-grams with that
 place, and their diagonals (place in the document less place in the item) lie within e of
-each other. Shared q-grams are counted in overlapping diagonal bands of width 2e; only
-bands that reach the bound are aligned, in a band around the diagonal, and kept if the
-alignment needs no more than e edits.
+each other. Shared q-grams are counted in overlapping diagonal bands of width 2e. Where
+the bound is reached, the same lemma is asked again with grams of SHORT bytes, which e edits
+leave many more of, over the bytes that the band reaches; only what passes both is aligned
+(bit-parallel, a row of distances as one number) and kept if it needs no more than e edits.
 
 The benchmark is broadcast in blocks of at most BLOCK_BYTES of text; documents stream by.
 
@@ -30,8 +31,10 @@ from quarry.llm import kernels
 from quarry.llm.common import as_bytes, passes
 
 Q = 8
-RATE = 0.1
-MIN_SHARED = 12
+RATE = 0.12
+MIN_SHARED = 4
+#: length of the shorter grams that a second count takes, and its table
+SHORT = 5
 BLOCK_BYTES = 16 << 20
 _BITS = 22
 PASS = 1 << 18
@@ -83,11 +86,33 @@ class Items:
         self.gram, self.item, self.place = gram[order], item[order], place[order]
         self.seen = np.zeros(1 << _BITS, dtype=bool)
         self.seen[self._cell(self.gram)] = True
+        # (item, short gram): the cells may hold others too, which only raises a count
+        short = [grams(np.frombuffer(t + bytes(Q - SHORT), dtype=np.uint8)) for t in self.texts]
+        self.short = np.zeros(1 << _BITS, dtype=bool)
+        for i, g in enumerate(short):
+            self.short[self._short_cell(g, np.uint64(i))] = True
+        self.need_short = self.size - SHORT + 1 - SHORT * self.edits
 
     @staticmethod
     def _cell(g: np.ndarray) -> np.ndarray:
         return (g * _MULT) >> np.uint64(64 - _BITS)
 
+    @staticmethod
+    def _short_cell(g: np.ndarray, item) -> np.ndarray:
+        return (((g << np.uint64(8 * (Q - SHORT))) + item) * _MULT) >> np.uint64(64 - _BITS)
+
+    def enough_short(self, g: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether places lo..hi-1 hold as many of the item's short grams as the lemma asks."""
+        out = np.zeros(len(item), dtype=bool)
+        lo, hi = np.maximum(lo, 0), np.minimum(hi, len(g))
+        for k in range(0, len(item), 512):
+            n = np.maximum(hi[k : k + 512] - lo[k : k + 512], 0)
+            at = np.repeat(lo[k : k + 512], n) + kernels.spread(n)
+            hit = np.concatenate([[0], np.cumsum(self.short[self._short_cell(g[at], np.repeat(item[k : k + 512], n).astype(np.uint64))])])
+            end = np.cumsum(n)
+            out[k : k + 512] = hit[end] - hit[end - n] >= self.need_short[item[k : k + 512]]
+        return out
+
     def candidates(self, text: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text number, item, least and greatest diagonal) of bands that reach the bound."""
         g = grams(text)
@@ -101,37 +126,41 @@ class Items:
         row = np.repeat(np.arange(len(at)), n)
         post = lo[row] + kernels.spread(n)
         pos, item = at[row], self.item[post]
-        doc = np.searchsorted(starts, pos, side="right") - 1
+        doc = (np.searchsorted(starts, at, side="right") - 1)[row]
         # diagonals from 0 up within the text
         diagonal = pos - starts[doc] - self.place[post] + self.size[item]
-        width = np.maximum(self.edits[item], 1)
-        band = diagonal // width
-        found = []
-        for shift in (0, 1):
-            own = band - shift
-            order = np.lexsort((pos, own, item, doc))
-            d, i, b = doc[order], item[order], own[order]
-            new = np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])]) if len(d) else np.zeros(0, dtype=bool)
-            run = np.cumsum(new) - 1
-            # a q-gram of the document counts once in a band
-            p = pos[order]
-            once = new | np.concatenate([[True], p[1:] != p[:-1]]) if len(d) else new
-            # and so does one of the item
-            q = self.place[post][np.lexsort((self.place[post], own, item, doc))]
-            also = new | np.concatenate([[True], q[1:] != q[:-1]]) if len(d) else new
-            found.append((d[new], i[new], b[new], np.minimum(np.bincount(run, weights=once), np.bincount(run, weights=also))))
+        band = diagonal // np.maximum(self.edits[item], 1)
+        # hits without enough others in their cell and a next one go before any sort
+        # (what shares a counter raises it)
+        pair = (doc * len(self.ids) + item).astype(np.uint64) * _MULT
+        near = [((pair + (band + k).astype(np.uint64)) * _MULT >> np.uint64(64 - 18)).astype(np.int64) for k in (-1, 0, 1)]
+        hits = np.bincount(near[1], minlength=1 << 18)
+        some = hits[near[1]] + np.maximum(hits[near[0]], hits[near[2]]) >= self.need[item]
+        band, pos, item, doc, place = band[some], pos[some], item[some], doc[some], self.place[post[some]]
+        if not len(pos):
+            return []
+        order = np.lexsort((pos, band, item, doc))
+        d, i, b, p = doc[order], item[order], band[order], pos[order]
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
+        run = np.cumsum(new) - 1
+        # a q-gram of the document counts once in a cell, and so does one of the item
+        once = new | np.concatenate([[True], p[1:] != p[:-1]])
+        q = place[np.lexsort((place, band, item, doc))]
+        also = new | np.concatenate([[True], q[1:] != q[:-1]])
+        count = np.minimum(np.bincount(run, weights=once), np.bincount(run, weights=also))
+        found = [(d[new], i[new], b[new] - shift, count) for shift in (0, 1)]
         # a band of width 2w is the two cells b and b + 1
         d, i, b, c = (np.concatenate([x[k] for x in found]) for k in range(4))
         order = np.lexsort((b, i, d))
         d, i, b, c = d[order], i[order], b[order], c[order]
-        if not len(d):
-            return []
         new = np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
         total = np.add.reduceat(c, np.flatnonzero(new))
         d, i, b = d[new], i[new], b[new]
         ok = total >= self.need[i]
+        d, i, b = d[ok], i[ok], b[ok]
         w = np.maximum(self.edits[i], 1)
         lo_d, hi_d = b * w - self.size[i], (b + 2) * w - 1 - self.size[i]
+        ok = self.enough_short(g, i, starts[d] + lo_d, starts[d] + hi_d + self.size[i])
         return list(zip(d[ok].tolist(), i[ok].tolist(), lo_d[ok].tolist(), hi_d[ok].tolist(), strict=True))
 
     def align(self, item: int, text: bytes, lo: int, hi: int) -> tuple[int, int, int] | None:
@@ -144,40 +173,49 @@ class Items:
             return 0, a + exact, a + exact + len(pattern)
         if not most:
             return None
-        got = banded(np.frombuffer(pattern, dtype=np.uint8), np.frombuffer(zone, dtype=np.uint8), lo - a, hi - a, most)
+        # (the item's grams that stand in the zone, a stricter count than enough_short)
+        have = {zone[k : k + SHORT] for k in range(len(zone) - SHORT + 1)}
+        if sum(pattern[k : k + SHORT] in have for k in range(len(pattern) - SHORT + 1)) < self.need_short[item]:
+            return None
+        got = placed(pattern, zone, most)
         return None if got is None else (got[0], a + got[1], a + got[2])
 
 
-def banded(pattern: np.ndarray, zone: np.ndarray, lo: int, hi: int, most: int) -> tuple[int, int, int] | None:
-    """Best place of pattern in zone with at most `most` edits, in the diagonals lo - most
-    .. hi + most. Cell k of row i is the zone's prefix of length i + first + k; with each
-    distance goes where its alignment starts."""
-    first = lo - most
-    k = np.arange(hi - lo + 2 * most + 1)
-    n = len(zone)
-    big = np.int64(1 << 40)
-    # distance and start as one number, so that a minimum carries the start along
-    end = first + k
-    row = np.where((end >= 0) & (end <= n), np.clip(end, 0, n), big)
-    unit = np.int64(1 << 32)
-    step = k * unit
-    for i, c in enumerate(pattern.tolist()):
-        end = i + first + k  # the symbol that a match consumes is zone[end]
-        same = np.zeros(len(k), dtype=bool)
-        inside = (end >= 0) & (end < n)
-        same[inside] = zone[end[inside]] == c
-        match = np.where(inside, row + np.where(same, 0, unit), big)
-        drop = np.concatenate([row[1:], [big]]) + unit  # the pattern's symbol is left out
-        row = np.minimum(match, drop)
-        row = np.minimum.accumulate(row - step) + step  # symbols of the zone are put in
-        end += 1
-        row = np.where((end >= 0) & (end <= n), row, big)
-        if i % 8 == 7 and int(row.min()) >> 32 > most:  # edits never fall again
-            return None
-    at = int(row.argmin())
-    if row[at] >> 32 > most:
+def distances(pattern: bytes, zone: bytes, fixed: bool) -> Iterator[int]:
+    """For each prefix of zone, the empty one first, the edits between the pattern and the
+    whole prefix (fixed) or its best suffix (Myers' bit vectors: bit i of up and down is
+    whether the distance rises or falls from the pattern's prefix i to i + 1)."""
+    m = len(pattern)
+    at: dict[int, int] = {}
+    for i, c in enumerate(pattern):
+        at[c] = at.get(c, 0) | 1 << i
+    every, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = every, 0, m
+    yield score
+    for c in zone:
+        same = at.get(c, 0)
+        x = (((same & up) + up) ^ up) | same
+        rise, fall = (down | ~(x | up)) & every, up & x
+        if rise & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+        rise, fall = (rise << 1 | fixed) & every, (fall << 1) & every
+        same |= down
+        up, down = (fall | ~(same | rise)) & every, rise & same
+        yield score
+
+
+def placed(pattern: bytes, zone: bytes, most: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the pattern's best place in zone, if that needs no more than
+    `most` edits; of equal ones the first start, then the first end."""
+    least = min(distances(pattern, zone, False))
+    if least > most:
         return None
-    return int(row[at] >> 32), int(row[at] & 0xFFFFFFFF), len(pattern) + first + at
+    back = list(distances(pattern[::-1], zone[::-1], False))
+    start = len(zone) - max(k for k, e in enumerate(back) if e == least)
+    ends = distances(pattern, zone[start : start + len(pattern) + least], True)
+    return least, start, start + next(k for k, e in enumerate(ends) if e == least)
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Items]:

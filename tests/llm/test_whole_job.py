@@ -4,7 +4,7 @@ from llm_frames import frame
 from test_dedup import WORD, as_dict
 
 import corpus_pipeline
-from quarry.llm import jaccard
+from quarry.llm import decontam, jaccard
 
 
 def grams_of(text, words):
@@ -50,3 +50,44 @@ def test_jaccard_rule_of_the_stage_equals_brute_force(spark):
     want = near_groups(rows, 5, 4, 5)
     assert as_dict(jaccard.classes(frame(spark, rows), rule)) == want
     assert 20 < len({r for _, r in want.values()}) < 140
+
+
+def test_decontamination_budget_is_12_percent(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnoprstuvwy"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 8)))
+    rows, items, most = [], [], {60: 6, 100: 11, 200: 23, 394: 47}
+    for k, (size, edits) in enumerate(most.items()):
+        t = " ".join(word() for _ in range(size))[:size].strip()
+        t += "z" * (size - len(t))
+        items.append((k, t))
+        step = size / edits
+        at = [int(j * step) for j in range(edits)]
+        for d, every in ((10 * k, at), (10 * k + 1, at[:-1]), (10 * k + 2, at[: edits // 2])):
+            w = list(t)
+            for i in every:
+                w[i] = "q"  # no item has it
+            rows.append((d, "X " + "".join(w) + " and more"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(frame(spark, rows), bench).collect()}
+    assert got == {(d, d // 10) for d, _ in rows}
+    assert decontam.clean(frame(spark, rows), bench).count() == 0
+
+
+def test_bit_vectors_equal_plain_edit_distance():
+    rng = random.Random(3)
+    text = lambda n: bytes(rng.choice(b"abc") for _ in range(n))
+    for _ in range(300):
+        p, z = text(rng.randint(1, 12)), text(rng.randint(0, 20))
+        for fixed in (False, True):
+            row = list(range(len(p) + 1))
+            want = [row[-1]]
+            for j, c in enumerate(z):
+                new = [j + 1 if fixed else 0]
+                for i, x in enumerate(p):
+                    new.append(min(row[i] + (x != c), row[i + 1] + 1, new[i] + 1))
+                row = new
+                want.append(row[-1])
+            assert list(decontam.distances(p, z, fixed)) == want
+        got = decontam.placed(p, z, len(p))
+        assert min(decontam.distances(p, z[got[1] : got[2]], True)) == got[0] == list(decontam.distances(p, z[got[1] : got[2]], True))[-1]
