@@ -104,11 +104,12 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sorted partition: results of all rows but the last; of the first row also its
-    text as head, and of the last row, which has no neighbour here, its text as tail."""
+    """A sorted partition: results of all rows but the last; of the first row that comes
+    out, which is the partition's first, also its text as head, and of the last row, which
+    has no neighbour here, its text as tail."""
     held_id = held_text = None
     held = False
-    first = None
+    begun = False
 
     def out(columns: dict, head: list, tail: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict(columns | {"head": head, "tail": tail}, schema=_ARROW)
@@ -121,18 +122,14 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held:
                 ids, texts = [held_id, *ids], [held_text, *texts]
             head = [None] * (len(ids) - 1)
-            if first is None:
-                first = texts[0]
-                if head:
-                    head[0] = first
             if len(ids) > 1:
+                if not begun:
+                    head[0], begun = texts[0], True
                 yield out(_rows(ids[:-1], texts[:-1], texts[1:]), head, [None] * (len(ids) - 1))
             held, held_id, held_text = True, ids[-1], texts[-1]
-            alone = len(ids) == 1
-            first_is_held = alone and first is held_text
     if held:
         blank = {c.name: [None] for c in _ARROW if c.name not in ("head", "tail", "doc_id")}
-        yield out({"doc_id": [held_id], **blank}, [first if first_is_held else None], [held_text])
+        yield out({"doc_id": [held_id], **blank}, [None if begun else held_text], [held_text])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

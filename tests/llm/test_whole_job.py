@@ -1,10 +1,12 @@
+import hashlib
 import random
 
 from llm_frames import frame
 from test_dedup import WORD, as_dict
 
 import corpus_pipeline
-from quarry.llm import decontam, jaccard
+from quarry.llm import decontam, fingerprint, jaccard
+from quarry.llm.common import CHUNK_BYTES
 
 
 def grams_of(text, words):
@@ -91,3 +93,19 @@ def test_bit_vectors_equal_plain_edit_distance():
             assert list(decontam.distances(p, z, fixed)) == want
         got = decontam.placed(p, z, len(p))
         assert min(decontam.distances(p, z[got[1] : got[2]], True)) == got[0] == list(decontam.distances(p, z[got[1] : got[2]], True))[-1]
+
+
+def test_fingerprints_of_a_partition_that_begins_with_a_long_text(spark):
+    long = "w1 longer " * (CHUNK_BYTES // 10 + 10)
+    for rows in ([(5, long), (4, "b c d e f g"), (3, "h i j k l m n")], [(3, "short first"), (2, long), (1, "last of all")], [(2, long), (1, long + "x")]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        usual = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        try:
+            got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", usual)
+        assert sorted(got) == sorted(d for d, _ in rows)
+        for (d, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True):
+            edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+            assert (got[d].n_chars, got[d].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
