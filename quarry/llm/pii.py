@@ -6,7 +6,10 @@ running sum of lengths, in code points.
 
 The patterns are anchored so that a scan is linear in the text: a match can start only
 where its run of characters starts or where the last match ended, and quantifiers that
-cannot give anything back are possessive.
+cannot give anything back are possessive. An account number (IBAN) has no sign of its end: each
+start is proposed with the run of groups behind it, and of the group ends in it mod-97
+chooses, that of the country's length before others and then the longest. Of overlapping
+ones the first stays.
 
 Defined cases: a null or empty text has no spans; rows are independent, so repeated
 rows and ties give repeated results; an empty table gives an empty result; other columns
@@ -44,7 +47,7 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", 0.6, 0.3, r"\bip\b|address|host|server|login"),
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", 0.8, 0.2, r"card|visa|credit|payment|mastercard|debit"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.7, 0.2, r"phone|call|tel|mobile|fax|contact"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.9, 0.1, r"iban|account|konto|bank|transfer", base=False),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", 0.9, 0.1, r"iban|account|konto|bank|transfer", base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, 0.5, r"ssn|social security|tax id", base=False),
 )
 
@@ -75,6 +78,23 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), add) == 1
 
 
+#: Lengths of account numbers by country, as registered.
+_IBAN = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 "
+    "JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()
+
+
+def account(found: Column) -> Column:
+    """The part of a run of groups that is an account number, or null."""
+    groups = F.split(found, " ")
+    plain = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    ends = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+    good = F.filter(ends, lambda x: x.rlike("^[A-Z0-9 ]+$") & F.length(plain(x)).between(15, 34) & mod97(plain(x)))
+    own = lambda x: F.concat(F.substring(x, 1, 2), F.length(plain(x)).cast("string")).isin(_IBAN)
+    return F.coalesce(F.get(F.filter(good, own), F.lit(0)), F.get(good, F.size(good) - 1))
+
+
 def confirmed(kind: str, found: Column) -> Column:
     if kind == "ip":
         return found.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$")
@@ -83,7 +103,7 @@ def confirmed(kind: str, found: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(found)).between(9, 15)
     if kind == "iban":
-        return _let(F.replace(found, F.lit(" "), F.lit("")), lambda code: F.length(code).between(15, 34) & mod97(code))
+        return found.isNotNull()
     if kind == "ssn":
         return ~found.rlike(r"^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -112,12 +132,14 @@ def _found(text: Column, kind: Kind) -> Column:
     rx = F.lit(kind.pattern)
     size = lambda x: F.length(x).cast("long")
     pairs = F.zip_with(F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, kind.pattern, -1), lambda h, p: F.struct(size(p).alias("gap"), size(h).alias("own"), h.alias("found")))
+    if kind.name == "iban":  # the match is the start alone
+        pairs = F.zip_with(pairs, F.regexp_extract_all(text, rx, F.lit(1)), lambda s, r: s.withField("found", account(F.concat(s["found"], r))))
     some = text.rlike(kind.pattern)
     if kind.name in _MARKS:
         some = F.contains(text, F.lit(_MARKS[kind.name])) & some
     none = F.array().cast("array<struct<gap:bigint,own:bigint,found:string>>")
     # the piece behind the last match has none of its own
-    return F.when(some, F.filter(pairs, lambda s: s["found"].isNotNull())).otherwise(none)
+    return F.when(some, F.filter(pairs, lambda s: s["own"].isNotNull())).otherwise(none)
 
 
 def _gaps(found: Column) -> Column:
@@ -137,9 +159,12 @@ def _placed(body: Column, found: Column, at: Column, kind: Kind) -> Column:
     def span(s: Column, start: Column) -> Column:
         near = F.lower(F.substring(body, F.greatest(start - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT_CHARS)).cast("int")))
         score = F.lit(kind.prior) + F.when(near.rlike(kind.context), F.lit(kind.bonus)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + s["own"]).alias("end"), s["found"].alias("found"), F.round(score, 3).alias("score"), F.lit(kind.base).alias("base"))
+        return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + (F.length(s["found"]) if kind.name == "iban" else s["own"])).alias("end"), s["found"].alias("found"), F.round(score, 3).alias("score"), F.lit(kind.base).alias("base"))
 
-    return F.filter(F.zip_with(found, at, span), lambda s: confirmed(kind.name, s["found"]) & (s["base"] | (s["score"] >= THRESHOLD)))
+    out = F.filter(F.zip_with(found, at, span), lambda s: confirmed(kind.name, s["found"]) & (s["base"] | (s["score"] >= THRESHOLD)))
+    if kind.name == "iban":
+        return _let(out, lambda x: F.filter(x, lambda s, i: (i == 0) | (F.get(x, i - 1)["end"] <= s["start"])))
+    return out
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from llm_frames import frame
 from test_dedup import WORD, as_dict
 
 import corpus_pipeline
-from quarry.llm import decontam, fingerprint, jaccard
+from quarry.llm import decontam, fingerprint, jaccard, pii
 from quarry.llm.common import CHUNK_BYTES
 
 
@@ -109,3 +109,16 @@ def test_fingerprints_of_a_partition_that_begins_with_a_long_text(spark):
         for (d, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True):
             edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
             assert (got[d].n_chars, got[d].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+
+
+def test_pii_finds_account_numbers_whatever_follows(spark):
+    de, gb, no = "DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947"
+    spaced = "DE89 3704 0044 0532 0130 00"
+    cases = {
+        f"pay to {de} Please": [de], f"pay to {de} 2024 or so": [de], f"pay to {de} AND THEN": [de], f"pay to {spaced} EUR 100": [spaced], f"{spaced} GB82 WEST 1234 5698 7654 32": [spaced, "GB82 WEST 1234 5698 7654 32"],
+        f"{de} {gb} {no}": [de, gb, no], f"é {no} X": [no], f"{de}a {de}0": [], f"x{de}": [], f"{de}, {de}": [de, de], f"{de[:-1]}1 Please": [], spaced: [spaced], "AB12 3456": [],
+    }
+    got = {r.doc_id: r.spans for r in pii.detect(frame(spark, list(enumerate(cases)))).collect()}
+    for d, (text, want) in enumerate(cases.items()):
+        spans = [s for s in got[d] if s.kind == "iban"]
+        assert [s.found for s in spans] == want == [text[s.start : s.end] for s in spans], text
