@@ -3,7 +3,9 @@
 Words are compared, lower-cased, joined by single spaces. For a notice that may have k
 edits, the pigeonhole principle gives k + 1 pieces of which one must occur exactly; one
 search automaton finds all pieces of all notices, and only around such seeds the regex
-library's bounded-error matching ({e<=k}) verifies the edits and reports the span.
+library's bounded-error matching ({e<=k}) verifies the edits and reports the span. Word
+borders are part of the search; the best match of a stretch is taken first, then what lies
+before and behind it is searched again.
 
 Defined cases: a null or empty text has no words and no labels; rows are independent; an
 empty table gives an empty result; other columns are ignored.
@@ -67,7 +69,7 @@ class Scanner:
         import regex
 
         self.notices = notices
-        self.match = [regex.compile(f"(?:{regex.escape(n.phrase, special_only=True)}){{e<={n.edits}}}", regex.BESTMATCH) for n in notices]
+        self.match = [regex.compile(f"(?<![^ ])(?:{regex.escape(n.phrase, special_only=True)}){{e<={n.edits}}}(?![^ ])", regex.BESTMATCH) for n in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, n in enumerate(notices):
             for at, piece in pieces(n.phrase, n.edits):
@@ -77,6 +79,27 @@ class Scanner:
             self.auto.add_word(piece, (len(piece), where))
         self.auto.make_automaton()
 
+    def best(self, i: int, line: str, padded: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, edits) of a notice's matches in line[a:b], whole words at both ends;
+        padded is ". " and the line."""
+        # words that a or b cuts are left out
+        if 0 < a < len(line) and line[a - 1] != " ":
+            a = line.find(" ", a, b) + 1 or b
+        if b < len(line) and line[b] != " ":
+            b = line.rfind(" ", a, b)
+        todo = [(a, b)]
+        least = len(self.notices[i].phrase) - self.notices[i].edits
+        while todo:
+            a, b = todo.pop()
+            if b - a < least:
+                continue
+            # from the space before: the library allows no insertion where a search starts
+            m = self.match[i].search(padded, a + 1, b + 2)
+            if m:
+                s, e = m.start() - 2, m.end() - 2
+                yield s, e, sum(m.fuzzy_counts)
+                todo += [(e + 1, b), (a, s - 1)]
+
     def fuzzy(self, line: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits) in line, whole words at both ends."""
         zones: dict[int, list[list[int]]] = {}
@@ -90,24 +113,26 @@ class Scanner:
                     own[-1][1] = max(own[-1][1], b)
                 else:
                     own.append([a, b])
-        found = []
+        found, padded = [], ". " + line
         for i, spans in zones.items():
             n = self.notices[i]
             for a, b in spans:
                 # a zone of many seeds is searched in steps: every match ends within one
                 step = 4 * len(n.phrase)
-                seen: set[tuple[int, int]] = set()
+                own = set()
                 for c in range(a, min(b, len(line)), step):
-                    part = line[c : min(b, c + step + 2 * len(n.phrase))]
-                    for m in self.match[i].finditer(part):
-                        s, e = c + m.start(), c + m.end()
-                        while s < e and line[s] == " ":
-                            s += 1
-                        while e > s and line[e - 1] == " ":
-                            e -= 1
-                        if (s == 0 or line[s - 1] == " ") and (e == len(line) or line[e] == " ") and (s, e) not in seen:
-                            seen.add((s, e))
-                            found.append((i, s, e, sum(m.fuzzy_counts)))
+                    own.update(self.best(i, line, padded, c, min(b, c + step + 2 * len(n.phrase))))
+                # steps overlap: of two matches in one place that of fewer edits stays
+                last = None
+                for s, e, k in sorted(own):
+                    if last and s < last[1]:
+                        last = min(last, (s, e, k), key=lambda x: x[2])
+                    else:
+                        if last:
+                            found.append((i, *last))
+                        last = (s, e, k)
+                if last:
+                    found.append((i, *last))
         return found
 
     def scan(self, text: bytes) -> dict:

@@ -5,7 +5,7 @@ from llm_frames import frame
 from test_dedup import WORD, as_dict
 
 import corpus_pipeline
-from quarry.llm import decontam, fingerprint, jaccard, pii
+from quarry.llm import decontam, fingerprint, jaccard, license_scan, pii
 from quarry.llm.common import CHUNK_BYTES
 
 
@@ -122,3 +122,31 @@ def test_pii_finds_account_numbers_whatever_follows(spark):
     for d, (text, want) in enumerate(cases.items()):
         spans = [s for s in got[d] if s.kind == "iban"]
         assert [s.found for s in spans] == want == [text[s.start : s.end] for s in spans], text
+
+
+def test_license_notices_at_word_borders_and_before_better_ones():
+    one = license_scan.scanner()
+    found = lambda t: [(x["label"], x["found"], x["edits"]) for x in one.scan(t.encode())["spans"]]
+    assert found("released under the mit licenses here") == [("mit", "under the mit licenses", 1)]
+    assert found("released xunder the mit license") == [("mit", "xunder the mit license", 1)]
+    assert found("released under the mit licence and thunder the mit license text")[0] == ("mit", "under the mit licence", 1)
+    assert found("undr the mit licence or under the mit license") == [("mit", "undr the mit licence", 2), ("mit", "under the mit license", 0)]
+    assert found("wander the mittens license") == []
+    assert len(found("under the mit licence " * 40)) == 40
+
+
+def test_license_matches_equal_plain_edit_distance():
+    rng = random.Random(14)
+    one = license_scan.scanner()
+    for _ in range(150):
+        n = rng.choice(license_scan.NOTICES)
+        s = list(n.phrase)
+        for _ in range(rng.randint(0, n.edits + 2)):
+            i, r = rng.randrange(len(s) + 1), rng.random()
+            s[i : i + (r < 0.6)] = rng.choice(["q", "x", ""]) if r < 0.6 else "z"
+        line = " ".join(f"aa a {''.join(s)} bb b".split())
+        w = line.split()
+        spans = [" ".join(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1)]
+        least = min(list(decontam.distances(n.phrase.encode(), x.encode(), True))[-1] for x in spans)
+        got = [k for i, _, _, k in one.fuzzy(line) if one.notices[i] == n]
+        assert (min(got) == least) if least <= n.edits else not got, line
