@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,13 +19,16 @@ CHUNK_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests, a single machine) a folder of our own is set.
+    Where a local session names none (tests, a single machine) a folder of our own is
+    set; on a cluster that is an error, as executors would not see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         sc = spark.sparkContext
         path = sc.getCheckpointDir()
         if not path:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             path = tempfile.mkdtemp(prefix="quarry-")
             sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -38,6 +43,24 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(step: Callable) -> Callable:
+    """The step of a mapInArrow, after which its worker (Spark uses it again) gives freed
+    memory back."""
+
+    @wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def as_bytes(column: pa.Array) -> pa.Array:
     """A string or binary Arrow column as large_binary without nulls."""
     out = column.cast(pa.large_binary())

@@ -6,18 +6,16 @@ dictionary would not pay, as pages of version 2 do), row groups and pages of set
 and page indexes; so a reader of a few documents or of the metadata alone touches those
 pages only. Files are dealt by range of doc_id, so their order is the documents'.
 
-The tokenizers library's ids of a piece of text depend on that piece alone where the
-piece ends before a space that follows a non-space: the byte-level pattern never joins
-the two. So texts are cut there and each distinct piece is encoded once per worker (a
-bounded cache), which gives the library's own ids.
+The ids are those that the unchanged tokenizers library gives (its special tokens are
+found in a text), but each distinct piece of a text is encoded once (see Encoder).
 
 Defined cases: a null text is empty and gives the end id alone; rows with equal doc_id
-are ordered by text; an empty table gives no rows; other columns are ignored.
+(null ones first) are ordered by a hash of the text; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,29 +25,39 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, passes, shared_dir
+from quarry.llm import kernels
+from quarry.llm.common import passes, shared_dir, tidy
 
 END_ID = 0
-CACHE_PIECES = 250_000
+#: parts that a worker's cache holds at most and that go to the model in one call, lists that
+#: are gathered at once, and bytes of text that are encoded together
+CACHE_PARTS, CALL, STEP, PASS = 600_000, 2048, 1 << 18, 8 << 20
+#: bytes of text (as Spark estimates them) that a file is made for
+FILE_BYTES = 128 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
 
 def _byte_symbols() -> dict[int, str]:
     """The symbol that byte-level models write for each byte: printable bytes stand for
-    themselves, the others, in order, for the characters from 256 on."""
+    themselves, the others, in order, for the characters from 256 on (fixed values)."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 _SYMBOLS = _byte_symbols()
-_MARKS = ".,;:!?*#&%$|)\"]}"
-_UNSAFE = re.compile(r"\s ")
-_BORDER = re.compile(r"(?<=\S)(?= )")
+_WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts with a space between white space and white space (or the end) are not cut at spaces.
+_ROUGH = rf"[{_WHITE}] (?:[{_WHITE}]|\z)"
+#: Pieces of characters that every version of Unicode classes alike, without white space at
+#: the end, and the splitter's pattern.
+_SURE = r"^(?:[\t\n\r -~\x{a1}-\x{24f}]*[!-~\x{a1}-\x{24f}])\z"
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 def default_tokenizer() -> str:
@@ -67,86 +75,132 @@ def _splits_alone(spec: str) -> bool:
     return x.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and x.get("truncation") is None
 
 
+class Lists:
+    """Lists of ids, one after another."""
+
+    def __init__(self, sizes: np.ndarray, values: np.ndarray):
+        self.sizes, self.values = sizes, values
+
+    @classmethod
+    def empty(cls) -> Lists:
+        return cls(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))
+
+    @classmethod
+    def chained(cls, parts: list[Lists]) -> Lists:
+        parts = [cls.empty(), *parts]
+        return cls(np.concatenate([x.sizes for x in parts]), np.concatenate([x.values for x in parts]))
+
+    def take(self, at: np.ndarray) -> Lists:
+        start, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[at]
+        out = np.empty(int(sizes.sum()), dtype=np.int32)
+        ends = np.cumsum(sizes)
+        for i in range(0, len(at), STEP):  # the places are wider than the ids
+            n = sizes[i : i + STEP]
+            out[ends[i] - n[0] : ends[min(i + STEP, len(at)) - 1]] = self.values[np.repeat(start[at[i : i + STEP]], n) + kernels.spread(n)]
+        return Lists(sizes, out)
+
+
 class Encoder:
-    """Texts to the library's ids, as little-endian unsigned 32-bit bytes."""
+    """Texts to the library's ids.
+
+    Where a space follows a character that is no white space, or stands before one, the
+    byte-level pattern always cuts before that space; so texts are cut there. Distinct
+    pieces are cut further at the pattern's own borders, and their distinct parts go to
+    the library's model directly, many in one call. Parts stay known for later passes
+    while there is room. Everything but that is lookups and gathering in Arrow and numpy.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.alone = _splits_alone(self.tok.to_str())
-        self.model = Tokenizer(self.tok.model)  # without the splitter: takes symbols
-        #: word -> ids of a space and the word; two generations, so that frequent words stay
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> None:
-        """Put the library's ids of " " + word in the cache. A word of letters is one piece
-        for the splitter, so the library's model gets its bytes' symbols directly."""
-        letters = [w for w in words if w.isalpha()]
-        if letters:
-            symbols = (" " + "\n ".join(letters)).encode().decode("latin-1").translate(_SYMBOLS).split(_SYMBOLS[10])
-            made = [e.ids for e in self.model.encode_batch_fast(symbols, add_special_tokens=False)]
-            ends = np.cumsum([len(x) for x in made]) * 4
-            data = np.fromiter(chain.from_iterable(made), dtype="<u4", count=int(ends[-1]) // 4).tobytes()
-            ends = ends.tolist()
-            self.young.update(zip(letters, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-        rest = [w for w in words if not w.isalpha()]
-        if rest:
-            self.young.update(zip(rest, self.library([" " + w for w in rest]), strict=True))
-
-    def extend(self, words: set[str]) -> None:
-        """Make all words known. A word that ends in marks after a letter or digit is that
-        word and the marks: the pattern always parts them."""
-        young, old = self.young, self.old
-        whole, ended = set(), []
-        for w in words:
-            core = w.rstrip(_MARKS)
-            if len(core) < len(w) and core and core[-1].isalnum():
-                ended.append((w, core))
-                w = core
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    whole.add(w)
-        fresh = list(whole)
-        for i in range(0, len(fresh), 8192):
-            self.learn(fresh[i : i + 8192])
-        for w, core in ended:
-            tail = w[len(core) :]
-            marks = self.marks.get(tail)
-            if marks is None:
-                if len(self.marks) > 10_000:
-                    self.marks.clear()
-                marks = self.marks[tail] = self.library([tail])[0]
-            young[w] = young[core] + marks
-
-    def pieces(self, text: str) -> list[str]:
-        """The first piece, and the others without the space that each begins with."""
-        if _UNSAFE.search(text) or text.startswith(" "):
-            first, *rest = _BORDER.split(text)
-            return [first, *[p[1:] for p in rest]]
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.alone:
-            return self.library(texts)
-        cut = [self.pieces(t) for t in texts]
-        heads = self.library([x[0] for x in cut])
-        for x in cut:
-            x[0] = ""
-        words = set().union(*cut)
-        if len(self.young) + len(words) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        self.extend(words.difference(self.young))
-        known = self.young.__getitem__
-        return [h + b"".join(map(known, x[1:])) for h, x in zip(heads, cut, strict=True)]
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # symbols hold no white space
+        self.parts = pa.array([], pa.string())  # known parts and, of each, its ids
+        self.ids = Lists.empty()
+
+    def library(self, texts: list[str]) -> Lists:
+        made = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return Lists(np.array([len(x) for x in made], dtype=np.int64), np.fromiter(chain.from_iterable(made), dtype=np.int32))
+
+    def _modelled(self, parts: list[str]) -> Lists:
+        """The model's ids of parts that the pattern does not cut."""
+        out = []
+        for i in range(0, len(parts), CALL):
+            some = parts[i : i + CALL]
+            symbols = "\n".join(some).encode().decode("latin-1").translate(_SYMBOLS).replace(_SYMBOLS[10], "\n")
+            if symbols.count("\n") != len(some) - 1:  # a part holds a line feed itself
+                symbols = "\n".join(p.encode().decode("latin-1").translate(_SYMBOLS) for p in some)
+            made = self.model.encode(symbols, add_special_tokens=False)
+            out.append(Lists(np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(some)), np.array(made.ids, dtype=np.int32)))
+        return Lists.chained(out)
+
+    def _of_parts(self, parts: pa.Array) -> Lists:
+        """The ids of distinct parts."""
+        at = pc.fill_null(pc.index_in(parts, value_set=self.parts), -1).to_numpy()
+        fresh = np.flatnonzero(at < 0)
+        made = self._modelled(parts.take(pa.array(fresh)).to_pylist())
+        every = Lists.chained([self.ids, made])
+        slots = at.astype(np.int64)
+        slots[fresh] = len(self.parts) + np.arange(len(fresh))
+        out = every.take(slots)
+        if len(every.sizes) <= CACHE_PARTS:
+            self.parts, self.ids = pa.concat_arrays([self.parts, parts.take(pa.array(fresh))]), every
+        else:
+            self.parts, self.ids = parts, out
+        return out
+
+    def _of_pieces(self, pieces: pa.Array) -> Lists:
+        """The ids of distinct pieces, each behind a space."""
+        sure = pc.match_substring_regex(pieces, _SURE).to_numpy(zero_copy_only=False)
+        alpha = pc.utf8_is_alpha(pieces).to_numpy(zero_copy_only=False) & sure
+        cut, odd = np.flatnonzero(sure & ~alpha), np.flatnonzero(~sure)
+        # a part that begins with the space begins a piece: no piece holds another
+        found = _PATTERN.findall(" " + " ".join(pieces.take(pa.array(cut)).to_pylist())) if len(cut) else []
+        words = pc.binary_join_element_wise(pa.scalar(""), pieces.take(pa.array(np.flatnonzero(alpha))), " ")
+        coded = pa.concat_arrays([words, pa.array(found, pa.string())]).dictionary_encode()
+        known = self._of_parts(coded.dictionary)
+        code = coded.indices.to_numpy().astype(np.int64)
+        n = len(words)
+        begins = pc.starts_with(coded.dictionary, " ").to_numpy(zero_copy_only=False)[code[n:]]
+        per = np.ones(len(pieces), dtype=np.int64)
+        per[cut] = np.diff(np.concatenate([np.flatnonzero(begins), [len(found)]]))
+        # parts in the order of the pieces; an odd piece is a part of its own, behind the others
+        first = np.cumsum(per) - per
+        order = np.zeros(int(per.sum()), dtype=np.int64)
+        order[first[alpha]] = code[:n]
+        order[np.repeat(first[cut], per[cut]) + kernels.spread(per[cut])] = code[n:]
+        order[first[odd]] = len(known.sizes) + np.arange(len(odd))
+        if len(odd):
+            known = Lists.chained([known, self.library([" " + p for p in pieces.take(pa.array(odd)).to_pylist()])])
+        got = known.take(order)
+        return Lists(np.add.reduceat(got.sizes, first) if len(first) else got.sizes, got.values)
+
+    def encode(self, texts: pa.Array) -> Lists:
+        whole = np.ones(len(texts), dtype=bool)
+        if self.alone:
+            rough = pc.match_substring_regex(texts, _ROUGH)
+            for t in self.added:
+                rough = pc.or_(rough, pc.match_substring(texts, t))
+            whole = rough.to_numpy(zero_copy_only=False)
+        parts = []
+        if not whole.all():
+            cut = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+            offsets = cut.offsets.to_numpy().astype(np.int64)
+            coded = cut.values.dictionary_encode()
+            slots = coded.indices.to_numpy().astype(np.int64)
+            heads = self.library(cut.values.take(pa.array(offsets[:-1])).to_pylist())
+            known = self._of_pieces(coded.dictionary)
+            slots[offsets[:-1]] = len(known.sizes) + np.arange(len(heads.sizes))
+            got = Lists.chained([known, heads]).take(slots)
+            parts.append(Lists(np.add.reduceat(got.sizes, offsets[:-1]), got.values))
+        if whole.any():
+            parts.append(self.library(texts.filter(pa.array(whole)).to_pylist()))
+        if len(parts) != 2:
+            return parts[0] if parts else Lists.empty()
+        return Lists.chained(parts).take(np.argsort(np.argsort(whole, kind="stable"), kind="stable"))
 
 
 @lru_cache(maxsize=2)
@@ -157,27 +211,35 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>, the end id last) of every whole text."""
     path = tokenizer or default_tokenizer()
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for i, j in passes(batch, "text"):
+            for i, j in passes(batch, "text", PASS):
                 part = batch.slice(i, j - i)
-                made = [x + end for x in enc.encode([t.decode() for t in as_bytes(part.column("text")).to_pylist()])]
-                offsets = np.zeros(len(made) + 1, dtype=np.int32)
-                np.cumsum([len(x) // 4 for x in made], out=offsets[1:])
-                ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(made))])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), ids)], ["doc_id", "n_tokens", "ids"])
+                got = enc.encode(pc.fill_null(part.column("text"), ""))
+                # the end id behind each text's
+                ends = np.cumsum(got.sizes)
+                offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+                ids = pa.array(np.insert(got.values, ends, end_id), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids)], ["doc_id", "n_tokens", "ids"])
+
+    return docs.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids array<int>")
+
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+def _ranges(docs: DataFrame) -> int:
+    """Files to write: one for FILE_BYTES of what Spark expects to read, but no fewer than
+    the session deals out."""
+    expected = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-expected // FILE_BYTES), 1 << 20))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, files: int | None = None) -> None:
     """Encode docs (doc_id, text) and write the files under path, in ascending doc_id."""
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash parts many rows of one doc_id (null, say) among files
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(files or _ranges(docs), *order).sortWithinPartitions(*order, "text")
     (encode(ordered, tokenizer, end_id).write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES)
         .option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "true").option("compression", "zstd").parquet(path))
 
