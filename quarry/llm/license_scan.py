@@ -13,14 +13,17 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, passes
+from quarry.llm.common import as_bytes, passes, tidy
 
 #: phrase -> label, as the base search takes them
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -143,50 +146,53 @@ class Scanner:
         for phrase, label in BASE:
             key, at = b" " + phrase.encode() + b" ", -1
             while (at := padded.find(key, at + 1)) >= 0:
-                base.append((padded.count(b" ", 0, at + 1) - 1, label))
-        fuzzy = self.fuzzy(line.decode()) if line else []
-        score = max([1.0] * bool(base) + [1.0 - e / len(self.notices[i].phrase) for i, _, _, e in fuzzy], default=0.0)
+                base.append((at, label))
+        if base:
+            begin = [0, *accumulate(len(w) + 1 for w in words)]
+            base = [(bisect_left(begin, at), label) for at, label in base]
+        spans = []
+        if line:
+            whole = line.decode()
+            fuzzy = self.fuzzy(whole)
+            if fuzzy:
+                begin = [0, *accumulate(len(w) + 1 for w in whole.split(" "))]
+                spans = sorted((bisect_left(begin, s), bisect_left(begin, e), self.notices[i].label, whole[s:e], n, 1.0 - n / len(self.notices[i].phrase)) for i, s, e, n in fuzzy)
         places = [p for p, _ in base]
         base_labels = sorted({x for _, x in base})
-        spans = sorted((s, e, self.notices[i].label, n) for i, s, e, n in fuzzy)
         return {
             "n_words": len(words), "n_base": len(base), "first_word": min(places, default=None), "last_word": max(places, default=None),
-            "base_labels": ",".join(base_labels), "labels": ",".join(sorted({*base_labels, *(x[2] for x in spans)})), "score": score,
-            "spans": [{"first_word": line_word(line, s), "label": x, "found": line.decode()[s:e], "edits": n} for s, e, x, n in spans],
+            "base_labels": ",".join(base_labels), "labels": ",".join(sorted({*base_labels, *(x[2] for x in spans)})), "score": max([1.0] * bool(base) + [x[5] for x in spans], default=0.0),
+            "spans": [{"first_word": a, "end_word": b, "label": x, "found": t, "edits": n} for a, b, x, t, n, _ in spans],
         }
 
 
-def line_word(line: bytes, at: int) -> int:
-    """Number of the word that starts at the character at of the line."""
-    return line.decode()[:at].count(" ")
+@lru_cache(maxsize=4)
+def scanner(notices: tuple[Notice, ...] = NOTICES) -> Scanner:
+    return Scanner(notices)
 
 
-@lru_cache(maxsize=1)
-def scanner() -> Scanner:
-    return Scanner()
+_FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<first_word: long, end_word: long, label: string, found: string, edits: int>>"
 
 
-_FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<first_word: long, label: string, found: string, edits: int>>"
-
-
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
     """doc_id and, of every whole text, the word count, the base search's places and
-    labels, all labels, a score in 0..1 and the fuzzy spans with their edits."""
-    span = pa.list_(pa.struct([("first_word", pa.int64()), ("label", pa.string()), ("found", pa.string()), ("edits", pa.int32())]))
+    labels, all labels, a score in 0..1 and the fuzzy spans (words first_word to
+    end_word - 1) with their edits."""
+    span = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("label", pa.string()), ("found", pa.string()), ("edits", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = scanner()
+        one = scanner(notices)
         for batch in batches:
             for i, j in passes(batch, "text"):
                 part = batch.slice(i, j - i)
                 rows = [{"doc_id": d} | one.scan(t) for d, t in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + _FIELDS)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, " + _FIELDS)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-
-
+    """One row per document; spans as label:first_word:end_word:edits, comma-joined."""
+    written = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["first_word"].cast("string"), s["end_word"].cast("string"), s["edits"].cast("string"))), ",")
+    return scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", written.alias("spans"))
