@@ -1,4 +1,4 @@
-"""Personal data: regular expressions propose, checksums confirm, context scores.
+"""Personal data and secrets: regular expressions propose, checks confirm, context scores.
 
 Only DataFrame functions run here. A pattern's matches and the pieces between them
 (regexp_extract_all and split use the same matcher) give every match's place as a
@@ -49,7 +49,14 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.7, 0.2, r"phone|call|tel|mobile|fax|contact"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", 0.9, 0.1, r"iban|account|konto|bank|transfer", base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, 0.5, r"ssn|social security|tax id", base=False),
+    # what issuers' keys look like, the head of a private key, and any string that might be a
+    # secret: long, of mixed characters, and named as one in front of it
+    Kind("key", r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{34}[A-Za-z0-9_])(?![A-Za-z0-9_])", 0.9, 0.1, r"key|token|secret", base=False),
+    Kind("private_key", r"-----BEGIN (?:[A-Z]{2,9} )?PRIVATE KEY-----", 1.0, 0.0, r"key", base=False),
+    Kind("secret", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+", 0.2, 0.6, r"token|secret|password|passwd|api.?key|access.?key|private.?key|credential|bearer|authorization", base=False),
 )
+#: how many different characters a secret has at least
+DISTINCT = 8
 
 
 def _digits(x: Column) -> Column:
@@ -106,6 +113,8 @@ def confirmed(kind: str, found: Column) -> Column:
         return found.isNotNull()
     if kind == "ssn":
         return ~found.rlike(r"^(?:000|666|9)|-00-|-0000$")
+    if kind == "secret":
+        return found.rlike("[0-9]") & found.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(F.substring(found, 1, 256), ""))) >= DISTINCT)
     return F.lit(True)
 
 
@@ -124,7 +133,7 @@ def running(x: Column) -> Column:
 
 
 #: A character without which a kind cannot match: cheaper to look for than the pattern.
-_MARKS = {"email": "@", "phone": "+"}
+_MARKS = {"email": "@", "phone": "+", "private_key": "PRIVATE KEY-----"}
 
 
 def _found(text: Column, kind: Kind) -> Column:
@@ -193,7 +202,8 @@ def digest(docs: DataFrame) -> DataFrame:
     found = detect(docs.select("doc_id", "text")).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["base"])
     counts = [_count(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+    score = F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0))
+    return found.select("doc_id", *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), score.alias("score"))
 
 
 #: The same result in DuckDB SQL, from the plain patterns and list functions.
@@ -205,6 +215,9 @@ def oracle() -> str:
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
         "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
         "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+        "key": r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{34}[A-Za-z0-9_])\b",
+        "private_key": r"-----BEGIN (?:[A-Z]{2,9} )?PRIVATE KEY-----",
+        "secret": r"[A-Za-z0-9_/+-]{20,}",
     }
     luhn_sql = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(d, length(d) - i + 1, 1)::INT ELSE (2 * substr(d, length(d) - i + 1, 1)::INT) // 10 + (2 * substr(d, length(d) - i + 1, 1)::INT) % 10 END)) % 10 = 0"
     mod_sql = "list_reduce(list_prepend(0, list_transform(range(1, length(c) + 1), lambda i: CASE WHEN ascii(substr(c, i, 1)) >= 65 THEN ascii(substr(c, i, 1)) - 55 ELSE ascii(substr(c, i, 1)) - 48 END)), lambda a, b: CASE WHEN b >= 10 THEN (a * 100 + b) % 97 ELSE (a * 10 + b) % 97 END) = 1"
@@ -215,18 +228,22 @@ def oracle() -> str:
         "phone": "length(d) BETWEEN 9 AND 15",
         "iban": f"length(c) BETWEEN 15 AND 34 AND {mod_sql}",
         "ssn": "NOT regexp_matches(h, '^(?:000|666|9)|-00-|-0000$')",
+        "key": "true",
+        "private_key": "true",
+        "secret": f"regexp_matches(h, '[0-9]') AND regexp_matches(h, '[A-Za-z]') AND len(list_distinct(string_split(substr(h, 1, 256), ''))) >= {DISTINCT}",
     }
     parts, names = [], list(plain)
     for n, k in enumerate(KINDS):
         rx = plain[k.name].replace("'", "''")
+        score = f"round({k.prior} + CASE WHEN regexp_matches(lower(substr(t, greatest(s - {CONTEXT_CHARS}, 0) + 1, least(s, {CONTEXT_CHARS}))), '{k.context}') THEN {k.bonus} ELSE 0 END, 3)::DOUBLE"
         parts.append(f"""
-        SELECT doc_id, {n} AS k, '{k.name}' AS kind, {k.base} AS base, s, s + length(h) AS e FROM (
+        SELECT doc_id, {n} AS k, '{k.name}' AS kind, {k.base} AS base, s, s + length(h) AS e, {score} AS score FROM (
           SELECT doc_id, t, h, regexp_replace(h, '[^0-9]', '', 'g') AS d, '' AS c0,
                  substr(replace(h, ' ', ''), 5) || substr(replace(h, ' ', ''), 1, 4) AS c,
                  (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
           FROM (SELECT doc_id, t, hits, pieces, unnest(hits) AS h, unnest(range(1, len(hits) + 1)) AS i
                 FROM (SELECT doc_id, t, regexp_extract_all(t, '{rx}') AS hits, string_split_regex(t, '{rx}') AS pieces FROM d0)))
-        WHERE {tests[k.name]} AND ({k.base} OR {k.prior} + CASE WHEN regexp_matches(lower(substr(t, greatest(s - {CONTEXT_CHARS}, 0) + 1, least(s, {CONTEXT_CHARS}))), '{k.context}') THEN {k.bonus} ELSE 0 END >= {THRESHOLD})""")
+        WHERE {tests[k.name]} AND ({k.base} OR {score} >= {THRESHOLD})""")
     assert names == [k.name for k in KINDS]
     return f"""
     WITH d0 AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -235,8 +252,10 @@ def oracle() -> str:
         count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
         count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (base) AS b,
-        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans,
+        count(*) AS n_spans, max(score) AS score
       FROM found GROUP BY doc_id)
     SELECT d0.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
-           coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+           coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans,
+           coalesce(n_spans, 0) AS n_spans, coalesce(score, 0) AS score
     FROM d0 LEFT JOIN per USING (doc_id)"""
