@@ -4,8 +4,8 @@ Filters of WIDTH bytes run over the whole document at every second byte. Overlap
 chunks (CHUNK positions, a new one every HOP) keep each filter's maximum; the chunks'
 maxima are averaged and maximised over the document and combined into one probability.
 Weights are learned by back-propagation (the gradient of a maximum goes to the place
-that reached it) on at most TRAIN_ROWS labelled documents and TRAIN_CHUNKS chunks of
-each, chosen by hash; scoring always covers the whole text.
+that reached it) on a bounded sample of labelled documents: in hash order, at most
+TRAIN_ROWS that together hold at most TRAIN_BYTES. Training and scoring cover whole texts.
 
 Defined cases: a null or empty text is scored as one empty chunk; without any usable
 label the score is 0.5 everywhere; a doc_id labelled twice counts twice, with each
@@ -19,17 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quarry.llm.common import as_bytes, passes
+from quarry.llm.common import as_bytes, passes, tidy
 
 FILTERS, WIDTH, STRIDE = 24, 7, 2
 CHUNK, HOP = 256, 224  # positions, each STRIDE bytes
 GAP = 8
-#: Bounds of the training sample; all documents are scored.
-TRAIN_ROWS, TRAIN_CHUNKS = 1600, 6
+#: Bounds of the training sample of labelled documents; all documents are scored.
+TRAIN_ROWS, TRAIN_BYTES = 1600, 32 << 20
+#: chunks whose filters' responses are held at once
+HELD = 1024
 EPOCHS, BATCH, RATE, DECAY = 14, 40, 0.02, 1e-4
 PASS = 1 << 17
 
@@ -76,13 +78,57 @@ class Network:
         return 1 / (1 + np.exp(-logit.astype(np.float64)))
 
 
-def train(chunks: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Network:
-    """chunks: of each document some chunks of CHUNK * STRIDE + WIDTH bytes."""
+def chunks_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of a text, CHUNK * STRIDE + WIDTH bytes each, and the positions in them."""
+    n, size = chunk_count(len(text)), CHUNK * STRIDE + WIDTH
+    buf = np.frombuffer(text.ljust((n - 1) * HOP * STRIDE + size, b"\0"), dtype=np.uint8)
+    data = np.stack([buf[k * HOP * STRIDE :][:size] for k in range(n)])
+    left = np.maximum(1, -(-len(text) // STRIDE)) - np.arange(n) * HOP
+    return data, np.minimum(left, CHUNK)
+
+
+def gradients(net: Network, data: list[np.ndarray], room: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The weighted mean loss of some documents, and its gradient by filters, bias, out and
+    offset."""
+    x, rest = np.concatenate(data), np.concatenate(room)
+    n = np.array([len(d) for d in data])
+    first = np.cumsum(n) - n
+    text = np.repeat(np.arange(len(data)), n)
+    at = np.empty((len(x), FILTERS), dtype=np.int64)
+    top = np.empty((len(x), FILTERS), dtype=net.filters.dtype)
+    for i in range(0, len(x), HELD):
+        part = x[i : i + HELD]
+        z = net.filters[0][part[:, 0 : CHUNK * STRIDE : STRIDE]]
+        for j in range(1, WIDTH):
+            z += net.filters[j][part[:, j : j + CHUNK * STRIDE : STRIDE]]
+        z[np.arange(CHUNK)[None, :] >= rest[i : i + HELD, None]] = -1e9
+        at[i : i + HELD] = z.argmax(axis=1)
+        top[i : i + HELD] = np.take_along_axis(z, at[i : i + HELD, None, :], axis=1)[:, 0]
+    top = np.tanh(top + net.bias)
+    mean = np.add.reduceat(top, first, axis=0) / n[:, None]
+    most = np.maximum.reduceat(top, first, axis=0)
+    feature = np.concatenate([mean, most], axis=1)
+    logit = feature @ net.out + net.offset
+    p = 1 / (1 + np.exp(-logit))
+    loss = float(np.mean(weight * (np.logaddexp(0, logit) - labels * logit)))
+    d = ((p - labels) * weight / len(data)).astype(net.filters.dtype)
+    d_feature = d[:, None] * net.out[None, :]
+    # of equal maxima the first chunk takes the gradient
+    is_top = np.where(top == most[text], np.arange(len(x))[:, None], len(x))
+    is_top = is_top == np.minimum.reduceat(is_top, first, axis=0)[text]
+    d_top = (d_feature[:, :FILTERS] / n[:, None])[text] + np.where(is_top, d_feature[:, FILTERS:][text], 0)
+    d_z = d_top * (1 - top * top)
+    g_filters = np.zeros_like(net.filters)
+    cols, rows = np.broadcast_to(np.arange(FILTERS), at.shape), np.arange(len(x))[:, None]
+    for j in range(WIDTH):
+        np.add.at(g_filters[j], (x[rows, at * STRIDE + j], cols), d_z)
+    return loss, [g_filters, d_z.sum(axis=0), feature.T @ d, np.array([d.sum()])]
+
+
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     net = Network.start(seed)
     rng = np.random.default_rng(seed + 1)
-    size = CHUNK * STRIDE + WIDTH
-    data = [np.stack([np.frombuffer(c.ljust(size, b"\0"), dtype=np.uint8) for c in x]) for x in chunks]
-    room = [np.array([max(1, -(-min(len(c), CHUNK * STRIDE) // STRIDE)) for c in x]) for x in chunks]
+    data, room = zip(*(chunks_of(t) for t in texts), strict=True)
     share = float(np.clip(labels.mean(), 0.05, 0.95))
     weight = np.where(labels > 0, (0.5 / share) ** 0.5, (0.5 / (1 - share)) ** 0.5)
     params = [net.filters, net.bias, net.out, np.zeros(1, np.float32)]
@@ -91,30 +137,10 @@ def train(chunks: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> Netwo
         order = rng.permutation(len(data))
         for i in range(0, len(order), BATCH):
             part = order[i : i + BATCH]
-            x, rest = np.concatenate([data[p] for p in part]), np.concatenate([room[p] for p in part])
-            n = np.array([len(data[p]) for p in part])
-            first = np.cumsum(n) - n
-            text = np.repeat(np.arange(len(part)), n)
-            z = net.filters[0][x[:, 0 : CHUNK * STRIDE : STRIDE]]
-            for j in range(1, WIDTH):
-                z += net.filters[j][x[:, j : j + CHUNK * STRIDE : STRIDE]]
-            z[np.arange(CHUNK)[None, :] >= rest[:, None]] = -1e9
-            at = z.argmax(axis=1)
-            top = np.tanh(np.take_along_axis(z, at[:, None, :], axis=1)[:, 0] + net.bias)
-            mean = np.add.reduceat(top, first, axis=0) / n[:, None]
-            most = np.maximum.reduceat(top, first, axis=0)
-            feature = np.concatenate([mean, most], axis=1)
-            p = 1 / (1 + np.exp(-(feature @ net.out + params[3][0])))
-            d = ((p - labels[part]) * weight[part] / len(part)).astype(np.float32)
-            d_feature = d[:, None] * net.out[None, :]
-            d_top = (d_feature[:, :FILTERS] / n[:, None])[text] + np.where(top == most[text], d_feature[:, FILTERS:][text], 0)
-            d_z = d_top * (1 - top * top)
-            g_filters = np.zeros_like(net.filters)
-            cols = np.broadcast_to(np.arange(FILTERS), at.shape)
-            rows = np.arange(len(x))[:, None]
-            for j in range(WIDTH):
-                np.add.at(g_filters[j], (x[rows, at * STRIDE + j], cols), d_z)
-            grads = [g_filters + DECAY * net.filters, d_z.sum(axis=0), feature.T @ d + DECAY * net.out, np.array([d.sum()], np.float32)]
+            net.offset = float(params[3][0])
+            _, grads = gradients(net, [data[k] for k in part], [room[k] for k in part], labels[part], weight[part])
+            grads[0] += DECAY * net.filters
+            grads[2] += DECAY * net.out
             step += 1
             rate = RATE * (1 - epoch / EPOCHS)
             for q, (a, g) in enumerate(zip(params, grads, strict=True)):
@@ -129,28 +155,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _sampled_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc, label, out = batch.column("doc_id"), batch.column("quality"), []
-        for d, t in zip(doc.to_pylist(), as_bytes(batch.column("text")).to_pylist(), strict=True):
-            n = chunk_count(len(t))
-            rng = np.random.default_rng(abs(d) + 11)
-            pick = range(n) if n <= TRAIN_CHUNKS else sorted(rng.choice(n, TRAIN_CHUNKS, replace=False).tolist())
-            out.append([t[k * HOP * STRIDE :][: CHUNK * STRIDE + WIDTH] for k in pick])
-        yield pa.RecordBatch.from_arrays([doc.cast(pa.int64()), label.cast(pa.int32()), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "quality", "chunks"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = 7) -> Network | None:
-    """The network learned from labelled documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, seed: int = 7) -> Network | None:
+    """The network learned from labelled documents that are not held out: the first `rows`
+    by hash order, as far as their whole texts hold `size` bytes together."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__q_doc"), F.col("quality").cast("int").alias("quality"))
-    # up to `rows` labels by hash order; documents that are not there give no example
+    # documents that are not there give no example
     chosen = usable.join(docs.select(F.col("doc_id").alias("__q_doc")).distinct(), "__q_doc", "left_semi").orderBy(F.xxhash64("__q_doc"), "__q_doc", "quality").limit(rows)
-    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__q_doc")).select("doc_id", "text", "quality")
-    got = examples.mapInArrow(_sampled_chunks, "doc_id long, quality int, chunks array<binary>").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["quality"], [bytes(c) for c in r["chunks"]]))
+    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__q_doc")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
+    running = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+    got = examples.withColumn("total", running).where(F.col("total") <= size).collect()
+    got.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"]))
     if len({r["quality"] for r in got}) < 2:
         return None
-    return train([[bytes(c) for c in r["chunks"]] for r in got], np.array([float(r["quality"] > 0) for r in got]), seed)
+    return train([r["text"].encode() for r in got], np.array([float(r["quality"] > 0) for r in got]), seed)
 
 
 def score(docs: DataFrame, net: Network | None, column: str = "score") -> DataFrame:
@@ -168,7 +185,7 @@ def score(docs: DataFrame, net: Network | None, column: str = "score") -> DataFr
             made = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
