@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stash
+from quarry.llm.common import discard, stash
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         lowest = _least(down)
         small = down.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
-        now = stash(small, "edges")
+        last, now = now, stash(small, "edges")
+        discard(last)
         found = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if tuple(found) == mark:
             break

@@ -3,10 +3,10 @@
 A Rule says how many words a shingle has and from which similarity sets are linked; block
 counts, size rule, parity bound and verification follow from it. OP8 is the rule of op8.
 
-Sets are laid out by hash position and cut into position blocks, one more than two linked
-sets of that size can differ in (plus a few in place of empty ones): linked sets agree in
-a whole block. The index has a list for each block's content. Lists are sorted by set
-size, and the part of a list whose sizes or parity sketches rule a link out is
+Sets are laid out by hash position and cut into position blocks; each set puts in the index
+one block more than it can differ in from a linked set, so linked sets share a whole
+block. The index has a list for each block's content; a list's entries carry the set's size
+and the block's position in it. The part of a list that sizes and positions rule out is
 skipped as a block (index-level skipping). Answers are derived from those of similar sets
 (answer-level skipping): equal sets are one set; in a list, sets are first compared with
 the list's leader only, and a set that is linked to it takes over its answers; then a list's
@@ -14,8 +14,8 @@ components are compared through one set each. Only after that, sets of one list
 still in different components are compared with each other, so no link between components
 is missed, and the pairs inside a component are never formed.
 
-A sketch (count_min) of all blocks drops those that occur once before they are shuffled.
-Verification compares the shingle sets of the two whole texts.
+Pairs are checked by parities of the sets (a bound on how far they differ), and what passes by
+the shingle sets of the two whole texts. Only texts in such pairs are shuffled.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked
 with nothing; fewer words than a shingle form one shingle; rows that share a doc_id are
@@ -25,27 +25,26 @@ other columns are ignored. Shingles are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm import count_min, kernels, repeats
-from quarry.llm.common import as_bytes, passes, stash
+from quarry.llm import kernels, repeats
+from quarry.llm.common import as_bytes, discard, passes, stash, tidy
 from quarry.llm.components import components
 
-DOC, COPY, TEXT, BLOCK = 0, 1, 2, 3
-_SCHEMA = "kind int, g long, doc long, n long, other long, odd binary, z binary"
-_ARROW = pa.schema([("kind", pa.int32()), ("g", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("other", pa.int64()), ("odd", pa.binary()), ("z", pa.binary())])
 #: bits of a set's parities: a bound on how far two sets differ
 PARITY = 512
 #: members that one copy of a leader's text is compared with
 MEMBERS = 256
+#: sets that a map task remembers at most, and bits of the bitmap of needed texts
+KNOWN, BITS = 1_000_000, 27
 
 
 def _enough(least: int, differ: int) -> int:
@@ -100,6 +99,10 @@ class Rule:
         """Size of the smallest set that a set of n can be linked with."""
         return -(-self.num * n // self.den)
 
+    def apart(self, na, nb):
+        """In how many shingles linked sets of these sizes differ at most."""
+        return (na + nb) * (self.den - self.num) // (self.den + self.num)
+
     def sizes(self, na, nb):
         """Whether sizes leave a link possible."""
         return self.den * np.minimum(na, nb) >= self.num * np.maximum(na, nb)
@@ -126,9 +129,12 @@ def shingles(texts: list[bytes], rule: Rule = OP8) -> tuple[np.ndarray, np.ndarr
     return ids, h, np.bincount(ids, minlength=len(texts))
 
 
-def blocks(ids: np.ndarray, h: np.ndarray, n: np.ndarray, rule: Rule = OP8) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key) of every position block that a set puts in the index."""
-    keys, owners = [], []
+def blocks(ids: np.ndarray, h: np.ndarray, n: np.ndarray, rule: Rule = OP8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, key, shingles in the blocks before) of the position blocks that a set
+    puts in the index: of its band's, in order, one filled block more than it can differ in
+    from a linked set. (The shorter of two such beginnings holds a block that both share.)
+    A set that does not fill so many puts all in, the empty ones too."""
+    out = []
     own = np.searchsorted(rule.bounds, n, side="right") - 1
     low = np.searchsorted(rule.bounds, rule.least(n), side="right") - 1
     for band, use in ((own, n > 0), (low, (n > 0) & (low < own))):
@@ -137,23 +143,32 @@ def blocks(ids: np.ndarray, h: np.ndarray, n: np.ndarray, rule: Rule = OP8) -> t
         if not len(i):
             continue
         b = np.maximum(band, 0)
+        # own band: with a larger set; the one before: with a set of that band
+        differ = rule.apart(n, np.where(band == own, n * rule.den // rule.num, np.minimum(n, rule.bounds[b + 1] - 1)))
         m = np.where(use, rule.blocks[b], 0)
         first = np.cumsum(m) - m
         salt = kernels.mix((b[i] + 77).astype(np.uint64))
         cell = first[i] + (kernels.mix(x ^ salt) % m[i].astype(np.uint64)).astype(np.int64)
         total = np.zeros(int(m.sum()), dtype=np.uint64)
         np.add.at(total, cell, kernels.mix(x + np.uint64(0x632BE59BD9B4E019)))
-        filled = np.bincount(cell, minlength=len(total)) > 0
+        count = np.bincount(cell, minlength=len(total))
+        filled = count > 0
         owner = np.repeat(np.arange(len(n)), m)
-        empty = np.bincount(owner[~filled], minlength=len(n))
-        keep = filled | (empty > rule.spare[b])[owner]
-        place = (np.arange(len(total)) - first[owner]).astype(np.uint64)
-        key = kernels.mix(total + place * np.uint64(0x9E3779B97F4A7C15) + kernels.mix((b[owner] + 1000).astype(np.uint64)))
-        keys.append(key[keep])
-        owners.append(owner[keep])
-    if not keys:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    return np.concatenate(owners), np.concatenate(keys)
+        place = np.arange(len(total)) - first[owner]
+        rank, before = _within(filled, first, owner) + filled, _within(count, first, owner)
+        some = np.bincount(owner[filled], minlength=len(n))
+        keep = np.where((some > differ)[owner], filled & (rank <= differ[owner] + 1), True)
+        key = kernels.mix(total + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + kernels.mix((b[owner] + 1000).astype(np.uint64)))
+        out.append((owner[keep], key[keep], before[keep]))
+    if not out:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _within(x: np.ndarray, first: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Sums of what stands before each place among its owner's."""
+    total = np.concatenate([[0], np.cumsum(x)])
+    return total[:-1] - total[first][owner]
 
 
 def parities(ids: np.ndarray, h: np.ndarray, texts: int) -> list[bytes]:
@@ -165,166 +180,219 @@ def parities(ids: np.ndarray, h: np.ndarray, texts: int) -> list[bytes]:
     return [r.tobytes() for r in np.packbits(odd, axis=1)]
 
 
-def possible(rule: Rule, na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sizes and parities leave a link possible (a, b: rows of words of parities)."""
-    differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-    return rule.sizes(na, nb) & rule.near(differ, na, nb)
+_SETS = "doc long, n long, first long, s long, t long, odd binary"
+_LISTED = "kind int, g long, a long, b long"
+LIST, PAIR = 0, 1
+
+
+def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The written table of sets: doc, size, two sums over the shingles, parities, and the
+    document of an equal set that the same map task saw first (itself, if none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int, int], int] = {}
+        for batch in batches:
+            for i, j in passes(batch, "text", repeats.PASS):
+                part = batch.slice(i, j - i)
+                doc = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, h, n = shingles(as_bytes(part.column("text")).to_pylist(), rule)
+                s, t = _sums(ids, h, len(doc))
+                first = _first_seen(known, s, t, n, doc)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, n.astype(np.int64), first, s.view(np.int64), t.view(np.int64), parities(ids, h, len(doc)))], ["doc", "n", "first", "s", "t", "odd"])
+
+    return stash(docs.mapInArrow(tidy(run), _SETS), "jaccard-sets")
+
 
+def _sums(ids: np.ndarray, h: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros((2, texts), dtype=np.uint64)
+    np.add.at(out[0], ids, kernels.mix(h ^ np.uint64(0xA24BAED4963EE407)))
+    np.add.at(out[1], ids, kernels.mix(h ^ np.uint64(0x9FB21C651E98DF25)))
+    return out[0], out[1]
 
-def _table(kind, size: int, **columns) -> pa.RecordBatch:
-    made = []
-    for field in _ARROW:
-        x = columns.get(field.name)
-        if field.name == "kind":
-            made.append(pa.array(np.full(size, kind, dtype=np.int32)))
-        elif x is None:
-            made.append(pa.nulls(size, field.type))
-        elif field.name in ("z", "odd"):
-            made.append(pa.array(x, pa.binary()))
-        else:
-            x = np.ascontiguousarray(x)
-            made.append(pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)))
-    return pa.RecordBatch.from_arrays(made, schema=_ARROW)
 
+def _first_seen(known: dict, s: np.ndarray, t: np.ndarray, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each set the document that had an equal one first; empty sets stand alone."""
+    if len(known) > KNOWN:  # what is forgotten meets its equals later
+        known.clear()
+    return np.array([known.setdefault(key, d) if key[2] else d for key, d in zip(zip(s.tolist(), t.tolist(), n.tolist(), strict=True), doc.tolist(), strict=True)], dtype=np.int64)
 
-def _indexed(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The written index: DOC rows (doc, n), COPY rows (doc equal to other), TEXT rows of
-    sets with a block that may repeat (doc, n, odd, z), and those BLOCK rows (g, doc)."""
 
-    def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for i, j in passes(batch, "text", repeats.PASS):
-            yield blocks(*shingles(as_bytes(batch.slice(i, j - i).column("text")).to_pylist(), rule), rule)[1]
+def _copies(sets: DataFrame) -> DataFrame:
+    """Links (u, v) that join all documents of equal sets: those of one map task with its
+    first, and the first ones with the least (a row per task for a hot set)."""
+    firsts = sets.where((F.col("n") > 0) & (F.col("first") == F.col("doc")))
+    least = firsts.groupBy("s", "t", "n").agg(F.min("doc").alias("v"))
+    return sets.where(F.col("first") != F.col("doc")).select(F.col("doc").alias("u"), F.col("first").alias("v")).unionByName(firsts.join(least, ["s", "t", "n"]).where("doc <> v").select(F.col("doc").alias("u"), "v"))
 
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
-    shared = docs.sparkSession.sparkContext.broadcast(count_min.build(docs, keys_of))
+
+def _lists(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The written index without lists of one document: LIST rows (g, a: doc, b: size and
+    shingles before the block) and PAIR rows (a: a list's leader, b: a set near it)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value
-        pack = zstandard.ZstdCompressor(level=1)
+        known: dict[tuple[int, int, int], int] = {}
         for batch in batches:
-            known: dict[tuple[int, int, int], int] = {}  # sets of this batch
             for i, j in passes(batch, "text", repeats.PASS):
                 part = batch.slice(i, j - i)
-                texts = as_bytes(part.column("text")).to_pylist()
                 doc = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                ids, h, n = shingles(texts, rule)
-                yield _table(DOC, len(doc), doc=doc, n=n)
-                sums = np.zeros((2, len(doc)), dtype=np.uint64)
-                np.add.at(sums[0], ids, kernels.mix(h ^ np.uint64(0xA24BAED4963EE407)))
-                np.add.at(sums[1], ids, kernels.mix(h ^ np.uint64(0x9FB21C651E98DF25)))
-                fresh = n > 0
-                copies = []
-                for t in np.flatnonzero(fresh).tolist():
-                    first = known.setdefault((int(sums[0, t]), int(sums[1, t]), int(n[t])), int(doc[t]))
-                    if first != doc[t]:
-                        fresh[t] = False
-                        copies.append((int(doc[t]), first))
-                if copies:
-                    pair = np.array(copies, dtype=np.int64)
-                    yield _table(COPY, len(pair), doc=pair[:, 0], other=pair[:, 1])
-                owner, key = blocks(ids, h, n, rule)
-                keep = fresh[owner]
-                keep[keep] = sketch.repeated(key[keep])
-                owner, key = owner[keep], key[keep]
+                ids, h, n = shingles(as_bytes(part.column("text")).to_pylist(), rule)
+                fresh = _first_seen(known, *_sums(ids, h, len(doc)), n, doc) == doc
+                keep = fresh[ids]  # of equal sets in a task one is indexed
+                owner, key, before = blocks(ids[keep], h[keep], np.where(fresh, n, 0), rule)
                 if len(owner):
-                    odd = parities(ids, h, len(doc))
-                    yield _table(BLOCK, len(owner), g=key, doc=doc[owner])
-                    some = np.unique(owner)
-                    yield _table(TEXT, len(some), doc=doc[some], n=n[some], odd=[odd[t] for t in some.tolist()], z=[pack.compress(texts[t]) for t in some.tolist()])
-
-    return stash(docs.mapInArrow(emit, _SCHEMA), "jaccard-index")
-
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[owner]), pa.array(n[owner] << 32 | before)], ["g", "doc", "at"])
 
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    dealt = docs.mapInArrow(tidy(emit), "g long, doc long, at long").repartition("g").sortWithinPartitions("g", "doc")
+    return stash(dealt.mapInArrow(tidy(partial(_led, rule=rule)), _LISTED), "jaccard-lists")
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, doc), sorted, of lists that hold more than one document."""
-    for x in repeats.whole_runs(batches):
-        g, doc = x["g"], x["doc"]
-        border = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1])
-        several = np.minimum.reduceat(doc, border) != np.maximum.reduceat(doc, border)
-        keep = np.repeat(several, np.diff(np.concatenate([border, [len(g)]])))
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(g[keep]).view(np.int64)), pa.array(doc[keep])], ["g", "doc"])
+def _listed(kind: int, g: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), *[pa.array(np.ascontiguousarray(x)) for x in (g, a, b)]], ["kind", "g", "a", "b"])
 
 
-def _words(x: dict) -> np.ndarray:
-    return np.frombuffer(b"".join(x["odd"].to_pylist()), dtype=np.uint64).reshape(-1, PARITY // 64)
+def _near(rule: Rule, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sizes and positions leave a link possible: two sets that share a block differ
+    at least by what stands before it in one and not in the other, and behind it likewise."""
+    nx, ny, ix, iy = x >> 32, y >> 32, x & 0xFFFFFFFF, y & 0xFFFFFFFF
+    return rule.sizes(nx, ny) & rule.near(np.abs(ix - iy) + np.abs((nx - ix) - (ny - iy)), nx, ny)
 
 
-def _with_leaders(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Lists in the order of doc_id: each set with its list's leader, the first. Sets whose
-    sizes rule a link with it out skip to a leader of their own. (The least doc_id leads in
-    most of a group's lists, so a group has few leaders.)"""
-    for x in repeats.whole_runs(batches):
-        g, n, doc, odd = x["g"], x["n"], x["doc"], _words(x)
-        left = np.arange(len(g))
+def _led(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Rows (g, doc, at) sorted by g and doc. A list's first set leads; sets that sizes and
+    positions rule out skip, as a block, to a leader of their own. (The least doc_id leads in
+    most of a group's lists, so a group has few leaders.) Of a list that goes on in the
+    next batch only its leaders are held."""
+    held = {k: np.zeros(0, dtype=np.int64) for k in ("g", "doc", "at", "sent")}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g, doc, at = (np.concatenate([held[k], batch.column(k).to_numpy(zero_copy_only=False)]) for k in ("g", "doc", "at"))
+        old = np.arange(len(g)) < len(held["g"])
+        sent = np.concatenate([held["sent"], np.zeros(batch.num_rows, dtype=np.int64)])
+        border = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        run = np.cumsum(np.concatenate([[True], g[1:] != g[:-1]])) - 1
+        several = (np.minimum.reduceat(doc, border) != np.maximum.reduceat(doc, border))[run]
+        out = several & (sent == 0)
+        if out.any():
+            yield _listed(LIST, g[out], doc[out], at[out])
+        leads = np.zeros(len(g), dtype=bool)
+        left = np.flatnonzero(several)
+        pairs = []
         while len(left):
             lead = np.concatenate([[True], g[left][1:] != g[left][:-1]])
             own = left[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-            near = rule.sizes(n[left], n[own])
-            other = near & (left != own) & (doc[left] != doc[own])
-            a, b = own[other], left[other]
-            ok = possible(rule, n[a], n[b], odd[a], odd[b])
-            if ok.any():
-                yield _pairs(doc[a[ok]], doc[b[ok]])
+            leads[own] = True
+            near = _near(rule, at[left], at[own])
+            other = near & ~old[left] & (doc[left] != doc[own])
+            pairs.append((doc[own[other]], doc[left[other]]))
             left = left[~near]
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (doc[:0], doc[:0])
+        if len(a):
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            a, b = a[new], b[new]
+            yield _listed(PAIR, np.zeros_like(a), a, b)
+        # the last list goes on with its leaders, or with its one document
+        last = run == run[-1]
+        keep = last & leads if several[-1] else np.arange(len(g)) == len(g) - 1
+        held = {"g": g[keep], "doc": doc[keep], "at": at[keep], "sent": several[keep].astype(np.int64)}
+
+
+_PAIR = "a long, b long"
+
+
+def _paired(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a, b)], ["a", "b"])
 
 
 def _bridges(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Lists sorted by component (column other): one set of each further component with
-    one of the list's largest component, both those of least priority."""
-    for x in repeats.whole_runs(batches):
-        g, n, doc, comp = x["g"], x["n"], x["doc"], x["other"]
-        if not (comp != comp[0]).any():
+    """Lists sorted by component: one set of each further component with the first one's."""
+    held = None
+    for batch in batches:
+        g, comp, doc, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("g", "root", "a", "b"))
+        if not len(g):
             continue
-        odd = _words(x)
-        # the set that stands for its component in its list, and the component's share
-        rank = kernels.mix(doc.view(np.uint64) + np.uint64(0x5851F42D4C957F2D))
-        order = np.lexsort((rank, comp, g))
-        first = np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (comp[order][1:] != comp[order][:-1])])
-        at = order[first]
-        size = np.diff(np.concatenate([np.flatnonzero(first), [len(order)]]))
-        # the largest component of each list leads
-        by = np.lexsort((comp[at], -size, g[at]))
-        at = at[by]
-        lead = np.concatenate([[True], g[at][1:] != g[at][:-1]])
-        own = at[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-        a, b = own[~lead], at[~lead]
-        ok = possible(rule, n[a], n[b], odd[a], odd[b])
-        if ok.any():
-            yield _pairs(doc[a[ok]], doc[b[ok]])
+        if held is not None:
+            g, comp, doc, at = (np.concatenate([h, x]) for h, x in zip(held, (g, comp, doc, at), strict=True))
+        new_list = np.concatenate([[True], g[1:] != g[:-1]])
+        new = new_list | np.concatenate([[True], comp[1:] != comp[:-1]])
+        own = np.flatnonzero(new_list)[np.cumsum(new_list) - 1]
+        other = np.flatnonzero(new & ~new_list)
+        ok = other[_near(rule, at[other], at[own[other]])]
+        if len(ok):
+            yield _paired(doc[own[ok]], doc[ok])
+        # the last list goes on with its first set and the last component's
+        keep = np.unique([own[-1], np.flatnonzero(new)[-1]])
+        held = tuple(x[keep] for x in (g, comp, doc, at))
 
 
 def _across(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Pairs of one list in different components (column other)."""
+    """Pairs of one list in different components; lists sorted by size."""
     for x in repeats.whole_runs(batches):
-        g, n, doc, comp = x["g"], x["n"], x["doc"], x["other"]
-        if not (comp != comp[0]).any():
-            continue
-        odd = _words(x)
+        g, doc, comp, at = x["g"], x["a"], x["root"], x["b"]
         border = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
-        mixed = np.add.reduceat(np.concatenate([[0], (comp[1:] != comp[:-1]) & (g[1:] == g[:-1])]).astype(np.int64), border[:-1]) > 0
+        mixed = np.minimum.reduceat(comp, border[:-1]) != np.maximum.reduceat(comp, border[:-1])
         for i, j in zip(border[:-1][mixed].tolist(), border[1:][mixed].tolist(), strict=True):
             # sizes within reach are a block behind each set
-            reach = np.searchsorted(n[i:j], n[i:j] * rule.den // rule.num, side="right") + i
+            n = at[i:j] >> 32
+            reach = np.searchsorted(n, n * rule.den // rule.num, side="right") + i
             for k in range(i, j - 1):
                 b = np.arange(k + 1, reach[k - i])
-                b = b[comp[b] != comp[k]]
+                b = b[(comp[b] != comp[k])]
+                b = b[_near(rule, at[b], at[k])]
                 if len(b):
-                    ok = possible(rule, n[k], n[b], odd[k], odd[b])
-                    if ok.any():
-                        yield _pairs(np.full(int(ok.sum()), doc[k]), doc[b[ok]])
+                    yield _paired(np.full(len(b), doc[k]), doc[b])
+
+
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Rows (a, salt, role, doc): pairs in groups of at most MEMBERS of one leader, which is
+    the row of role 0. A leader's pairs may lie in many ranges, and so in many tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        last, seen = None, 0
+        for batch in batches:
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "b"))
+            if not len(a):
+                continue
+            new = np.concatenate([[a[0] != last], a[1:] != a[:-1]])
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
+            place = np.where(begin >= 0, np.arange(len(a)) - begin, np.arange(len(a)) + seen)
+            salt = part + place // MEMBERS
+            lead = np.flatnonzero(place % MEMBERS == 0)
+            last, seen = a[-1], int(place[-1]) + 1
+            rows = (np.concatenate([a, a[lead]]), np.concatenate([salt, salt[lead]]), np.concatenate([np.ones(len(a), dtype=np.int32), np.zeros(len(lead), dtype=np.int32)]), np.concatenate([b, a[lead]]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["a", "salt", "role", "doc"])
+
+    return pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, salt long, role int, doc long")
+
+
+def _groups(rows: DataFrame, step: Callable, rule: Rule) -> DataFrame:
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "doc").mapInArrow(tidy(partial(step, rule=rule)), _PAIR)
+
+
+def _possible(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Pairs that sizes and parities leave possible. Rows (a, salt, role, doc, n, odd)."""
+    held = None
+    for batch in batches:
+        a, salt, role, doc, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "salt", "role", "doc", "n"))
+        if not len(a):
+            continue
+        odd = np.frombuffer(b"".join(batch.column("odd").to_pylist()), dtype=np.uint64).reshape(-1, PARITY // 64)
+        if held is not None:
+            a, salt, role, doc, n, odd = (np.concatenate([h, x]) for h, x in zip(held, (a, salt, role, doc, n, odd), strict=True))
+        lead = np.maximum.accumulate(np.where(role == 0, np.arange(len(a)), 0))
+        differ = np.bitwise_count(odd ^ odd[lead]).sum(axis=1, dtype=np.int64)
+        ok = (role == 1) & rule.sizes(n, n[lead]) & rule.near(differ, n, n[lead])
+        if ok.any():
+            yield _paired(a[ok], doc[ok])
+        held = tuple(x[lead[-1] : lead[-1] + 1] for x in (a, salt, role, doc, n, odd))
 
 
 def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Sorted by (a, salt, role): a leader's text, then the texts it is compared with."""
-    lead, lead_set = None, None
+    """Pairs whose texts are linked. Rows (a, salt, role, doc, z)."""
+    lead_set = None
     for batch in batches:
         for part in repeats.z_passes(batch):
             ids, h, n = shingles(repeats.unpacked(part), rule)
@@ -333,59 +401,71 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
             for t, (x, role, doc) in enumerate(zip(*(part.column(f).to_pylist() for f in ("a", "role", "doc")), strict=True)):
                 own = h[first[t] : first[t + 1]]
                 if role == 0:
-                    lead, lead_set = x, own
-                elif x == lead:
+                    lead_set = own
+                else:
                     at = np.searchsorted(lead_set, own)
                     common = int((lead_set[np.minimum(at, len(lead_set) - 1)] == own).sum())
                     if rule.linked(common, len(own) + len(lead_set) - common):
                         a.append(x)
                         b.append(doc)
             if a:
-                yield _pairs(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
+                yield _paired(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
+
+
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """doc and packed text of the documents in needed, and of few others: a bitmap of 2**BITS
+    bits (16 MB, whatever the input) drops most of the rest before texts are shuffled."""
+    cell = F.pmod(F.xxhash64(F.col("doc")), F.lit(1 << BITS))
+    maps = needed.select("doc").withColumn("cell", cell).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+    own = docs.select(F.col("doc_id").alias("doc"), "text").withColumn("cell", cell).withColumn("bucket", F.bitmap_bucket_number("cell")).withColumn("bit", F.bitmap_bit_position("cell").cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(bits, bit div 8 + 1, 1)")), 16, 10).cast("int")
+    held = own.join(F.broadcast(maps), "bucket").withColumn("byte", byte).where(F.expr("shiftright(byte, bit % 8) & 1 = 1"))
+    return repeats.packed(held.select(F.col("doc").alias("doc_id"), "text")).select(F.col("doc_id").alias("doc"), "z").dropDuplicates(["doc"])
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose texts are linked. A leader with many members is dealt out."""
-    per = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
-    members = pairs.join(per, "a").select("a", F.pmod(F.hash("b"), "salts").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("doc"))
-    leaders = per.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("doc"))
-    rows = members.unionByName(leaders).join(texts, "doc").select("a", "salt", "role", "doc", "z")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "doc").mapInArrow(partial(_verify, rule=rule), "a long, b long")
+def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The written pairs (a, b) whose texts are linked."""
+    maybe = stash(_groups(_dealt(pairs).join(sets.select("doc", "n", "odd").dropDuplicates(["doc"]), "doc"), _possible, rule), "jaccard-maybe")
+    rows = stash(_dealt(maybe), "jaccard-rows")
+    out = stash(_groups(rows.join(_texts(docs, rows.select("doc")), "doc"), _verify, rule), "jaccard-links")
+    discard(maybe, rows)
+    return out
 
 
 def classes(docs: DataFrame, rule: Rule = OP8) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
-    index = _indexed(docs, rule)
-    # only the two narrow columns meet at first; sizes and sketches join what is left
-    blocks_ = index.where(F.col("kind") == BLOCK).select("g", "doc")
-    shared = stash(blocks_.repartition("g").sortWithinPartitions("g", "doc").mapInArrow(_shared, "g long, doc long"), "jaccard-lists")
-    sets = index.where(F.col("kind") == TEXT).select("doc", "n", "odd").dropDuplicates(["doc"])
-    lists = shared.join(sets, "doc")
-    texts = index.where(F.col("kind") == TEXT).select("doc", "z").dropDuplicates(["doc"])
-    copies = index.where(F.col("kind") == COPY).select(F.col("doc").alias("u"), F.col("other").alias("v"))
-
-    def dealt(rows: DataFrame, *order: str) -> DataFrame:
-        return rows.repartition("g").sortWithinPartitions("g", *order)
-
-    def with_components() -> DataFrame:
-        return lists.join(comps, "doc", "left").select("g", "doc", "n", "odd", F.coalesce("root", "doc").alias("other"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return stash(_linked(pairs, texts, rule).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
-
-    tried = stash(dealt(lists, "doc").mapInArrow(partial(_with_leaders, rule=rule), "a long, b long").distinct(), "jaccard-pairs")
-    comps = components(verified(tried).unionByName(copies))
+    nulls = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sets = _sets(docs, rule)
+    index = _lists(docs, rule)
+    lists = index.where(F.col("kind") == LIST)
+    pairs = stash(index.where(F.col("kind") == PAIR).select("a", "b").distinct(), "jaccard-pairs")
+    links = _linked(pairs, docs, sets, rule)
+    edges = lambda links: links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    comps = components(edges(links).unionByName(_copies(sets)))
+    done = [index, pairs, links]
+
+    def rooted() -> DataFrame:
+        rows = lists.select("g", "a", "b").join(comps, F.col("a") == F.col("doc"), "left")
+        return rows.select("g", "a", "b", F.coalesce("root", "a").alias("root"))
+
+    tried = pairs
     # components meet through one set each before sets are compared one by one
-    for step, order in ((_bridges, ("other", "doc")), (_across, ("n", "doc"))):
-        pairs = dealt(with_components(), *order).mapInArrow(partial(step, rule=rule), "a long, b long").distinct()
-        pairs = stash(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        links = verified(pairs)
+    for step, order in ((_bridges, ("root", "a")), (_across, ("b",))):
+        rows = rooted()
+        if step is _across:  # of the lists that hold several components still
+            several = rows.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
+            rows = rows.join(several, "g")
+        found = rows.repartition("g").sortWithinPartitions("g", *order).mapInArrow(tidy(partial(step, rule=rule)), _PAIR).distinct()
+        pairs = stash(found.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        links = _linked(pairs, docs, sets, rule)
         tried = tried.unionByName(pairs)
+        done += [pairs, links]
         if links.take(1):
-            comps = components(comps.select(F.col("doc").alias("u"), F.col("root").alias("v")).unionByName(links))
-    sizes = index.where(F.col("kind") == DOC).select("doc", "n")
+            comps = components(comps.select(F.col("doc").alias("u"), F.col("root").alias("v")).unionByName(edges(links)))
+    sizes = sets.select("doc", "n")
     out = sizes.join(comps, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
-    nulls = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    discard(*done)
     return out.unionByName(nulls)
 
 

@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 import hashlib
 import random
 
@@ -150,3 +152,30 @@ def test_license_matches_equal_plain_edit_distance():
         least = min(list(decontam.distances(n.phrase.encode(), x.encode(), True))[-1] for x in spans)
         got = [k for i, _, _, k in one.fuzzy(line) if one.notices[i] == n]
         assert (min(got) == least) if least <= n.edits else not got, line
+
+
+@pytest.mark.parametrize("rule", [jaccard.OP8, jaccard.Rule(5, 4, 5), jaccard.Rule(3, 1, 2)])
+def test_linked_sets_share_a_block_of_the_index(rule):
+    """Sets that are only just linked, of all sizes; whatever differs."""
+    rng = np.random.default_rng(11)
+    for size in [*range(1, 60), 90, 200, 471, 1500]:
+        ids, h, n = [], [], []
+        for _ in range(6):
+            most = size * rule.den // rule.num
+            y = np.unique(rng.integers(0, 1 << 63, most + 8, dtype=np.uint64))[:most]
+            more = int(rng.integers(size, most + 1))
+            common = -(-rule.num * (size + more) // (rule.den + rule.num))
+            if common > size:
+                continue
+            x = np.concatenate([y[:common], rng.integers(0, 1 << 63, size - common, dtype=np.uint64)])
+            for z in (x, y[:more]):
+                if rule.linked(common, size + more - common):
+                    ids.append(np.full(len(z), len(n)))
+                    h.append(np.sort(z))
+                    n.append(len(z))
+        if not n:
+            continue
+        owner, key, before = jaccard.blocks(np.concatenate(ids), np.concatenate(h), np.array(n), rule)
+        assert (before <= np.array(n)[owner]).all()
+        for i in range(0, len(n), 2):
+            assert set(key[owner == i].tolist()) & set(key[owner == i + 1].tolist()), (size, n[i], n[i + 1])
