@@ -61,12 +61,17 @@ def _enough(least: int, differ: int) -> int:
 
 @dataclass(frozen=True)
 class Rule:
-    """Sets of shingles of so many words are linked from a similarity of num / den."""
+    """Sets of shingles of so many words are linked from a similarity of num / den, 3 / 4 at
+    least: sets that may differ in more cannot fill the blocks that their links need."""
 
     words: int
     num: int
     den: int
 
+    def __post_init__(self):
+        if not 3 * self.den <= 4 * self.num < 4 * self.den:
+            raise ValueError("similarities from 3/4 to below 1 can be joined")
+
     @cached_property
     def bounds(self) -> np.ndarray:
         """Where bands of sizes begin; below the second only equal sets are linked. A set's
