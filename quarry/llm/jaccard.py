@@ -44,7 +44,7 @@ PARITY = 512
 #: members that one copy of a leader's text is compared with
 MEMBERS = 256
 #: sets that a map task remembers at most, and bits of the bitmap of needed texts
-KNOWN, BITS = 1_000_000, 27
+KNOWN, BITS = 1_000_000, 25
 
 
 def _enough(least: int, differ: int) -> int:
@@ -333,11 +333,14 @@ def _bridges(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Recor
 
 
 def _across(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Pairs of one list in different components; lists sorted by size."""
+    """Pairs of one list in different components that sizes, positions and parities leave
+    possible; lists sorted by size."""
     for x in repeats.whole_runs(batches):
         g, doc, comp, at = x["g"], x["a"], x["root"], x["b"]
+        odd = np.frombuffer(b"".join(x["odd"].to_pylist()), dtype=np.uint64).reshape(-1, PARITY // 64)
         border = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
         mixed = np.minimum.reduceat(comp, border[:-1]) != np.maximum.reduceat(comp, border[:-1])
+        found: tuple[list, list] = ([], [])
         for i, j in zip(border[:-1][mixed].tolist(), border[1:][mixed].tolist(), strict=True):
             # sizes within reach are a block behind each set
             n = at[i:j] >> 32
@@ -347,7 +350,13 @@ def _across(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
                 b = b[(comp[b] != comp[k])]
                 b = b[_near(rule, at[b], at[k])]
                 if len(b):
-                    yield _paired(np.full(len(b), doc[k]), doc[b])
+                    differ = np.bitwise_count(odd[b] ^ odd[k]).sum(axis=1, dtype=np.int64)
+                    b = b[rule.near(differ, at[b] >> 32, at[k] >> 32)]
+                if len(b):
+                    found[0].append(np.full(len(b), doc[k]))
+                    found[1].append(doc[b])
+        if found[0]:
+            yield _paired(np.concatenate(found[0]), np.concatenate(found[1]))
 
 
 def _dealt(pairs: DataFrame) -> DataFrame:
@@ -419,7 +428,7 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
 
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """doc and packed text of the documents in needed, and of few others: a bitmap of 2**BITS
-    bits (16 MB, whatever the input) drops most of the rest before texts are shuffled."""
+    bits (4 MB, whatever the input) drops most of the rest before texts are shuffled."""
     cell = F.pmod(F.xxhash64(F.col("doc")), F.lit(1 << BITS))
     maps = needed.select("doc").withColumn("cell", cell).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
     own = docs.select(F.col("doc_id").alias("doc"), "text").withColumn("cell", cell).withColumn("bucket", F.bitmap_bucket_number("cell")).withColumn("bit", F.bitmap_bit_position("cell").cast("int"))
@@ -460,7 +469,7 @@ def classes(docs: DataFrame, rule: Rule = OP8) -> DataFrame:
         rows = rooted()
         if step is _across:  # of the lists that hold several components still
             several = rows.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
-            rows = rows.join(several, "g")
+            rows = rows.join(several, "g").join(sets.select(F.col("doc").alias("a"), "odd").dropDuplicates(["a"]), "a")
         found = rows.repartition("g").sortWithinPartitions("g", *order).mapInArrow(tidy(partial(step, rule=rule)), _PAIR).distinct()
         pairs = stash(found.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         links = _linked(pairs, docs, sets, rule)
