@@ -14,6 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass handles; a longer text forms a pass of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 8 << 20
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches to Python hold BATCH_BYTES at most, where the session allows more: a
+    batch of long texts otherwise stands in the JVM and in the worker at once."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +50,7 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends at the files,
     so a lost executor costs its own tasks only, and both readers see the same rows."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,6 @@
-"""Connected components of an edge table, with no task or driver holding a component."""
+"""Connected components of an edge table, with no driver holding a component. Minima are
+combined before they are shuffled; the edges of a node with very many meet its minimum in a
+join, whose hot keys adaptive execution splits (spark.sql.adaptive.skewJoin)."""
 
 from __future__ import annotations
 

@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from quarry.llm import kernels
+from quarry.llm.common import tidy
 
 WIDTH = 26
 ROWS = 2
@@ -96,7 +97,7 @@ def build(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarr
         if at is not None:
             yield done()
 
-    counted = docs.mapInArrow(count, _SCHEMA)
+    counted = docs.mapInArrow(tidy(count), _SCHEMA)
     merged = counted.repartition("r", "piece").sortWithinPartitions("r", "piece").mapInArrow(merge, _SCHEMA)
     size = (1 << _PIECE) // 8
     twice = [bytearray((1 << WIDTH) // 8) for _ in range(ROWS)]

@@ -12,10 +12,11 @@ leave many more of, over the bytes that the band reaches; only what passes both
 The benchmark is broadcast in blocks of at most BLOCK_BYTES of text; documents stream by.
 
 Defined cases: a null or empty text matches nothing; items shorter than q after
-normalising cannot be told from chance and are not searched; items whose bound would
-fall below MIN_SHARED take fewer edits, so that it does not; equal items and repeated
-documents match each on their own; an empty table gives an empty result; other columns
-are ignored by matches() and kept by clean().
+normalising match exactly, as whole words (an item without letters and digits matches
+nothing); items whose bound would fall below MIN_SHARED take fewer edits, so that it does
+not; equal items and repeated documents match each on their own, documents of a null doc_id
+too; an empty table gives an empty result; other columns are ignored by matches() and kept by
+clean().
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels
-from quarry.llm.common import as_bytes, passes
+from quarry.llm.common import as_bytes, bound_batches, passes, tidy
 
 Q = 8
 RATE = 0.12
@@ -70,11 +71,16 @@ class Items:
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.ids, self.texts = [], []
+        brief: dict[bytes, list[int]] = {}
         for i, t in items:
             text = bytes(folded(np.frombuffer(t, dtype=np.uint8))[0].tobytes()).strip()
             if len(text) >= Q:
                 self.ids.append(i)
                 self.texts.append(text)
+            elif text:
+                brief.setdefault(text, []).append(i)
+        #: short items by their text, between spaces
+        self.brief = {b" " + t + b" ": ids for t, ids in brief.items()}
         self.size = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.edits = np.array([edits_of(n) for n in self.size.tolist()], dtype=np.int64)
         self.need = np.maximum(1, self.size - Q + 1 - Q * self.edits)
@@ -163,11 +169,32 @@ class Items:
         ok = self.enough_short(g, i, starts[d] + lo_d, starts[d] + hi_d + self.size[i])
         return list(zip(d[ok].tolist(), i[ok].tolist(), lo_d[ok].tolist(), hi_d[ok].tolist(), strict=True))
 
-    def align(self, item: int, text: bytes, lo: int, hi: int) -> tuple[int, int, int] | None:
+    def whole_words(self, text: bytes) -> Iterator[tuple[int, int, int]]:
+        """(item_id, start, end) of short items in a normalised text, each at its first place."""
+        if not self.brief:
+            return
+        if not hasattr(self, "words"):
+            import ahocorasick
+
+            self.words = ahocorasick.Automaton()
+            for key in self.brief:
+                self.words.add_word(key.decode("latin-1"), key)
+            self.words.make_automaton()
+        seen = set()
+        for last, key in self.words.iter(" " + text.decode("latin-1") + " "):
+            if key not in seen:
+                seen.add(key)
+                for i in self.brief[key]:
+                    yield i, last + 1 - len(key), last - 1
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "words"}
+
+    def align(self, item: int, text: np.ndarray, lo: int, hi: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of the item in text with start diagonal in lo..hi, or None."""
         pattern, most = self.texts[item], int(self.edits[item])
         a = max(0, lo - most)
-        zone = text[a : max(0, hi + len(pattern) + most)]
+        zone = text[a : max(0, hi + len(pattern) + most)].tobytes()
         exact = zone.find(pattern)
         if exact >= 0:
             return 0, a + exact, a + exact + len(pattern)
@@ -230,8 +257,8 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
             yield Items(got)
 
 
-def _found(items: Items, batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, start, end, edits): bytes of the text as it is."""
+def _found(items: Items, batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(row, item_id, start, end, edits, item size): bytes of the text as it is."""
     for i, j in passes(batch, "text", PASS):
         texts = as_bytes(batch.slice(i, j - i).column("text")).to_pylist()
         buf, begin = kernels.joined(texts, b"\0\xff\0")  # a border that no item crosses
@@ -242,12 +269,17 @@ def _found(items: Items, batch: pa.RecordBatch) -> Iterator[tuple[int, int, int,
             key = (d, item)
             if key in best and best[key][0] == 0:
                 continue
-            got = items.align(item, text[starts[d] : starts[d + 1]].tobytes(), lo, hi)
+            got = items.align(item, text[starts[d] : starts[d + 1]], lo, hi)
             if got is not None and (key not in best or got < best[key]):
                 best[key] = got
         for (d, item), (edits, a, b) in sorted(best.items()):
             place = at[starts[d] : starts[d + 1]] - begin[d]
-            yield i + d, item, int(place[a]), int(place[b - 1]) + 1, edits
+            yield i + d, items.ids[item], int(place[a]), int(place[b - 1]) + 1, edits, int(items.size[item])
+        if items.brief:
+            for d in range(j - i):
+                for item_id, a, b in items.whole_words(text[starts[d] : starts[d + 1]].tobytes()):
+                    place = at[starts[d] : starts[d + 1]] - begin[d]
+                    yield i + d, item_id, int(place[a]), int(place[b - 1]) + 1, 0, b - a
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -255,6 +287,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     a document holds, at its best place."""
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64()), ("similarity", pa.float64())])
     spark = docs.sparkSession
+    bound_batches(spark)
     out = spark.createDataFrame([], "doc_id long, item_id long, start long, end long, edits long, similarity double")
     for block in blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
@@ -263,16 +296,17 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             items = shared.value
             for batch in batches:
                 doc = batch.column("doc_id").to_pylist()
-                rows = [{"doc_id": doc[r], "item_id": items.ids[i], "start": a, "end": b, "edits": e, "similarity": 1 - e / int(items.size[i])} for r, i, a, b, e in _found(items, batch)]
+                rows = [{"doc_id": doc[r], "item_id": i, "start": a, "end": b, "edits": e, "similarity": 1 - e / size} for r, i, a, b, e, size in _found(items, batch)]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, out.schema))
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(tidy(run), out.schema))
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item of the benchmark, with their columns."""
+    bound_batches(docs.sparkSession)
     for block in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -282,5 +316,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep = pa.array([i not in gone for i in range(batch.num_rows)], pa.bool_())
                 yield batch.filter(keep)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -1,8 +1,8 @@
 """Document fingerprints: one-permutation MinHash with optimal densification.
 
 Each word shingle is hashed once; its high bits name a bin and the rest compete for the
-bin's minimum. A bin that stays empty takes the value of the bin that a 2-universal hash
-of (bin, attempt) names, attempt after attempt, until that one has a value of its own.
+bin's minimum. A bin that stays empty takes the value of the bin that a fixed random order
+of its own (see probes) names first among those with a value of their own.
 The low-order bits of the values are packed to a hex string; likeness() corrects for
 values that agree by chance.
 
@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels
-from quarry.llm.common import as_bytes, passes, stash
+from quarry.llm.common import as_bytes, passes, stash, tidy
 
 WORDS = 5
 BINS = 256
 BITS = 4
-_PRIME = (1 << 31) - 1
 
 
 @lru_cache(maxsize=4)
@@ -148,7 +147,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
-    done = stash(ordered.mapInArrow(_stream, _SCHEMA + ", head string, tail string").withColumn("part", F.spark_partition_id()), "fingerprints")
+    done = stash(ordered.mapInArrow(tidy(_stream), _SCHEMA + ", head string, tail string").withColumn("part", F.spark_partition_id()), "fingerprints")
     # two texts of each partition; the partitions are a few, whatever the documents are
     heads = done.where(F.col("head").isNotNull()).select("part", "head")
     tails = done.where(F.col("tail").isNotNull()).select("part", "doc_id", "tail")

@@ -15,15 +15,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _powers: dict[int, np.ndarray] = {}
+KEPT = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown between calls."""
+    """base**0 .. base**(n-1) modulo 2**64; tables of up to KEPT numbers are kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         steps = np.full(max(n, 1 << 16), base, dtype=U64)
         steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=U64)
+        have = np.cumprod(steps, dtype=U64)
+        if len(have) <= KEPT:
+            _powers[base] = have
     return have[:n]
 
 

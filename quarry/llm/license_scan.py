@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, passes, tidy
+from quarry.llm.common import as_bytes, bound_batches, passes, tidy
 
 #: phrase -> label, as the base search takes them
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -189,6 +189,7 @@ def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
                 rows = [{"doc_id": d} | one.scan(t) for d, t in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, " + _FIELDS)
 
 

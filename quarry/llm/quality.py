@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quarry.llm.common import as_bytes, passes, tidy
+from quarry.llm.common import as_bytes, bound_batches, passes, tidy
 
 FILTERS, WIDTH, STRIDE = 24, 7, 2
 CHUNK, HOP = 256, 224  # positions, each STRIDE bytes
@@ -171,9 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int =
 
 
 def score(docs: DataFrame, net: Network | None, column: str = "score") -> DataFrame:
-    """docs with each whole text's score as one more column."""
+    """docs with each whole text's score as the last column (in place of one so named)."""
+    docs = docs.drop(column)
     if net is None:
         return docs.withColumn(column, F.lit(0.5))
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((net.filters, net.bias, net.out, net.offset))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

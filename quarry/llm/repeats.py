@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from quarry.llm import count_min, kernels
 from quarry.llm.anchors import Items
-from quarry.llm.common import as_bytes, passes, stash
+from quarry.llm.common import as_bytes, passes, stash, tidy
 
 PASS = 1 << 18
+#: anchors that a map task settles among each other at once
+SEEN = 1 << 19
 MARK, ANCHOR, HOT_ANCHOR = 0, 1, 2
 ROW = "g long, kind int, h long, c long, doc long, lo int, hi int, n int"
 _ARROW = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("n", pa.int32())])
@@ -86,14 +88,9 @@ def find(docs: DataFrame, unit: str, size: int, k: int, mode: str) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
-        for batch in batches:
-            got: list[tuple] = []
-            for ids, items in texts_of(batch, unit, size, k):
-                a = items.anchors()
-                keep = sketch.repeated(a["h"])
-                got.append((a["h"][keep], a["c"][keep], ids[a["text"][keep]], a["lo"][keep], a["hi"][keep]))
-            if not got:
-                continue
+        got: list[tuple] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
             h, c, doc, lo, hi = (np.concatenate(x) for x in zip(*got, strict=True))
             covered, rep, n = collapse(h, c, doc, lo, hi, mode)
             if len(covered):
@@ -103,6 +100,17 @@ def find(docs: DataFrame, unit: str, size: int, k: int, mode: str) -> DataFrame:
                 g = kernels.mix(np.where(hot, h[rep] * np.uint64(3) ^ c[rep], h[rep]))
                 yield rows(np.where(hot, HOT_ANCHOR, ANCHOR), h[rep], c[rep], doc[rep], lo[rep], hi[rep], n, g)
 
+        for batch in batches:
+            for ids, items in texts_of(batch, unit, size, k):
+                a = items.anchors()
+                keep = sketch.repeated(a["h"])
+                got.append((a["h"][keep], a["c"][keep], ids[a["text"][keep]], a["lo"][keep], a["hi"][keep]))
+                if sum(len(x[0]) for x in got) >= SEEN:
+                    yield from done()
+                    got.clear()
+        if got:
+            yield from done()
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in whole_runs(batches):
             is_mark = x["kind"] == MARK
@@ -123,8 +131,8 @@ def find(docs: DataFrame, unit: str, size: int, k: int, mode: str) -> DataFrame:
             if rep.any():
                 yield rows(x["kind"][rep], x["h"][rep], x["c"][rep], x["doc"][rep], x["lo"][rep], x["hi"][rep], n[rep], 0)
 
-    dealt = docs.mapInArrow(emit, ROW).repartition("g").sortWithinPartitions("g", "h", "c", "doc", "lo")
-    return stash(dealt.mapInArrow(meet, ROW), "repeats")
+    dealt = docs.mapInArrow(tidy(emit), ROW).repartition("g").sortWithinPartitions("g", "h", "c", "doc", "lo")
+    return stash(dealt.mapInArrow(tidy(meet), ROW), "repeats")
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], by: str = "g") -> Iterator[dict[str, np.ndarray]]:

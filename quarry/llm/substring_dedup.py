@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import kernels, repeats
 from quarry.llm.anchors import Items
+from quarry.llm.common import tidy
 
 SIZE = 13
 K = 5
@@ -71,7 +72,7 @@ def exact_windows(packs: DataFrame, contexts: DataFrame, unit: str, size: int, k
                 yield from window_rows((text, ids), flat["h"].astype(np.int64).view(np.uint64), flat["lo"].astype(np.int64), flat["hi"].astype(np.int64), repeats.unpacked(part), unit, size, k, mode)
 
     joined = repeats.attach(packs, repeats.listed(contexts, "h", "lo", "hi"), "inner")
-    dealt = joined.mapInArrow(windows, repeats.ROW).repartition("g").sortWithinPartitions("g", "h", "c", "doc", "lo")
+    dealt = joined.mapInArrow(tidy(windows), repeats.ROW).repartition("g").sortWithinPartitions("g", "h", "c", "doc", "lo")
     return dealt.mapInArrow(lambda b: settle_windows(b, size, mode), repeats.ROW)
 
 
@@ -104,7 +105,7 @@ def dedup(docs: DataFrame, size: int = SIZE, k: int = K) -> DataFrame:
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode() for x in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.mapInArrow(tidy(keep), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels, repeats, substring_dedup
+from quarry.llm.common import tidy
 from quarry.llm.runlength_index import RunIndex
 
 SIZE = 200
@@ -120,8 +121,8 @@ def compared(packs: DataFrame, contexts: DataFrame, size: int = SIZE, k: int = K
             yield from done()
 
     joined = repeats.attach(packs, repeats.listed(contexts, "h", "lo", "hi", "kind"), "inner")
-    dealt = joined.mapInArrow(gather, _ROW).repartition("g").sortWithinPartitions("g", "h", "c", "doc", "lo")
-    return dealt.mapInArrow(index, repeats.ROW)
+    dealt = joined.mapInArrow(tidy(gather), _ROW).repartition("g").sortWithinPartitions("g", "h", "c", "doc", "lo")
+    return dealt.mapInArrow(tidy(index), repeats.ROW)
 
 
 def removed(docs: DataFrame, size: int = SIZE, k: int = K) -> DataFrame:
@@ -148,7 +149,7 @@ def dedup(docs: DataFrame, size: int = SIZE, k: int = K) -> DataFrame:
                     kept.append(np.frombuffer(text, dtype=np.uint8)[~out].tobytes() if len(lo) else text)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(tidy(keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels
-from quarry.llm.common import passes, shared_dir, tidy
+from quarry.llm.common import bound_batches, passes, shared_dir, tidy
 
 END_ID = 0
 #: parts that a worker's cache holds at most and that go to the model in one call, lists that
 #: are gathered at once, and bytes of text that are encoded together
-CACHE_PARTS, CALL, STEP, PASS = 600_000, 2048, 1 << 18, 8 << 20
+CACHE_PARTS, CALL, STEP, PASS = 200_000, 2048, 1 << 16, 4 << 20
 #: bytes of text (as Spark estimates them) that a file is made for
 FILE_BYTES = 128 << 20
 ROW_GROUP_BYTES = 32 << 20
@@ -224,6 +224,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID)
                 ids = pa.array(np.insert(got.values, ends, end_id), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids)], ["doc_id", "n_tokens", "ids"])
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids array<int>")
 
 

@@ -271,12 +271,14 @@ def test_decontamination_equals_brute_force(spark):
                 t.insert(i, rng.choice("qxz"))
         t = "".join(t)
         rows.append((d, " ".join(x) + (" " + (t.upper() if d % 4 == 0 else t.replace(" ", " , ") if d % 4 == 1 else t) + " tail end" if d % 5 else "")))
-    rows += [(100, None), (101, "")]
+    rows += [(100, None), (101, ""), (102, "A, Tiny!"), (103, "tinyer untiny"), (104, "tiny " * 3)]
+    items += [(60, "?! "), (61, "TINY")]
     fold = lambda s: re.sub("[^0-9a-z\x80-\U0010ffff]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), s or "")).strip()
     want = {(d, i) for d, t in rows for i, b in items if len(fold(b)) >= decontam.Q and edits(fold(b), fold(t)) <= decontam.edits_of(len(fold(b)))}
+    want |= {(d, i) for d, t in rows for i, b in items if 0 < len(fold(b)) < decontam.Q and f" {fold(b)} " in f" {fold(t)} "}
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.matches(frame(spark, rows), bench).collect()}
-    assert set(got) == want and len(want) > 20
+    assert set(got) == want and len(want) > 20 and {(102, 50), (102, 61), (104, 50)} <= want
     for (d, i), r in got.items():
         found = fold(dict(rows)[d].encode()[r.start : r.end].decode())
         assert edits(fold(dict(items)[i]), found) <= r.edits
