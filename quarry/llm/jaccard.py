@@ -265,8 +265,9 @@ def _near(rule: Rule, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _led(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Rows (g, doc, at) sorted by g and doc. A list's first set leads; sets that sizes and
     positions rule out skip, as a block, to a leader of their own. (The least doc_id leads in
-    most of a group's lists, so a group has few leaders.) Of a list that goes on in the
-    next batch only its leaders are held."""
+    most of a group's lists, so a group has few leaders.) Lists of two sets, and those in which
+    no set is near another, have nothing else to tell and end here. Of a list that goes on in
+    the next batch only its leaders are held (and all of it, while that is two sets)."""
     held = {k: np.zeros(0, dtype=np.int64) for k in ("g", "doc", "at", "sent")}
     for batch in batches:
         if not batch.num_rows:
@@ -274,14 +275,11 @@ def _led(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBat
         g, doc, at = (np.concatenate([held[k], batch.column(k).to_numpy(zero_copy_only=False)]) for k in ("g", "doc", "at"))
         old = np.arange(len(g)) < len(held["g"])
         sent = np.concatenate([held["sent"], np.zeros(batch.num_rows, dtype=np.int64)])
-        border = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        run = np.cumsum(np.concatenate([[True], g[1:] != g[:-1]])) - 1
-        several = (np.minimum.reduceat(doc, border) != np.maximum.reduceat(doc, border))[run]
-        out = several & (sent == 0)
-        if out.any():
-            yield _listed(LIST, g[out], doc[out], at[out])
+        new_list = np.concatenate([[True], g[1:] != g[:-1]])
+        run = np.cumsum(new_list) - 1
+        n_docs = np.bincount(run, weights=np.concatenate([[True], doc[1:] != doc[:-1]]) | new_list)
         leads = np.zeros(len(g), dtype=bool)
-        left = np.flatnonzero(several)
+        left = np.flatnonzero(n_docs[run] > 1)
         pairs = []
         while len(left):
             lead = np.concatenate([[True], g[left][1:] != g[left][:-1]])
@@ -296,12 +294,18 @@ def _led(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBat
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            a, b = a[new], b[new]
-            yield _listed(PAIR, np.zeros_like(a), a, b)
-        # the last list goes on with its leaders, or with its one document
+            yield _listed(PAIR, np.zeros(int(new.sum()), dtype=np.int64), a[new], b[new])
+        # the last list may go on: what is known of it so far decides only if it is told already
+        known = np.bincount(run, weights=sent) > 0
+        followed = np.bincount(run, weights=~leads) > 0
+        tell = known | ((n_docs > 2) & followed)
         last = run == run[-1]
-        keep = last & leads if several[-1] else np.arange(len(g)) == len(g) - 1
-        held = {"g": g[keep], "doc": doc[keep], "at": at[keep], "sent": several[keep].astype(np.int64)}
+        out = tell[run] & (sent == 0)
+        if out.any():
+            yield _listed(LIST, g[out], doc[out], at[out])
+        # lists that are not told yet are held whole: they have two sets, or leaders alone
+        keep = last & (leads | ~tell[run])
+        held = {"g": g[keep], "doc": doc[keep], "at": at[keep], "sent": tell[run[keep]].astype(np.int64)}
 
 
 _PAIR = "a long, b long"
@@ -326,7 +330,7 @@ def _bridges(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Recor
         other = np.flatnonzero(new & ~new_list)
         ok = other[_near(rule, at[other], at[own[other]])]
         if len(ok):
-            yield _paired(doc[own[ok]], doc[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[own[ok]], doc[ok], np.ones(len(ok), dtype=np.int64))], ["a", "b", "w"])
         # the last list goes on with its first set and the last component's
         keep = np.unique([own[-1], np.flatnonzero(new)[-1]])
         held = tuple(x[keep] for x in (g, comp, doc, at))
@@ -356,7 +360,12 @@ def _across(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
                     found[0].append(np.full(len(b), doc[k]))
                     found[1].append(doc[b])
         if found[0]:
-            yield _paired(np.concatenate(found[0]), np.concatenate(found[1]))
+            a, b = np.concatenate(found[0]), np.concatenate(found[1])
+            # the set of more pairs leads
+            names, where, many = np.unique(np.concatenate([a, b]), return_inverse=True, return_counts=True)
+            swap = many[where[len(a) :]] > many[where[: len(a)]]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, many[np.searchsorted(names, a)])], ["a", "b", "w"])
 
 
 def _dealt(pairs: DataFrame) -> DataFrame:
@@ -470,8 +479,12 @@ def classes(docs: DataFrame, rule: Rule = OP8) -> DataFrame:
         if step is _across:  # of the lists that hold several components still
             several = rows.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
             rows = rows.join(several, "g").join(sets.select(F.col("doc").alias("a"), "odd").dropDuplicates(["a"]), "a")
-        found = rows.repartition("g").sortWithinPartitions("g", *order).mapInArrow(tidy(partial(step, rule=rule)), _PAIR).distinct()
-        pairs = stash(found.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        found = rows.repartition("g").sortWithinPartitions("g", *order).mapInArrow(tidy(partial(step, rule=rule)), _PAIR + ", w long")
+        # each pair once, led by the set that leads most
+        found = found.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max_by("a", "w").alias("a"))
+        known = tried.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+        fresh = found.join(known, ["u", "v"], "left_anti")
+        pairs = stash(fresh.select("a", F.when(F.col("a") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("b")), "jaccard-pairs")
         links = _linked(pairs, docs, sets, rule)
         tried = tried.unionByName(pairs)
         done += [pairs, links]

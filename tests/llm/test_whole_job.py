@@ -179,3 +179,41 @@ def test_linked_sets_share_a_block_of_the_index(rule):
         assert (before <= np.array(n)[owner]).all()
         for i in range(0, len(n), 2):
             assert set(key[owner == i].tolist()) & set(key[owner == i + 1].tolist()), (size, n[i], n[i + 1])
+
+
+def test_lists_over_many_batches_tell_the_same_as_one():
+    """_led over batches of any size: the pairs with leaders, and the lists that go on."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = sorted((int(g), int(rng.integers(0, 40)), int(rng.integers(40, 60)) << 32 | int(rng.integers(0, 12))) for g in np.sort(rng.integers(0, 60, 400)))
+    rows = list({(g, d): (g, d, at) for g, d, at in rows}.values())
+    cols = [np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)]
+
+    def told(step):
+        batches = (pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in cols], ["g", "doc", "at"]) for i in range(0, len(rows), step))
+        lists, pairs = set(), set()
+        for b in jaccard._led(batches, jaccard.OP8):
+            for r in b.to_pylist():
+                (lists if r["kind"] == jaccard.LIST else pairs).add((r["g"], r["a"], r["b"]) if r["kind"] == jaccard.LIST else (r["a"], r["b"]))
+        return lists, pairs
+
+    whole = told(len(rows))
+    near = lambda x, y: bool(jaccard._near(jaccard.OP8, np.array([x]), np.array([y]))[0])
+    for step in (1, 2, 3, 7, 50):
+        lists, pairs = told(step)
+        assert pairs == whole[1]
+        # what a list in parts tells more than it needs is harmless; it never tells less
+        assert whole[0] <= lists
+    by_list = {}
+    for g, d, at in rows:
+        by_list.setdefault(g, []).append((d, at))
+    for g, members in by_list.items():
+        several = [(x, y) for i, x in enumerate(members) for y in members[i + 1 :] if near(x[1], y[1])]
+        kept = {d for h, d, _ in whole[0] if h == g}
+        if several and len(members) > 2:
+            assert kept == {d for d, _ in members}
+        elif several:
+            assert {(x[0], y[0]) for x, y in several} <= whole[1]
+        else:
+            assert not kept
