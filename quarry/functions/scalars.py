@@ -123,11 +123,13 @@ def role_confidence(raw: Column, margin: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two double arrays; 0 where either has no length."""
+    """Cosine of two double arrays; 0 where either has no length, an error where their sizes
+    differ."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot / (na * nb))
+    unlike = F.raise_error(F.concat(F.lit("vectors of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"), F.lit(" numbers"))).cast("double")
+    return F.when(F.size(a) != F.size(b), unlike).when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot / (na * nb))
 
 
 def staleness_days(then: Column, now: Column) -> Column:
@@ -146,3 +148,56 @@ def short_hash(x: Column, n: int) -> Column:
 
 def numeric_type_name(data_type: Column) -> Column:
     return F.lower(data_type).rlike("int|numeric|decimal|double|float|real|money|number")
+
+
+def distinct_words(x: Column) -> Column:
+    """An array's texts, trimmed, without empty ones, each once whatever its case: the first
+    spelling stays, in order."""
+    words = F.filter(F.transform(x, lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))
+    low = F.transform(words, lambda t: F.lower(t))
+    return F.filter(words, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
+
+
+def name_tokens(x: Column) -> Column:
+    """Tokens of an identifier as it is and with its humps parted, each once, in order."""
+    low = lambda t: F.split(F.lower(t), "[^a-z0-9]+")
+    return distinct_words(F.concat(low(x), low(camel_to_space(x))))
+
+
+def identifier_terms(schema: Column, table: Column) -> Column:
+    """What an index holds of a table's name: the whole name, its parts, their tokens."""
+    return F.array_join(distinct_words(F.concat(F.array(F.concat_ws(".", schema, table), schema, table), name_tokens(schema), name_tokens(table))), " ")
+
+
+def first_tokens(x: Column, most: int = 16) -> Column:
+    """At most so many words of a text."""
+    return F.array_join(F.slice(F.filter(F.split(x, r"\s+"), lambda t: t != ""), 1, most), " ")
+
+
+def list_to_json(x: Column) -> Column:
+    return F.to_json(x)
+
+
+def json_to_list(x: Column) -> Column:
+    """A JSON array of texts; empty where it is anything else."""
+    return F.coalesce(F.from_json(x, "array<string>", {"mode": "PERMISSIVE"}), F.array().cast("array<string>"))
+
+
+def without_fence(x: Column) -> Column:
+    """A text without the code fence around it (three backticks, a language's name)."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+
+
+def answered_rows(x: Column, schema: str) -> Column:
+    """The rows of a JSON array in a text, whatever stands around it; none where it has none."""
+    body = F.regexp_extract(without_fence(x), r"(?s)\[.*\]", 0)
+    return F.coalesce(F.from_json(body, f"array<{schema}>", {"mode": "PERMISSIVE"}), F.array().cast(f"array<{schema}>"))
+
+
+def title_case(x: Column) -> Column:
+    """A label of words from a name: order_lines becomes Order Lines."""
+    return F.initcap(F.regexp_replace(x, "_+", " "))
+
+
+def iso_time(x: Column) -> Column:
+    return F.date_format(F.to_utc_timestamp(x, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -1,9 +1,11 @@
 """Read-only graph queries: a subset of Cypher, compiled to frames over the graph's labels.
 
-MATCH (a:Label {p: 'v'})-[r:TYPE|TYPE2]->(b:Label) [WHERE ...] RETURN expr [AS name], ...
-[ORDER BY ...] [LIMIT n], with undirected edges -[...]-, several hops, OPTIONAL MATCH,
-count/sum/min/max/avg/collect with DISTINCT, and $parameters. WHERE and RETURN are Spark
-SQL expressions over a.property. Anything that writes is refused.
+MATCH (a:Label {p: 'v'})-[r:TYPE|TYPE2]->(b:Label) [WHERE ...] [WITH ... [WHERE ...]] RETURN
+expr [AS name], ... [ORDER BY ...] [LIMIT n], with undirected edges -[...]-, several hops,
+OPTIONAL MATCH, count/sum/min/max/avg/collect with DISTINCT, and $parameters. WHERE, WITH and
+RETURN are Spark SQL expressions over a.property; a term of WHERE may be a pattern over known
+variables, with NOT in front or not (a semi or anti join). CALL show_tables() and CALL
+table_info('Label') tell the labels and their properties. Anything that writes is refused.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITES = re.compile(r"\b(create|merge|set|delete|detach|drop|remove|alter|copy|load|call)\b", re.I)
-_CLAUSE = re.compile(r"\b(OPTIONAL\s+MATCH|MATCH|WHERE|RETURN|ORDER\s+BY|LIMIT)\b", re.I)
+_CALL = re.compile(r"\s*call\s+(show_tables|table_info)\s*\(\s*(?:'(\w+)')?\s*\)\s*(?:return\s+\*)?\s*;?\s*", re.I)
+_CLAUSE = re.compile(r"\b(OPTIONAL\s+MATCH|MATCH|WHERE|(?<!STARTS )(?<!ENDS )WITH|RETURN|ORDER\s+BY|LIMIT)\b", re.I)
 _NODE = re.compile(r"\(\s*(\w+)?\s*(?::\s*(\w+))?\s*(?:\{([^}]*)\})?\s*\)")
 _EDGE = re.compile(r"(<)?-(?:\[\s*(\w+)?\s*(?::\s*([\w|:\s]+))?\s*\])?-(>)?")
 _AGG = re.compile(r"^\s*(count|sum|min|max|avg|collect)\s*\(", re.I)
@@ -102,9 +105,58 @@ def _pattern(graph: dict[str, DataFrame], text: str, bound: DataFrame | None, op
     return out
 
 
+def _terms(text: str) -> list[str]:
+    """The terms that AND joins at the top level."""
+    out, depth, cur = [], 0, ""
+    for part in re.split(r"('[^']*'|\"[^\"]*\"|[()\[\]{}]|\bAND\b)", text, flags=re.I):
+        depth += part in ("(", "[", "{")
+        depth -= part in (")", "]", "}")
+        if depth == 0 and part.upper() == "AND":
+            out.append(cur.strip())
+            cur = ""
+        else:
+            cur += part
+    return [*out, cur.strip()]
+
+
+def _spark(text: str) -> str:
+    """A Cypher expression in Spark's words."""
+    text = re.sub(r"([\w.]+)\s+STARTS\s+WITH\s+('[^']*')", r"startswith(\1, \2)", text, flags=re.I)
+    text = re.sub(r"([\w.]+)\s+ENDS\s+WITH\s+('[^']*')", r"endswith(\1, \2)", text, flags=re.I)
+    text = re.sub(r"([\w.]+)\s+CONTAINS\s+('[^']*')", r"contains(\1, \2)", text, flags=re.I)
+    text = re.sub(r"\bIN\s*\[([^\]]*)\]", r"IN (\1)", text, flags=re.I)
+    text = re.sub(r"(?i)\blist_distinct\s*\(", "array_distinct(", text)
+    return re.sub(r"(?i)\blist_concat\s*\(", "concat(", text).replace("<>", "!=")
+
+
+def _where(graph: dict[str, DataFrame], out: DataFrame, body: str) -> DataFrame:
+    for term in _terms(body):
+        m = re.match(r"(NOT\s+)?(\(\s*\w*\s*(?::\s*\w+\s*)?(?:\{[^}]*\}\s*)?\)\s*<?-.*)$", term, re.I | re.S)
+        out = out.where(F.expr(_spark(term))) if m is None else _matching(graph, out, m.group(2).strip(), "left_anti" if m.group(1) else "left_semi")
+    return out
+
+
+def _matching(graph: dict[str, DataFrame], out: DataFrame, text: str, how: str) -> DataFrame:
+    """Rows for which the pattern is there (or is not): known variables join by node."""
+    known = [v for v in re.findall(r"\(\s*(\w+)", text) if v in out.columns]
+    if not known:
+        raise CypherError(f"the pattern {text!r} has no known variable")
+    every = None
+    for label, df in graph.items():  # a known node may be of any label
+        if "node_id" in df.columns:
+            every = df.select("node_id") if every is None else every.unionByName(df.select("node_id"))
+    inner = re.sub(r"\(\s*(\w+)\s*\)", lambda m: f"({m[1]}:__any)" if m[1] in known else m[0], text)
+    inner = re.sub(r"\(\s*\)", "(:__any)", inner)
+    found = _pattern(graph | {"__any": every}, inner, None, False)
+    names = dict.fromkeys(known)
+    pairs = found.select(*[F.col(f"{v}.node_id").alias(f"__k_{v}") for v in names]).distinct()
+    on = [F.col(f"{v}.node_id") == F.col(f"__k_{v}") for v in names]
+    return out.join(pairs, on, how)
+
+
 def _aggregate(text: str):
     m = _AGG.match(text)
-    inner = text[m.end() : text.rindex(")")].strip()
+    inner = _spark(text[m.end() : text.rindex(")")].strip())
     distinct = re.match(r"distinct\s+", inner, re.I)
     inner = inner[distinct.end() :] if distinct else inner
     name = m.group(1).lower()
@@ -115,8 +167,36 @@ def _aggregate(text: str):
     return F.expr(f"{name}({'distinct ' if distinct else ''}{inner})")
 
 
+def _projected(out: DataFrame, body: str) -> DataFrame:
+    """The items of WITH or RETURN; those without an aggregate are the groups' keys."""
+    distinct = re.match(r"distinct\s+", body, re.I)
+    body = body[distinct.end() :] if distinct else body
+    keys, aggs, names = [], [], []
+    for item in _split(body):
+        expr, _, name = _named(item)
+        names.append(name)
+        (aggs if _AGG.match(expr) else keys).append((expr, name))
+    if aggs:
+        out = out.groupBy(*[F.expr(_spark(e)).alias(a) for e, a in keys]).agg(*[_aggregate(e).alias(a) for e, a in aggs]).select(*names)
+    else:
+        out = out.select(*[F.expr(_spark(e)).alias(a) for e, a in keys])
+    return out.distinct() if distinct else out
+
+
+def _called(graph: dict[str, DataFrame], procedure: str, label: str | None) -> DataFrame:
+    spark = next(iter(graph.values())).sparkSession
+    if procedure == "show_tables":
+        return spark.createDataFrame(sorted((k, "REL" if k.isupper() else "NODE") for k in graph), "name string, type string")
+    if label not in graph:
+        raise CypherError(f"unknown label {label!r}")
+    return spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(graph[label].schema.fields)], "property_id int, name string, type string")
+
+
 def query(graph: dict[str, DataFrame], text: str, parameters: dict | None = None) -> DataFrame:
     """The result of a read-only query; raises CypherError on what it does not know."""
+    call = _CALL.fullmatch(text)
+    if call:
+        return _called(graph, call.group(1).lower(), call.group(2))
     bare = re.sub(r"'[^']*'|\"[^\"]*\"", "''", text)
     if _WRITES.search(bare):
         raise CypherError("only reading queries are allowed")
@@ -128,22 +208,11 @@ def query(graph: dict[str, DataFrame], text: str, parameters: dict | None = None
         if clause in ("MATCH", "OPTIONAL MATCH"):
             out = _pattern(graph, body, out, clause == "OPTIONAL MATCH")
         elif clause == "WHERE":
-            out = out.where(F.expr(body.replace("<>", "!=")))
-        elif clause == "RETURN":
-            distinct = re.match(r"distinct\s+", body, re.I)
-            body = body[distinct.end() :] if distinct else body
-            keys, aggs, names = [], [], []
-            for item in _split(body):
-                expr, _, name = _named(item)
-                names.append(name)
-                (aggs if _AGG.match(expr) else keys).append((expr, name))
-            if aggs:
-                out = out.groupBy(*[F.expr(e).alias(a) for e, a in keys]).agg(*[_aggregate(e).alias(a) for e, a in aggs]).select(*names)
-            else:
-                out = out.select(*[F.expr(e).alias(a) for e, a in keys])
-            out = out.distinct() if distinct else out
+            out = _where(graph, out, body)
+        elif clause in ("WITH", "RETURN"):
+            out = _projected(out, body)
         elif clause == "ORDER BY":
-            order = [F.expr(re.sub(r"(?i)\s+(asc|desc)$", "", x)).desc() if re.search(r"(?i)\sdesc$", x) else F.expr(re.sub(r"(?i)\s+asc$", "", x)) for x in _split(body)]
+            order = [F.expr(_spark(re.sub(r"(?i)\s+(asc|desc)$", "", x))).desc() if re.search(r"(?i)\sdesc$", x) else F.expr(_spark(re.sub(r"(?i)\s+asc$", "", x))) for x in _split(body)]
             out = out.orderBy(*order)
         elif clause == "LIMIT":
             out = out.limit(int(body))
@@ -157,11 +226,45 @@ def _named(item: str) -> tuple[str, str, str]:
     return (item[: m.start()], "", m.group(1)) if m else (item, "", item.replace(".", "_") if re.fullmatch(r"[\w.]+", item) else item)
 
 
+#: Nodes of a parsed plan that only read. Whatever else stands in a plan is refused.
+_READING = re.compile(
+    r"Unresolved(Relation|With|Having|Hint|SubqueryColumnAliases|InlineTable|TableValuedFunction|OrdinalInOrderBy|Pivot|Unpivot|Qualify)?|Project|Filter|Aggregate|Sort|GlobalLimit|LocalLimit|Limit\w*|Offset|Tail|Distinct|Deduplicate\w*|Join|AsOfJoin|Union|UnionLoop\w*|Except|Intersect|"
+    r"SubqueryAlias|CTERelation\w*|WithCTE|WithWindowDefinition|Window|Generate|Expand|Sample|LocalRelation|OneRowRelation|Range|Values|LateralJoin|Pivot|Unpivot|View|TableValuedFunction\w*|ParameterizedQuery|NameParameterizedQuery|PosParameterizedQuery|ResolvedHint|BaseEvalPython|Transpose|PipeOperator|PipeExpression"
+)
+
+
+def writing_nodes(spark: SparkSession, sql: str) -> list[str]:
+    """Names of the nodes in a statement's plan (subqueries and CTEs included) that do more
+    than read."""
+    found: list[str] = []
+
+    def expression(e) -> None:
+        if e.nodeName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+            node(e.plan())
+        for i in range(e.children().size()):
+            expression(e.children().apply(i))
+
+    def node(x) -> None:
+        if not _READING.fullmatch(x.nodeName()):
+            found.append(x.nodeName())
+            return
+        if x.nodeName() == "UnresolvedWith":
+            for i in range(x.cteRelations().size()):
+                node(x.cteRelations().apply(i)._2())
+        for i in range(x.children().size()):
+            node(x.children().apply(i))
+        for i in range(x.expressions().size()):
+            expression(x.expressions().apply(i))
+
+    node(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
+    return found
+
+
 def run_sql(spark: SparkSession, graph: dict[str, DataFrame], sql: str) -> DataFrame:
-    """SQL over the labels as views; only queries, by the parsed plan."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    if re.search(r"Insert|Update|Merge|Delete|Create|Drop|Alter|Command|Truncate|Set|Replace", plan.nodeName()):
-        raise CypherError(f"only queries are allowed, not {plan.nodeName()}")
+    """SQL over the labels as views; only queries: every node of the parsed plan must read."""
+    writes = writing_nodes(spark, sql)
+    if writes:
+        raise CypherError(f"only queries are allowed, not {', '.join(writes)}")
     for label, df in graph.items():
         df.createOrReplaceTempView(label)
     return spark.sql(sql)

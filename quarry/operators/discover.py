@@ -109,10 +109,10 @@ def register_scorer(name: str, scorer: Scorer) -> None:
     SCORERS[name] = scorer
 
 
-def discover(columns: DataFrame, foreign_keys: DataFrame, aliases: DataFrame | None = None, overlaps: DataFrame | None = None) -> DataFrame:
+def discover(columns: DataFrame, foreign_keys: DataFrame, aliases: DataFrame | None = None, overlaps: DataFrame | None = None, scorers: dict[str, Scorer] | None = None, combine: Callable[[DataFrame], DataFrame] = strongest) -> DataFrame:
     """All scorers, signals, without declared joins and shadow aliases, strongest first."""
-    found = reduce(DataFrame.unionByName, [s(columns) for s in SCORERS.values()])
-    found = strongest(without_declared(apply_catalog_signals(found, columns), foreign_keys))
+    found = reduce(DataFrame.unionByName, [s(columns) for s in (SCORERS if scorers is None else scorers).values()])
+    found = combine(without_declared(apply_catalog_signals(found, columns), foreign_keys))
     if aliases is not None:
         for side in ("src_table", "dst_table"):
             found = found.join(aliases.select(F.col("table_name").alias(side)), side, "left_anti")

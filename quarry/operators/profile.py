@@ -14,6 +14,12 @@ def _plain(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
 
 
+def flattened(df: DataFrame) -> DataFrame:
+    """df with its nested columns as JSON text, so that they are profiled like others."""
+    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    return df.withColumns({c: F.to_json(F.col(f"`{c}`")) for c in nested}) if nested else df
+
+
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: column_name, row_count, null_count, distinct_count, min_value,
     max_value, null_pct. Values are compared in their type and then shown as text.
@@ -22,6 +28,7 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     from one more pass over (column, value) pairs, whose duplicates are combined before
     the shuffle, so no task holds a column's values.
     """
+    df = flattened(df)
     cols = _plain(df)
     aggs = []
     for i, c in enumerate(cols):
@@ -40,13 +47,16 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 def values(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """column_name, value (text) of every non-null cell."""
+    df = flattened(df)
     cols = cols or _plain(df)
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
     return df.select(F.explode(cells).alias("x")).select("x.column_name", "x.value").where(F.col("value").isNotNull())
 
 
 def distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    return values(df, cols).distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    """column_name, distinct_count. Long texts are told apart by their SHA-256."""
+    short = F.when(F.length("value") > 64, F.sha2(F.col("value").cast("binary"), 256)).otherwise(F.col("value"))
+    return values(df, cols).withColumn("value", short).distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
 
 
 def low_cardinality_values(df: DataFrame, most: int = LOW_CARDINALITY) -> DataFrame:

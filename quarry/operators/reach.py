@@ -32,22 +32,42 @@ def impact(edge: DataFrame, table: str, column: str | None = None, max_depth: in
     return every.select("table_name", "hop", "confidence", "via", bucket.alias("bucket"))
 
 
-def closure(spark, pairs: DataFrame, max_depth: int = 64) -> DataFrame:
-    """child, ancestor: the transitive closure of pairs (child, parent), by recursion in
-    the engine; cycles end since only new pairs go on."""
-    pairs.createOrReplaceTempView("__quarry_pairs")
-    return spark.sql(f"""
-        WITH RECURSIVE up(child, ancestor, depth) AS (
-          SELECT child, parent, 1 FROM __quarry_pairs
-          UNION ALL SELECT u.child, p.parent, u.depth + 1 FROM up u JOIN __quarry_pairs p ON u.ancestor = p.child WHERE u.depth < {max_depth} AND u.child <> p.parent)
-        SELECT DISTINCT child, ancestor FROM up""")
-
-
-def grants_of_roles(grants: DataFrame, memberships: DataFrame, max_depth: int = 16) -> DataFrame:
+def reached(seeds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """seed, node: each seed of seeds(seed) with itself and all that pairs (child, parent) lead
+    to from it, however far. A frontier goes on only by what it had not reached, so a cycle
+    ends and a lattice costs each pair once."""
+    step = pairs.select(F.col("child").alias("node"), F.col("parent").alias("next")).where("child <> parent").distinct()
+    every = seeds.select("seed", F.col("seed").alias("node")).distinct()
+    front = every
+    while True:
+        front = front.join(step, "node").select("seed", F.col("next").alias("node")).distinct().join(every, ["seed", "node"], "left_anti")
+        front = checkpointed(front)
+        if not front.take(1):
+            return every
+        every = checkpointed(every.unionByName(front))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, where the session has a folder for that."""
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        return df.cache()
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def closure(pairs: DataFrame) -> DataFrame:
+    """child, ancestor: the transitive closure of pairs (child, parent)."""
+    return reached(pairs.select(F.col("child").alias("seed")), pairs).where("seed <> node").select(F.col("seed").alias("child"), F.col("node").alias("ancestor"))
+
+
+def grants_of_roles(grants: DataFrame, memberships: DataFrame) -> DataFrame:
     """grantee, table_name: SELECT grants with those of all roles that a role belongs to;
     memberships(child, parent); PUBLIC is no grantee."""
     select = grants.where(F.upper("privilege") == "SELECT").select("grantee", "table_name")
-    up = closure(grants.sparkSession, memberships, max_depth)
+    up = closure(memberships)
     inherited = up.join(select, up["ancestor"] == select["grantee"]).select(F.col("child").alias("grantee"), "table_name")
     return select.unionByName(inherited).where(F.upper("grantee") != "PUBLIC").distinct()
 

@@ -2,42 +2,97 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from quarry.functions import scalars as S
+from quarry.sources import files
+
 K1, B = 1.2, 0.75
+#: the layout of a stored index
+LAYOUT = 2
+#: lower-case letters with marks, and the letters without them
+_MARKED = "".join(c for c in map(chr, range(0xE0, 0x250)) if c.islower() and len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii())
+_PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
 # Weights of the fields of a catalog document.
 WEIGHTS = {"name": 1.0, "description": 1.0, "table_text": 1.4, "cluster_context": 0.2}
 
 
+def _measure(stem: str) -> int:
+    """How many vowel-consonant sequences a stem has."""
+    kinds = "".join("v" if _vowel(stem, i) else "c" for i in range(len(stem)))
+    return len(re.findall("v+c+", kinds))
+
+
+def _vowel(w: str, i: int) -> bool:
+    return w[i] in "aeiou" or (w[i] == "y" and i > 0 and not _vowel(w, i - 1))
+
+
+def _short_end(w: str) -> bool:
+    """Ends in consonant, vowel, consonant, the last not w, x or y."""
+    n = len(w)
+    return n >= 3 and not _vowel(w, n - 1) and _vowel(w, n - 2) and not _vowel(w, n - 3) and w[-1] not in "wxy"
+
+
+# The suffixes of the published algorithm (Porter 1980), steps 2 to 4.
+_STEP2 = dict(x.split(":") for x in "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log".split())
+_STEP3 = dict(x.split(":") for x in "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split())
+_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+
+
 def porter(word: str) -> str:
-    """A light English stemmer: plurals, -ed, -ing and a final y."""
+    """Porter's English stemmer."""
     w = word
-    if len(w) <= 2:
+    if len(w) <= 2 or not w.isascii():
         return w
-    vowel = lambda x: any(c in "aeiouy" for c in x)
+    has_vowel = lambda x: any(_vowel(x, i) for i in range(len(x)))
     for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
         if w.endswith(end):
             w = w[: len(w) - len(end)] + new
             break
-    for end in ("eed", "ed", "ing"):
-        if w.endswith(end):
-            stem = w[: -len(end)]
-            if end == "eed":
-                w = stem + "ee" if vowel(stem) else w
-            elif vowel(stem):
-                w = stem
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "lsz":
-                    w = w[:-1]
-            break
-    return w[:-1] + "i" if w.endswith("y") and vowel(w[:-1]) else w
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    else:
+        for end in ("ed", "ing"):
+            if w.endswith(end):
+                if has_vowel(w[: -len(end)]):
+                    w = w[: -len(end)]
+                    if w.endswith(("at", "bl", "iz")):
+                        w += "e"
+                    elif len(w) > 1 and w[-1] == w[-2] and not _vowel(w, len(w) - 1) and w[-1] not in "lsz":
+                        w = w[:-1]
+                    elif _measure(w) == 1 and _short_end(w):
+                        w += "e"
+                break
+    if w.endswith("y") and has_vowel(w[:-1]):
+        w = w[:-1] + "i"
+    for table in (_STEP2, _STEP3):
+        end = max((e for e in table if w.endswith(e)), key=len, default=None)
+        if end and _measure(w[: -len(end)]) > 0:
+            w = w[: -len(end)] + table[end]
+    end = max((e for e in _STEP4 if w.endswith(e)), key=len, default=None)
+    if end and _measure(w[: -len(end)]) > 1 and (end != "ion" or w[: -len(end)].endswith(("s", "t"))):
+        w = w[: -len(end)]
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _short_end(w[:-1]))):
+        w = w[:-1]
+    if w.endswith("ll") and _measure(w) > 1:
+        w = w[:-1]
+    return w
+
+
+def folded(text: Column) -> Column:
+    """Lower case without the marks of composed Latin letters."""
+    return F.translate(F.lower(text), _MARKED, _PLAIN)
 
 
 @pandas_udf(StringType())
@@ -50,7 +105,7 @@ def stemmed(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def tokens(docs: DataFrame, key: str, fields: tuple[str, ...], stem: bool = False) -> DataFrame:
     """key, field, token: every word of every field."""
     parts = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("t")) for f in fields])
-    x = docs.select(key, F.explode(parts).alias("p")).select(key, "p.field", F.explode(F.split(F.lower("p.t"), "[^\\p{L}\\p{N}]+")).alias("token")).where(F.col("token") != "")
+    x = docs.select(key, F.explode(parts).alias("p")).select(key, "p.field", F.explode(F.split(folded(F.col("p.t")), "[^\\p{L}\\p{N}]+")).alias("token")).where(F.col("token") != "")
     return x.withColumn("token", stemmed("token")) if stem else x
 
 
@@ -61,7 +116,8 @@ def bm25(docs: DataFrame, key: str, query: str, fields: dict[str, float] | None
     """
     weights = {f: w for f, w in (fields or WEIGHTS).items() if f in docs.columns}
     every = tokens(docs, key, tuple(weights), stem)
-    words = sorted({porter(w) if stem else w for w in "".join(c.lower() if c.isalnum() else " " for c in query).split()})
+    plain = query.lower().translate(str.maketrans(_MARKED, _PLAIN))
+    words = sorted({porter(w) if stem else w for w in "".join(c if c.isalnum() else " " for c in plain).split()})
     weight = F.create_map(*[x for f, w in weights.items() for x in (F.lit(f), F.lit(w))])
     length = every.groupBy(key).agg(F.count(F.lit(1)).alias("dl"))
     total = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(length.agg(F.sum("dl").alias("dl_sum")))
@@ -84,7 +140,84 @@ def similar(docs: DataFrame, key: str, name: str, k: int = 5, **how) -> DataFram
     return bm25(docs, key, name.replace("_", " "), **how).where(F.col(key) != name).orderBy(F.desc("score"), key).limit(k)
 
 
-def catalog_documents(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """table_name, name, description, table_text: what the index holds of a catalog."""
-    text = columns.groupBy("table_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))), lambda x: F.regexp_replace(x["column_name"], "_", " ")), " ").alias("table_text"))
-    return tables.join(text, "table_name", "left").select("table_name", F.regexp_replace("table_name", "_", " ").alias("name"), (F.col("description") if "description" in tables.columns else F.lit("")).alias("description"), F.coalesce("table_text", F.lit("")).alias("table_text"))
+def catalog_documents(tables: DataFrame, columns: DataFrame, clusters: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """table_name, node_type, name, description, table_text, cluster_context: what the index
+    holds of a catalog. A table's description tells its comment, description, tags, entity type
+    and common values; its text the terms of its name and columns and its entities;
+    clusters(table_name, label, description) give the context. entities(name, description,
+    table_name) are documents of their own."""
+    has = lambda c: c in tables.columns
+    schema = F.when(F.col("table_name").contains("."), F.substring_index("table_name", ".", 1)).otherwise(F.lit("main"))
+    bare = F.substring_index("table_name", ".", -1)
+    struct = F.struct(F.coalesce("ordinal", F.lit(0)).alias("o"), F.col("column_name").alias("c"))
+    names = F.transform(F.array_sort(F.collect_list(struct)), lambda x: x["c"])
+    per = columns.groupBy("table_name").agg(names.alias("names"), *([F.flatten(F.collect_list(S.json_to_list(F.col("most_common_values")))).alias("values")] if "most_common_values" in columns.columns else []))
+    x = tables.join(per, "table_name", "left")
+    none = F.array().cast("array<string>")
+    terms = S.distinct_words(F.concat(F.coalesce("names", none), F.flatten(F.transform(F.coalesce("names", none), S.name_tokens))))
+    parts = [F.concat(F.lit("identifier: "), S.identifier_terms(schema, bare)), F.concat(F.lit("columns: "), F.array_join(terms, " "))]
+    if entities is not None:
+        said = entities.groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "name", "description"))), " ").alias("_entity"))
+        x = x.join(said, "table_name", "left")
+        parts.append(F.concat(F.lit("entity: "), F.col("_entity")))
+    context = F.lit("")
+    if clusters is not None:
+        c = clusters.groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "label", S.first_tokens(F.col("description"))))), " ").alias("_cluster"))
+        x = x.join(c, "table_name", "left")
+        context = F.coalesce("_cluster", F.lit(""))
+    told = [F.nullif(F.col(c), F.lit("")) for c in ("comment", "description") if has(c)]
+    told += [F.concat(F.lit("tags: "), F.nullif(F.array_join("tags", " "), F.lit("")))] if has("tags") else []
+    told += [F.concat(F.lit("entity_type: "), F.col("entity_type"))] if has("entity_type") else []
+    told += [F.concat(F.lit("common_values: "), F.nullif(F.array_join(S.distinct_words(F.coalesce("values", none)), " "), F.lit("")))] if "values" in x.columns else []
+    out = x.select("table_name", F.lit("SchemaTable").alias("node_type"), F.regexp_replace("table_name", "[_.]", " ").alias("name"), F.concat_ws(" ", *told, F.lit("")).alias("description"), F.concat_ws(" ", *parts).alias("table_text"), context.alias("cluster_context"))
+    if entities is not None:
+        docs = entities.select("name", "description").dropDuplicates(["name"])
+        out = out.unionByName(docs.select(F.concat(F.lit("entity:"), F.col("name")).alias("table_name"), F.lit("Entity").alias("node_type"), "name", F.coalesce("description", F.lit("")).alias("description"), F.lit("").alias("table_text"), F.lit("").alias("cluster_context")))
+    return out
+
+
+class SearchIndex(Protocol):
+    """What a search index answers: hits as frames, best first."""
+
+    def search(self, q: str, k: int = 10, database: str | None = None) -> DataFrame: ...
+
+    def similar(self, name: str, k: int = 5) -> DataFrame: ...
+
+
+class KeywordIndex:
+    """Documents of catalogs under a path, with the version of the graph that they tell of."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _meta(self) -> dict:
+        at = f"{self.path}/_META"
+        return json.loads(files.read_text(self.spark, at)) if files.exists(self.spark, at) else {}
+
+    def needs_rebuild(self, versions: dict[str, int]) -> bool:
+        """Whether there is no index, or one of another layout or of older graphs (versions by
+        connection)."""
+        meta = self._meta()
+        return meta.get("layout") != LAYOUT or meta.get("versions") != versions
+
+    def build(self, documents: dict[str, DataFrame], versions: dict[str, int]) -> None:
+        """documents by connection, as catalog_documents gives them."""
+        parts = [d.withColumn("database", F.lit(k)).withColumn("doc", F.concat_ws("::", F.lit(k), "table_name")) for k, d in sorted(documents.items())]
+        every = reduce(DataFrame.unionByName, parts)
+        every.write.mode("overwrite").parquet(f"{self.path}/documents")
+        files.write_text(self.spark, f"{self.path}/_META", json.dumps({"layout": LAYOUT, "versions": versions}))
+
+    def documents(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/documents")
+
+    def search(self, q: str, k: int = 10, database: str | None = None, visible: DataFrame | None = None) -> DataFrame:
+        """node_type, table_name, database, description, snippet, score of the k best tables
+        that are visible (filtered before the cut, so that k are found)."""
+        docs = self.documents()
+        docs = docs.where(F.col("database") == database) if database else docs
+        hits = bm25(docs, "doc", q, stem=True).join(docs, "doc").where("node_type = 'SchemaTable'")
+        hits = hits.join(visible.select("database", "table_name").distinct(), ["database", "table_name"], "left_semi") if visible is not None else hits
+        return hits.orderBy(F.desc("score"), "doc").limit(k).select("node_type", "table_name", "database", "description", S.snippet(F.col("description"), 160).alias("snippet"), "score")
+
+    def similar(self, name: str, k: int = 5) -> DataFrame:
+        return self.search(name.replace("_", " ").replace(".", " "), k + 1).where(F.col("table_name") != name).orderBy(F.desc("score"), "table_name").limit(k)

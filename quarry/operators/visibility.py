@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from quarry.functions import scalars as S
 
@@ -24,9 +25,9 @@ class Profile:
     more: dict = field(default_factory=dict)
 
     def merged(self, other: Profile) -> Profile:
-        """Both profiles' patterns."""
+        """Both profiles' patterns; other settings are the other's where both have them."""
         names = [n for n in self.__dataclass_fields__ if n != "more"]
-        return Profile(**{n: (*getattr(self, n), *(x for x in getattr(other, n) if x not in getattr(self, n))) for n in names})
+        return Profile(**{n: (*getattr(self, n), *(x for x in getattr(other, n) if x not in getattr(self, n))) for n in names}, more=self.more | other.more)
 
 
 def _table_matches(patterns: tuple[str, ...], connection: Column, schema: Column, table: Column) -> Column:
@@ -66,12 +67,36 @@ def visible_columns(p: Profile, columns: DataFrame) -> DataFrame:
 
 
 def redact(result: DataFrame, hidden_ids: DataFrame, id_columns: list[str]) -> DataFrame:
-    """Rows whose identifier is hidden go; hidden identifiers elsewhere become null.
-    hidden_ids(node_id)."""
+    """Rows whose identifier is hidden go; hidden identifiers elsewhere become null, in texts,
+    in lists and in structs alike. hidden_ids(node_id)."""
+    ids = hidden_ids.select("node_id").distinct()
     for c in id_columns:
-        result = result.join(hidden_ids.select(F.col("node_id").alias(c)), c, "left_anti")
-    texts = [c for c, t in result.dtypes if t == "string" and c not in id_columns]
-    for c in texts:
-        hid = hidden_ids.select(F.col("node_id").alias("__hid")).distinct()
-        result = result.join(F.broadcast(hid), result[c] == F.col("__hid"), "left").withColumn(c, F.when(F.col("__hid").isNull(), F.col(c))).drop("__hid")
-    return result
+        result = result.join(ids.withColumnRenamed("node_id", c), c, "left_anti").select(*result.columns)
+    more = [f for f in result.schema.fields if f.name not in id_columns and _has_text(f.dataType)]
+    if not more:
+        return result
+    # one set of what is hidden, a catalog's names
+    hidden = ids.agg(F.collect_set("node_id").alias("__hidden"))
+    x = result.crossJoin(F.broadcast(hidden))
+    for f in more:
+        x = x.withColumn(f.name, _cleared(F.col(f"`{f.name}`"), f.dataType, F.col("__hidden")))
+    return x.select(*[F.col(f"`{c}`") for c in result.columns])
+
+
+def _has_text(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _has_text(kind.elementType)
+    if isinstance(kind, StructType):
+        return any(_has_text(f.dataType) for f in kind.fields)
+    return isinstance(kind, StringType)
+
+
+def _cleared(value: Column, kind: DataType, hidden: Column) -> Column:
+    """The value with null for each hidden name in it."""
+    if isinstance(kind, StringType):
+        return F.when(~F.coalesce(F.array_contains(hidden, value), F.lit(False)), value)
+    if isinstance(kind, ArrayType) and _has_text(kind):
+        return F.transform(value, lambda x: _cleared(x, kind.elementType, hidden))
+    if isinstance(kind, StructType) and _has_text(kind):
+        return F.when(value.isNotNull(), F.struct(*[_cleared(value[f.name], f.dataType, hidden).alias(f.name) for f in kind.fields]))
+    return value

@@ -137,29 +137,35 @@ def _profiled(table: str, cols: list[str]) -> None:
     query(_profile_sql(table, cols))(run)
 
 
-_profiled("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"])
-_profiled("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"])
-_profiled("customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
-_profiled("events", ["event_id", "ts", "user_id", "event_type", "props"])
-_profiled("documents", ["doc_id", "lang", "source", "n_chars"])
+#: every column of the supplied tables that holds single values
+COLUMNS = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"], "documents": ["doc_id", "text", "lang", "source", "n_chars"], "pages": ["page_id", "url", "html"], "benchmark": ["item_id", "text"], "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn", "role", "text"],
+}
+for _t in ("lineitem", "orders", "customer", "part", "supplier", "events", "documents", "pages", "labels", "conversations"):
+    _profiled(_t, COLUMNS[_t])
 
 
-@query("SELECT 'o_orderkey' AS column_name, min(o_orderkey)::VARCHAR AS min_value, max(o_orderkey)::VARCHAR AS max_value FROM orders UNION ALL SELECT 'o_orderpriority', min(o_orderpriority), max(o_orderpriority) FROM orders UNION ALL SELECT 'o_orderstatus', min(o_orderstatus), max(o_orderstatus) FROM orders")
+_BOUNDED = [c for c in COLUMNS["orders"] if c != "o_orderdate"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, min({c})::VARCHAR AS min_value, max({c})::VARCHAR AS max_value FROM orders" for c in _BOUNDED) + " UNION ALL SELECT 'o_orderdate', strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S'), strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM orders")
 def profile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds are taken in the column's type and then shown as text."""
-    df = catalog.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    return profile.column_profile(df).select("column_name", "min_value", "max_value")
+    return profile.column_profile(catalog.read_table(spark, sf_dir, "orders")).select("column_name", "min_value", "max_value")
 
 
-_LOW = ["l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey"]
+_LOW = [c for c in COLUMNS["lineitem"] if c != "l_shipdate"]
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, string_agg(v, '|' ORDER BY v) AS sample_values FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM lineitem WHERE {c} IS NOT NULL) HAVING count(*) <= 50" for c in _LOW))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, string_agg(v, '|' ORDER BY v) AS sample_values FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM lineitem WHERE {c} IS NOT NULL) HAVING count(*) BETWEEN 1 AND 50" for c in _LOW) + " UNION ALL SELECT 'l_shipdate', string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS v FROM lineitem WHERE l_shipdate IS NOT NULL) HAVING count(*) BETWEEN 1 AND 50")
 def low_cardinality_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.low_cardinality_values(catalog.read_table(spark, sf_dir, "lineitem").select(*_LOW))
+    return profile.low_cardinality_values(catalog.read_table(spark, sf_dir, "lineitem"))
 
 
-_MCV = {"orders": ["o_orderpriority", "o_custkey"]}
+_MCV = {"orders": [c for c in COLUMNS["orders"] if c not in ("o_orderdate", "o_totalprice")]}
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS frequency, (row_number() OVER (ORDER BY count(*) DESC, {c}::VARCHAR))::INT AS rank FROM orders WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 20" for c in _MCV["orders"]))
@@ -172,7 +178,7 @@ def histogram_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.exact_quantiles(catalog.read_table(spark, sf_dir, "orders"), "o_totalprice", 4)
 
 
-_PK_TABLES = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "supplier": ["s_suppkey", "s_name", "s_nationkey"], "part": ["p_partkey", "p_brand", "p_size"], "orders": ["o_orderkey", "o_custkey"], "labels": ["doc_id", "quality"]}
+_PK_TABLES = COLUMNS
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name FROM {t} HAVING count(*) = count(DISTINCT {c}) AND count(*) > 0" for t, cs in _PK_TABLES.items() for c in cs))
@@ -295,19 +301,42 @@ def fk_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.degrees(tables, catalog.foreign_keys(spark))
 
 
-#: name, columns, fk_out, fk_in, rows -> expected role
+#: own cases: name, columns, fk_out, fk_in, rows, sequential and index scans, inserts, updates
 ROLE_ROWS = [
-    ("user_roles", ["user_id", "role_id"], 0, 0, None, "junction"), ("stg_raw_events", [], 0, 0, None, "staging"), ("orders_audit", ["id", "old_value"], 0, 0, None, "audit"),
-    ("dim_customer", ["customer_id", "name"], 0, 0, None, "dimension"), ("products", ["id", "name"], 0, 0, None, "entity_candidate"), ("schema_migrations", ["version"], 0, 0, None, "system"),
-    ("pg_stat_statements", ["query"], 0, 0, None, "system"), ("sales_lineitems", ["order_id", "product_id", "store_id", "date_id", "amount"], 4, 0, 2_000_000, "fact"),
-    ("orders", ["o_orderkey", "o_custkey", "o_totalprice"], 1, 1, 15_000, "aggregate"), ("agg_daily", ["day", "sum_sales", "avg_price", "count_sales"], 0, 0, 100, "aggregate"),
+    ("tmp_upload", ["line", "raw"], 0, 0, 40, None, None, None, None), ("raw_clicks", ["at", "url", "agent"], 0, 0, 90_000, 950, 10, None, None), ("price_history", ["price_id", "valid_from_date", "valid_to_date"], 1, 0, None, None, None, None, None),
+    ("schema_migrations", ["version"], 0, 0, None, None, None, None, None), ("pg_buffers", ["a"], 0, 0, None, None, None, None, None), ("actor_film", ["actor_id", "film_id"], 2, 0, 5000, None, None, None, None),
+    ("fct_shipments", ["shipment_id", "order_id", "carrier_id", "day_date", "weight"], 3, 0, 700_000, 5000, 10, 9000, 100), ("lineitem", COLUMNS["lineitem"], 3, 0, 6_000_000, None, None, None, None), ("dim_store", ["store_id", "city"], 0, 3, 200, None, None, None, None),
+    ("nation", COLUMNS["nation"], 1, 2, 25, None, None, None, None), ("region", COLUMNS["region"], 0, 1, 5, None, None, None, None), ("bridge_accounts", ["account_id", "owner_id", "since"], 2, 2, 800, None, None, None, None), ("hub", ["id", "a", "b", "c", "d"], 4, 4, 800, None, None, None, None),
+    ("summary_week", ["week", "sum_net", "avg_tax"], 0, 0, 52, None, None, None, None), ("invoices", ["invoice_id", "total_due", "customer_id"], 1, 1, 3000, None, None, None, None), ("snap_stock", ["sku", "taken_date", "until_date"], 1, 0, 90, None, None, None, None), ("notes", ["body"], 0, 0, None, None, None, None, None), ("x", [], 0, 0, None, None, None, None, None),
 ]
-
-
-@query("WITH " + _values("x", "table_name, role", [(r[0], r[5]) for r in ROLE_ROWS]) + " SELECT * FROM x")
+_ROLE_SQL = "WITH " + _values("x", "t, cols, o, i, n, ss, xs, ins, upd", ROLE_ROWS) + r""",
+ y AS (SELECT *, lower(trim(t)) AS lt, len(cols) AS k, coalesce(ins, 0) + coalesce(upd, 0) AS wr, coalesce(ss, 0) AS rd, coalesce(ss, 0) + coalesce(xs, 0) AS sc,
+   len(list_filter(cols, lambda c: regexp_matches(c, '(?i)_id$'))) AS fkc, len(list_filter(cols, lambda c: regexp_matches(c, '(?i)(^|_)(date|time|timestamp|day|month|year)($|_)'))) AS dc,
+   len(list_filter(cols, lambda c: lower(c) = 'id')) > 0 AS has_id, len(list_filter(cols, lambda c: regexp_matches(c, '(?i)^(id|[a-z][a-z0-9_]*_id)$'))) > 0 AS sur,
+   len(list_filter(cols, lambda c: contains(lower(c), 'total') OR regexp_matches(lower(c), '^(sum_|avg_|count_)'))) > 0 AS tot FROM x),
+ z AS (SELECT *, coalesce(sc > 0 AND n > 10000 AND rd / sc > 0.9, false) AS seq FROM y),
+ s AS (SELECT t, [
+   CASE WHEN lt IN ('migrations', 'schema_migrations') OR regexp_matches(lt, '^(ar_internal_|pg_)') THEN 2.5 ELSE 0 END,
+   CASE WHEN regexp_matches(lt, '^(stg_|raw_|tmp_|staging_)') THEN 2.2 ELSE 0 END + CASE WHEN seq THEN 0.15 ELSE 0 END,
+   CASE WHEN regexp_matches(lt, '(_audit|_log|_history|_changelog)$') THEN 2.0 ELSE 0 END,
+   CASE WHEN NOT regexp_matches(lt, '^(dim_|fact_)') AND regexp_matches(trim(t), '^[a-z][a-z0-9]*_[a-z][a-z0-9]*$') AND NOT has_id AND k BETWEEN 2 AND 3 THEN 1.8 ELSE 0 END,
+   CASE WHEN o >= 3 THEN 0.55 + least(0.45, (o - 3) * 0.12) ELSE 0 END + CASE WHEN o = 2 THEN 0.25 ELSE 0 END + CASE WHEN fkc >= 3 AND o >= 2 THEN 0.15 ELSE 0 END + CASE WHEN n > 500000 AND o >= 2 THEN 0.2 ELSE 0 END
+     + CASE WHEN coalesce(ss, ins, upd) IS NOT NULL AND wr > 500 AND rd > 0 AND wr > rd * 0.15 THEN least(0.35::DOUBLE, ln(1 + wr) / 25) ELSE 0 END + CASE WHEN seq THEN 0.15 ELSE 0 END
+     + CASE WHEN regexp_matches(lt, '^(fact_|fct_)') THEN 1.1 WHEN regexp_matches(lt, '(_fact$|_fact_)') THEN 0.85 ELSE 0 END,
+   CASE WHEN i >= 2 AND o <= 1 THEN 0.4 + least(0.35, (i - 2) * 0.12) ELSE 0 END + CASE WHEN k >= 2 AND fkc <= 1 AND o <= 1 THEN 0.2 ELSE 0 END + CASE WHEN n < 50000 AND i >= 1 AND o <= 1 THEN 0.12 ELSE 0 END + CASE WHEN regexp_matches(lt, '(^dim_|_dim$|_dim_)') THEN 1.1 ELSE 0 END,
+   CASE WHEN o >= 2 AND i >= 2 THEN 0.85 + least(0.4, (least(o, i) - 2) * 0.1) ELSE 0 END + CASE WHEN regexp_matches(lt, '(^bridge_|_bridge_|_bridge$)') THEN 1.0 ELSE 0 END,
+   CASE WHEN tot THEN 0.55 ELSE 0 END + CASE WHEN regexp_matches(lt, '^(agg_|aggregate_|summary_|rollup_)') THEN 1.2 ELSE 0 END,
+   CASE WHEN dc >= 2 AND o >= 1 THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(lt, '(snapshot|^snap_|_scd)') THEN 1.0 ELSE 0 END,
+   least(k, 8) * 0.08 / 8.0 + CASE WHEN sur THEN 0.35 ELSE 0.05 END]::DOUBLE[] AS v FROM z),
+ u AS (SELECT t, list_append(v, CASE WHEN list_max(v) < 0.15 THEN 0.25 ELSE 0 END::DOUBLE) AS v FROM s)
+ SELECT t AS table_name, ['system', 'staging', 'audit', 'junction', 'fact', 'dimension', 'bridge', 'aggregate', 'snapshot_scd', 'entity_candidate', 'unknown'][list_position(v, list_max(v))] AS role, round(list_max(v), 4) AS score,
+   round(greatest(0, least(1, 1 - exp(-list_max(v) / 1.4) + least(0.35, 0.45 * (list_max(v) - list_sort(v, 'DESC')[2])))), 4) AS confidence FROM u"""
+
+
+@query(_ROLE_SQL)
 def table_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = spark.createDataFrame([r[:5] for r in ROLE_ROWS], "table_name string, columns array<string>, fk_out bigint, fk_in bigint, row_count bigint")
-    return classify.classify(x.withColumns({c: F.lit(None).cast("bigint") for c in ("seq_scans", "idx_scans", "inserts", "updates")})).select("table_name", "role")
+    x = spark.createDataFrame(ROLE_ROWS, "table_name string, columns array<string>, fk_out bigint, fk_in bigint, row_count bigint, seq_scans bigint, idx_scans bigint, inserts bigint, updates bigint")
+    return classify.classify(x).select("table_name", "role", F.round("score", 4).alias("score"), F.round("confidence", 4).alias("confidence"))
 
 
 @query("WITH RECURSIVE " + _WALK + " SELECT f AS from_table, t AS to_table, depth, round(cost, 6) AS cost, round(conf, 6) AS confidence, low AS min_confidence, ninf AS n_inferred, array_to_string(tables, '>') AS path FROM walk")
@@ -355,17 +384,27 @@ def cluster_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cohesion(spark.createDataFrame(MEMBERS, "cluster string, table_name string"), cluster.weighted_pairs(_edges(spark)))
 
 
-@query()
+@query("SELECT n_name AS table_name, (dense_rank() OVER (ORDER BY -k, least_name) - 1)::BIGINT AS cluster FROM (SELECT n_name, count(*) OVER (PARTITION BY n_regionkey) AS k, min(n_name) OVER (PARTITION BY n_regionkey) AS least_name FROM nation)")
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = spark.createDataFrame([("main", t) for t in catalog.TABLES], "database string, table_name string")
-    return cluster.communities(nodes, cluster.weighted_pairs(_edges(spark)).withColumn("database", F.lit("main")))
+    """Nations of one region are all joined, regions by one weak edge: regions are found."""
+    n = catalog.read_table(spark, sf_dir, "nation")
+    a, b = (n.select(F.col("n_name").alias(c), F.col("n_regionkey").alias(f"r{c}")) for c in "ab")
+    inner = a.join(b, (F.col("ra") == F.col("rb")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(1.0).alias("weight"))
+    first = n.groupBy("n_regionkey").agg(F.min("n_name").alias("f"))
+    weak = first.select(F.col("f").alias("a"), F.col("n_regionkey").alias("r")).join(first.select(F.col("f").alias("b"), (F.col("n_regionkey") - 1).alias("r")), "r").select("a", "b", F.lit(0.1).alias("weight"))
+    name = F.lit("db").alias("database")
+    return cluster.communities(n.select(name, F.col("n_name").alias("table_name")), inner.unionByName(weak).select(name, "*")).select("table_name", "cluster")
 
 
 PATTERN_ROWS = [("s", "fact_a", "fact"), ("s", "dim_x", "dimension"), ("s", "dim_y", "dimension"), ("f", "fact_b", "fact"), ("f", "dim_p", "dimension"), ("f", "dim_q", "dimension"), ("c", "fact_c", "fact"), ("c", "fact_d", "fact"), ("c", "dim_z", "dimension"), ("e", "t1", "entity_candidate"), ("e", "t2", "entity_candidate"), ("u", "lone", "unknown")]
 PATTERN_KEYS = [("fact_a", "x", "dim_x", "id"), ("fact_a", "y", "dim_y", "id"), ("fact_b", "p", "dim_p", "id"), ("dim_p", "q", "dim_q", "id"), ("fact_c", "z", "dim_z", "id"), ("fact_d", "z", "dim_z", "id"), ("t1", "k", "t2", "id")]
 
 
-@query("WITH " + _values("x", "cluster, pattern, n_fact, n_dim", [("s", "star", 1, 2), ("f", "snowflake", 1, 2), ("c", "constellation", 2, 1), ("e", "erd", 0, 0), ("u", "unknown", 0, 0)]) + " SELECT cluster, n_fact::BIGINT AS n_fact, n_dim::BIGINT AS n_dim, pattern FROM x")
+@query("WITH " + _values("m", "c, t, role", PATTERN_ROWS) + ", " + _values("k", "s, sc, d, dc", PATTERN_KEYS) + """, e AS (SELECT DISTINCT a.c, a.t AS s, b.t AS d, a.role AS sr, b.role AS dr FROM k JOIN m a ON a.t = s JOIN m b ON b.t = d AND b.c = a.c),
+ f AS (SELECT c, count(*) FILTER (role = 'fact') AS nf, count(*) FILTER (role = 'dimension') AS nd FROM m GROUP BY c),
+ g AS (SELECT c, max(n) AS shared FROM (SELECT c, d, count(DISTINCT s) AS n FROM e WHERE sr = 'fact' AND dr = 'dimension' GROUP BY c, d) GROUP BY c), h AS (SELECT c, count(*) AS ne, count(*) FILTER (sr = 'dimension' AND dr = 'dimension') AS dd FROM e GROUP BY c)
+ SELECT c AS cluster, nf AS n_fact, nd AS n_dim, CASE WHEN nf >= 2 AND shared >= 2 THEN 'constellation' WHEN nf >= 1 AND nd >= 1 AND dd > 0 THEN 'snowflake' WHEN nf >= 1 AND nd >= 1 THEN 'star' WHEN ne > 0 THEN 'erd' ELSE 'unknown' END AS pattern
+ FROM f LEFT JOIN g USING (c) LEFT JOIN h USING (c)""")
 def schema_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = spark.createDataFrame(PATTERN_ROWS, "cluster string, table_name string, role string")
     return classify.schema_patterns(x.select("cluster", "table_name"), x.select("table_name", "role"), catalog.foreign_keys(spark, PATTERN_KEYS))
@@ -393,7 +432,7 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.diff_snapshots(f(OLD_T, _T), f(NEW_T, _T), f(OLD_C, _C), f(NEW_C, _C))
 
 
-@query("WITH x(action, n) AS (VALUES ('deleted', 1), ('inserted', 1), ('updated', 1)) SELECT action, n::BIGINT AS n FROM x")
+@query("WITH " + _values("o", "t, k, n, c", OLD_T) + ", " + _values("w", "t, k, n, c", NEW_T) + " SELECT CASE WHEN w.t IS NULL THEN 'deleted' WHEN o.t IS NULL THEN 'inserted' ELSE 'updated' END AS action, count(*) AS n FROM o FULL JOIN w ON o.t = w.t WHERE o.t IS NULL OR w.t IS NULL OR (o.k, o.n, o.c) IS DISTINCT FROM (w.k, w.n, w.c) GROUP BY 1")
 def graph_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = spark.createDataFrame
     return drift.patch(f(OLD_T, _T), f(NEW_T, _T), ["table_name"])[1]
@@ -432,9 +471,15 @@ def cypher_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cypher.query(_graph(spark), "MATCH (a:SchemaTable {table_name: 'customer'})-[:FK_REFERENCES]-(m:SchemaTable)-[:FK_REFERENCES]-(b:SchemaTable {table_name: 'region'}) RETURN DISTINCT m.table_name AS through_table")
 
 
-@query("WITH " + _FK + " SELECT label, count(*) AS n FROM (SELECT 'FK_REFERENCES' AS label FROM fk UNION ALL SELECT 'HAS_COLUMN' FROM fk UNION ALL SELECT 'SchemaColumn' FROM fk UNION ALL SELECT 'SchemaTable' FROM (SELECT unnest(range(14)))) GROUP BY label")
+@query("WITH " + _FK + f""", x AS (SELECT 'edge' AS kind, 'FK_REFERENCES' AS label, 'db::main::' || src_table || '->db::main::' || dst_table AS id, src_column || '=' || dst_column AS told FROM fk
+ UNION ALL SELECT 'edge', 'HAS_COLUMN', 'db::main::' || src_table || '->db::main::' || src_table || '::' || src_column, NULL FROM fk UNION ALL SELECT 'node', 'SchemaColumn', 'db::main::' || src_table || '::' || src_column, src_column FROM fk
+ UNION ALL SELECT 'node', 'SchemaTable', 'db::main::' || t, t FROM (SELECT unnest([{_NAMES}]) AS t)) SELECT * FROM x""")
 def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.export(_graph(spark), "db").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """Nodes and edges with what their JSON tells."""
+    x = graph.export(_graph(spark), "db")
+    field = lambda name: F.get_json_object("json", f"$.{name}")
+    told = F.when(F.col("label") == "FK_REFERENCES", F.concat(field("source_column"), F.lit("="), field("target_column"))).when(F.col("label") == "SchemaColumn", field("column_name")).when(F.col("label") == "SchemaTable", field("table_name"))
+    return x.select("kind", "label", "id", told.alias("told"))
 
 
 # ---- search ----------------------------------------------------------------------
@@ -492,7 +537,7 @@ _metric("net", "SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS net
 VIEWS = [("v_sales", "WITH x AS (SELECT * FROM orders) SELECT * FROM x JOIN lineitem l ON x.o_orderkey = l.l_orderkey"), ("v_geo", "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)"), ("v_bad", "SELECT FROM WHERE ((")]
 
 
-@query("WITH x(src_table, dst_table, lineage_type, confidence) AS (VALUES ('lineitem', 'v_sales', 'view_sql', 1.0), ('orders', 'v_sales', 'view_sql', 1.0), ('nation', 'v_geo', 'view_sql', 1.0), ('region', 'v_geo', 'view_sql', 1.0)) SELECT src_table, dst_table, lineage_type, confidence::DOUBLE AS confidence FROM x")
+@query("WITH " + _values("v", "name, body", VIEWS) + f", r AS (SELECT name, unnest(regexp_extract_all(body, '(?:FROM|JOIN)\\s+(\\w+)', 1)) AS t FROM v) SELECT DISTINCT t AS src_table, name AS dst_table, 'view_sql' AS lineage_type, 1.0::DOUBLE AS confidence FROM r WHERE t IN ({_NAMES})")
 def view_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sql_walk.lineage(spark, VIEWS), "src_table string, dst_table string, lineage_type string, confidence double")
 
@@ -533,7 +578,7 @@ def grant_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MANIFEST = json.dumps({
-    "metadata": {"dbt_schema_version": "v10"},
+    "metadata": {"dbt_schema_version": "https://schemas.getdbt.com/dbt/manifest/v10.json"},
     "nodes": {"model.p.orders": {"resource_type": "model", "name": "orders", "schema": "marts", "alias": "fct_orders", "tags": ["core"], "description": "Orders"}, "model.p.stg": {"resource_type": "model", "name": "stg", "schema": "stage"}, "model.p.lone": {"resource_type": "model", "name": "lone", "schema": "marts"},
               "test.1": {"resource_type": "test", "name": "t1", "attached_node": "model.p.orders"}, "test.2": {"resource_type": "test", "name": "t2", "attached_node": "model.p.orders"}, "test.3": {"resource_type": "test", "name": "t3", "attached_node": "source.p.raw.o"}},
     "sources": {"source.p.raw.o": {"name": "o", "source_name": "raw", "schema": "raw", "identifier": "raw_orders"}},
@@ -542,17 +587,25 @@ MANIFEST = json.dumps({
 })
 
 
-@query("SELECT unnest(['marts.fct_orders', 'stage.stg', 'raw.raw_orders']) AS table_name")
+_DBT = f"""WITH RECURSIVE m AS (SELECT {_literal(MANIFEST)}::JSON AS j),
+ n AS (SELECT k AS id, j->'nodes'->k AS o FROM (SELECT j, unnest(json_keys(j->'nodes')) AS k FROM m)), s AS (SELECT k AS id, j->'sources'->k AS o FROM (SELECT j, unnest(json_keys(j->'sources')) AS k FROM m)),
+ tabs AS (SELECT id, (o->>'schema') || '.' || coalesce(nullif(o->>'alias', ''), o->>'name') AS t FROM n WHERE o->>'resource_type' = 'model' UNION ALL SELECT id, (o->>'schema') || '.' || coalesce(nullif(o->>'identifier', ''), o->>'name') FROM s),
+ par AS (SELECT k AS child, unnest(from_json(j->'parent_map'->k, '["VARCHAR"]')) AS parent FROM (SELECT j, unnest(json_keys(j->'parent_map')) AS k FROM m)),
+ seed AS (SELECT unnest(from_json(j->'exposures'->k->'depends_on'->'nodes', '["VARCHAR"]')) AS id FROM (SELECT j, unnest(json_keys(j->'exposures')) AS k FROM m)),
+ up AS (SELECT id FROM seed UNION SELECT parent FROM up JOIN par ON child = id)"""
+
+
+@query(_DBT + " SELECT DISTINCT t AS table_name FROM up JOIN tabs USING (id)")
 def dbt_external_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dbt.external_consumers(dbt.Manifest.parse(spark, MANIFEST))
 
 
-@query("SELECT 'marts.fct_orders' AS table_name, 2::BIGINT AS n_tests")
+@query(_DBT + " SELECT t AS table_name, count(*) AS n_tests FROM n JOIN tabs ON tabs.id = o->>'attached_node' WHERE o->>'resource_type' = 'test' AND starts_with(o->>'attached_node', 'model.') GROUP BY t")
 def dbt_test_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dbt.test_counts(dbt.Manifest.parse(spark, MANIFEST))
 
 
-@query("SELECT * FROM (VALUES ('stage.stg', 'marts.fct_orders'), ('raw.raw_orders', 'stage.stg')) AS x(src_table, dst_table)")
+@query(_DBT + " SELECT DISTINCT a.t AS src_table, b.t AS dst_table FROM par JOIN tabs a ON a.id = parent JOIN tabs b ON b.id = child WHERE a.t <> b.t")
 def dbt_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dbt.lineage(dbt.Manifest.parse(spark, MANIFEST))
 
@@ -590,7 +643,8 @@ DEPS, TEXTS, STREAMS = [("t1", "v1")], [("t1", "v1"), ("t2", "v1"), ("v1", "v1")
 TASK_READS, TASK_WRITES = [("k", "t1"), ("k", "t3")], [("k", "t3"), ("k", "t4")]
 
 
-@query("SELECT src_table, dst_table, lineage_type, confidence::DOUBLE AS confidence FROM (VALUES ('t1', 'v1', 'VIEW', 1.0), ('t2', 'v1', 'VIEW', 0.85), ('t1', 's1', 'STREAM', 1.0), ('t1', 't3', 'TASK', 0.85), ('t1', 't4', 'TASK', 0.85), ('t3', 't4', 'TASK', 0.85)) AS x(src_table, dst_table, lineage_type, confidence)")
+@query("WITH " + ", ".join((_values("d", "s, t", DEPS), _values("x", "s, t", TEXTS), _values("st", "s, t", STREAMS), _values("r", "k, s", TASK_READS), _values("w", "k, t", TASK_WRITES))) + """, e AS (SELECT s, t, 'VIEW' AS kind, 1.0 AS c FROM d UNION SELECT s, t, 'VIEW', 0.85 FROM x WHERE (s, t) NOT IN (SELECT (s, t) FROM d) UNION SELECT s, t, 'STREAM', 1.0 FROM st UNION SELECT s, t, 'TASK', 0.85 FROM r JOIN w USING (k))
+ SELECT s AS src_table, t AS dst_table, kind AS lineage_type, c::DOUBLE AS confidence FROM e WHERE s <> t""")
 def warehouse_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = lambda rows: spark.createDataFrame(rows, "src_table string, dst_table string")
     return warehouse.object_lineage(pair(DEPS), pair(TEXTS), pair(STREAMS), spark.createDataFrame(TASK_READS, "task string, src_table string"), spark.createDataFrame(TASK_WRITES, "task string, dst_table string"))
@@ -599,8 +653,11 @@ def warehouse_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATS = [("a", "x", -0.5, 0.1234, ["p", "q"]), ("a", "y", 7.0, 0.0, None), ("b", "z", 3.0, 1.0, [])]
 
 
-@query("SELECT * FROM (VALUES ('a', 'x', 50::BIGINT, 12.34::DOUBLE, 'p,q'), ('a', 'y', 7, 0.0, NULL), ('b', 'z', 3, 100.0, '')) AS v(table_name, column_name, distinct_count, null_pct, mcv)")
+@query("WITH " + _values("s", "t, c, nd, nf, mcv", STATS) + ", n(t, k) AS (VALUES ('a', 100)) SELECT t AS table_name, c AS column_name, CASE WHEN nd < 0 THEN round(-nd * k) ELSE nd END::BIGINT AS distinct_count, round(nf * 100, 2)::DOUBLE AS null_pct, array_to_string(mcv[1:20], ',') AS mcv FROM s LEFT JOIN n USING (t)")
 def warehouse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = spark.createDataFrame([("a", 100)], "table_name string, row_count long")
     x = warehouse.catalog_statistics(spark.createDataFrame(STATS, "table_name string, column_name string, n_distinct double, null_frac double, mcv array<string>"), counts)
     return x.withColumn("mcv", F.array_join("mcv", ","))
+
+
+from quarry import catalog_queries  # noqa: E402, F401

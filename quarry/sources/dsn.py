@@ -31,6 +31,9 @@ class Address:
         if self.dialect == "snowflake":
             extra = urlencode([("db", self.database), ("schema", self.schema), *self.options])
             return f"jdbc:snowflake://{self.host}.snowflakecomputing.com/?{extra}"
+        if self.dialect == "bigquery":
+            extra = "".join(f";{k}={v}" for k, v in (("DefaultDataset", self.schema), *self.options) if v)
+            return f"jdbc:bigquery://https://www.googleapis.com/bigquery/v2:443;ProjectId={self.database}{extra}"
         raise ValueError(f"{self.dialect} has no JDBC address")
 
     def text(self, password: bool = False) -> str:
@@ -112,3 +115,15 @@ def parse_qualified(text: str, database: str) -> tuple[str, str] | None:
     if len(parts) != 3 or parts[0].lower() != database.lower():
         return None
     return parts[1], parts[2]
+
+
+def sealed(spark, text: str, key: str) -> str:
+    """An address encrypted for storing (AES-GCM; the key is any text, hashed to 256 bits)."""
+    got = spark.sql("SELECT base64(aes_encrypt(:t, unhex(sha2(:k, 256)), 'GCM')) AS s", args={"t": text, "k": key})
+    return got.first()["s"]
+
+
+def opened(spark, text: str, key: str) -> str:
+    """The address again; with another key an error."""
+    got = spark.sql("SELECT decode(aes_decrypt(unbase64(:t), unhex(sha2(:k, 256)), 'GCM'), 'UTF-8') AS s", args={"t": text, "k": key})
+    return got.first()["s"]

@@ -15,16 +15,17 @@ STALE_DAYS = 90
 MOST_COMMON = 20
 
 
-def access(reads: DataFrame, writes: DataFrame, tables: DataFrame, now: Column, stale_days: int = STALE_DAYS) -> DataFrame:
+def access(reads: DataFrame, writes: DataFrame, tables: DataFrame, now: Column, stale_days: int = STALE_DAYS, include_unread: bool = False) -> DataFrame:
     """reads(fq_name, at), writes(fq_name): one row per access; tables(table_name) ->
     table_name, access_read_count, access_write_count, days_since_last_access,
     potentially_unused (never read, or not for stale_days). A list of accessed objects is
-    exploded by the caller; each side is counted before the full outer join."""
+    exploded by the caller; each side is counted before the full outer join. With
+    include_unread, tables that nobody touched have their row too."""
     r = reads.groupBy("fq_name").agg(F.count(F.lit(1)).alias("rc"), F.max("at").alias("last"))
     w = writes.groupBy("fq_name").agg(F.count(F.lit(1)).alias("wc"))
     x = r.join(w, "fq_name", "full")
     days = staleness_days(F.col("last"), now)
-    x = x.join(tables, F.col("fq_name") == F.col("table_name"))
+    x = tables.join(x, F.col("fq_name") == F.col("table_name"), "left" if include_unread else "inner")
     return x.select("table_name", F.coalesce("rc", F.lit(0)).alias("access_read_count"), F.coalesce("wc", F.lit(0)).alias("access_write_count"), days.alias("days_since_last_access"), (F.col("rc").isNull() | (days >= stale_days)).alias("potentially_unused"))
 
 

@@ -30,7 +30,8 @@ def test_every_tool_answers(w, spark):
     assert tools.call(w, "context", table="natoin") == {"error": "table 'natoin' is unknown", "suggestions": ["nation"]}
     less = tools.Workspace(spark, "db", catalog.ParquetSource(spark, DATA, TABLES[1:]))
     got = tools.call(w, "detect_changes", before=less)
-    assert [(c["change_type"], c["table_name"]) for c in got["changes"]] == [("added", "region")]
+    # without region, nation's column is no foreign key
+    assert [(c["target"], c["change_type"], c["table_name"]) for c in got["changes"]] == [("column", "modified", "nation"), ("table", "added", "region")]
     assert "| nation |" in tools.overview(w)
 
 
