@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import Config
 from quarry.operators import classify, cluster, dbt, discover, drift, entities, graph, paths, search, semantic
+from quarry.operators.reach import checkpointed
 from quarry.operators.steps import Runner, Step
 from quarry.sources import files, snapshot, warehouse
 from quarry.sources.reader import no_rows
@@ -63,7 +64,7 @@ def classified(tables: DataFrame, columns: DataFrame, keys: DataFrame) -> DataFr
 
 
 def _classify(c: dict[str, Any]) -> dict:
-    c["roles"] = classified(c["tables"], c["columns"], c["keys"]).cache()
+    c["roles"] = checkpointed(classified(c["tables"], c["columns"], c["keys"]))
     t = c["graph"]["SchemaTable"].drop("role", "role_confidence", "signals")
     c["graph"]["SchemaTable"] = t.join(c["roles"].select("table_name", "role", F.col("confidence").alias("role_confidence"), "signals"), "table_name", "left").select(*t.columns, "role", "role_confidence", "signals")
     return {r.role: r.n for r in c["roles"].groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -74,10 +75,10 @@ def _cluster(c: dict[str, Any]) -> dict:
     known = c["tables"].select("table_name")
     for end in ("a", "b"):
         pairs = pairs.join(known.withColumnRenamed("table_name", end), end, "left_semi")
-    c["pairs"] = pairs.cache()
+    c["pairs"] = checkpointed(pairs)
     nodes = known if c.get("aliases") is None else known.join(c["aliases"], "table_name", "left_anti")
     name = F.lit(c["connection"]).alias("database")
-    c["members"] = cluster.communities(nodes.select(name, "table_name"), c["pairs"].select(name, "*"), c["config"].graph.least_cluster, c["config"].graph.resolution).cache()
+    c["members"] = checkpointed(cluster.communities(nodes.select(name, "table_name"), c["pairs"].select(name, "*"), c["config"].graph.least_cluster, c["config"].graph.resolution))
     return {"clusters": c["members"].select("cluster").distinct().count()}
 
 
@@ -85,6 +86,7 @@ def _label(c: dict[str, Any]) -> dict:
     told = cluster.labels(c["members"], c["pairs"], c["roles"], c["tables"])
     known = cluster.cohesion(c["members"], c["pairs"]).join(classify.schema_patterns(c["members"], c["roles"], c["keys"]), "cluster").join(told, "cluster")
     rows = known.select("cluster", "label", F.lit(graph.HEURISTIC).alias("description"), "cohesion", "pattern", "n_tables")
+    rows = checkpointed(rows)
     c["clusters"] = rows
     c["graph"]["Cluster"], c["graph"]["IN_CLUSTER"] = graph.cluster_nodes(c["connection"], rows, c["members"])
     return {}
@@ -106,7 +108,7 @@ def stored_paths(connection: str, best: DataFrame) -> DataFrame:
 
 
 def _join_paths(c: dict[str, Any]) -> dict:
-    best = paths.precompute(c["edges"], c["config"].graph.path_depth)
+    best = checkpointed(paths.precompute(c["edges"], c["config"].graph.path_depth))
     c["graph"]["JoinPath"] = stored_paths(c["connection"], best)
     return {}
 
@@ -124,10 +126,10 @@ def _now() -> str:
 
 def _context(snap: snapshot.Snapshot, config: Config, frames: dict[str, DataFrame]) -> dict[str, Any]:
     keys = snap.foreign_keys.select("src_table", "src_column", "dst_table", "dst_column")
-    aliases = classify.shadow_aliases(snap.tables, snap.lineage, config.graph.alias_sources).cache() if config.graph.collapse_aliases else None
+    aliases = checkpointed(classify.shadow_aliases(snap.tables, snap.lineage, config.graph.alias_sources)) if config.graph.collapse_aliases else None
     rows = snap.tables.select("table_name", "row_count")
-    inferred = discover.discover(discover.signal_defaults(snap.columns.where("parent IS NULL").join(rows, "table_name", "left")), keys, aliases, scorers=config.every_scorer(), combine=config.combine).cache()
-    edges = paths.edges(keys, inferred, aliases).cache()
+    inferred = checkpointed(discover.discover(discover.signal_defaults(snap.columns.where("parent IS NULL").join(rows, "table_name", "left")), keys, aliases, scorers=config.every_scorer(), combine=config.combine))
+    edges = checkpointed(paths.edges(keys, inferred, aliases))
     return {"connection": snap.connection, "config": config, "graph": frames, "tables": snap.tables, "columns": snap.columns, "keys": keys, "aliases": aliases, "inferred": inferred, "edges": edges}
 
 
@@ -149,10 +151,13 @@ def _store(state: State, snap: snapshot.Snapshot, config: Config, steps: Runner,
     at = f"{state.path}/snapshots/{snap.connection}/v={version}"
     snapshot.save(snap, at)  # the questions below read the written rows
     kept = snapshot.load(spark, at, snap.connection, snap.database, snap.dialect)
-    kept.lineage = lineage
+    if manifest:
+        columns, kept.lineage = checkpointed(columns), checkpointed(lineage)
+    else:
+        columns = kept.columns
     c = _context(kept, config, {})
-    c["tables"] = tables.cache()
-    c["graph"] = graph.build(snap.connection, c["tables"], columns, kept.foreign_keys, lineage, c["inferred"])
+    c["tables"] = checkpointed(tables) if manifest else kept.tables
+    c["graph"] = graph.build(snap.connection, c["tables"], columns, kept.foreign_keys, kept.lineage, c["inferred"])
     summary = {"tables": c["tables"].count(), "columns": columns.count(), "foreign_keys": kept.foreign_keys.count(), "inferred_joins": c["inferred"].count(), "steps": steps.run(c), "notes": list(snap.notes)}
     if told is not None:
         summary["dbt"] = told
@@ -200,7 +205,7 @@ def reindex(state: State, source, connection: str, config: Config | None = None,
     at = f"{state.path}/snapshots/{connection}/v={version}"
     snapshot.save(new, at)
     new = snapshot.load(state.spark, at, connection, entry.get("database", ""), entry.get("dialect", ""))
-    changes = drift.diff(old, new).cache()
+    changes = checkpointed(drift.diff(old, new))
     store = state.store(connection)
     patched, counts = drift.patch_graph(store.read(entry["version"]), new, changes, dry_run)
     out = {"changes": [r.asDict() for r in changes.orderBy("target", "table_name", "column_name").collect()], "summary": drift.summary(changes), "patch": counts, "dry_run": dry_run}
@@ -209,8 +214,8 @@ def reindex(state: State, source, connection: str, config: Config | None = None,
         return out
     structural = any(counts[k] for k in ("tables_added", "tables_removed", "columns_added", "columns_removed", "columns_updated", "foreign_keys_synced"))
     if structural:  # what is stale is made again
-        c = _context(new, config, patched)
-        c["graph"]["INFERRED_JOIN"] = graph.connected_only(graph.inferred_edges(connection, c["inferred"]), patched["SchemaTable"])
+        c = _context(new, config, {k: checkpointed(v) for k, v in patched.items() if k not in ("Cluster", "IN_CLUSTER", "JoinPath")})
+        c["graph"]["INFERRED_JOIN"] = graph.connected_only(graph.inferred_edges(connection, c["inferred"]), c["graph"]["SchemaTable"])
         out["steps"] = (steps or default_steps()).run(c)
         patched = c["graph"]
     store.write(patched, version)

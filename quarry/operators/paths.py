@@ -121,7 +121,7 @@ def precompute(edge: DataFrame, max_depth: int = MAX_DEPTH, k: int = 1) -> DataF
 def across(left: DataFrame, bridges: DataFrame, right: DataFrame) -> DataFrame:
     """Paths that cross databases: left(from_table, to_table, min_confidence) ends where a
     confirmed bridge (a_table, b_table, score) begins; confidence is the least of three."""
-    both = bridges.unionByName(bridges.select(F.col("b_table").alias("a_table"), F.col("a_table").alias("b_table"), "score"))
+    both = bridges.unionByName(bridges.select(F.col("b_table").alias("a_table"), F.col("a_table").alias("b_table"), "score")).distinct()
     l_ = left.select("from_table", F.col("to_table").alias("a_table"), F.col("min_confidence").alias("lc"), F.col("depth").alias("ld"))
     r_ = right.select(F.col("from_table").alias("b_table"), "to_table", F.col("min_confidence").alias("rc"), F.col("depth").alias("rd"))
     x = l_.join(both, "a_table").join(r_, "b_table")

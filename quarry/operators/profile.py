@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from quarry.operators.reach import checkpointed
+
 LOW_CARDINALITY = 50
 MOST_COMMON = 20
 
@@ -81,8 +83,20 @@ def histogram(df: DataFrame, column: str, buckets: int = 10, accuracy: int = 100
 
 
 def exact_quantiles(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
-    one = df.agg(F.percentile(column, F.array(*[F.lit(i / buckets) for i in range(buckets + 1)])).alias("bounds"))
-    return one.select(F.posexplode("bounds").alias("bucket", "bound"))
+    """bucket, bound: the exact quantiles 0, 1/buckets, ..., 1, between neighbours where a rank
+    falls between two values. Values are sorted by range, so that no task holds all; ranks
+    are places in a range and the sizes of the ranges before it."""
+    v = checkpointed(df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull()).repartitionByRange("v").withColumn("p", F.spark_partition_id()))
+    sizes = v.groupBy("p").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    ranked = v.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("v")) - 1).join(F.broadcast(sizes), "p")
+    ranked = ranked.select("v", (F.col("r") + F.col("before")).alias("rank"), "total")
+    q = F.array(*[F.struct(F.lit(i).alias("bucket"), F.lit(i / buckets).alias("q")) for i in range(buckets + 1)])
+    at = F.col("x.q") * (F.col("total") - 1)
+    hit = ranked.select("v", "rank", "total", F.explode(q).alias("x")).where((F.col("rank") == F.floor(at)) | (F.col("rank") == F.ceil(at)))
+    weight = F.when(F.floor(at) == F.ceil(at), 1.0).otherwise(1 - F.abs(F.col("rank") - at))
+    return hit.groupBy(F.col("x.bucket").alias("bucket")).agg(F.sum(F.col("v") * weight).alias("bound"))
 
 
 def key_candidates(tables: dict[str, DataFrame]) -> DataFrame:

@@ -20,6 +20,7 @@ from quarry import lifecycle
 from quarry.config import Config
 from quarry.functions import scalars as S
 from quarry.operators import classify, cluster, cypher, discover, drift, entities, graph, paths, profile, reach, search, semantic
+from quarry.operators.reach import checkpointed
 from quarry.operators.visibility import Profile, column_visible, redact, table_visible
 from quarry.plans import sql_walk
 from quarry.sources import snapshot
@@ -48,19 +49,19 @@ class Workspace:
         seen = table_visible(self.profile, F.lit(name), _schema(F.col("table_name")), _bare(F.col("table_name")), kind)
         self.everything = snap
         snap = snap.restricted(snap.tables.where(seen))
-        self.tables = snap.tables.cache()
+        self.tables = checkpointed(snap.tables)
         t = F.col("table_name")
-        self.columns = snap.columns.where(column_visible(self.profile, _schema(t), _bare(t), F.col("column_name"))).cache()
-        self.keys = snap.foreign_keys.cache()
-        self.lineage, self.dialect = snap.lineage.cache(), snap.dialect
-        self.aliases = classify.shadow_aliases(self.tables, self.lineage, self.config.graph.alias_sources).cache()
+        self.columns = checkpointed(snap.columns.where(column_visible(self.profile, _schema(t), _bare(t), F.col("column_name"))))
+        self.keys = checkpointed(snap.foreign_keys)
+        self.lineage, self.dialect = checkpointed(snap.lineage), snap.dialect
+        self.aliases = checkpointed(classify.shadow_aliases(self.tables, self.lineage, self.config.graph.alias_sources))
         flat = self.keys.select("src_table", "src_column", "dst_table", "dst_column")
         if frames and "INFERRED_JOIN" in frames:
-            self.inferred = self._named_joins(frames).cache()
+            self.inferred = checkpointed(self._named_joins(frames))
         else:
             rows = self.tables.select("table_name", "row_count")
-            self.inferred = discover.discover(discover.signal_defaults(self.columns.where("parent IS NULL").join(rows, "table_name", "left")), flat, self.aliases).cache()
-        self.edges = paths.edges(flat, self.inferred, self.aliases if self.config.graph.collapse_aliases else None).cache()
+            self.inferred = checkpointed(discover.discover(discover.signal_defaults(self.columns.where("parent IS NULL").join(rows, "table_name", "left")), flat, self.aliases))
+        self.edges = checkpointed(paths.edges(flat, self.inferred, self.aliases if self.config.graph.collapse_aliases else None))
         self.frames = frames
 
     @classmethod
@@ -346,7 +347,7 @@ def impact(w: Workspace, table: str, column: str | None = None, max_depth: int =
 def detect_changes(w: Workspace, before: Workspace) -> dict:
     """What differs between two states of a connection, and what that touches. Tables that
     either profile hides are not told."""
-    changes = drift.diff(before.everything, w.everything).cache()
+    changes = checkpointed(drift.diff(before.everything, w.everything))
     seen = before.tables.select("table_name").unionByName(w.tables.select("table_name")).distinct()
     changes = changes.join(seen, "table_name", "left_semi")
     ends = F.split("details", " -> ")
