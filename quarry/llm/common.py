@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass handles; a longer text forms a pass of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes (as Spark estimates them) that a range of a sort is made for.
+RANGE_BYTES = 128 << 20
 #: Bytes of an Arrow batch between the JVM and Python.
 BATCH_BYTES = 8 << 20
 
@@ -66,6 +68,13 @@ def discard(*stashed: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ranges(docs: DataFrame) -> int:
+    """Into how many ranges to sort documents: one for RANGE_BYTES of what Spark expects to
+    read, but no fewer than the session deals out."""
+    expected = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-expected // RANGE_BYTES), 1 << 20))
+
+
 def tidy(step: Callable) -> Callable:
     """The step of a mapInArrow, after which its worker (Spark uses it again) gives freed
     memory back."""

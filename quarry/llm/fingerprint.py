@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels
-from quarry.llm.common import as_bytes, passes, stash, tidy
+from quarry.llm.common import as_bytes, passes, ranges, stash, tidy
 
 WORDS = 5
 BINS = 256
@@ -143,10 +143,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next:
     each document against its edited text and the next document by descending doc_id."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
+    ordered = rows.repartitionByRange(ranges(docs), F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
     done = stash(ordered.mapInArrow(tidy(_stream), _SCHEMA + ", head string, tail string").withColumn("part", F.spark_partition_id()), "fingerprints")
     # two texts of each partition; the partitions are a few, whatever the documents are
     heads = done.where(F.col("head").isNotNull()).select("part", "head")

@@ -501,3 +501,15 @@ def representatives(docs: DataFrame, rule: Rule = OP8) -> DataFrame:
     Rows that share the kept doc_id stay."""
     gone = classes(docs, rule).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__q_doc")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__q_doc"], "left_anti")
+
+
+#: the result of classes() with OP8 in DuckDB SQL (for tables whose pairs fit in memory)
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+either AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM either UNION SELECT reach.a, either.b FROM reach JOIN either ON reach.b = either.a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id)"""

@@ -54,4 +54,4 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_substring_dedup, op4_quality_classifier, op5_mixing, op6_license_scan, op7_decontamination, op8_ngram_jaccard_join, op9_token_ids, op10_fingerprints)}
-ORACLES = {"op1_pii": pii.oracle(), "op5_mixing": mixing.ORACLE}
+ORACLES = {"op1_pii": pii.oracle(), "op3_substring_dedup": substring_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE}

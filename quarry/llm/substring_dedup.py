@@ -110,3 +110,14 @@ def dedup(docs: DataFrame, size: int = SIZE, k: int = K) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return dedup(docs).drop("kept")
+
+
+#: the same result in DuckDB SQL (for tables whose windows fit in memory)
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(w[i:i + {SIZE - 1}], ' ') AS s FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - {SIZE - 2})) AS i FROM d)),
+first AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + {SIZE})) AS p FROM win JOIN first USING (s) WHERE doc_id > m),
+words AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""

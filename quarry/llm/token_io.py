@@ -30,14 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels
-from quarry.llm.common import bound_batches, passes, shared_dir, tidy
+from quarry.llm.common import bound_batches, passes, ranges, shared_dir, tidy
 
 END_ID = 0
 #: parts that a worker's cache holds at most and that go to the model in one call, lists that
 #: are gathered at once, and bytes of text that are encoded together
 CACHE_PARTS, CALL, STEP, PASS = 200_000, 2048, 1 << 16, 4 << 20
-#: bytes of text (as Spark estimates them) that a file is made for
-FILE_BYTES = 128 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
@@ -228,19 +226,12 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID)
     return docs.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids array<int>")
 
 
-def _ranges(docs: DataFrame) -> int:
-    """Files to write: one for FILE_BYTES of what Spark expects to read, but no fewer than
-    the session deals out."""
-    expected = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-expected // FILE_BYTES), 1 << 20))
-
-
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, files: int | None = None) -> None:
     """Encode docs (doc_id, text) and write the files under path, in ascending doc_id."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # the hash parts many rows of one doc_id (null, say) among files
     order = ["doc_id", F.xxhash64("text")]
-    ordered = rows.repartitionByRange(files or _ranges(docs), *order).sortWithinPartitions(*order, "text")
+    ordered = rows.repartitionByRange(files or ranges(docs), *order).sortWithinPartitions(*order, "text")
     (encode(ordered, tokenizer, end_id).write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES)
         .option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "true").option("compression", "zstd").parquet(path))
 

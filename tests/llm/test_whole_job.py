@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 import hashlib
 import random
+import re
 
 from llm_frames import frame
 from test_dedup import WORD, as_dict
@@ -217,3 +218,27 @@ def test_lists_over_many_batches_tell_the_same_as_one():
             assert {(x[0], y[0]) for x, y in several} <= whole[1]
         else:
             assert not kept
+
+
+def test_licence_base_search_equals_a_plain_one():
+    from quarry.llm import license_scan
+
+    rng = random.Random(17)
+    parts = ["under", "the", "mit", "license", "apache", "version", "2", "cc", "by", "nc", "x", "MIT", "License", "é", "2a"]
+    one = license_scan.scanner()
+    seen = set()
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "  ", "-", ".\n", "/", "_", ""]) for _ in range(rng.randint(0, 30)))
+        if rng.random() < 0.5:
+            text += rng.choice([p for p, _ in license_scan.BASE]).replace(" ", rng.choice([" ", "-", "; "])).upper()
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(i, label) for phrase, label in license_scan.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        got = one.scan(text.encode())
+        assert got["n_words"] == len(words) and got["n_base"] == len(places)
+        assert (got["first_word"], got["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert got["base_labels"] == ",".join(sorted({x for _, x in places})) and {x for _, x in places} <= set(got["labels"].split(","))
+        for s in got["spans"]:
+            assert " ".join(words[s["first_word"] : s["end_word"]]) == s["found"]
+        seen |= {x for _, x in places}
+    assert len(seen) == 3
