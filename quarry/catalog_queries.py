@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,13 +97,8 @@ def stored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _state(spark: SparkSession) -> lifecycle.State:
-    """A state folder of its own, where the session shares one (else beside the driver)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
-    return lifecycle.State(spark, f"{shared.rstrip('/')}/state-{uuid.uuid4().hex}")
+    """A state folder of its own, where the session's checkpoints are."""
+    return lifecycle.State(spark, f"{reach.checkpoint_folder(spark)}/state-{uuid.uuid4().hex}")
 
 
 @query("WITH " + _FK + ", " + _COLS + f""" SELECT 'FK_REFERENCES' AS label, count(*) AS n, string_agg(src_table || '.' || src_column, ',' ORDER BY src_table, src_column) AS told FROM fk

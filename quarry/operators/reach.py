@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -47,14 +48,23 @@ def reached(seeds: DataFrame, pairs: DataFrame) -> DataFrame:
         every = checkpointed(every.unionByName(front))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, where the session has a folder for that."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. A local session without one gets its own; on a cluster
+    that is an error, as executors would not see it."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df.cache()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written out, with its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
