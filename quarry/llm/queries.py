@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontam, fingerprint, jaccard, license_scan, mixing, pii, quality, substring_dedup, suffix_dedup, token_io
+from quarry.llm import decontam, divergence, fingerprint, jaccard, license_scan, mixing, pii, quality, substring_dedup, suffix_dedup, token_io
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +53,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_substring_dedup, op4_quality_classifier, op5_mixing, op6_license_scan, op7_decontamination, op8_ngram_jaccard_join, op9_token_ids, op10_fingerprints)}
-ORACLES = {"op1_pii": pii.oracle(), "op3_substring_dedup": substring_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_substring_dedup, op4_quality_classifier, op5_mixing, op6_license_scan, op7_decontamination, op8_ngram_jaccard_join, op9_token_ids, op10_fingerprints, op13_source_divergence)}
+ORACLES = {"op1_pii": pii.oracle(), "op3_substring_dedup": substring_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE, "op13_source_divergence": divergence.ORACLE}
