@@ -215,8 +215,8 @@ def tie_borders(ties: DataFrame) -> DataFrame:
         discard(state)
         state = stash(found.where("need < n").select("gid", "need", _common(F.col("low"), F.col("high")).alias("prefix")), "ties")
     discard(state)
-    out = done[0] if done else state.select("gid", F.col("prefix").alias("last"))
-    for more in done[1:]:
+    out = ties.sparkSession.createDataFrame([], f"gid {ties.schema['gid'].dataType.simpleString()}, last string")
+    for more in done:
         out = out.unionByName(more)
     return out
 
