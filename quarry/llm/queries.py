@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontam, divergence, fingerprint, jaccard, license_scan, merkle, mixing, pii, quality, substring_dedup, suffix_dedup, token_io
+from quarry.llm import decontam, divergence, fingerprint, jaccard, license_scan, merkle, mixing, pii, quality, substring_dedup, suffix_dedup, token_io, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +57,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(_documents(spark, sf_dir))
 
 
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_substring_dedup, op4_quality_classifier, op5_mixing, op6_license_scan, op7_decontamination, op8_ngram_jaccard_join, op9_token_ids, op10_fingerprints, op11_merkle_manifest, op13_source_divergence)}
-ORACLES = {"op1_pii": pii.oracle(), "op3_substring_dedup": substring_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op13_source_divergence": divergence.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_substring_dedup, op4_quality_classifier, op5_mixing, op6_license_scan, op7_decontamination, op8_ngram_jaccard_join, op9_token_ids, op10_fingerprints, op11_merkle_manifest, op12_url_filters, op13_source_divergence)}
+ORACLES = {"op1_pii": pii.oracle(), "op3_substring_dedup": substring_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_url_filters": url_filter.oracle(), "op13_source_divergence": divergence.ORACLE}
