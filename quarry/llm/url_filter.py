@@ -7,9 +7,11 @@ learned for the others, host by host:
 1. Templates. From the host down, segment by segment, a node's children are the segments
    that hold at least 1 / LITERALS of its pages (and SUPPORT pages); all others are one
    wildcard, so that a node has at most LITERALS + 1 children however many values there are.
-2. Merging. A child that does not differ from the rest of its node goes into the wildcard:
-   neither in the share of blocked among its labelled pages nor in the share of paths that end
-   there do the two differ by a two-proportion test (Z2 is the square of its bound).
+2. Merging. Two branches are similar if neither the share of blocked among their labelled
+   pages nor the share of paths that end there differs by a two-proportion test (Z2 is the
+   square of its bound). A child that is similar to the rest of its node goes into the wildcard;
+   of the others (in the order of these shares) neighbours that are similar become one branch,
+   which is written `{a|b}`.
 3. Purity. A template's share of blocked pages is smoothed by that of its parent, as if M
    more labelled pages were like the parent; the host's is smoothed by that of all hosts, and
    that by one page of each kind. A template above THRESHOLD is rejected.
@@ -19,16 +21,17 @@ a level is two aggregations (combined before they are shuffled) and a join with
 children that stay, whose hot keys adaptive execution splits. The rules are held by the plan.
 
 Defined cases: a null url or one without '://' has an empty host and path; empty segments
-do not count; a segment that looks like a wildcard is one; a rule listed twice counts once,
-blocking; repeated rows are judged alike and all count; without labels nothing is rejected;
-an empty table gives an empty result; other columns are ignored.
+do not count; a segment that looks like a wildcard or a branch of several is a wildcard; a
+rule listed twice counts once, blocking; repeated rows are judged alike and all count;
+without labels nothing is rejected; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, stash
@@ -81,16 +84,27 @@ _SUMS = ("n", "labelled", "blocked", "ends")
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """host, node, segment of the children that stay apart. rows: host, node, segment, and
-    what is summed."""
+    """host, node, segment, branch of the children that stay apart (LITERALS of a node at
+    most). rows: host, node, segment, and what is summed."""
     total = lambda prefix: [F.sum(c).alias(prefix + c) for c in _SUMS]
     rows = rows.where(F.col("segment").isNotNull())
     whole = rows.groupBy("host", "node").agg(*total("all_"))
-    each = rows.groupBy("host", "node", "segment").agg(*total("")).where((F.col("n") >= SUPPORT) & ~F.col("segment").isin("*", "**"))
+    plain = ~F.col("segment").isin("*", "**") & ~F.col("segment").startswith("{")
+    each = rows.groupBy("host", "node", "segment").agg(*total("")).where((F.col("n") >= SUPPORT) & plain)
+
+    def unlike(other: dict[str, Column]) -> Column:
+        return _differ(F.col("blocked"), F.col("labelled"), other["blocked"], other["labelled"]) | _differ(F.col("ends"), F.col("n"), other["ends"], other["n"])
+
     rest = {c: F.col(f"all_{c}") - F.col(c) for c in _SUMS}
-    other = _differ(F.col("blocked"), F.col("labelled"), rest["blocked"], rest["labelled"]) | _differ(F.col("ends"), F.col("n"), rest["ends"], rest["n"])
-    stays = (F.col("n") * LITERALS >= F.col("all_n")) & other
-    return each.join(whole, ["host", "node"]).where(stays).select("host", "node", "segment", F.lit(True).alias("literal"))
+    each = each.join(whole, ["host", "node"]).where((F.col("n") * LITERALS >= F.col("all_n")) & unlike(rest))
+    bad = F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled")).otherwise(F.lit(-1.0))
+    line = Window.partitionBy("host", "node").orderBy("bad", "short", "segment")
+    each = each.withColumns({"bad": bad, "short": F.col("ends") / F.col("n")})
+    new = F.coalesce(unlike({c: F.lag(c).over(line) for c in _SUMS}), F.lit(False)).cast("int")
+    each = each.withColumn("new", new).withColumn("number", F.sum("new").over(line))
+    members = F.array_sort(F.collect_list("segment").over(Window.partitionBy("host", "node", "number")))
+    branch = F.when(F.size(members) > 1, F.concat(F.lit("{"), F.array_join(members, "|"), F.lit("}"))).otherwise(F.col("segment"))
+    return each.select("host", "node", "segment", branch.alias("branch"))
 
 
 def templates(rows: DataFrame) -> DataFrame:
@@ -102,8 +116,8 @@ def templates(rows: DataFrame) -> DataFrame:
         found = _segments(F.col("path"))
         rows = rows.withColumn("segment", F.get(found, F.lit(level)))
         kept = _children(rows.withColumns({"n": F.lit(1), "ends": (F.size(found) == level + 1).cast("int")}))
-        node = F.when(F.col("segment").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise(F.lit("*"))))
-        rows = stash(rows.join(kept, ["host", "node", "segment"], "left").withColumn("node", node).drop("segment", "literal"), "templates")
+        node = F.when(F.col("segment").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), F.coalesce("branch", F.lit("*"))))
+        rows = stash(rows.join(kept, ["host", "node", "segment"], "left").withColumn("node", node).drop("segment", "branch"), "templates")
         if last is not None:
             discard(last)
         last = rows
@@ -160,10 +174,14 @@ def oracle() -> str:
         levels.append(f"""
 s{d} AS (SELECT *, segments[{d + 1}] AS segment, 1 AS n, (len(segments) = {d + 1})::INT AS ends FROM t{d}),
 w{d} AS (SELECT host, node, {sums} FROM s{d} WHERE segment IS NOT NULL GROUP BY ALL),
-c{d} AS (SELECT e.host, e.node, e.segment FROM (SELECT host, node, segment, {sums} FROM s{d} WHERE segment IS NOT NULL AND segment NOT IN ('*', '**') GROUP BY ALL) e
+e{d} AS (SELECT e.*, CASE WHEN e.labelled > 0 THEN e.blocked / e.labelled ELSE -1.0 END::DOUBLE AS bad, (e.ends / e.n)::DOUBLE AS short
+         FROM (SELECT host, node, segment, {sums} FROM s{d} WHERE segment IS NOT NULL AND segment NOT IN ('*', '**') AND NOT starts_with(segment, '{{') GROUP BY ALL) e
          JOIN w{d} w ON w.host = e.host AND w.node = e.node
          WHERE e.n >= {SUPPORT} AND e.n * {LITERALS} >= w.n AND ({_differ_sql('e.blocked', 'e.labelled', 'w.blocked - e.blocked', 'w.labelled - e.labelled')} OR {_differ_sql('e.ends', 'e.n', 'w.ends - e.ends', 'w.n - e.n')})),
-t{d + 1} AS (SELECT s.* EXCLUDE (node, segment, n, ends), CASE WHEN s.segment IS NULL THEN s.node ELSE s.node || '/' || CASE WHEN c.segment IS NULL THEN '*' ELSE s.segment END END AS node
+l{d} AS (SELECT *, lag(n) OVER x AS pn, lag(labelled) OVER x AS pl, lag(blocked) OVER x AS pb, lag(ends) OVER x AS pe FROM e{d} WINDOW x AS (PARTITION BY host, node ORDER BY bad, short, segment)),
+g{d} AS (SELECT *, sum(coalesce({_differ_sql('blocked', 'labelled', 'pb', 'pl')} OR {_differ_sql('ends', 'n', 'pe', 'pn')}, false)::INT) OVER (PARTITION BY host, node ORDER BY bad, short, segment) AS number FROM l{d}),
+c{d} AS (SELECT host, node, unnest(list(segment)) AS segment, CASE WHEN count(*) > 1 THEN '{{' || string_agg(segment, '|' ORDER BY segment) || '}}' ELSE any_value(segment) END AS branch FROM g{d} GROUP BY host, node, number),
+t{d + 1} AS (SELECT s.* EXCLUDE (node, segment, n, ends), CASE WHEN s.segment IS NULL THEN s.node ELSE s.node || '/' || coalesce(c.branch, '*') END AS node
          FROM s{d} s LEFT JOIN c{d} c ON c.host = s.host AND c.node = s.node AND c.segment = s.segment),""")
     return rf"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -4,7 +4,6 @@ import random
 import re
 from collections import defaultdict
 
-from llm_frames import SCHEMA  # noqa: F401
 from pyspark.sql import functions as F
 
 from quarry.llm import url_filter as u
@@ -48,15 +47,26 @@ def by_hand(rows, rules=u.RULES, labels=None):
                 for key in ((host, node), (host, node, segments[level])):
                     for i, more in enumerate((1, told is not None, bool(told), len(segments) == level + 1)):
                         sums[key][i] += more
+        unlike = lambda x, y: differ(x[2], x[1], y[2], y[1]) or differ(x[3], x[0], y[3], y[0])
+        apart = defaultdict(list)
+        for key, own in sums.items():
+            if len(key) == 3:
+                whole = sums[key[:2]]
+                if key[2] not in ("*", "**") and key[2][0] != "{" and own[0] >= u.SUPPORT and own[0] * u.LITERALS >= whole[0] and unlike(own, [a - b for a, b in zip(whole, own, strict=True)]):
+                    apart[key[:2]].append((own[2] / own[1] if own[1] else -1.0, own[3] / own[0], key[2], own))
+        branch = {}
+        for at, line in apart.items():
+            line.sort(key=lambda x: (x[0], x[1], x[2].encode()))
+            runs = []
+            for i, x in enumerate(line):
+                if not i or unlike(x[3], line[i - 1][3]):
+                    runs.append([])
+                runs[-1].append(x[2])
+            for run in runs:
+                branch.update({(*at, s): run[0] if len(run) == 1 else "{" + "|".join(sorted(run)) + "}" for s in run})
         for p in pages:
             _, host, _, _, _, segments, node = p
-            if len(segments) > level:
-                s = segments[level]
-                (n, labelled, blocked, ends), (an, al, ab, ae) = sums[host, node, s], sums[host, node]
-                stays = s not in ("*", "**") and n >= u.SUPPORT and n * u.LITERALS >= an and (differ(blocked, labelled, ab - blocked, al - labelled) or differ(ends, n, ae - ends, an - n))
-                p.append(node + "/" + (s if stays else "*"))
-            else:
-                p.append(node)
+            p.append(node + "/" + branch.get((host, node, segments[level]), "*") if len(segments) > level else node)
         pages = [[*p[:6], p[7]] for p in pages]
     sums = defaultdict(lambda: [0, 0])
     for p in pages:
@@ -132,7 +142,7 @@ def test_templates_learn_from_labels(spark):
             labels[i] = int(kind == "spam")
     told = spark.createDataFrame(list(labels.items()), "page_id long, blocked int")
     found = u.judge(frame(spark, rows), rules=(), labels=told).collect()
-    assert {r.template for r in found} == {"/*/*", "/spam/*"}
+    assert {r.template for r in found} == {"/{blog|news|shop}/*", "/spam/*"}
     assert all((r.verdict == "block") == ("/spam/" in r.path) for r in found)
     assert got(u.judge(frame(spark, rows), rules=(), labels=told)) == by_hand(rows, (), labels)
 
