@@ -249,8 +249,9 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
     """
     meta = spark.read.schema("doc_id long, n_tokens long").parquet(path).select("doc_id", "n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     files = meta.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    # part-NNNNN of a range sort: names sort as the ranges do
-    offsets = files.select("file", F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    # part-N of a range sort; N has five digits at least, so names do not sort as numbers do
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    offsets = files.select("file", F.coalesce(F.sum("total").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return meta.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(offsets, "file").select("file", "row", "doc_id", "n_tokens", (F.col("offset") + F.col("inner")).alias("start"))
 

@@ -291,3 +291,17 @@ def test_empty_tables(spark):
     none = frame(spark, [(1, "a")]).where(F.lit(False))
     for f in (pii.digest, mixing.mix, mixing.apply_mix, license_scan.digest, token_io.round_trip):
         assert f(none).count() == 0
+
+
+def test_starts_count_files_by_number(spark, tmp_path):
+    """From the 100 000th file on, names have six digits."""
+    path = str(tmp_path / "ids")
+    token_io.write(frame(spark, [(i, f"word {i}") for i in range(40)]), path, files=2)
+    want = {r.doc_id: r.start for r in token_io.starts(spark, path).collect()}
+    names = sorted(p.name for p in (tmp_path / "ids").glob("part-*"))
+    assert len(names) == 2
+    for name, number in zip(names, ("99999", "100000"), strict=True):
+        (tmp_path / "ids" / name).rename(tmp_path / "ids" / name.replace(name[:10], f"part-{number}"))
+        (tmp_path / "ids" / f".{name}.crc").unlink(missing_ok=True)
+    assert {r.doc_id: r.start for r in token_io.starts(spark, path).collect()} == want
+    assert [want[d] for d in sorted(want)] == sorted(want.values())
