@@ -5,11 +5,14 @@ chunks (CHUNK positions, a new one every HOP) keep each filter's maximum; the ch
 maxima are averaged and maximised over the document and combined into one probability.
 Weights are learned by back-propagation (the gradient of a maximum goes to the place
 that reached it) on a bounded sample of labelled documents: in hash order, at most
-TRAIN_ROWS that together hold at most TRAIN_BYTES. Training and scoring cover whole texts.
+TRAIN_ROWS that together hold at most TRAIN_BYTES. Training and scoring cover whole texts,
+long ones in blocks of chunks.
 
 Defined cases: a null or empty text is scored as one empty chunk; without any usable
 label the score is 0.5 everywhere; a doc_id labelled twice counts twice, with each
-label; repeated documents get equal scores; an empty table gives an empty result;
+label; of several texts of one labelled doc_id one is an example; a text that no longer fits
+into the training sample is passed over, and those behind it are not; repeated documents get
+equal scores; an empty table gives an empty result;
 score() keeps all other columns.
 """
 
@@ -19,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quarry.llm.common import as_bytes, bound_batches, passes, tidy
+from quarry.llm.common import as_bytes, bound_batches, discard, passes, stash, tidy
 
 FILTERS, WIDTH, STRIDE = 24, 7, 2
 CHUNK, HOP = 256, 224  # positions, each STRIDE bytes
@@ -34,6 +37,8 @@ TRAIN_ROWS, TRAIN_BYTES = 1600, 32 << 20
 HELD = 1024
 EPOCHS, BATCH, RATE, DECAY = 14, 40, 0.02, 1e-4
 PASS = 1 << 17
+#: A text of more bytes is scored by itself, HELD chunks at a time.
+LONG = 1 << 20
 
 
 def chunk_count(size: int) -> int:
@@ -60,6 +65,33 @@ class Network:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The probability of each whole text."""
+        feature = np.zeros((len(texts), 2 * FILTERS), np.float32)
+        short = [i for i, t in enumerate(texts) if len(t) <= LONG]
+        if short:
+            feature[short] = self._features([texts[i] for i in short])
+        for i, t in enumerate(texts):
+            if len(t) > LONG:
+                feature[i] = self._feature_of_long(t)
+        logit = feature @ self.out + self.offset
+        return 1 / (1 + np.exp(-logit.astype(np.float64)))
+
+    def _feature_of_long(self, text: bytes) -> np.ndarray:
+        spans, chunks = -(-len(text) // STRIDE), chunk_count(len(text))
+        total, most = np.zeros(FILTERS), np.full(FILTERS, -np.inf, np.float32)
+        for k in range(0, chunks, HELD):
+            n = min(HELD, chunks - k)
+            begin, end = k * HOP, min((k + n - 1) * HOP + CHUNK, spans)
+            part = np.frombuffer(text[begin * STRIDE : end * STRIDE + WIDTH].ljust((end - begin + 1) * STRIDE + WIDTH, b"\0"), dtype=np.uint8)
+            z = self.responses(part, end - begin + 1)
+            lo = np.arange(n) * HOP
+            hi = np.minimum(lo + CHUNK, end - begin)
+            top = np.tanh(np.maximum.reduceat(z, np.stack([lo, hi], axis=1).ravel(), axis=0)[::2] + self.bias)
+            total += top.sum(axis=0)
+            most = np.maximum(most, top.max(axis=0))
+        return np.concatenate([total / chunks, most])
+
+    def _features(self, texts: list[bytes]) -> np.ndarray:
+        """Mean and maximum of the chunks' maxima, of each text."""
         padded = b"".join([t + b"\0" * (GAP + len(t) % STRIDE) for t in texts]) + b"\0" * (2 * GAP)
         buf = np.frombuffer(padded, dtype=np.uint8)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -74,8 +106,7 @@ class Network:
         top = np.tanh(np.maximum.reduceat(z, np.stack([lo, hi], axis=1).ravel(), axis=0)[::2] + self.bias)
         mean = np.add.reduceat(top, first, axis=0) / chunks[:, None]
         most = np.maximum.reduceat(top, first, axis=0)
-        logit = np.concatenate([mean, most], axis=1) @ self.out + self.offset
-        return 1 / (1 + np.exp(-logit.astype(np.float64)))
+        return np.concatenate([mean, most], axis=1)
 
 
 def chunks_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -157,14 +188,22 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, seed: int = 7) -> Network | None:
     """The network learned from labelled documents that are not held out: the first `rows`
-    by hash order, as far as their whole texts hold `size` bytes together."""
+    by hash order whose whole texts hold `size` bytes together; one that does not fit is
+    passed over."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__q_doc"), F.col("quality").cast("int").alias("quality"))
     # documents that are not there give no example
     chosen = usable.join(docs.select(F.col("doc_id").alias("__q_doc")).distinct(), "__q_doc", "left_semi").orderBy(F.xxhash64("__q_doc"), "__q_doc", "quality").limit(rows)
-    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__q_doc")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
-    running = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    got = examples.withColumn("total", running).where(F.col("total") <= size).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"]))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__q_doc"))
+    examples = stash(found.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "examples")
+    # at most 2 * rows rows without their texts (a document may have both labels)
+    taken, total = [], 0
+    for r in examples.select("doc_id", "quality", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").collect():
+        if total + r["n"] <= size:
+            taken.append((r["doc_id"], r["quality"]))
+            total += r["n"]
+    got = examples.where(F.col("doc_id").isin([d for d, _ in taken])).collect() if taken else []
+    got = sorted((r for r in got if (r["doc_id"], r["quality"]) in set(taken)), key=lambda r: (r["doc_id"], r["quality"], r["text"]))
+    discard(examples)
     if len({r["quality"] for r in got}) < 2:
         return None
     return train([r["text"].encode() for r in got], np.array([float(r["quality"] > 0) for r in got]), seed)

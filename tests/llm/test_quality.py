@@ -59,3 +59,48 @@ def test_training_takes_whole_texts():
     labels = np.array([float(i % 2) for i in range(60)])
     net = quality.train(texts, labels)
     assert ((net.scores(texts) >= 0.5) == (labels > 0)).mean() > 0.9
+
+
+def test_long_texts_in_blocks_equal_one_pass(monkeypatch):
+    rng = np.random.default_rng(5)
+    net = quality.Network.start(5)
+    texts = [rng.integers(1, 256, n, dtype=np.uint8).tobytes() for n in (1, 449, 512, 513, 5000, 100_001, 250_000)]
+    whole = net.scores(texts)
+    monkeypatch.setattr(quality, "HELD", 7)
+    monkeypatch.setattr(quality, "LONG", 448)
+    assert net.scores(texts) == pytest.approx(whole, abs=1e-6)
+
+
+def test_memory_of_a_long_text_is_bounded():
+    import tracemalloc
+
+    net, text = quality.Network.start(5), b"some words " * 3_000_000
+    tracemalloc.start()
+    net.scores([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 < 97 * len(text)
+
+
+def test_an_oversize_labelled_text_changes_nothing_else(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["good", "fine"] if i % 2 else ["###", "xx"]) for _ in range(40))) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(140)] + [(3, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = lambda more=(): spark.createDataFrame([*rows, *more], "doc_id long, text string")
+    plain = quality.fit(docs(), labels, size=40_000)
+    for big in range(120, 140):
+        net = quality.fit(docs([(big, "y" * 50_000)] * 2), labels, size=40_000)
+        assert np.array_equal(net.filters, plain.filters) and np.array_equal(net.out, plain.out)
+        if big > 123:
+            break
+    assert quality.fit(docs([(rows[0][0], "z")] * 3), labels, rows=50) is not None
+
+
+def test_held_out_accuracy_on_supplied_rows(spark):
+    """Learned from the other rows, the network tells the held-out ones apart."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    got = quality.digest(docs, labels).where("held_out").join(labels.where("quality is not null"), "doc_id").select("predicted", "quality").collect()
+    accuracy = sum(r.predicted == r.quality for r in got) / len(got)
+    print(f"held-out accuracy {accuracy:.3f} of {len(got)}")
+    assert len(got) > 50 and accuracy > 0.8
