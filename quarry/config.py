@@ -9,7 +9,7 @@ from typing import Any, Protocol
 
 from pyspark.sql import DataFrame
 
-from quarry.operators import discover, paths, search, semantic
+from quarry.operators import discover, keyword_index, paths, semantic
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ class Config:
     graph: GraphConfig = field(default_factory=GraphConfig)
     scorers: tuple[tuple[str, discover.Scorer], ...] = ()
     combine: Callable[[DataFrame], DataFrame] = discover.strongest
-    search_index: type = search.KeywordIndex
+    search_index: type = keyword_index.KeywordIndex
     layer: semantic.Layer = field(default_factory=lambda: semantic.Layer(()))
     relationships: RelationshipClient = field(default_factory=NoRelationships)
 

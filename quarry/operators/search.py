@@ -1,26 +1,22 @@
-"""Keyword search: an inverted index as frames, ranked by BM25 with field weights."""
+"""Keyword search ranked by BM25 with field weights: over documents (bm25, which reads them
+all), and over a stored index (keyword_index.py)."""
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from quarry.functions import scalars as S
-from quarry.sources import files
 
 K1, B = 1.2, 0.75
-#: the layout of a stored index
-LAYOUT = 2
 #: lower-case letters with marks, and the letters without them
 _MARKED = "".join(c for c in map(chr, range(0xE0, 0x250)) if c.islower() and len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii())
 _PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
@@ -95,6 +91,12 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), _MARKED, _PLAIN)
 
 
+def plain_words(query: str) -> list[str]:
+    """The words of a query, folded."""
+    plain = query.lower().translate(str.maketrans(_MARKED, _PLAIN))
+    return "".join(c if c.isalnum() else " " for c in plain).split()
+
+
 @pandas_udf(StringType())
 def stemmed(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     known: dict[str, str] = {}
@@ -116,8 +118,7 @@ def bm25(docs: DataFrame, key: str, query: str, fields: dict[str, float] | None
     """
     weights = {f: w for f, w in (fields or WEIGHTS).items() if f in docs.columns}
     every = tokens(docs, key, tuple(weights), stem)
-    plain = query.lower().translate(str.maketrans(_MARKED, _PLAIN))
-    words = sorted({porter(w) if stem else w for w in "".join(c if c.isalnum() else " " for c in plain).split()})
+    words = sorted({porter(w) if stem else w for w in plain_words(query)})
     weight = F.create_map(*[x for f, w in weights.items() for x in (F.lit(f), F.lit(w))])
     length = every.groupBy(key).agg(F.count(F.lit(1)).alias("dl"))
     total = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(length.agg(F.sum("dl").alias("dl_sum")))
@@ -182,42 +183,3 @@ class SearchIndex(Protocol):
     def search(self, q: str, k: int = 10, database: str | None = None) -> DataFrame: ...
 
     def similar(self, name: str, k: int = 5) -> DataFrame: ...
-
-
-class KeywordIndex:
-    """Documents of catalogs under a path, with the version of the graph that they tell of."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _meta(self) -> dict:
-        at = f"{self.path}/_META"
-        return json.loads(files.read_text(self.spark, at)) if files.exists(self.spark, at) else {}
-
-    def needs_rebuild(self, versions: dict[str, int]) -> bool:
-        """Whether there is no index, or one of another layout or of older graphs (versions by
-        connection)."""
-        meta = self._meta()
-        return meta.get("layout") != LAYOUT or meta.get("versions") != versions
-
-    def build(self, documents: dict[str, DataFrame], versions: dict[str, int]) -> None:
-        """documents by connection, as catalog_documents gives them."""
-        parts = [d.withColumn("database", F.lit(k)).withColumn("doc", F.concat_ws("::", F.lit(k), "table_name")) for k, d in sorted(documents.items())]
-        every = reduce(DataFrame.unionByName, parts)
-        every.write.mode("overwrite").parquet(f"{self.path}/documents")
-        files.write_text(self.spark, f"{self.path}/_META", json.dumps({"layout": LAYOUT, "versions": versions}))
-
-    def documents(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/documents")
-
-    def search(self, q: str, k: int = 10, database: str | None = None, visible: DataFrame | None = None) -> DataFrame:
-        """node_type, table_name, database, description, snippet, score of the k best tables
-        that are visible (filtered before the cut, so that k are found)."""
-        docs = self.documents()
-        docs = docs.where(F.col("database") == database) if database else docs
-        hits = bm25(docs, "doc", q, stem=True).join(docs, "doc").where("node_type = 'SchemaTable'")
-        hits = hits.join(visible.select("database", "table_name").distinct(), ["database", "table_name"], "left_semi") if visible is not None else hits
-        return hits.orderBy(F.desc("score"), "doc").limit(k).select("node_type", "table_name", "database", "description", S.snippet(F.col("description"), 160).alias("snippet"), "score")
-
-    def similar(self, name: str, k: int = 5) -> DataFrame:
-        return self.search(name.replace("_", " ").replace(".", " "), k + 1).where(F.col("table_name") != name).orderBy(F.desc("score"), "table_name").limit(k)

@@ -660,4 +660,4 @@ def warehouse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("mcv", F.array_join("mcv", ","))
 
 
-from quarry import catalog_queries  # noqa: E402, F401
+from quarry import catalog_queries, data_queries  # noqa: E402, F401
