@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry import lifecycle, tools
 from quarry.functions import scalars as S
 from quarry.operators import cluster, cypher, dbt, discover, drift, entities, graph, paths, reach, search
-from quarry.queries import _EDGES, _FK, _NAMES, _WALK, COLUMNS, FK_ROWS, _edges, _literal, _values, query
+from quarry.queries import _EDGES, _FK, _NAMES, _WALK, COLUMNS, FK_ROWS, _edges, _literal, _values, confirmed_keys, query
 from quarry.sources import catalog, postgres, reader, snapshot
 
 _COLS = f"cat AS (SELECT table_name AS t, column_name AS c, column_index::INT AS i, data_type AS typ FROM duckdb_columns() WHERE table_name IN ({_NAMES}))"
@@ -40,7 +40,7 @@ def catalog_same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH RECURSIVE " + _FK + ", up AS (SELECT src_table AS child, dst_table AS ancestor FROM fk UNION SELECT child, dst_table FROM up JOIN fk ON ancestor = src_table) SELECT * FROM up WHERE child <> ancestor")
 def key_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tables that each table leads to over declared keys, however far."""
-    return reach.closure(catalog.foreign_keys(spark).select(F.col("src_table").alias("child"), F.col("dst_table").alias("parent")))
+    return reach.closure(confirmed_keys(spark, sf_dir).select(F.col("src_table").alias("child"), F.col("dst_table").alias("parent")))
 
 
 @query("SELECT count(*) AS n, max(depth) AS longest, sum(ancestor) AS total FROM (WITH RECURSIVE up AS (SELECT c_custkey AS child, c_custkey // 2 AS ancestor, 1 AS depth FROM customer WHERE c_custkey // 2 > 0 UNION ALL SELECT child, ancestor // 2, depth + 1 FROM up WHERE ancestor // 2 > 0) SELECT * FROM up)")
@@ -93,7 +93,7 @@ def graph_column_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT f AS from_table, t AS to_table, depth, cost FROM best UNION ALL SELECT t, f, depth, cost FROM best""")
 def stored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best path of each pair, found once and stored in both directions."""
-    return lifecycle.stored_paths("db", paths.precompute(_edges(spark))).select("from_table", "to_table", "depth", "cost")
+    return lifecycle.stored_paths("db", paths.precompute(_edges(spark, sf_dir))).select("from_table", "to_table", "depth", "cost")
 
 
 def _state(spark: SparkSession) -> lifecycle.State:
@@ -212,7 +212,7 @@ _LABEL_ROLES = [("orders", "fact"), ("lineitem", "bridge"), ("customer", "dimens
 def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of clusters from degrees, rows and roles."""
     members = spark.createDataFrame(_MEMBERS, "cluster string, table_name string")
-    return cluster.labels(members, cluster.weighted_pairs(_edges(spark)), spark.createDataFrame(_LABEL_ROLES, "table_name string, role string"), catalog.table_counts(spark, sf_dir, [t for _, t in _MEMBERS]))
+    return cluster.labels(members, cluster.weighted_pairs(_edges(spark, sf_dir)), spark.createDataFrame(_LABEL_ROLES, "table_name string, role string"), catalog.table_counts(spark, sf_dir, [t for _, t in _MEMBERS]))
 
 
 # ---- names, lists, documents ---------------------------------------------------------------

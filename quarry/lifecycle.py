@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import Config
-from quarry.operators import classify, cluster, dbt, discover, drift, entities, graph, paths, search, semantic
+from quarry.operators import classify, cluster, dbt, discover, drift, entities, graph, overlap, paths, search, semantic
 from quarry.operators.reach import checkpointed
 from quarry.operators.steps import Runner, Step
 from quarry.sources import files, snapshot, warehouse
@@ -124,11 +124,21 @@ def _now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def _context(snap: snapshot.Snapshot, config: Config, frames: dict[str, DataFrame]) -> dict[str, Any]:
+def _measured(inferred: DataFrame, source) -> DataFrame:
+    """Guesses blended with what the values show, where the source's tables can be read."""
+    names = sorted({t for r in inferred.select("src_table", "dst_table").distinct().collect() for t in r})  # tables of the catalog
+    found = overlap.measure({t: source.read(t) for t in names}, inferred)
+    seen = found.where("n_left > 0").select("src_table", "src_column", "dst_table", "dst_column", F.col("containment").alias("overlap"))
+    return discover.blend_overlap(inferred, seen)
+
+
+def _context(snap: snapshot.Snapshot, config: Config, frames: dict[str, DataFrame], source=None) -> dict[str, Any]:
     keys = snap.foreign_keys.select("src_table", "src_column", "dst_table", "dst_column")
     aliases = checkpointed(classify.shadow_aliases(snap.tables, snap.lineage, config.graph.alias_sources)) if config.graph.collapse_aliases else None
     rows = snap.tables.select("table_name", "row_count")
     inferred = checkpointed(discover.discover(discover.signal_defaults(snap.columns.where("parent IS NULL").join(rows, "table_name", "left")), keys, aliases, scorers=config.every_scorer(), combine=config.combine))
+    if config.graph.measure_overlaps and hasattr(source, "read"):
+        inferred = checkpointed(_measured(inferred, source))
     edges = checkpointed(paths.edges(keys, inferred, aliases))
     return {"connection": snap.connection, "config": config, "graph": frames, "tables": snap.tables, "columns": snap.columns, "keys": keys, "aliases": aliases, "inferred": inferred, "edges": edges}
 
@@ -137,10 +147,10 @@ def index(state: State, source, connection: str, database: str = "", config: Con
     """Introspect a source and store its graph; what the connection had before is replaced."""
     config = config or Config()
     snap = snapshot.inspect(source, connection, database, profiles)
-    return _store(state, snap, config, steps or default_steps(), manifest, freshness, entity_rows, address)
+    return _store(state, snap, config, steps or default_steps(), manifest, freshness, entity_rows, address, source)
 
 
-def _store(state: State, snap: snapshot.Snapshot, config: Config, steps: Runner, manifest: str | None, freshness: str | None, entity_rows: DataFrame | None, address: str) -> dict[str, Any]:
+def _store(state: State, snap: snapshot.Snapshot, config: Config, steps: Runner, manifest: str | None, freshness: str | None, entity_rows: DataFrame | None, address: str, source=None) -> dict[str, Any]:
     spark, registry = state.spark, state.registry()
     store = state.store(snap.connection)
     version = max(store.versions(), default=0) + 1
@@ -155,7 +165,7 @@ def _store(state: State, snap: snapshot.Snapshot, config: Config, steps: Runner,
         columns, kept.lineage = checkpointed(columns), checkpointed(lineage)
     else:
         columns = kept.columns
-    c = _context(kept, config, {})
+    c = _context(kept, config, {}, source)
     c["tables"] = checkpointed(tables) if manifest else kept.tables
     c["graph"] = graph.build(snap.connection, c["tables"], columns, kept.foreign_keys, kept.lineage, c["inferred"])
     summary = {"tables": c["tables"].count(), "columns": columns.count(), "foreign_keys": kept.foreign_keys.count(), "inferred_joins": c["inferred"].count(), "steps": steps.run(c), "notes": list(snap.notes)}
@@ -214,7 +224,7 @@ def reindex(state: State, source, connection: str, config: Config | None = None,
         return out
     structural = any(counts[k] for k in ("tables_added", "tables_removed", "columns_added", "columns_removed", "columns_updated", "foreign_keys_synced"))
     if structural:  # what is stale is made again
-        c = _context(new, config, {k: checkpointed(v) for k, v in patched.items() if k not in ("Cluster", "IN_CLUSTER", "JoinPath")})
+        c = _context(new, config, {k: checkpointed(v) for k, v in patched.items() if k not in ("Cluster", "IN_CLUSTER", "JoinPath")}, source)
         c["graph"]["INFERRED_JOIN"] = graph.connected_only(graph.inferred_edges(connection, c["inferred"]), c["graph"]["SchemaTable"])
         out["steps"] = (steps or default_steps()).run(c)
         patched = c["graph"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
-from quarry.operators import classify, cluster, cypher, dbt, discover, drift, graph, paths, profile, reach, search, semantic, visibility
+from quarry.operators import classify, cluster, cypher, dbt, discover, drift, graph, overlap, paths, profile, reach, search, semantic, visibility
 from quarry.plans import sql_walk
 from quarry.sources import catalog, warehouse
 
@@ -78,16 +78,45 @@ def _shop(spark: SparkSession) -> DataFrame:
 
 
 FK_ROWS = list(catalog.FOREIGN_KEYS)
-_FK = _values("fk", "src_table, src_column, dst_table, dst_column", FK_ROWS)
-INFERRED_ROWS = [("documents", "source", "pages", "url", 0.4), ("conversations", "conv_id", "events", "event_id", 0.9), ("benchmark", "item_id", "documents", "doc_id", 0.6)]
-INFERRED_SCHEMA = "src_table string, src_column string, dst_table string, dst_column string, confidence double"
+#: guesses of joins, and how sure each is before it is measured
+GUESSES = [("documents", "source", "pages", "url", 0.4), ("conversations", "conv_id", "events", "event_id", 0.9), ("benchmark", "item_id", "documents", "doc_id", 0.6)]
 
 
-def _edges(spark: SparkSession) -> DataFrame:
-    return paths.edges(catalog.foreign_keys(spark), spark.createDataFrame(INFERRED_ROWS, INFERRED_SCHEMA))
+def _contained_sql(a: str, b: str, c: str, d: str) -> str:
+    """The share of a.b's distinct values that c.d has."""
+    side = lambda t, k: f"(SELECT DISTINCT {k}::VARCHAR AS v FROM {t} WHERE {k} IS NOT NULL)"
+    return f"(SELECT round(count(y.v) / count(*), 6)::DOUBLE FROM {side(a, b)} x LEFT JOIN {side(c, d)} y ON x.v = y.v)"
 
 
-_EDGES = _FK + ", " + _values("inf", "src_table, src_column, dst_table, dst_column, confidence", INFERRED_ROWS) + """,
+#: the declared keys that the data confirm: all values of the one column are in the other
+_FK = "fk AS (SELECT src_table, src_column, dst_table, dst_column FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS src_table, '{b}' AS src_column, '{c}' AS dst_table, '{d}' AS dst_column, {_contained_sql(a, b, c, d)} AS share" for a, b, c, d in FK_ROWS) + ") WHERE share = 1)"
+
+
+def measured(spark: SparkSession, sf_dir: str, pairs: list[tuple]) -> DataFrame:
+    """src_*, dst_*, containment of column pairs, from the tables' values."""
+    names = {t for p in pairs for t in (p[0], p[2])}
+    return reach.checkpointed(overlap.measure({t: catalog.read_table(spark, sf_dir, t) for t in names}, catalog.foreign_keys(spark, [p[:4] for p in pairs])))
+
+
+def _keys_in(rows: DataFrame) -> DataFrame:
+    return rows.where("containment = 1 AND n_left > 0").select("src_table", "src_column", "dst_table", "dst_column")
+
+
+def confirmed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared keys that the data confirm."""
+    return _keys_in(measured(spark, sf_dir, FK_ROWS))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed keys, and guesses blended with the containment that the data show."""
+    found = measured(spark, sf_dir, FK_ROWS + GUESSES)
+    guess = spark.createDataFrame([("guess", *g, "") for g in GUESSES], "kind string, src_table string, src_column string, dst_table string, dst_column string, confidence double, reasoning string")
+    keys = found.join(catalog.foreign_keys(spark), ["src_table", "src_column", "dst_table", "dst_column"], "left_semi")
+    told = discover.blend_overlap(guess, found.select("src_table", "src_column", "dst_table", "dst_column", F.col("containment").alias("overlap")))
+    return paths.edges(_keys_in(keys), told.withColumn("confidence", F.round("confidence", 6)))
+
+
+_EDGES = _FK + ", inf AS (" + " UNION ALL ".join(f"SELECT '{a}' AS src_table, '{b}' AS src_column, '{c}' AS dst_table, '{d}' AS dst_column, round(0.35 * {p}::DOUBLE + 0.65 * {_contained_sql(a, b, c, d)}, 6)::DOUBLE AS confidence" for a, b, c, d, p in GUESSES) + """),
  edge AS (SELECT src_table, src_column, dst_table, dst_column, 'fk' AS kind, 1.0::DOUBLE AS confidence FROM fk
           UNION ALL SELECT src_table, src_column, dst_table, dst_column, 'inferred', confidence FROM inf),
  adj AS (SELECT * FROM edge UNION SELECT dst_table, dst_column, src_table, src_column, kind, confidence FROM edge)"""
@@ -298,7 +327,7 @@ def infer_joins_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + _FK + f", t AS (SELECT unnest([{_NAMES}]) AS table_name) SELECT table_name, (SELECT count(DISTINCT dst_table) FROM fk WHERE src_table = table_name) AS fk_out, (SELECT count(DISTINCT src_table) FROM fk WHERE dst_table = table_name) AS fk_in FROM t")
 def fk_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = spark.createDataFrame([(t,) for t in catalog.TABLES], "table_name string")
-    return classify.degrees(tables, catalog.foreign_keys(spark))
+    return classify.degrees(tables, confirmed_keys(spark, sf_dir))
 
 
 #: own cases: name, columns, fk_out, fk_in, rows, sequential and index scans, inserts, updates
@@ -341,17 +370,17 @@ def table_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH RECURSIVE " + _WALK + " SELECT f AS from_table, t AS to_table, depth, round(cost, 6) AS cost, round(conf, 6) AS confidence, low AS min_confidence, ninf AS n_inferred, array_to_string(tables, '>') AS path FROM walk")
 def join_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.enumerate_paths(_edges(spark)).drop("steps")
+    return paths.enumerate_paths(_edges(spark, sf_dir)).drop("steps")
 
 
 @query("WITH RECURSIVE " + _WALK + " SELECT from_table, to_table, rank::INT AS rank, depth, cost, path, tied FROM (SELECT *, cost = best AS at_best, count(*) FILTER (cost = best) OVER (PARTITION BY from_table, to_table) > 1 AS tied FROM (SELECT f AS from_table, t AS to_table, depth, round(cost, 6) AS cost, array_to_string(tables, '>') AS path, row_number() OVER (PARTITION BY f, t ORDER BY round(cost, 6), depth, sig) AS rank, min(round(cost, 6)) OVER (PARTITION BY f, t) AS best FROM walk)) WHERE rank <= 3")
 def join_path_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.ranked(paths.enumerate_paths(_edges(spark))).select("from_table", "to_table", "rank", "depth", "cost", "path", "tied")
+    return paths.ranked(paths.enumerate_paths(_edges(spark, sf_dir))).select("from_table", "to_table", "rank", "depth", "cost", "path", "tied")
 
 
 @query("WITH RECURSIVE " + _WALK + " SELECT f || ' -> ' || t || ' (' || depth || ' hop)' AS label, 'FROM ' || f || ' ' || hint AS hint FROM walk WHERE f = 'lineitem' AND t = 'region' QUALIFY row_number() OVER (ORDER BY round(cost, 6), depth, sig) <= 3")
 def join_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = paths.ranked(paths.enumerate_paths(_edges(spark), start="lineitem", goal="region"))
+    best = paths.ranked(paths.enumerate_paths(_edges(spark, sf_dir), start="lineitem", goal="region"))
     return best.select(paths.label(F.col("from_table"), F.col("to_table"), F.col("depth")).alias("label"), paths.sql_hint(F.col("steps")).alias("hint"))
 
 
@@ -369,7 +398,7 @@ _IMPACT = """walk2 AS (SELECT src_table AS t, 1 AS hop, confidence AS conf, src_
 
 @query("WITH RECURSIVE " + _EDGES + ", " + _IMPACT + " SELECT t AS table_name, hop, conf AS confidence, via, CASE WHEN conf < 0.5 THEN 'low_confidence' WHEN hop = 1 THEN 'direct' WHEN hop = 2 THEN 'two_hop' WHEN hop = 3 THEN 'three_hop' END AS bucket FROM walk2 QUALIFY row_number() OVER (PARTITION BY t ORDER BY hop, via) = 1")
 def impact_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reach.impact(_edges(spark), "region")
+    return reach.impact(_edges(spark, sf_dir), "region")
 
 
 # ---- clusters --------------------------------------------------------------------
@@ -381,7 +410,7 @@ MEMBERS = [("sales", t) for t in ("customer", "orders", "lineitem", "part", "sup
  n AS (SELECT cluster, count(*) AS k FROM m GROUP BY 1), i AS (SELECT x.cluster, sum(w) AS w FROM p JOIN m x ON x.table_name = a JOIN m y ON y.table_name = b WHERE x.cluster = y.cluster GROUP BY 1)
  SELECT cluster, k AS n_tables, round(CASE WHEN k < 2 THEN 0 ELSE coalesce(w, 0) / (k * (k - 1) / 2.0) END, 6)::DOUBLE AS cohesion FROM n LEFT JOIN i USING (cluster)""")
 def cluster_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cohesion(spark.createDataFrame(MEMBERS, "cluster string, table_name string"), cluster.weighted_pairs(_edges(spark)))
+    return cluster.cohesion(spark.createDataFrame(MEMBERS, "cluster string, table_name string"), cluster.weighted_pairs(_edges(spark, sf_dir)))
 
 
 @query("SELECT n_name AS table_name, (dense_rank() OVER (ORDER BY -k, least_name) - 1)::BIGINT AS cluster FROM (SELECT n_name, count(*) OVER (PARTITION BY n_regionkey) AS k, min(n_name) OVER (PARTITION BY n_regionkey) AS least_name FROM nation)")
@@ -442,7 +471,7 @@ def graph_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drift_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored paths that a change of nation or events makes stale, at any step."""
     changed = spark.createDataFrame([("nation",), ("events",)], "table_name string")
-    return drift.affected_paths(paths.enumerate_paths(_edges(spark)), changed)
+    return drift.affected_paths(paths.enumerate_paths(_edges(spark, sf_dir)), changed)
 
 
 @query("SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'new' ELSE c_mktsegment END AS seg, c_name AS name FROM customer UNION ALL SELECT max(c_custkey) + 1, 'new', 'added' FROM customer")
@@ -454,21 +483,21 @@ def graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upsert(old, new, "k", keep_if_null=("name",))
 
 
-def _graph(spark: SparkSession) -> dict[str, DataFrame]:
+def _graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     tables = spark.createDataFrame([(t,) for t in catalog.TABLES], "table_name string")
-    columns = spark.createDataFrame([(k[0], k[1], 1) for k in FK_ROWS], "table_name string, column_name string, ordinal int")
-    return graph.build("db", tables, columns, catalog.foreign_keys(spark))
+    keys = reach.checkpointed(confirmed_keys(spark, sf_dir))
+    return graph.build("db", tables, keys.select(F.col("src_table").alias("table_name"), F.col("src_column").alias("column_name"), F.lit(1).alias("ordinal")), keys)
 
 
 @query("WITH " + _FK + " SELECT dst_table AS target, count(*) AS n, string_agg(DISTINCT src_table, ',' ORDER BY src_table) AS users FROM fk WHERE dst_table <> 'documents' GROUP BY 1 HAVING true")
 def cypher_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cypher.query(_graph(spark), "MATCH (a:SchemaTable)-[r:FK_REFERENCES]->(b:SchemaTable) WHERE b.table_name <> $t RETURN b.table_name AS target, count(*) AS n, collect(DISTINCT a.table_name) AS users", {"t": "documents"}).withColumn("users", F.array_join("users", ","))
+    return cypher.query(_graph(spark, sf_dir), "MATCH (a:SchemaTable)-[r:FK_REFERENCES]->(b:SchemaTable) WHERE b.table_name <> $t RETURN b.table_name AS target, count(*) AS n, collect(DISTINCT a.table_name) AS users", {"t": "documents"}).withColumn("users", F.array_join("users", ","))
 
 
 @query("WITH " + _FK + ", u AS (SELECT src_table AS a, dst_table AS b FROM fk UNION ALL SELECT dst_table, src_table FROM fk) SELECT DISTINCT y.b AS through_table FROM u y JOIN u z ON y.b = z.a WHERE y.a = 'customer' AND z.b = 'region'")
 def cypher_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies between two tables, edges taken either way."""
-    return cypher.query(_graph(spark), "MATCH (a:SchemaTable {table_name: 'customer'})-[:FK_REFERENCES]-(m:SchemaTable)-[:FK_REFERENCES]-(b:SchemaTable {table_name: 'region'}) RETURN DISTINCT m.table_name AS through_table")
+    return cypher.query(_graph(spark, sf_dir), "MATCH (a:SchemaTable {table_name: 'customer'})-[:FK_REFERENCES]-(m:SchemaTable)-[:FK_REFERENCES]-(b:SchemaTable {table_name: 'region'}) RETURN DISTINCT m.table_name AS through_table")
 
 
 @query("WITH " + _FK + f""", x AS (SELECT 'edge' AS kind, 'FK_REFERENCES' AS label, 'db::main::' || src_table || '->db::main::' || dst_table AS id, src_column || '=' || dst_column AS told FROM fk
@@ -476,7 +505,7 @@ def cypher_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT 'node', 'SchemaTable', 'db::main::' || t, t FROM (SELECT unnest([{_NAMES}]) AS t)) SELECT * FROM x""")
 def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and edges with what their JSON tells."""
-    x = graph.export(_graph(spark), "db")
+    x = graph.export(_graph(spark, sf_dir), "db")
     field = lambda name: F.get_json_object("json", f"$.{name}")
     told = F.when(F.col("label") == "FK_REFERENCES", F.concat(field("source_column"), F.lit("="), field("target_column"))).when(F.col("label") == "SchemaColumn", field("column_name")).when(F.col("label") == "SchemaTable", field("table_name"))
     return x.select("kind", "label", "id", told.alias("told"))
