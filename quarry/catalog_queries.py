@@ -296,24 +296,24 @@ def recorded_postgres(spark: SparkSession, sf_dir: str) -> reader.RecordedReader
     place = {(t, c): i for t, c, i in cols}
     keys = [k for k in FK_ROWS if k[0] in oid and k[2] in oid]
     pks = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"), ("documents", "doc_id")]
+    literal = lambda values: "{" + ",".join(f'"{v}"' if "," in v else v for v in values) + "}"
+    # what the statements of the source answer, under the names that they give
+    told = {
+        "relations": f([(oid[t], "public", t, "p" if t == "events" else "r", 1000.0, 0) for t in names] + [(500 + i, "public", f"{t}_pk", "i", 0.0, 403) for i, (t, _) in enumerate(pks)] + [(600, "pg_catalog", "pg_class", "r", 1.0, 0)], "oid long, schema_name string, table_name string, relkind string, reltuples double, relam long"),
+        "attributes": f([(oid[t], i, c) for t, c, i in cols], "oid long, attnum int, column_name string"),
+        "comments": f([(oid["region"], 0, "parts of the world"), (oid["nation"], place["nation", "n_name"], "as people say it")], "oid long, attnum int, description string"),
+        "index_columns": f([(oid[t], 500 + i, True, place[t, c]) for i, (t, c) in enumerate(pks)], "oid long, indexrelid long, indisunique boolean, attnum int"),
+        "methods": f([(403, "btree")], "relam long, amname string"),
+        "checks": f([(oid["part"], place["part", "p_size"], "CHECK (p_size > 0)"), (oid["part"], place["part", "p_size"], "CHECK (p_size < p_retailprice)"), (oid["part"], place["part", "p_retailprice"], "CHECK (p_size < p_retailprice)")], "oid long, attnum int, check_def string"),
+        "usage": f([("public", "orders", 7, 9, 100, 5, 1)], "schema_name string, table_name string, seq_scan long, idx_scan long, n_tup_ins long, n_tup_upd long, n_tup_del long"),
+        "partitions": f([(oid["events"], "RANGE (ts)")], "oid long, partition_key string"),
+        "stats": f([("public", "orders", "o_orderstatus", 3.0, 0.0, 0.5, literal(["O", "F", "P"]), None), ("public", "orders", "o_custkey", -0.1, 0.25, 0.1, None, literal(["1", "9", "a, b"]))], "schema_name string, table_name string, column_name string, n_distinct double, null_frac double, correlation double, mcv_text string, histogram_text string"),
+        "views": f([("public", "v_orders", "SELECT * FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey;")], "schema_name string, name string, definition string"),
+        "matviews": f([("public", "m_geo", "SELECT n_name FROM public.nation")], "schema_name string, name string, definition string"),
+        "triggers": f([(oid["orders"], "INSERT INTO events SELECT * FROM orders WHERE o_orderstatus = 'a;b'; DELETE FROM labels WHERE 1 = 1", "sql"), (oid["part"], "EXECUTE 'INSERT INTO labels'", "sql"), (oid["part"], "BEGIN INSERT INTO pages SELECT 1; END", "plpgsql")], "oid long, prosrc string, lanname string"),
+        "memberships": f([("alice", "readers"), ("readers", "staff")], "child string, parent string"),
+    }
     views = {
-        "pg_catalog.pg_namespace": f([(1, "public"), (2, "pg_catalog")], "oid int, nspname string"),
-        "pg_catalog.pg_class": f([(oid[t], t, 1, "p" if t == "events" else "r", 1000.0, 0) for t in names] + [(500 + i, f"{t}_pk", 1, "i", 0.0, 403) for i, (t, _) in enumerate(pks)] + [(600, "pg_class", 2, "r", 1.0, 0)], "oid int, relname string, relnamespace int, relkind string, reltuples double, relam int"),
-        "pg_catalog.pg_attribute": f([(oid[t], c, i, False) for t, c, i in cols] + [(oid["region"], "gone", 9, True)], "attrelid int, attname string, attnum int, attisdropped boolean"),
-        "pg_catalog.pg_description": f([(oid["region"], 0, "parts of the world"), (oid["nation"], place["nation", "n_name"], "as people say it")], "objoid int, objsubid int, description string"),
-        "pg_catalog.pg_index": f([(oid[t], 500 + i, True, True, [place[t, c]]) for i, (t, c) in enumerate(pks)], "indrelid int, indexrelid int, indisvalid boolean, indisunique boolean, indkey array<int>"),
-        "pg_catalog.pg_am": f([(403, "btree")], "oid int, amname string"),
-        "pg_catalog.pg_constraint": f([(oid["part"], "c", [place["part", "p_size"]], "CHECK (p_size > 0)"), (oid["part"], "c", [place["part", "p_size"], place["part", "p_retailprice"]], "CHECK (p_size < p_retailprice)")], "conrelid int, contype string, conkey array<int>, definition string"),
-        "pg_catalog.pg_stat_user_tables": f([("public", "orders", 7, 9, 100, 5, 1)], "schemaname string, relname string, seq_scan long, idx_scan long, n_tup_ins long, n_tup_upd long, n_tup_del long"),
-        "pg_catalog.pg_partitioned_table": f([(oid["events"], "RANGE (ts)")], "partrelid int, definition string"),
-        "pg_catalog.pg_stats": f([("public", "orders", "o_orderstatus", 3.0, 0.0, ["O", "F", "P"], None, 0.5), ("public", "orders", "o_custkey", -0.1, 0.25, None, ["1", "9"], 0.1)], "schemaname string, tablename string, attname string, n_distinct double, null_frac double, mcv array<string>, histogram array<string>, correlation double"),
-        "pg_catalog.pg_views": f([("public", "v_orders", "SELECT * FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey;")], "schemaname string, viewname string, definition string"),
-        "pg_catalog.pg_matviews": f([("public", "m_geo", "SELECT n_name FROM public.nation")], "schemaname string, matviewname string, definition string"),
-        "pg_catalog.pg_trigger": f([(oid["orders"], 900, False), (oid["part"], 901, False), (oid["part"], 902, True)], "tgrelid int, tgfoid int, tgisinternal boolean"),
-        "pg_catalog.pg_proc": f([(900, "INSERT INTO events SELECT * FROM orders; DELETE FROM labels WHERE 1 = 1", 14), (901, "EXECUTE 'INSERT INTO labels'", 14), (902, "INSERT INTO pages SELECT 1", 14)], "oid int, prosrc string, prolang int"),
-        "pg_catalog.pg_language": f([(14, "sql")], "oid int, lanname string"),
-        "pg_catalog.pg_roles": f([(1, "alice"), (2, "readers"), (3, "staff")], "oid int, rolname string"),
-        "pg_catalog.pg_auth_members": f([(1, 2), (2, 3)], "member int, roleid int"),
         "information_schema.tables": f([("public", t, "BASE TABLE") for t in names] + [("pg_catalog", "pg_class", "BASE TABLE")], "table_schema string, table_name string, table_type string"),
         "information_schema.columns": f([("public", t, c, "USER-DEFINED" if c == "o_orderstatus" else "text", "status" if c == "o_orderstatus" else "text", "YES" if i > 1 else "NO", None, i) for t, c, i in cols], "table_schema string, table_name string, column_name string, data_type string, udt_name string, is_nullable string, column_default string, ordinal_position int"),
         "information_schema.table_constraints": f([("public", f"{t}_pk", t, "PRIMARY KEY") for t, _ in pks], "constraint_schema string, constraint_name string, table_name string, constraint_type string"),
@@ -322,7 +322,7 @@ def recorded_postgres(spark: SparkSession, sf_dir: str) -> reader.RecordedReader
         "information_schema.table_privileges": f([("public", "orders", "readers", "SELECT"), ("public", "part", "staff", "SELECT"), ("public", "part", "PUBLIC", "SELECT"), ("public", "labels", "alice", "INSERT")], "table_schema string, table_name string, grantee string, privilege_type string"),
     }
     views |= {f"public.{t}": catalog.read_table(spark, sf_dir, t) for t in names}
-    return reader.RecordedReader(spark, views)
+    return reader.RecordedReader(spark, views, {postgres.STATEMENTS[k]: v for k, v in told.items()})
 
 
 _SINGLE = ", ".join(f"'{t}'" for t in COLUMNS)

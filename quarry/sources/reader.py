@@ -25,6 +25,21 @@ class JdbcReader:
     def sql(self, text: str) -> DataFrame:
         return lowered(self.spark.read.format("jdbc").options(url=self.url, query=text, **self.options).load())
 
+    def table(self, name: str, key: str | None = None, part_rows: int = 1_000_000) -> DataFrame:
+        """A table's rows. With a key of whole numbers it is read in parts, by ranges of the key
+        that hold about part_rows each."""
+        whole = self.spark.read.format("jdbc").options(url=self.url, dbtable=name, **self.options)
+        if key is None:
+            return whole.load()
+        kind = next((f.dataType.typeName() for f in whole.load().schema.fields if f.name.lower() == key.lower()), "")
+        if kind not in ("long", "integer", "short", "byte"):
+            return whole.load()
+        low, high, n = self.sql(f"SELECT min({key}) AS low, max({key}) AS high, count(*) AS n FROM {name}").first()
+        parts = -(-(n or 0) // part_rows)
+        if parts < 2 or low == high:
+            return whole.load()
+        return whole.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts)).load()
+
 
 class RecordedReader:
     """Recorded views, and answers to statements; what is not there raises KeyError."""
@@ -37,6 +52,9 @@ class RecordedReader:
             raise KeyError(f"no recorded view {name}")
         return lowered(self.views[name])
 
+    def table(self, name: str, key: str | None = None, part_rows: int = 0) -> DataFrame:
+        return self.view(name)
+
     def sql(self, text: str) -> DataFrame:
         if text not in self.answers:
             raise KeyError(f"no recorded answer to {text}")

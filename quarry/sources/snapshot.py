@@ -119,14 +119,16 @@ def _profiles(source, tables: DataFrame, columns: DataFrame, notes: list[str]) -
 def inspect(source, connection: str, database: str = "", statistics: bool = True) -> Snapshot:
     """The snapshot of a source. Catalog statistics win over profiles."""
     spark, notes = source.spark if hasattr(source, "spark") else source.reader.spark, []
-    tables, columns = source.tables(), source.columns()
+    tables = source.tables()
+    columns = attempted(source.columns, no_rows(spark, "schema_name string, table_name string, column_name string, data_type string, nullable boolean, ordinal int"), notes, "columns")
     if "schema_name" not in tables.columns:
         tables = tables.withColumn("schema_name", F.lit(MAIN))
     facts = attempted(source.table_facts, None, notes, "table facts") if hasattr(source, "table_facts") else None
     tables = _named(_overlaid(tables, facts, ["schema_name", "table_name"]))
     if "table_type" not in tables.columns:
         tables = tables.withColumn("table_type", F.lit("table"))
-    columns, keys = _named(columns).drop("schema_name"), source.foreign_keys()
+    columns = _named(columns).drop("schema_name")
+    keys = attempted(source.foreign_keys, no_rows(spark, "src_table string, src_column string, dst_table string, dst_column string"), notes, "foreign keys")
     if "src_schema" in keys.columns:
         keys = _named(_named(keys, "src_schema", "src_table"), "dst_schema", "dst_table").drop("src_schema", "dst_schema")
     if "constraint_name" not in keys.columns:
@@ -143,7 +145,7 @@ def inspect(source, connection: str, database: str = "", statistics: bool = True
     lineage = attempted(source.lineage, no_rows(spark, LINEAGE), notes, "lineage") if hasattr(source, "lineage") else no_rows(spark, LINEAGE)
     grants = attempted(source.select_grants, no_rows(spark, GRANTS), notes, "grants") if hasattr(source, "select_grants") else no_rows(spark, GRANTS)
     frames = {"tables": tables, "columns": columns, "foreign_keys": keys, "lineage": lineage, "grants": grants}
-    notes += getattr(source, "failures", [])
+    notes += [n for n in getattr(source, "failures", []) if n not in notes]
     return Snapshot(connection, database, source.dialect, **{k: shaped(v, SHAPES[k]) for k, v in frames.items()}, notes=notes)
 
 

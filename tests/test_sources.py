@@ -1,9 +1,12 @@
 """Live catalogs over recorded system views."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from quarry import catalog_queries
+from quarry.plans import sql_walk
 from quarry.sources import bigquery, postgres, reader, snapshot, snowflake
 
 DATA = "/root/testdata/sf0.001"
@@ -68,9 +71,73 @@ def test_snapshot_of_a_database(pg):
     assert snap.foreign_keys.where("src_table = 'public.orders' AND dst_table = 'public.customer'").count() == 1 and snap.grants.count() == 5
 
 
+# Columns of PostgreSQL's system catalogs and views, as its manual lists them.
+SYSTEM_COLUMNS = {
+    "pg_class": "oid relname relnamespace reltype relowner relam reltuples relpages relkind relispartition", "pg_namespace": "oid nspname nspowner nspacl",
+    "pg_attribute": "attrelid attname atttypid attnum attnotnull attisdropped", "pg_description": "objoid classoid objsubid description",
+    "pg_index": "indexrelid indrelid indnatts indisunique indisprimary indisvalid indkey indclass", "pg_am": "oid amname amhandler amtype",
+    "pg_constraint": "oid conname connamespace contype conrelid confrelid conkey confkey conbin", "pg_stat_user_tables": "relid schemaname relname seq_scan seq_tup_read idx_scan idx_tup_fetch n_tup_ins n_tup_upd n_tup_del n_live_tup",
+    "pg_partitioned_table": "partrelid partstrat partnatts partdefid partattrs partclass partexprs", "pg_stats": "schemaname tablename attname inherited null_frac avg_width n_distinct most_common_vals most_common_freqs histogram_bounds correlation",
+    "pg_views": "schemaname viewname viewowner definition", "pg_matviews": "schemaname matviewname matviewowner definition", "pg_trigger": "oid tgrelid tgname tgfoid tgtype tgenabled tgisinternal",
+    "pg_proc": "oid proname pronamespace prolang prosrc", "pg_language": "oid lanname lanowner", "pg_roles": "oid rolname rolsuper", "pg_auth_members": "roleid member grantor admin_option",
+}
+
+
+@pytest.mark.parametrize("name", sorted(postgres.STATEMENTS))
+def test_statements_name_real_columns_only(name):
+    text = postgres.STATEMENTS[name]
+    views = {alias: view for view, alias in re.findall(r"pg_catalog\.(pg_\w+) (\w+)", text) if view in SYSTEM_COLUMNS}
+    assert views
+    used = {(a, c) for a, c in re.findall(r"\b([a-z])\.(\w+)", text)}
+    assert used and all(c in SYSTEM_COLUMNS[views[a]].split() if a in views else (a, c) == ("k", "attnum") for a, c in used)
+
+
+def test_recorded_answers_have_the_columns_of_their_statements(spark):
+    r = catalog_queries.recorded_postgres(spark, DATA)
+    for text in postgres.STATEMENTS.values():
+        # the last word of each item of the select list
+        head = text[len("SELECT ") : text.index(" FROM ")]
+        assert r.sql(text).columns == [re.search(r"AS (\w+)$", item).group(1) for item in re.split(r", (?![^(]*\))", head)]
+
+
+def test_array_texts(pg):
+    stats = {r.column_name: r for r in pg.column_statistics().where("table_name = 'orders'").collect()}
+    assert stats["o_custkey"].histogram == ["1", "9", "a, b"] and stats["o_custkey"].mcv is None
+
+
+def test_every_part_that_fails_is_noted(spark):
+    r = catalog_queries.recorded_postgres(spark, DATA)
+    for gone in ("checks", "comments", "index_columns", "partitions"):
+        del r.answers[postgres.STATEMENTS[gone]]
+    del r.views["information_schema.referential_constraints"]
+    snap = snapshot.inspect(postgres.PostgresSource(r), "db", statistics=False)
+    assert snap.columns.count() > 40 and snap.foreign_keys.count() == 0 and not snap.columns.where("is_foreign_key").count()
+    assert {n.split(":")[0] for n in snap.notes} >= {"check constraints", "column comments", "indexed columns", "partition keys", "foreign keys"}
+
+
+def test_tables_of_a_database_are_read_in_parts(spark, tmp_path):
+    """Over JDBC, from a database that the test itself runs."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    data = spark.range(0, 5000).selectExpr("id AS id", "id % 7 AS k", "concat('t', id) AS t")
+    data.write.format("jdbc").options(url=url, dbtable="APP.SHIPS", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    db = reader.JdbcReader(spark, url, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    parts = db.table("APP.SHIPS")
+    assert parts.count() == 5000 and parts.rdd.getNumPartitions() == 1
+    quoted = db.table("(SELECT \"id\" AS ID, \"k\" AS K, \"t\" AS T FROM APP.SHIPS) S", "ID", 1000)
+    assert quoted.rdd.getNumPartitions() == 5 and quoted.count() == 5000 and quoted.distinct().count() == 5000
+    assert {r.n for r in quoted.groupBy("K").count().withColumnRenamed("count", "n").collect()} <= {714, 715}
+    assert db.table("(SELECT \"t\" AS T FROM APP.SHIPS) S", "T", 10).rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize(("script", "n"), [("a; b", 2), ("SELECT ';'; SELECT 1;", 2), ("INSERT INTO x VALUES ('it''s; so')", 1), ("-- a; b\nSELECT 1; /* ; */ SELECT 2", 2), ("SELECT \"a;b\" FROM t", 1), ("DO $x$ a; b $x$; c", 2), (" ; ", 0), ("SELECT 'open; text", 2)])
+def test_scripts_are_cut_at_their_own_semicolons(script, n):
+    assert len(sql_walk.statements(script)) == n
+
+
 def test_a_failing_view_hides_nothing_else(spark):
     r = catalog_queries.recorded_postgres(spark, DATA)
-    del r.views["pg_catalog.pg_stats"], r.views["pg_catalog.pg_matviews"], r.views["pg_catalog.pg_auth_members"]
+    for gone in ("stats", "matviews", "memberships"):
+        del r.answers[postgres.STATEMENTS[gone]]
     snap = snapshot.inspect(postgres.PostgresSource(r), "db", statistics=False)
     assert snap.tables.count() == 13 and snap.lineage.count() == 0 and sorted(n.split(":")[0] for n in snap.notes) == ["column statistics", "grants", "lineage"]
 
