@@ -29,6 +29,8 @@ from quarry.llm.common import as_bytes, passes, stash, tidy
 PASS = 1 << 18
 #: anchors that a map task settles among each other at once
 SEEN = 1 << 19
+#: bytes that a word and its space are taken to have, where the sketch's size is chosen
+WORD_BYTES = 6
 MARK, ANCHOR, HOT_ANCHOR = 0, 1, 2
 ROW = "g long, kind int, h long, c long, doc long, lo int, hi int, n int"
 _ARROW = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("n", pa.int32())])
@@ -84,7 +86,10 @@ def find(docs: DataFrame, unit: str, size: int, k: int, mode: str) -> DataFrame:
         for _, items in texts_of(batch, unit, size, k):
             yield items.anchors()["h"]
 
-    shared = docs.sparkSession.sparkContext.broadcast(count_min.build(docs, keys_of))
+    # a window of so many k-grams changes its anchor every half window or so
+    items = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / (WORD_BYTES if unit == "words" else 1)
+    width = count_min.width_for(items * 2 / (size - k + 2))
+    shared = docs.sparkSession.sparkContext.broadcast(count_min.build(docs, keys_of, width))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
