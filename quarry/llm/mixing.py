@@ -67,12 +67,16 @@ def mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
 
 
 def _taken(at: DataFrame) -> DataFrame:
-    totals = at.groupBy("source", "__q_range").agg(F.sum("__q_size").alias("__q_total"))
-    up = Window.partitionBy("source").orderBy("__q_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("source").alias("__q_s"), F.col("__q_range").alias("__q_r"), F.coalesce(F.sum("__q_total").over(up), F.lit(0)).alias("__q_offset"))
-    within = Window.partitionBy("source", "__q_range").orderBy("__q_key", "doc_id", "__q_size").rowsBetween(Window.unboundedPreceding, -1)
+    # null is a source of its own: keys that plain equality compares, so that the join below
+    # finds the rows where the windows have put them
+    at = at.withColumns({"__q_none": F.col("source").isNull(), "__q_name": F.coalesce("source", F.lit(""))})
+    keys = ["__q_none", "__q_name", "__q_range"]
+    totals = at.groupBy(*keys).agg(F.sum("__q_size").alias("__q_total"))
+    up = Window.partitionBy("__q_none", "__q_name").orderBy("__q_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, F.coalesce(F.sum("__q_total").over(up), F.lit(0)).alias("__q_offset"))
+    within = Window.partitionBy(*keys).orderBy("__q_key", "doc_id", "__q_size").rowsBetween(Window.unboundedPreceding, -1)
     at = at.withColumn("__q_before", F.coalesce(F.sum("__q_size").over(within), F.lit(0)))
-    at = at.join(offsets, at["source"].eqNullSafe(offsets["__q_s"]) & (at["__q_range"] == offsets["__q_r"]), "left").drop("__q_s", "__q_r")
+    at = at.join(offsets, keys, "left").drop("__q_none", "__q_name")
     budget = F.round(F.col("__q_target")).cast("long")
     whole = F.when(F.col("__q_source_size") > 0, F.floor(budget / F.col("__q_source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - whole * F.col("__q_source_size")
