@@ -22,6 +22,7 @@ class GraphConfig:
     least_cluster: int = 3
     collapse_aliases: bool = True
     alias_sources: int = 1
+    merge_profiles: bool = False  # profile files once each, by sketches that merge, in place of exact passes
     measure_overlaps: bool = True  # blend guessed joins with the values of tables that can be read
 
 

@@ -4,12 +4,14 @@ value overlap by sketches, paths over large graphs."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import kshortest, overlap, paths, reach
+from quarry.operators import kshortest, overlap, paths, profile, reach
 from quarry.operators.postings import InvertedIndex
+from quarry.operators.profile_store import ProfileStore
 from quarry.queries import _BM25, _FAMILY_SQL, _NAMES, COLUMNS, query
 from quarry.sources import catalog
 
@@ -44,6 +46,22 @@ def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _document_index(spark, sf_dir).top("the MIT license", 10)
 
 
+# ---- profiles that merge ----------------------------------------------------------------------
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, true AS distinct_close FROM {t}" for t in ("lineitem", "orders", "customer", "documents") for c in COLUMNS[t]))
+def profile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of tables from their files' sketches; their distinct counts are held against the
+    exact ones (five standard deviations)."""
+    store, out = ProfileStore(spark, _folder(spark, "profiles")), []
+    for t in ("lineitem", "orders", "customer", "documents"):
+        store.refresh(t, f"{sf_dir}/{t}.parquet")
+        exact = profile.distinct_counts(catalog.read_table(spark, sf_dir, t), COLUMNS[t]).withColumnRenamed("distinct_count", "exact")
+        close = F.abs(F.col("distinct_count") - F.col("exact")) <= 5 * 0.0163 * F.col("exact")
+        out.append(store.profile(t).join(exact, "column_name").select(F.lit(t).alias("table_name"), "column_name", "row_count", "null_count", close.alias("distinct_close")))
+    return reduce(DataFrame.unionByName, out)
+
+
 # ---- columns that hold the values of others ---------------------------------------------------
 
 _CELLS = "cells AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, {c}::VARCHAR AS v FROM {t} WHERE {c} IS NOT NULL" for t, cs in COLUMNS.items() for c in cs) + f"""),

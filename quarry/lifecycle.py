@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import Config
 from quarry.operators import classify, cluster, dbt, discover, drift, entities, graph, overlap, paths, search, semantic
+from quarry.operators.profile_store import ProfileStore
 from quarry.operators.reach import checkpointed
 from quarry.operators.steps import Runner, Step
 from quarry.sources import files, snapshot, warehouse
@@ -39,6 +40,10 @@ class State:
     def layer(self, connection: str) -> semantic.Layer:
         return semantic.load_layer(self.spark, f"{self.path}/semantic/{connection}.yml")
 
+    def profiles(self, connection: str, config: Config) -> ProfileStore | None:
+        """Where the sketches of a connection's files are, if it merges them."""
+        return ProfileStore(self.spark, f"{self.path}/profiles/{connection}") if config.graph.merge_profiles else None
+
     def visibility(self) -> dict:
         at = f"{self.path}/visibility.yml"
         return files.read_yaml(self.spark, at) if files.exists(self.spark, at) else {}
@@ -146,7 +151,7 @@ def _context(snap: snapshot.Snapshot, config: Config, frames: dict[str, DataFram
 def index(state: State, source, connection: str, database: str = "", config: Config | None = None, steps: Runner | None = None, manifest: str | None = None, freshness: str | None = None, entity_rows: DataFrame | None = None, profiles: bool = True, address: str = "") -> dict[str, Any]:
     """Introspect a source and store its graph; what the connection had before is replaced."""
     config = config or Config()
-    snap = snapshot.inspect(source, connection, database, profiles)
+    snap = snapshot.inspect(source, connection, database, profiles, state.profiles(connection, config))
     return _store(state, snap, config, steps or default_steps(), manifest, freshness, entity_rows, address, source)
 
 
@@ -210,7 +215,7 @@ def reindex(state: State, source, connection: str, config: Config | None = None,
     if full:
         return index(state, source, connection, entry.get("database", ""), config, steps, address=entry.get("address", ""))
     old = state.snapshot(connection)
-    new = snapshot.inspect(source, connection, entry.get("database", ""))
+    new = snapshot.inspect(source, connection, entry.get("database", ""), store=state.profiles(connection, config))
     version = entry["version"] + 1
     at = f"{state.path}/snapshots/{connection}/v={version}"
     snapshot.save(new, at)
@@ -228,7 +233,7 @@ def reindex(state: State, source, connection: str, config: Config | None = None,
         c["graph"]["INFERRED_JOIN"] = graph.connected_only(graph.inferred_edges(connection, c["inferred"]), c["graph"]["SchemaTable"])
         out["steps"] = (steps or default_steps()).run(c)
         patched = c["graph"]
-    store.write(patched, version)
+    store.write(patched, version, since=entry["version"])
     registry.upsert(connection, version=version, indexed_at=_now(), tables=new.tables.count())
     state.save_registry(registry)
     refresh_search(state, config)

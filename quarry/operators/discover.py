@@ -47,11 +47,15 @@ def naming_candidates(columns: DataFrame) -> DataFrame:
     best = per.orderBy(F.when(F.col("is_exact") & (F.col("n_exact") == 1), 0).otherwise(1), F.length("dst_table"), "dst_table")
     exact = exact.withColumn("is_exact", F.lower("dst_table") == F.lower("stem")).withColumn("n_exact", F.count_if("is_exact").over(per))
     exact = exact.withColumn("r", F.row_number().over(best)).where("r = 1").select(*shape, F.lit(HIGH).alias("confidence"))
-    # starts of names, for stems that nothing names: joined on the first two characters
+    # starts of names, for stems that nothing names: every start of a name is a key, with the two
+    # best names that it starts (one may be the column's own table)
     rest = c.join(exact.select("table_name", "column_name"), ["table_name", "column_name"], "left_anti").where(F.length("stem") >= 2)
-    starts = tables.withColumn("two", F.lower(F.substring("dst_table", 1, 2)))
-    prefix = rest.join(starts, F.lower(F.substring("stem", 1, 2)) == F.col("two")).where(F.startswith(F.lower("dst_table"), F.lower("stem")) & (F.col("dst_table") != F.col("table_name")))
-    prefix = prefix.withColumn("r", F.row_number().over(per.orderBy(F.length("dst_table"), "dst_table"))).where("r = 1").select(*shape, F.lit(MEDIUM).alias("confidence"))
+    cuts = F.when(F.length("dst_table") >= 2, F.sequence(F.lit(2), F.length("dst_table"))).otherwise(F.array().cast("array<int>"))
+    starts = tables.select("dst_table", F.explode(F.transform(cuts, lambda n: F.lower(F.substring("dst_table", F.lit(1), n)))).alias("start"))
+    place = F.row_number().over(Window.partitionBy("start").orderBy(F.length("dst_table"), "dst_table"))
+    starts = starts.withColumn("place", place).where("place <= 2")
+    prefix = rest.join(starts, F.lower("stem") == F.col("start")).where(F.col("dst_table") != F.col("table_name"))
+    prefix = prefix.withColumn("r", F.row_number().over(per.orderBy("place"))).where("r = 1").select(*shape, F.lit(MEDIUM).alias("confidence"))
     found = exact.unionByName(prefix).join(targets.withColumnRenamed("table_name", "dst_table"), "dst_table")
     reason = F.concat(F.lit("column '"), F.col("column_name"), F.when(F.col("confidence") == HIGH, F.lit("' names table ")).otherwise(F.lit("' starts the name of table ")), F.col("dst_table"))
     return found.select("kind", F.col("table_name").alias("src_table"), F.col("column_name").alias("src_column"), "dst_table", "dst_column", "confidence", reason.alias("reasoning"))

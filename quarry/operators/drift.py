@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def affected_paths(paths: DataFrame, changes: DataFrame) -> DataFrame:
     """Paths (from_table, to_table, path as tables joined by >) that pass a changed table."""
     changed = changes.select(F.col("table_name").alias("t")).distinct()
     hops = paths.select("from_table", "to_table", "path", F.explode(F.split("path", ">")).alias("t"))
-    return hops.join(F.broadcast(changed), "t").groupBy("from_table", "to_table", "path").agg(F.array_join(F.sort_array(F.collect_set("t")), ",").alias("changed_tables"))
+    return hops.join(changed, "t").groupBy("from_table", "to_table", "path").agg(F.array_join(F.sort_array(F.collect_set("t")), ",").alias("changed_tables"))
 
 
 def diff(old, new) -> DataFrame:
@@ -80,7 +82,7 @@ def summary(changes: DataFrame) -> str:
     return "; ".join(told) if told else "no changes"
 
 
-#: what patch_graph counts
+# What patch_graph counts, as its results name it.
 COUNTERS = (
     "tables_added", "tables_removed", "columns_added", "columns_removed", "columns_updated", "fk_edges_removed", "inferred_joins_removed",
     "join_paths_marked_stale", "cluster_memberships_removed", "clusters_marked_stale", "foreign_keys_synced",
@@ -118,7 +120,9 @@ def patch_graph(stored: dict[str, DataFrame], snapshot, changes: DataFrame, dry_
         "tables_added": new_t, "tables_removed": gone_t, "columns_added": new_c, "columns_removed": gone_c, "columns_updated": changed_c, "fk_edges_removed": fk_lost, "inferred_joins_removed": inferred_lost,
         "join_paths_marked_stale": paths_hit, "cluster_memberships_removed": left if left is not None else empty, "clusters_marked_stale": left.select("dst").distinct() if left is not None else empty, "foreign_keys_synced": synced,
     }
-    counts = {k: counted[k].count() for k in COUNTERS}
+    # one job: a row for each thing counted, under its counter's name
+    every = reduce(DataFrame.unionByName, [counted[k].select(F.lit(k).alias("counter")) for k in COUNTERS])
+    counts = dict.fromkeys(COUNTERS, 0) | {r["counter"]: r["n"] for r in every.groupBy("counter").agg(F.count(F.lit(1)).alias("n")).collect()}
     if dry_run:
         return dict(stored), counts
     out = dict(stored)

@@ -7,11 +7,13 @@ versions beside each other so that readers of the old one are not disturbed.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quarry.operators.reach import checkpointed
 from quarry.sources import files
 
 #: the description of clusters that nobody has described
@@ -258,9 +260,20 @@ def export(graph: dict[str, DataFrame], connection: str, database: str | None =
     return out.orderBy(F.desc("kind"), "label", "id", "json")
 
 
+#: changes on top of a whole frame after which the next write is whole again
+MOST_DELTAS = 8
+
+
+def key_of(frame: DataFrame) -> list[str]:
+    """The columns that tell the rows of a label apart."""
+    return ["node_id"] if "node_id" in frame.columns else ["edge_id"] if "edge_id" in frame.columns else ["src", "dst"]
+
+
 class GraphStore:
     """Frames by label under a folder (any store that Spark reads), a new version each time.
-    A version is there once its mark is written, so readers never see half of one."""
+    A version is there once its mark is written, so readers never see half of one. The mark
+    names the parts of each label: a whole frame, and changes (rows by key, or that a key is
+    gone) of later versions on top of it, the last of which counts."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -270,31 +283,82 @@ class GraphStore:
         found = (n.removeprefix("v=") for n in files.names(self.spark, self.path) if n.startswith("v="))
         return sorted(int(n) for n in found if n.isdigit() and files.exists(self.spark, f"{self.path}/v={n}/_DONE"))
 
-    def write(self, graph: dict[str, DataFrame], version: int | None = None) -> int:
+    def parts(self, version: int) -> dict[str, list[str]]:
+        """The parts of each label of a version, the whole frame first."""
+        told = json.loads(files.read_text(self.spark, f"{self.path}/v={version}/_DONE"))
+        return told if isinstance(told, dict) else {x: [f"v={version}/{x}"] for x in told}
+
+    def write(self, graph: dict[str, DataFrame], version: int | None = None, since: int | None = None) -> int:
+        """Write a version. With `since`, a label that is there in that version is written as
+        what has changed of it, unless that is most of it or there are many changes already."""
         version = max(self.versions(), default=0) + 1 if version is None else version
+        before = self.parts(since) if since is not None else {}
+        done = {}
         for label, df in graph.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/v={version}/{label}")
-        files.write_text(self.spark, f"{self.path}/v={version}/_DONE", json.dumps(sorted(graph)))
+            done[label] = self._changes(df, before[label], f"v={version}/{label}.delta") if label in before else None
+            if done[label] is None:
+                df.write.mode("overwrite").parquet(f"{self.path}/v={version}/{label}")
+                done[label] = [f"v={version}/{label}"]
+        files.write_text(self.spark, f"{self.path}/v={version}/_DONE", json.dumps(done, sort_keys=True))
         return version
 
+    def _changes(self, new: DataFrame, parts: list[str], at: str) -> list[str] | None:
+        """The parts with what differs in new; None if new should be written whole."""
+        old = self._merged(parts)
+        same = {f.name: f.dataType for f in old.schema.fields} == {f.name: f.dataType for f in new.schema.fields}
+        if not same or len(parts) > MOST_DELTAS or any("map<" in t for _, t in old.dtypes):
+            return None
+        new, key = checkpointed(new.select(*old.columns)), key_of(old)
+        if not new.groupBy(*key).count().where("count > 1").isEmpty():
+            return None  # rows that no key tells apart
+        changed = new.exceptAll(old).withColumn("__gone", F.lit(False))
+        gone = old.join(new, key, "left_anti").select(*key).distinct().withColumn("__gone", F.lit(True))
+        changed.unionByName(gone, allowMissingColumns=True).write.mode("overwrite").parquet(f"{self.path}/{at}")
+        n, whole = self.spark.read.parquet(f"{self.path}/{at}").count(), new.count()
+        if 0 < n <= whole / 2:
+            return [*parts, at]
+        files.delete(self.spark, f"{self.path}/{at}")
+        return None if n else parts
+
+    def _merged(self, parts: list[str]) -> DataFrame:
+        """A label from its parts: rows of the whole frame whose keys no change names, and of the
+        changes the last of each key. Changes are few, so that Spark broadcasts their keys where
+        its size limit allows, and the whole frame is not shuffled."""
+        whole = self.spark.read.parquet(f"{self.path}/{parts[0]}")
+        if len(parts) == 1:
+            return whole
+        key = key_of(whole)
+        deltas = [self.spark.read.parquet(f"{self.path}/{p}").withColumn("__seq", F.lit(i)) for i, p in enumerate(parts[1:])]
+        every = reduce(lambda a, b: a.unionByName(b), deltas)
+        last = every.groupBy(*key).agg(F.max_by(F.struct(*[c for c in every.columns if c not in key]), "__seq").alias("r")).select(*key, "r.*")
+        kept = whole.join(last.select(*key), key, "left_anti").select(*whole.columns)
+        return kept.unionByName(last.where("NOT __gone").select(*whole.columns))
+
     def read(self, version: int | None = None, labels: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
         """Labels of a version (the last one, all of them); each is a view too."""
         if version is None:
             version = max(self.versions(), default=0)
             if not version:
                 raise FileNotFoundError(f"no graph at {self.path}")
-        if labels is None:
-            labels = tuple(json.loads(files.read_text(self.spark, f"{self.path}/v={version}/_DONE")))
-        out = {x: self.spark.read.parquet(f"{self.path}/v={version}/{x}") for x in labels}
+        parts = self.parts(version)
+        out = {x: self._merged(parts[x]) for x in (parts if labels is None else labels)}
         for label, df in out.items():
             df.createOrReplaceTempView(label)
         self.open |= set(out)
         return out
 
     def keep(self, last: int) -> None:
-        """Delete all but the last versions."""
-        for v in self.versions()[: -last or None]:
-            files.delete(self.spark, f"{self.path}/v={v}")
+        """Forget all but the last versions, and delete the parts that none of these has."""
+        versions = self.versions()
+        gone, kept = versions[: -last or None], versions[-last:] if last else []
+        used = {p for v in kept for parts in self.parts(v).values() for p in parts}
+        for v in gone:
+            files.delete(self.spark, f"{self.path}/v={v}/_DONE")
+            for name in files.names(self.spark, f"{self.path}/v={v}"):
+                if f"v={v}/{name}" not in used:
+                    files.delete(self.spark, f"{self.path}/v={v}/{name}")
+            if not files.names(self.spark, f"{self.path}/v={v}"):
+                files.delete(self.spark, f"{self.path}/v={v}")
 
     def close(self) -> None:
         for label in self.open:

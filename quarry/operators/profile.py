@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -61,11 +65,36 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return values(df, cols).withColumn("value", short).distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
 
 
+def _few(cols: list[str], most: int):
+    """A task's distinct values of each column, until there are more than `most`: then a row
+    with a null value alone."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[set | None] = [set() for _ in cols]
+        for batch in batches:
+            for i in range(len(cols)):
+                if held[i] is not None:
+                    held[i].update(pc.unique(batch.column(i)).drop_null().to_pylist())
+                    if len(held[i]) > most:
+                        held[i] = None
+        for name, found in zip(cols, held, strict=True):
+            told = [None] if found is None else list(found)
+            if told:
+                yield pa.RecordBatch.from_pydict({"column_name": [name] * len(told), "value": pa.array(told, pa.string())})
+
+    return step
+
+
 def low_cardinality_values(df: DataFrame, most: int = LOW_CARDINALITY) -> DataFrame:
-    """column_name, sample_values: the sorted values of columns with at most `most`."""
-    distinct = values(df).distinct()
-    few = distinct.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
-    return distinct.join(F.broadcast(few.select("column_name")), "column_name").groupBy("column_name").agg(F.array_join(F.sort_array(F.collect_list("value")), "|").alias("sample_values"))
+    """column_name, sample_values: the sorted values of columns with at most `most`. A task
+    hands on `most` values of a column, or that it has more."""
+    df = flattened(df)
+    cols = _plain(df)
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+    found = texts.mapInArrow(_few(cols, most), "column_name string, value string").distinct()
+    per = found.groupBy("column_name").agg(F.count_if(F.col("value").isNull()).alias("many"), F.count("value").alias("n"))
+    few = per.where((F.col("many") == 0) & (F.col("n") <= most)).select("column_name")
+    return found.join(few, "column_name").groupBy("column_name").agg(F.array_join(F.sort_array(F.collect_list("value")), "|").alias("sample_values"))
 
 
 def most_common_values(df: DataFrame, cols: list[str], most: int = MOST_COMMON) -> DataFrame:
@@ -82,21 +111,31 @@ def histogram(df: DataFrame, column: str, buckets: int = 10, accuracy: int = 100
     return one.select(F.posexplode("bounds").alias("bucket", "bound"))
 
 
+def places(df: DataFrame, column: str) -> DataFrame:
+    """v, n, first, total: each value of a column (null ones left out), how many rows have it,
+    how many rows have less, and how many rows there are. Values are counted before they are
+    sorted by range, so a value that most rows share is one row; places are running sums in a
+    range and the sizes of the ranges before it."""
+    counts = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpointed(counts.repartitionByRange("v").withColumn("p", F.spark_partition_id()))
+    sizes = counts.groupBy("p").agg(F.sum("n").alias("size"))  # a row for each range
+    before = F.sum("size").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("p", F.coalesce(before, F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy()).alias("total"))
+    inner = F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn("inner", F.coalesce(inner, F.lit(0))).join(sizes, "p").select("v", "n", (F.col("before") + F.col("inner")).alias("first"), "total")
+
+
 def exact_quantiles(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
     """bucket, bound: the exact quantiles 0, 1/buckets, ..., 1, between neighbours where a rank
-    falls between two values. Values are sorted by range, so that no task holds all; ranks
-    are places in a range and the sizes of the ranges before it."""
-    v = checkpointed(df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull()).repartitionByRange("v").withColumn("p", F.spark_partition_id()))
-    sizes = v.groupBy("p").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    ranked = v.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("v")) - 1).join(F.broadcast(sizes), "p")
-    ranked = ranked.select("v", (F.col("r") + F.col("before")).alias("rank"), "total")
+    falls between two values."""
+    ranked = places(df.select(F.col(column).cast("double").alias(column)), column)
     q = F.array(*[F.struct(F.lit(i).alias("bucket"), F.lit(i / buckets).alias("q")) for i in range(buckets + 1)])
-    at = F.col("x.q") * (F.col("total") - 1)
-    hit = ranked.select("v", "rank", "total", F.explode(q).alias("x")).where((F.col("rank") == F.floor(at)) | (F.col("rank") == F.ceil(at)))
-    weight = F.when(F.floor(at) == F.ceil(at), 1.0).otherwise(1 - F.abs(F.col("rank") - at))
-    return hit.groupBy(F.col("x.bucket").alias("bucket")).agg(F.sum(F.col("v") * weight).alias("bound"))
+    x = ranked.select("v", "n", "first", "total", F.explode(q).alias("x")).withColumn("at", F.col("x.q") * (F.col("total") - 1))
+    part = F.col("at") - F.floor("at")
+    # the ranks that a quantile lies between, and how much each counts
+    ends = F.array(F.struct(F.floor("at").alias("rank"), (1 - part).alias("weight")), F.struct(F.ceil("at").alias("rank"), part.alias("weight")))
+    hit = x.select("v", "n", "first", F.col("x.bucket").alias("bucket"), F.explode(ends).alias("e")).where((F.col("e.weight") > 0) & (F.col("e.rank") >= F.col("first")) & (F.col("e.rank") < F.col("first") + F.col("n")))
+    return hit.groupBy("bucket").agg(F.sum(F.col("v") * F.col("e.weight")).alias("bound"))
 
 
 def key_candidates(tables: dict[str, DataFrame]) -> DataFrame:
@@ -131,5 +170,14 @@ def value_overlap(left: DataFrame, left_column: str, right: DataFrame, right_col
 
 
 def rank_correlation(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Correlation of a column's order with the rows' order (as a clustered table has)."""
-    return df.agg(F.round(F.corr(F.col(column).cast("double"), F.col(order).cast("double")), 6).alias("correlation"))
+    """Correlation of the ranks of a column's values with the ranks of the rows' order (as a
+    clustered table has); equal values have the rank of the first of them."""
+    both = df.select(F.col(column).alias("x"), F.col(order).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    pairs = checkpointed(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    for c in ("x", "y"):
+        place = places(both, c).select(F.col("v").alias(c), F.col("first").cast("double").alias(f"r{c}"))
+        pairs = pairs.join(place, c)
+    n, x, y = F.col("n"), F.col("rx"), F.col("ry")
+    s = pairs.agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))
+    cov, vx, vy = F.expr("n * xy - x * y"), F.expr("n * xx - x * x"), F.expr("n * yy - y * y")
+    return s.select(F.round(F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx) / F.sqrt(vy)), 6).alias("correlation"))

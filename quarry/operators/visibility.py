@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from quarry.functions import scalars as S
+from quarry.operators.reach import checkpointed
 
 
 @dataclass(frozen=True)
@@ -75,14 +76,29 @@ def redact(result: DataFrame, hidden_ids: DataFrame, id_columns: list[str]) -> D
     more = [f for f in result.schema.fields if f.name not in id_columns and _has_text(f.dataType)]
     if not more:
         return result
-    # one set of what is hidden, a catalog's names
-    hidden = ids.agg(F.collect_set("node_id").alias("__hidden"))
-    x = result.crossJoin(F.broadcast(hidden))
+    # the hidden ones among each row's own texts
+    rows = checkpointed(result.withColumn("__row", F.monotonically_increasing_id()))
+    seen = F.array_distinct(F.flatten(F.array(*[_texts(F.col(f"`{f.name}`"), f.dataType) for f in more])))
+    found = rows.select("__row", F.explode(seen).alias("node_id")).join(ids, "node_id", "left_semi").groupBy("__row").agg(F.collect_set("node_id").alias("__hidden"))
+    x = rows.join(found, "__row", "left").withColumn("__hidden", F.coalesce("__hidden", F.array().cast("array<string>")))
     for f in more:
         x = x.withColumn(f.name, _cleared(F.col(f"`{f.name}`"), f.dataType, F.col("__hidden")))
     return x.select(*[F.col(f"`{c}`") for c in result.columns])
 
 
+def _texts(value: Column, kind: DataType) -> Column:
+    """The texts in a value, in lists and structs too."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, StringType):
+        return F.when(value.isNotNull(), F.array(value)).otherwise(none)
+    if isinstance(kind, ArrayType) and _has_text(kind):
+        return F.coalesce(F.flatten(F.transform(value, lambda x: _texts(x, kind.elementType))), none)
+    if isinstance(kind, StructType) and _has_text(kind):
+        inner = [_texts(value[f.name], f.dataType) for f in kind.fields if _has_text(f.dataType)]
+        return F.coalesce(F.concat(*inner), none)
+    return none
+
+
 def _has_text(kind: DataType) -> bool:
     if isinstance(kind, ArrayType):
         return _has_text(kind.elementType)

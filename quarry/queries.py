@@ -45,38 +45,6 @@ def _values(name: str, columns: str, rows) -> str:
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(_literal(v) for v in r) + ')' for r in rows)})"
 
 
-# ---- literal catalogs ------------------------------------------------------------
-
-#: table, column, type, ordinal, primary key, distinct, null %, index, unique, rows
-SHOP = [
-    ("customers", "id", "integer", 1, True, 900, 0.0, "btree", True, 900),
-    ("customers", "region_code", "varchar", 2, False, 8, 0.0, None, None, 900),
-    ("customers", "created_at", "timestamp", 3, False, 880, 0.0, None, None, 900),
-    ("orders", "id", "integer", 1, True, 20000, 0.0, "btree", True, 20000),
-    ("orders", "customer_id", "integer", 2, False, 850, 0.0, "btree", False, 20000),
-    ("orders", "region_code", "varchar", 3, False, 8, 0.0, None, None, 20000),
-    ("orders", "warehouse_fk", "integer", 4, False, 12, 91.0, "brin", False, 20000),
-    ("order_items", "order_id", "integer", 1, True, 20000, 0.0, "btree", False, 60000),
-    ("order_items", "product_id", "integer", 2, True, 40, 0.0, None, None, 60000),
-    ("order_items", "amount", "numeric(10,2)", 3, False, 5000, 0.0, None, None, 60000),
-    ("products", "id", "integer", 1, True, 300, 0.0, "btree", True, 300),
-    ("products", "cat_id", "integer", 2, False, 12, 0.0, None, None, 300),
-    ("products", "supplier_code", "varchar", 3, False, 30, 0.0, None, None, 300),
-    ("category", "id", "integer", 1, True, 12, 0.0, "btree", True, 12),
-    ("category", "name", "varchar", 2, False, 12, 0.0, None, None, 12),
-    ("warehouse", "id", "integer", 1, True, 12, 0.0, "btree", True, 12),
-    ("warehouse", "supplier_code", "varchar", 2, False, 11, 0.0, None, None, 12),
-    ("warehouse", "region_code", "integer", 3, False, 8, 0.0, None, None, 12),
-]
-SHOP_SCHEMA = "table_name string, column_name string, data_type string, ordinal int, is_primary_key boolean, distinct_count bigint, null_pct double, index_type string, index_unique boolean, row_count bigint"
-SHOP_KEYS = [("order_items", "order_id", "orders", "id")]
-_SHOP = _values("c", "t, col, typ, ord, pk, dc, nulls, idx, uniq, n", SHOP)
-
-
-def _shop(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SHOP, SHOP_SCHEMA)
-
-
 FK_ROWS = list(catalog.FOREIGN_KEYS)
 #: guesses of joins, and how sure each is before it is measured
 GUESSES = [("documents", "source", "pages", "url", 0.4), ("conversations", "conv_id", "events", "event_id", 0.9), ("benchmark", "item_id", "documents", "doc_id", 0.6)]
@@ -268,6 +236,24 @@ def best_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- joins between tables --------------------------------------------------------
 
+#: the supplied columns with what their values show; a column whose values all differ is a key
+_SHOP = "measured AS (" + " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS col, {i + 1} AS ord, count(*) AS n, count(DISTINCT {c}) AS dc, round(100.0 * (count(*) - count({c})) / greatest(count(*), 1), 2)::DOUBLE AS nulls FROM {t}" for t, cs in COLUMNS.items() for i, c in enumerate(cs)) + """),
+ c AS (SELECT m.*, CASE WHEN data_type IN ('INTEGER', 'BIGINT', 'DOUBLE') THEN 'numeric' WHEN data_type = 'VARCHAR' THEN 'varchar' WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp' END AS typ,
+   n > 0 AND dc = n AS pk, NULL::VARCHAR AS idx, n > 0 AND dc = n AS uniq FROM measured m JOIN duckdb_columns() k ON k.table_name = t AND k.column_name = col)"""
+
+
+def measured_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplied columns with counts, distinct values and null shares measured."""
+    out = None
+    for t, cs in COLUMNS.items():
+        df = catalog.read_table(spark, sf_dir, t).select(*cs)
+        kinds = spark.createDataFrame([(c, k, i + 1) for i, (c, k) in enumerate(df.dtypes)], "column_name string, data_type string, ordinal int")
+        key = (F.col("row_count") > 0) & (F.col("distinct_count") == F.col("row_count"))
+        one = profile.column_profile(df).join(kinds, "column_name").select(F.lit(t).alias("table_name"), "column_name", "data_type", "ordinal", key.alias("is_primary_key"), "distinct_count", "null_pct", F.lit(None).cast("string").alias("index_type"), key.alias("index_unique"), "row_count")
+        out = one if out is None else out.unionByName(one)
+    return reach.checkpointed(out)
+
+
 _NAMING = _SHOP + """,
  s AS (SELECT t, col, ord, CASE WHEN lower(col) LIKE '%\\_fk' ESCAPE '\\' THEN 'heuristic_fk' ELSE 'heuristic_id' END AS kind, left(col, length(col) - 3) AS stem FROM c
        WHERE lower(col) LIKE '%\\_fk' ESCAPE '\\' OR (lower(col) LIKE '%\\_id' ESCAPE '\\' AND lower(col) <> 'id')),
@@ -283,7 +269,7 @@ _NAMING = _SHOP + """,
 
 @query("WITH " + _NAMING + " SELECT * REPLACE (confidence::DOUBLE AS confidence) FROM naming")
 def infer_joins_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discover.naming_candidates(_shop(spark)).drop("reasoning")
+    return discover.naming_candidates(measured_catalog(spark, sf_dir)).drop("reasoning")
 
 
 _BORING = ", ".join(f"'{n}'" for n in discover.BORING_NAMES)
@@ -294,13 +280,13 @@ _SAME = f"""sh AS (SELECT t, col, count(*) OVER (PARTITION BY col) AS n FROM (SE
 
 @query("WITH " + _SHOP + ", " + _SAME + " SELECT * REPLACE (confidence::DOUBLE AS confidence) FROM same")
 def infer_joins_same_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discover.same_name_candidates(_shop(spark)).drop("reasoning")
+    return discover.same_name_candidates(measured_catalog(spark, sf_dir)).drop("reasoning")
 
 
 _FAM = lambda x: f"CASE split_part({x}.typ, '(', 1) WHEN 'integer' THEN 'numeric' WHEN 'numeric' THEN 'numeric' WHEN 'varchar' THEN 'string' WHEN 'timestamp' THEN 'temporal' END"
 
 
-@query("WITH " + _NAMING + ", " + _SAME + f""", every AS (SELECT * FROM naming UNION ALL SELECT * FROM same),
+@query("WITH " + _FK + ", " + _NAMING + ", " + _SAME + f""", every AS (SELECT * FROM naming UNION ALL SELECT * FROM same),
  sig AS (SELECT e.kind, src_table, src_column, dst_table, dst_column, greatest(0, least(1, e.confidence::DOUBLE
      - CASE WHEN a.idx IN ('gin', 'brin') AND e.kind <> 'heuristic_same_name' THEN 0.3::DOUBLE ELSE 0 END
      - CASE WHEN a.n > 10000 AND a.dc < 50 AND e.kind = 'heuristic_id' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN b.uniq THEN 0.15::DOUBLE ELSE 0 END
@@ -308,10 +294,10 @@ _FAM = lambda x: f"CASE split_part({x}.typ, '(', 1) WHEN 'integer' THEN 'numeric
    FROM every e JOIN c a ON a.t = src_table AND a.col = src_column JOIN c b ON b.t = dst_table AND b.col = dst_column
    WHERE {_FAM('a')} = {_FAM('b')} AND NOT (e.kind = 'heuristic_same_name' AND (coalesce(a.idx IN ('gin', 'brin'), false) OR (a.n > 10000 AND a.dc < 50))))
  SELECT kind, src_table, src_column, dst_table, dst_column, round(confidence, 6) AS confidence FROM sig
- WHERE (src_table, src_column, dst_table, dst_column) NOT IN (('order_items', 'order_id', 'orders', 'id'))""")
+ WHERE (src_table, src_column, dst_table, dst_column) NOT IN (SELECT (src_table, src_column, dst_table, dst_column) FROM fk)""")
 def infer_joins_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both rules with catalog signals, without declared joins, the strongest of each."""
-    return discover.discover(_shop(spark), catalog.foreign_keys(spark, SHOP_KEYS)).select("kind", "src_table", "src_column", "dst_table", "dst_column", F.round("confidence", 6).alias("confidence"))
+    return discover.discover(measured_catalog(spark, sf_dir), confirmed_keys(spark, sf_dir)).select("kind", "src_table", "src_column", "dst_table", "dst_column", F.round("confidence", 6).alias("confidence"))
 
 
 @query("""WITH a AS (SELECT DISTINCT user_id::VARCHAR AS v FROM events WHERE user_id IS NOT NULL), b AS (SELECT DISTINCT c_custkey::VARCHAR AS v FROM customer),

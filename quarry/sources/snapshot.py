@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.operators import profile
+from quarry.operators.profile_store import ProfileStore
 from quarry.sources.reader import attempted, no_rows
 
 MAIN = "main"
@@ -116,8 +117,22 @@ def _profiles(source, tables: DataFrame, columns: DataFrame, notes: list[str]) -
     return reduce(DataFrame.unionByName, out) if out else None
 
 
-def inspect(source, connection: str, database: str = "", statistics: bool = True) -> Snapshot:
-    """The snapshot of a source. Catalog statistics win over profiles."""
+def _merged_profiles(source, tables: DataFrame, store: ProfileStore, notes: list[str]) -> DataFrame | None:
+    """Estimates of a store that reads new and changed files alone; sources of files only."""
+    out = []
+    for (name,) in tables.where("row_count > 0").select("table_name").collect():  # the catalog's names
+        try:
+            done = store.refresh(name, f"{source.location}/{name}.parquet")
+            notes.append(f"profile of {name}: {done['new']} files read, {done['kept']} known")
+            out.append(store.profile(name).select(F.lit(name).alias("table_name"), "column_name", "distinct_count", "null_pct"))
+        except PySparkException as e:
+            notes.append(f"profile of {name}: {str(e).splitlines()[0]}")
+    return reduce(DataFrame.unionByName, out) if out else None
+
+
+def inspect(source, connection: str, database: str = "", statistics: bool = True, store: ProfileStore | None = None) -> Snapshot:
+    """The snapshot of a source. Catalog statistics win over profiles. With a store, files are
+    profiled once each, by sketches that merge."""
     spark, notes = source.spark if hasattr(source, "spark") else source.reader.spark, []
     tables = source.tables()
     columns = attempted(source.columns, no_rows(spark, "schema_name string, table_name string, column_name string, data_type string, nullable boolean, ordinal int"), notes, "columns")
@@ -135,7 +150,7 @@ def inspect(source, connection: str, database: str = "", statistics: bool = True
         keys = keys.withColumn("constraint_name", F.concat_ws("_", "src_table", "src_column", F.lit("fk"))).withColumn("position", F.lit(1))
     own = attempted(source.column_statistics, None, notes, "column statistics") if hasattr(source, "column_statistics") else None
     if statistics:
-        measured = _profiles(source, tables, columns, notes)
+        measured = _merged_profiles(source, tables, store, notes) if store is not None and hasattr(source, "location") else _profiles(source, tables, columns, notes)
         columns = _overlaid(columns, measured, ["table_name", "column_name"])
     if own is not None:
         own = _named(own).drop("schema_name").withColumnsRenamed({"mcv": "most_common_values", "histogram": "histogram_bounds", "correlation": "stats_correlation"})

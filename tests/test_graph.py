@@ -187,3 +187,47 @@ def test_more_scalars(spark):
     assert one(S.iso_time(F.lit("2024-05-06 07:08:09").cast("timestamp"))) == "2024-05-06T07:08:09Z"
     with pytest.raises(Exception, match="vectors of 1 and 2"):
         one(S.cosine(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0))))
+
+
+def node_frame(spark, rows):
+    return spark.createDataFrame(rows, "node_id string, name string, tags array<string>")
+
+
+def test_an_upsert_writes_what_has_changed(spark, tmp_path):
+    rows = [(f"n{i:04}", f"name {i}", [str(i % 3)]) for i in range(1000)]
+    edges = spark.createDataFrame([(f"n{i:04}", f"n{i + 1:04}") for i in range(999)], "src string, dst string")
+    store = graph.GraphStore(spark, str(tmp_path / "g"))
+    store.write({"SchemaTable": node_frame(spark, rows), "HAS_COLUMN": edges})
+    now = {r[0]: r for r in rows}
+    for step in range(1, 4):
+        now |= {f"n{i:04}": (f"n{i:04}", f"changed {step}", None) for i in range(step * 7, step * 7 + 8)}
+        now[f"new{step}"] = (f"new{step}", "x", [])
+        now.pop(f"n{900 + step:04}")
+        new = graph.upsert(store.read()["SchemaTable"], node_frame(spark, list(now.values())), "node_id").join(node_frame(spark, list(now.values())).select("node_id"), "node_id", "left_semi")
+        v = store.write({"SchemaTable": new, "HAS_COLUMN": edges}, since=step)
+        parts = store.parts(v)
+        assert parts["HAS_COLUMN"] == ["v=1/HAS_COLUMN"] and len(parts["SchemaTable"]) == step + 1
+        assert spark.read.parquet(f"{store.path}/{parts['SchemaTable'][-1]}").count() == 10
+        got = {r.node_id: tuple(r) for r in store.read()["SchemaTable"].collect()}
+        assert got == now and store.read()["HAS_COLUMN"].count() == 999
+    assert store.read(1)["SchemaTable"].count() == 1000 and {r.name for r in store.read(2)["SchemaTable"].where("node_id = 'n0007'").collect()} == {"changed 1"}
+    store.keep(1)
+    assert store.versions() == [4] and {r.node_id: tuple(r) for r in store.read()["SchemaTable"].collect()} == now
+
+
+def test_large_changes_other_columns_and_repeated_keys_are_written_whole(spark, tmp_path, monkeypatch):
+    store = graph.GraphStore(spark, str(tmp_path / "g"))
+    rows = [(f"n{i}", "a", []) for i in range(20)]
+    store.write({"Entity": node_frame(spark, rows)})
+    most = store.write({"Entity": node_frame(spark, [(k, "b", t) for k, _, t in rows[:15]])}, since=1)
+    assert store.parts(most)["Entity"] == ["v=2/Entity"]
+    other = store.write({"Entity": node_frame(spark, rows).withColumn("more", F.lit(1))}, since=most)
+    assert store.parts(other)["Entity"] == ["v=3/Entity"]
+    twice = store.write({"Entity": node_frame(spark, rows + rows[:1]).withColumn("more", F.lit(1))}, since=other)
+    assert store.parts(twice)["Entity"] == ["v=4/Entity"] and store.read()["Entity"].count() == 21
+    monkeypatch.setattr(graph, "MOST_DELTAS", 2)
+    for i in range(4):
+        store.write({"Cluster": node_frame(spark, [(f"n{k}", f"x{i}" if k == i else "a", []) for k in range(20)])}, since=max(store.versions()) if i else None)
+    assert [len(store.parts(v)["Cluster"]) for v in store.versions()[-4:]] == [1, 2, 3, 1]
+    store.keep(0)
+    assert store.versions() == []

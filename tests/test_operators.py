@@ -101,6 +101,24 @@ def test_discovery_rules(spark):
     assert {(r.src_table, r.dst_table) for r in same.collect()} == {("users", "orders"), ("orders", "users")}
 
 
+def test_prefix_join_equals_the_naive_one(spark):
+    """All words of the supplied documents as names of tables, and as stems."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = sorted({w.lower() for r in docs.select("text").collect() for w in (r.text or "").split() if w.isalpha() and w.isascii()})[::7][:1500]
+    stems = sorted({w[:n] for w in words[::9] for n in (2, 3, len(w))})
+    columns = [(w, "id", "long", 1, True) for w in words] + [(words[i % len(words)], f"{s}_id", "long", 2 + i, False) for i, s in enumerate(stems)]
+    found = discover.naming_candidates(spark.createDataFrame(columns, "table_name string, column_name string, data_type string, ordinal int, is_primary_key boolean"))
+    got = {(r.src_table, r.src_column): r.dst_table for r in found.where("confidence = 0.55").collect()}
+    exact = {(r.src_table, r.src_column) for r in found.where("confidence = 0.85").collect()}
+    want = {}
+    for i, s in enumerate(stems):
+        own = words[i % len(words)]
+        hits = [w for w in words if w.startswith(s) and w != own] if len(s) > 1 else []
+        if hits and (own, f"{s}_id") not in exact:
+            want[own, f"{s}_id"] = min(hits, key=lambda w: (len(w), w))
+    assert got == want and len(want) > 50
+
+
 def test_scorers_have_unique_names():
     with pytest.raises(ValueError, match="registered"):
         discover.register_scorer("naming", discover.naming_candidates)
