@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import stash
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -55,6 +57,9 @@ def place(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     sized = docs.withColumns({"__q_size": size_of(F.col("text")), "__q_key": F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":" + seed)).cast("binary"))})
     per = targets(sized.select("source", F.col("__q_size").alias("size")), **how).select(
         F.col("source").alias("__q_source"), F.col("source_size").alias("__q_source_size"), F.col("target").alias("__q_target"), F.ceil(F.col("n_rows") / RANGE_ROWS).cast("long").alias("__q_ranges"))
+    # written, the table of sources has a known size, so that Spark broadcasts it while it is
+    # small; planned without, all texts would be dealt by their source first
+    per = stash(per, "sources")
     out = sized.join(per, sized["source"].eqNullSafe(per["__q_source"]), "left").drop("__q_source")
     unit = F.conv(F.substring(F.coalesce("__q_key", F.lit("00000000")), 1, 8), 16, 10).cast("long")
     return out.withColumn("__q_range", F.floor(unit * F.col("__q_ranges") / F.lit(float(1 << 32))).cast("long"))
@@ -67,16 +72,16 @@ def mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
 
 
 def _taken(at: DataFrame) -> DataFrame:
-    # null is a source of its own: keys that plain equality compares, so that the join below
+    # null is a source of its own: a key that plain equality compares, so that the join below
     # finds the rows where the windows have put them
-    at = at.withColumns({"__q_none": F.col("source").isNull(), "__q_name": F.coalesce("source", F.lit(""))})
-    keys = ["__q_none", "__q_name", "__q_range"]
+    at = at.withColumn("__q_name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    keys = ["__q_name", "__q_range"]
     totals = at.groupBy(*keys).agg(F.sum("__q_size").alias("__q_total"))
-    up = Window.partitionBy("__q_none", "__q_name").orderBy("__q_range").rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy("__q_name").orderBy("__q_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, F.coalesce(F.sum("__q_total").over(up), F.lit(0)).alias("__q_offset"))
     within = Window.partitionBy(*keys).orderBy("__q_key", "doc_id", "__q_size").rowsBetween(Window.unboundedPreceding, -1)
     at = at.withColumn("__q_before", F.coalesce(F.sum("__q_size").over(within), F.lit(0)))
-    at = at.join(offsets, keys, "left").drop("__q_none", "__q_name")
+    at = at.join(offsets, keys, "left").drop("__q_name")
     budget = F.round(F.col("__q_target")).cast("long")
     whole = F.when(F.col("__q_source_size") > 0, F.floor(budget / F.col("__q_source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - whole * F.col("__q_source_size")
