@@ -45,6 +45,8 @@ PARITY = 512
 MEMBERS = 256
 #: sets that a map task remembers at most, and bits of the bitmap of needed texts
 KNOWN, BITS = 1_000_000, 25
+#: bits of the bitmaps of documents that go and that stay (8 MB each)
+KEPT_BITS = 26
 
 
 def _enough(least: int, differ: int) -> int:
@@ -435,15 +437,28 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
                 yield _paired(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
 
 
+def _bitmap(docs: DataFrame, bits: int) -> DataFrame:
+    """bucket, bits: a bitmap of 2**bits bits (whatever the input) in which the cells of doc are set."""
+    cell = F.pmod(F.xxhash64(F.col("doc")), F.lit(1 << bits))
+    return docs.select("doc").withColumn("cell", cell).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+
+
+def _told(docs: DataFrame, key: str, maps: DataFrame, name: str, bits: int) -> DataFrame:
+    """docs with a column `name`: whether the bitmap has the cell of their key."""
+    cell = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits))
+    maps = maps.select(F.col("bucket").alias("__q_bucket"), F.col("bits").alias("__q_bits"))
+    joined = docs.withColumn("__q_cell", cell).join(F.broadcast(maps), F.bitmap_bucket_number("__q_cell") == F.col("__q_bucket"), "left")
+    joined = joined.withColumn("__q_bit", F.bitmap_bit_position("__q_cell").cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(__q_bits, __q_bit div 8 + 1, 1)")), 16, 10).cast("int")
+    joined = joined.withColumn("__q_byte", byte).withColumn(name, F.coalesce(F.expr("shiftright(__q_byte, __q_bit % 8) & 1 = 1"), F.lit(False)))
+    return joined.drop("__q_cell", "__q_bucket", "__q_bits", "__q_bit", "__q_byte")
+
+
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """doc and packed text of the documents in needed, and of few others: a bitmap of 2**BITS
     bits (4 MB, whatever the input) drops most of the rest before texts are shuffled."""
-    cell = F.pmod(F.xxhash64(F.col("doc")), F.lit(1 << BITS))
-    maps = needed.select("doc").withColumn("cell", cell).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
-    own = docs.select(F.col("doc_id").alias("doc"), "text").withColumn("cell", cell).withColumn("bucket", F.bitmap_bucket_number("cell")).withColumn("bit", F.bitmap_bit_position("cell").cast("int"))
-    byte = F.conv(F.hex(F.expr("substring(bits, bit div 8 + 1, 1)")), 16, 10).cast("int")
-    held = own.join(F.broadcast(maps), "bucket").withColumn("byte", byte).where(F.expr("shiftright(byte, bit % 8) & 1 = 1"))
-    return repeats.packed(held.select(F.col("doc").alias("doc_id"), "text")).select(F.col("doc_id").alias("doc"), "z").dropDuplicates(["doc"])
+    held = _told(docs.select("doc_id", "text"), "doc_id", _bitmap(needed, BITS), "__q_held", BITS).where("__q_held")
+    return repeats.packed(held.select("doc_id", "text")).select(F.col("doc_id").alias("doc"), "z").dropDuplicates(["doc"])
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -499,8 +514,29 @@ def classes(docs: DataFrame, rule: Rule = OP8) -> DataFrame:
 def representatives(docs: DataFrame, rule: Rule = OP8) -> DataFrame:
     """docs without those that are not the first of their component; all columns stay.
     Rows that share the kept doc_id stay."""
-    gone = classes(docs, rule).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__q_doc")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__q_doc"], "left_anti")
+    found = classes(docs, rule).where(F.col("doc_id").isNotNull())
+    found = stash(found.select(F.col("doc_id").alias("doc"), (F.col("doc_id") == F.col("component_id")).alias("first")), "jaccard-found")
+    return _kept(docs, found)
+
+
+def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without those that found (doc, first) tells to be no first ones. Two bitmaps, of the
+    documents that go and of those that stay, settle nearly all where they lie; only rows with
+    cells in both are shuffled, to be told exactly."""
+    both = _judged(docs, found)
+    gone = found.where(~F.col("first")).select(F.col("doc").alias("__q_doc")).distinct()
+    unsure = both.where(F.col("__q_gone") & F.col("__q_stays")).select(*docs.columns)
+    unsure = unsure.join(gone, unsure["doc_id"] == gone["__q_doc"], "left_anti")
+    return both.where(~F.col("__q_gone")).select(*docs.columns).unionByName(unsure)
+
+
+def _judged(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with __q_gone, __q_stays: whether either bitmap has their cell."""
+    out = docs.withColumn("__q_id", F.col("doc_id").cast("long"))
+    for name, rows in (("__q_gone", found.where(~F.col("first"))), ("__q_stays", found.where("first"))):
+        out = _told(out, "__q_id", _bitmap(rows, KEPT_BITS), name, KEPT_BITS)
+    # a null doc_id is nobody's copy
+    return out.withColumn("__q_gone", F.col("__q_gone") & F.col("doc_id").isNotNull())
 
 
 #: the result of classes() with OP8 in DuckDB SQL (for tables whose pairs fit in memory)

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from llm_frames import frame
 from pyspark.sql import functions as F
 
@@ -118,6 +119,19 @@ def test_representatives_keep_columns_and_one_of_each_group(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 7]
 
 
+@pytest.mark.parametrize("bits", [15, 26])
+def test_texts_of_told_documents_are_not_shuffled(spark, monkeypatch, bits):
+    """Bitmaps tell which documents stay; those whose cells collide are told exactly."""
+    monkeypatch.setattr(jaccard, "KEPT_BITS", bits)
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text")).unionByName(frame(spark, [(None, "x"), (5, "again"), (6, "again")]).select("doc_id", "text"))
+    found = spark.range(n).select(F.col("id").alias("doc"), (F.col("id") % 3 == 0).alias("first"))
+    kept = sorted((r.doc_id is None, r.doc_id) for r in jaccard._kept(docs, found).collect())
+    assert kept == sorted([*((False, i) for i in range(0, n, 3)), (False, 6), (True, None)])
+    unsure = jaccard._judged(docs, found).where("__q_gone AND __q_stays").count()
+    assert unsure < n / 100 if bits == 26 else unsure > 0
+
+
 def test_null_and_repeated_ids_and_empty_tables(spark):
     t = "z" * 400
     rows = [(None, t), (1, t), (1, t), (2, "short"), (2, t)]
