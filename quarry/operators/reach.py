@@ -69,8 +69,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def closure(pairs: DataFrame) -> DataFrame:
-    """child, ancestor: the transitive closure of pairs (child, parent)."""
-    return reached(pairs.select(F.col("child").alias("seed")), pairs).where("seed <> node").select(F.col("seed").alias("child"), F.col("node").alias("ancestor"))
+    """child, ancestor: the transitive closure of pairs (child, parent).
+
+    Lengths double: what lies farther than 2^i steps and no farther than 2^(i+1) is reached from
+    what lies at 2^i exactly by what lies at 2^i or less. So there are as many rounds as the
+    longest way has binary digits, and each round's new pairs are written once."""
+    step = pairs.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")).where("child <> ancestor").distinct()
+    parts, at = [checkpointed(step)], 1
+    while True:
+        every = reduce(DataFrame.unionByName, parts)
+        far = parts[-1].where(F.col("steps") == at).select("child", F.col("ancestor").alias("by"))
+        on = every.select(F.col("child").alias("by"), "ancestor", (F.col("steps") + at).alias("steps"))
+        new = far.join(on, "by").where("child <> ancestor").groupBy("child", "ancestor").agg(F.min("steps").alias("steps"))
+        new = checkpointed(new.join(every, ["child", "ancestor"], "left_anti"))
+        if not new.take(1):
+            return every.select("child", "ancestor")
+        parts.append(new)
+        at *= 2
 
 
 def grants_of_roles(grants: DataFrame, memberships: DataFrame) -> DataFrame:

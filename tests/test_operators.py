@@ -230,6 +230,14 @@ def test_closure_of_lattices_and_cycles(spark):
     assert long.where("child = 0").count() == 90
 
 
+def test_closure_takes_rounds_by_the_digits_of_the_longest_way(spark, monkeypatch):
+    written, write = [], reach.checkpointed
+    monkeypatch.setattr(reach, "checkpointed", lambda df: written.append(1) or write(df))
+    chain = [(i, i + 1) for i in range(20)]
+    got = {tuple(r) for r in reach.closure(spark.createDataFrame([*chain, (3, 9), (9, 4)], "child long, parent long")).collect()}
+    assert {(0, 20), (9, 4), (9, 3), (8, 4)} - got == {(9, 3)} and len(written) <= 7
+
+
 def test_graph_store_cascade_and_registry(spark, tmp_path):
     g = graph.build("c", spark.createDataFrame([("a",), ("b",)], "table_name string"), spark.createDataFrame([("a", "id", 1), ("b", "id", 1)], "table_name string, column_name string, ordinal int"), spark.createDataFrame([("a", "b_id", "b", "id")], FK))
     store = graph.GraphStore(spark, f"file://{tmp_path}/g")
