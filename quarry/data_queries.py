@@ -116,7 +116,6 @@ def large_best_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH RECURSIVE " + _LARGE + f", rich AS ({_RICH}), " + _LARGE_WALK.format(start="WHERE src_table IN (FROM rich)") + " " + _RANKED.format(goal=" WHERE t IN (FROM rich)") + " WHERE rank <= 3")
 def large_path_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three cheapest paths between any two customers of large balance."""
-    rich = catalog.read_table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("from_table"))
     # a stated query set: every customer above the balance with every other
-    pairs = rich.withColumn("one", F.lit(1)).join(rich.select(F.col("from_table").alias("to_table"), F.lit(1).alias("one")), "one").drop("one")
-    return kshortest.k_shortest(large_edges(spark, sf_dir), pairs).select("from_table", "to_table", "rank", "depth", "cost", "path")
+    rich = catalog.read_table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("table_name"))
+    return kshortest.k_shortest(large_edges(spark, sf_dir), among=rich).select("from_table", "to_table", "rank", "depth", "cost", "path")

@@ -128,13 +128,20 @@ def _detours(accepted: DataFrame, last: DataFrame, max_depth: int, max_inferred:
     return x.withColumn("task", F.to_json(F.struct("start", "goal", "avoid", "skip", "hops_left", "inf_left")))
 
 
-def k_shortest(edge: DataFrame, pairs: DataFrame, k: int = paths.TOP_K, max_depth: int = paths.MAX_DEPTH, max_inferred: int = paths.MAX_INFERRED, **blocked) -> DataFrame:
+def k_shortest(edge: DataFrame, pairs: DataFrame | None = None, k: int = paths.TOP_K, max_depth: int = paths.MAX_DEPTH, max_inferred: int = paths.MAX_INFERRED, among: DataFrame | None = None, **blocked) -> DataFrame:
     """from_table, to_table, rank, depth, cost, confidence, min_confidence, n_inferred, path,
-    signature, steps: the k cheapest paths of each of the pairs(from_table, to_table)."""
+    signature, steps: the k cheapest paths of each of the pairs(from_table, to_table), or of
+    each two tables of among(table_name), whose pairs are never listed."""
     hop = hops_of(edge, **blocked)
-    pairs = checkpointed(pairs.select("from_table", "to_table").where("from_table <> to_table").distinct())
-    first = relax(hop, _from(pairs.select(F.col("from_table").alias("start")), max_depth, max_inferred), max_depth)
-    first = _best(first.withColumnsRenamed({"task": "from_table", "node": "to_table"}).join(pairs, ["from_table", "to_table"], "left_semi"), "from_table", "to_table")
+    if among is not None:
+        ends = checkpointed(among.select(F.col("table_name").alias("start")).distinct())
+        found = relax(hop, _from(ends, max_depth, max_inferred), max_depth).withColumnsRenamed({"task": "from_table", "node": "to_table"})
+        first = found.join(ends.select(F.col("start").alias("to_table")), "to_table", "left_semi")
+    else:
+        pairs = checkpointed(pairs.select("from_table", "to_table").where("from_table <> to_table").distinct())
+        found = relax(hop, _from(pairs.select(F.col("from_table").alias("start")), max_depth, max_inferred), max_depth).withColumnsRenamed({"task": "from_table", "node": "to_table"})
+        first = found.join(pairs, ["from_table", "to_table"], "left_semi")
+    first = _best(first, "from_table", "to_table")
     last = checkpointed(first.withColumn("rank", F.lit(1)))
     accepted, waiting = last, None
     if k > 1:

@@ -80,3 +80,12 @@ def test_labels_do_not_list_paths(spark):
     labels = kshortest.relax(hop, kshortest._from(start, 14, 0), 14)
     assert labels.count() == 3 * 7
     assert kshortest.best_paths(frame(spark, rows), start, 14, 0).where("to_table = 's7'").first().depth == 14
+
+
+def test_pairs_among_tables_are_not_listed(spark):
+    rows = graph(6, 12, seed=3)
+    some = spark.createDataFrame([("t0",), ("t2",), ("t5",), ("lost",)], "table_name string")
+    pairs = [(a, b) for a in ("t0", "t2", "t5") for b in ("t0", "t2", "t5")]
+    edge = frame(spark, rows)
+    want = shown(kshortest.k_shortest(edge, spark.createDataFrame(pairs, "from_table string, to_table string"), 1))
+    assert want and shown(kshortest.k_shortest(edge, k=1, among=some)) == want
