@@ -13,6 +13,9 @@ that accepted paths take there, and is cheapest. Detours that many pairs share a
 once, and a way that cannot reach its goal within its limits, by the distances from the
 goals, is not followed. Ranks are those of paths.ranked: by cost, depth, signature.
 
+Edges are numbered in the order of their signatures. A label holds the numbers of its way, so
+ways compare like signatures, and steps are looked up for the ways that are chosen alone.
+
 Each hop of each round is checkpointed, so that a lost executor costs that hop.
 """
 
@@ -20,18 +23,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
 from quarry.operators import paths
 from quarry.operators.reach import checkpointed
 
-_STEPS = "array<struct<a: string, ac: string, b: string, bc: string, kind: string, conf: double>>"
+#: edges that are joined by a broadcast
+FEW = 1 << 17
 
 
 def hops_of(edge: DataFrame, blocked_tables: DataFrame | None = None, blocked_edges: DataFrame | None = None, kinds: tuple[str, ...] = ("fk", "inferred")) -> DataFrame:
-    """at, next, step, sig, cost, inf: both directions of every edge that may be used.
+    """num, at, next, step, sig, cost, inf: both directions of every edge that may be used.
     blocked_tables: table_name; blocked_edges: src_table, src_column, dst_table, dst_column,
     either way round."""
     edge = edge.where(F.col("kind").isin(*kinds))
@@ -45,7 +49,14 @@ def hops_of(edge: DataFrame, blocked_tables: DataFrame | None = None, blocked_ed
     adj = adj.where("src_table <> dst_table")
     step = F.struct(F.col("src_table").alias("a"), F.col("src_column").alias("ac"), F.col("dst_table").alias("b"), F.col("dst_column").alias("bc"), F.col("kind").alias("kind"), F.col("confidence").cast("double").alias("conf"))
     sig = paths.signature(F.array(step))
-    return checkpointed(adj.select(F.col("src_table").alias("at"), F.col("dst_table").alias("next"), step.alias("step"), sig.alias("sig"), _units(F.col("kind"), F.col("confidence")).alias("cost"), (F.col("kind") == "inferred").cast("int").alias("inf")))
+    hop = adj.select(F.col("src_table").alias("at"), F.col("dst_table").alias("next"), step.alias("step"), sig.alias("sig"), _units(F.col("kind"), F.col("confidence")).alias("cost"), (F.col("kind") == "inferred").cast("int").alias("inf"))
+    # numbered in ranges of signatures
+    hop = checkpointed(hop.repartitionByRange("sig").withColumn("p", F.spark_partition_id()))
+    sizes = hop.groupBy("p").agg(F.count(F.lit(1)).alias("size"))  # a row for each range
+    before = F.coalesce(F.sum("size").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("p").orderBy("sig", "step"))
+    hop = checkpointed(hop.withColumn("num", within).join(F.broadcast(sizes.select("p", before.alias("before"))), "p").withColumn("num", F.col("num") + F.col("before")).drop("p", "before"))
+    return F.broadcast(hop) if hop.count() <= FEW else hop
 
 
 def _units(kind: Column, confidence: Column) -> Column:
@@ -56,40 +67,58 @@ def _units(kind: Column, confidence: Column) -> Column:
 _TASK = ("goal", "avoid", "skip", "hops_left", "inf_left")
 
 
-def relax(hop: DataFrame, tasks: DataFrame, max_depth: int, within: DataFrame | None = None) -> DataFrame:
-    """task, node, hops, inf, cost, sig, steps: labels that no other makes useless. tasks: task,
-    start, goal (null: every table), avoid (tables), skip (signatures of first steps),
-    hops_left, inf_left. within: node, goal, least (hops between them): ways that it rules out
-    are left."""
-    start = tasks.select("task", F.col("start").alias("node"), F.lit(0).alias("hops"), F.lit(0).alias("inf"), F.lit(0).cast("long").alias("cost"), F.lit("").alias("sig"), F.lit(None).cast(_STEPS).alias("steps"), "start", *_TASK)
-    front, labels = start, [start]
+def relax(hop: DataFrame, tasks: DataFrame, max_depth: int, within: DataFrame | None = None, max_inferred: int | None = None) -> DataFrame:
+    """task, node, hops, inf, cost, way (numbers of edges): labels that no other makes useless.
+    tasks: task, start, goal (null: every table), avoid (tables), skip (signatures of first
+    steps), hops_left, inf_left; with max_inferred, all go from their own name to every table.
+    within: node, goal, least (hops between them): ways that it rules out are left."""
+    alike = max_inferred is not None
+    held = [] if alike else ["start", *_TASK]
+    # `new` stays in written labels: a union of them as they are fails in Spark 4.1's constraints
+    front = checkpointed(tasks.select("task", F.col("start").alias("node"), F.lit(0).alias("hops"), F.lit(0).alias("inf"), F.lit(0).cast("long").alias("cost"), F.array().cast("array<bigint>").alias("way"), F.lit(1).alias("new"), *held))
+    labels = [front]
     for h in range(max_depth):
-        open_ = front.where(F.col("goal").isNull() | (F.col("node") != F.col("goal")))
-        h_ = hop.select("at", "next", F.col("step"), F.col("sig").alias("step_sig"), F.col("cost").alias("step_cost"), F.col("inf").alias("step_inf"))
-        x = open_.join(h_, open_["node"] == h_["at"]).where(~F.array_contains("avoid", F.col("next")) & (F.col("next") != F.col("start")) & (F.col("inf") + F.col("step_inf") <= F.col("inf_left")) & (F.lit(h + 1) <= F.col("hops_left")))
-        if h == 0:
-            x = x.where(~F.array_contains("skip", F.col("step_sig")))
+        h_ = hop.select("num", "at", "next", F.col("sig").alias("step_sig"), F.col("cost").alias("step_cost"), F.col("inf").alias("step_inf"))
+        inferred = F.col("inf") + F.col("step_inf")
+        if alike:
+            x = front.join(h_, front["node"] == h_["at"]).where((F.col("next") != F.col("task")) & (inferred <= max_inferred))
+        else:
+            open_ = front.where(F.col("goal").isNull() | (F.col("node") != F.col("goal")))
+            x = open_.join(h_, open_["node"] == h_["at"]).where(~F.array_contains("avoid", F.col("next")) & (F.col("next") != F.col("start")) & (inferred <= F.col("inf_left")) & (F.lit(h + 1) <= F.col("hops_left")))
+            if h == 0:
+                x = x.where(~F.array_contains("skip", F.col("step_sig")))
         if within is not None:
             w = within.select(F.col("node").alias("w_node"), F.col("goal").alias("w_goal"), "least")
             x = x.join(w, (x["next"] == w["w_node"]) & (x["goal"] == w["w_goal"])).where(F.col("least") + h + 1 <= F.col("hops_left"))
-        sig = F.when(F.col("sig") == "", F.col("step_sig")).otherwise(F.concat_ws("|", "sig", "step_sig"))
-        way = F.struct((F.col("cost") + F.col("step_cost")).alias("cost"), sig.alias("sig"), F.array_append(F.coalesce("steps", F.array().cast(_STEPS)), F.col("step")).alias("steps"))
-        new = x.select("task", F.col("next").alias("node"), (F.col("inf") + F.col("step_inf")).alias("inf"), way.alias("way"), "start", *_TASK)
-        new = new.groupBy("task", "node", "inf").agg(F.min("way").alias("way"), *[F.first(c).alias(c) for c in ("start", *_TASK)])
-        new = checkpointed(new.select("task", "node", F.lit(h + 1).alias("hops"), "inf", "way.*", "start", *_TASK))
-        seen = reduce(DataFrame.unionByName, [f.select("task", "node", F.col("hops").alias("o_hops"), F.col("inf").alias("o_inf"), F.col("cost").alias("o_cost")) for f in [*labels, new]])
-        better = (F.col("o_inf") <= F.col("inf")) & (F.col("o_cost") <= F.col("cost")) & ((F.col("o_hops") < F.col("hops")) | (F.col("o_inf") < F.col("inf")))
-        seen = seen.withColumnsRenamed({"task": "o_task", "node": "o_node"})
-        front = checkpointed(new.join(seen, (new["task"] == seen["o_task"]) & (new["node"] == seen["o_node"]) & better, "left_anti"))
+        way = F.struct((F.col("cost") + F.col("step_cost")).alias("cost"), F.array_append("way", F.col("num")).alias("way"))
+        new = x.select("task", F.col("next").alias("node"), inferred.alias("inf"), F.lit(1).alias("new"), way.alias("way"), *held)
+        # older labels stand before new ones, so that the least cost so far tells what is useless
+        old = [f.select("task", "node", "inf", F.lit(0).alias("new"), F.struct("cost", F.lit(None).cast("array<bigint>").alias("way")).alias("way"), *[F.lit(None).cast(f.schema[c].dataType).alias(c) for c in held]) for f in labels]
+        rows = reduce(DataFrame.unionByName, [*old, new]).repartition("task", "node")
+        rows = rows.groupBy("task", "node", "inf", "new").agg(F.min("way").alias("way"), *[F.first(c).alias(c) for c in held])
+        least = F.min("way.cost").over(Window.partitionBy("task", "node").orderBy("inf", "new").rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("least", least).where((F.col("new") == 1) & (F.col("least").isNull() | (F.col("least") > F.col("way.cost"))))
+        front = checkpointed(rows.select("task", "node", F.lit(h + 1).alias("hops"), "inf", "way.*", "new", *held))
         labels.append(front)
         if front.isEmpty():
             break
-    return reduce(DataFrame.unionByName, [f.select("task", "node", "hops", "inf", "cost", "sig", "steps") for f in labels]).where("hops > 0")
+    return reduce(DataFrame.unionByName, [f.select("task", "node", "hops", "inf", "cost", "way") for f in labels]).where("hops > 0")
 
 
-def _best(labels: DataFrame, *keys: str) -> DataFrame:
+def _best(labels: DataFrame, *keys: str, by: str = "way") -> DataFrame:
     """The first label of each key by cost, hops, signature."""
-    return labels.groupBy(*keys).agg(F.min_by(F.struct("hops", "inf", "cost", "sig", "steps"), F.struct("cost", "hops", "sig")).alias("b")).select(*keys, "b.*")
+    told = [c for c in ("hops", "inf", "cost", "way", "sig", "steps") if c in labels.columns]
+    return labels.groupBy(*keys).agg(F.min_by(F.struct(*told), F.struct("cost", "hops", by)).alias("b")).select(*keys, "b.*")
+
+
+def _told(rows: DataFrame, hop: DataFrame, max_depth: int) -> DataFrame:
+    """rows with sig and steps in place of way."""
+    for i in range(max_depth):
+        # places behind a way's end are dealt out, too
+        num = F.coalesce(F.get("way", F.lit(i)), -1 - F.pmod(F.hash("way"), F.lit(1 << 16)))
+        rows = rows.withColumn("n", num).join(hop.select(F.col("num").alias("n"), F.col("step").alias(f"s{i}")), "n", "left").drop("n")
+    steps = F.filter(F.array(*[F.col(f"s{i}") for i in range(max_depth)]), lambda x: x.isNotNull())
+    return rows.withColumn("steps", steps).drop("way", *[f"s{i}" for i in range(max_depth)]).withColumn("sig", paths.signature(F.col("steps")))
 
 
 def _from(starts: DataFrame, max_depth: int, max_inferred: int) -> DataFrame:
@@ -108,8 +137,8 @@ def best_paths(edge: DataFrame, starts: DataFrame | None = None, max_depth: int
     """The cheapest path from each table of starts(start) (all tables without it) to every
     table it reaches, in the columns of k_shortest."""
     hop = hops_of(edge, **blocked)
-    found = relax(hop, _from(hop.select(F.col("at").alias("start")) if starts is None else starts, max_depth, max_inferred), max_depth)
-    return _shown(_best(found, "task", "node").withColumnsRenamed({"task": "from_table", "node": "to_table"}).withColumn("rank", F.lit(1)))
+    found = relax(hop, _from(hop.select(F.col("at").alias("start")) if starts is None else starts, max_depth, max_inferred), max_depth, max_inferred=max_inferred)
+    return _shown(_told(_best(found, "task", "node"), hop, max_depth).withColumnsRenamed({"task": "from_table", "node": "to_table"}).withColumn("rank", F.lit(1)))
 
 
 def _detours(accepted: DataFrame, last: DataFrame, max_depth: int, max_inferred: int) -> DataFrame:
@@ -135,24 +164,24 @@ def k_shortest(edge: DataFrame, pairs: DataFrame | None = None, k: int = paths.T
     hop = hops_of(edge, **blocked)
     if among is not None:
         ends = checkpointed(among.select(F.col("table_name").alias("start")).distinct())
-        found = relax(hop, _from(ends, max_depth, max_inferred), max_depth).withColumnsRenamed({"task": "from_table", "node": "to_table"})
+        found = relax(hop, _from(ends, max_depth, max_inferred), max_depth, max_inferred=max_inferred).withColumnsRenamed({"task": "from_table", "node": "to_table"})
         first = found.join(ends.select(F.col("start").alias("to_table")), "to_table", "left_semi")
     else:
         pairs = checkpointed(pairs.select("from_table", "to_table").where("from_table <> to_table").distinct())
-        found = relax(hop, _from(pairs.select(F.col("from_table").alias("start")), max_depth, max_inferred), max_depth).withColumnsRenamed({"task": "from_table", "node": "to_table"})
+        found = relax(hop, _from(pairs.select(F.col("from_table").alias("start")), max_depth, max_inferred), max_depth, max_inferred=max_inferred).withColumnsRenamed({"task": "from_table", "node": "to_table"})
         first = found.join(pairs, ["from_table", "to_table"], "left_semi")
-    first = _best(first, "from_table", "to_table")
+    first = _told(_best(first, "from_table", "to_table"), hop, max_depth)
     last = checkpointed(first.withColumn("rank", F.lit(1)))
     accepted, waiting = last, None
     if k > 1:
         goals = last.select(F.col("to_table").alias("start")).distinct()
-        near = relax(hop, _from(goals, max_depth - 1, max_inferred), max_depth - 1).groupBy(F.col("task").alias("goal"), "node").agg(F.min("hops").alias("least"))
+        near = relax(hop, _from(goals, max_depth - 1, max_inferred), max_depth - 1, max_inferred=max_inferred).groupBy(F.col("task").alias("goal"), "node").agg(F.min("hops").alias("least"))
         near = checkpointed(near.unionByName(goals.select(F.col("start").alias("goal"), F.col("start").alias("node"), F.lit(0).alias("least"))))
     for rank in range(2, k + 1):
         spur = checkpointed(_detours(accepted, last, max_depth, max_inferred))
         tasks = spur.select("task", "start", *_TASK).dropDuplicates(["task"])
         found = relax(hop, tasks, max_depth, near).join(tasks.select("task", "goal"), "task").where("node = goal")
-        found = _best(found, "task").withColumnsRenamed({c: f"x_{c}" for c in ("hops", "inf", "cost", "sig", "steps")})
+        found = _told(_best(found, "task"), hop, max_depth).withColumnsRenamed({c: f"x_{c}" for c in ("hops", "inf", "cost", "sig", "steps")})
         steps = F.concat("root", "x_steps")
         root_cost = F.aggregate("root", F.lit(0).cast("long"), lambda s, x: s + _units(x["kind"], x["conf"]))
         sig = F.when(F.col("root_sig") == "", F.col("x_sig")).otherwise(F.concat_ws("|", "root_sig", "x_sig"))
@@ -160,7 +189,7 @@ def k_shortest(edge: DataFrame, pairs: DataFrame | None = None, k: int = paths.T
         new = spur.join(found, "task").select("from_table", "to_table", F.size(steps).alias("hops"), inferred.alias("inf"), (root_cost + F.col("x_cost")).alias("cost"), sig.alias("sig"), steps.alias("steps"))
         waiting = new if waiting is None else waiting.unionByName(new)
         waiting = checkpointed(waiting.join(accepted.select("from_table", "to_table", "sig"), ["from_table", "to_table", "sig"], "left_anti").dropDuplicates(["from_table", "to_table", "sig"]).select(*new.columns))
-        last = checkpointed(_best(waiting, "from_table", "to_table").withColumn("rank", F.lit(rank)))
+        last = checkpointed(_best(waiting, "from_table", "to_table", by="sig").withColumn("rank", F.lit(rank)))
         if last.isEmpty():
             break
         accepted = accepted.unionByName(last)

@@ -89,3 +89,13 @@ def test_pairs_among_tables_are_not_listed(spark):
     edge = frame(spark, rows)
     want = shown(kshortest.k_shortest(edge, spark.createDataFrame(pairs, "from_table string, to_table string"), 1))
     assert want and shown(kshortest.k_shortest(edge, k=1, among=some)) == want
+
+
+def test_labels_hold_numbers_of_edges_alone(spark):
+    """No names of steps are written for labels; numbers stand in the order of signatures."""
+    hop = kshortest.hops_of(frame(spark, graph(6, 12, seed=3)))
+    start = spark.createDataFrame([("t0",)], "start string")
+    labels = kshortest.relax(hop, kshortest._from(start, 2, 2), 2, max_inferred=2)
+    assert labels.columns == ["task", "node", "hops", "inf", "cost", "way"] and labels.schema["way"].dataType.simpleString() == "array<bigint>"
+    by_sig = [r.num for r in hop.orderBy("sig").collect()]
+    assert by_sig == list(range(1, len(by_sig) + 1))
