@@ -72,8 +72,9 @@ class Network:
         for i, t in enumerate(texts):
             if len(t) > LONG:
                 feature[i] = self._feature_of_long(t)
-        logit = feature @ self.out + self.offset
-        return 1 / (1 + np.exp(-logit.astype(np.float64)))
+        # row by row: a product of matrices rounds a row by its place in the batch
+        logit = (feature.astype(np.float64) * self.out).sum(axis=1) + self.offset
+        return 1 / (1 + np.exp(-logit))
 
     def _feature_of_long(self, text: bytes) -> np.ndarray:
         spans, chunks = -(-len(text) // STRIDE), chunk_count(len(text))

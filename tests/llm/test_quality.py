@@ -71,6 +71,15 @@ def test_long_texts_in_blocks_equal_one_pass(monkeypatch):
     assert net.scores(texts) == pytest.approx(whole, abs=1e-6)
 
 
+def test_a_text_scores_alike_at_every_place_of_a_batch():
+    rng = random.Random(8)
+    net = quality.Network.start(5)
+    text = bytes(rng.randrange(256) for _ in range(900))
+    rest = [bytes(rng.randrange(256) for _ in range(rng.randrange(400))) for _ in range(37)]
+    found = {float(net.scores([*rest[:i], text, *rest[i : i + j]])[i]) for i in range(9) for j in range(9)}
+    assert len(found) == 1
+
+
 def test_memory_of_a_long_text_is_bounded():
     import tracemalloc
 
