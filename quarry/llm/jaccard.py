@@ -43,10 +43,12 @@ from quarry.llm.components import components
 PARITY = 512
 #: members that one copy of a leader's text is compared with
 MEMBERS = 256
-#: sets that a map task remembers at most, and bits of the bitmap of needed texts
+#: sets that a map task remembers at most, and bits, at most, of the bitmap of needed texts
 KNOWN, BITS = 1_000_000, 25
-#: bits of the bitmaps of documents that go and that stay (8 MB each)
+#: bits, at most, of the bitmaps of documents that go and that stay (8 MB each)
 KEPT_BITS = 26
+#: cells of a bitmap for each document, until it has all its bits
+CELLS = 64
 
 
 def _enough(least: int, differ: int) -> int:
@@ -437,8 +439,14 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
                 yield _paired(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
 
 
+def _bits(n: int, most: int) -> int:
+    """Bits of a bitmap for n documents: a broadcast stands in the driver several times over,
+    so few documents get a small one."""
+    return min(most, (CELLS * max(n, 1) - 1).bit_length())
+
+
 def _bitmap(docs: DataFrame, bits: int) -> DataFrame:
-    """bucket, bits: a bitmap of 2**bits bits (whatever the input) in which the cells of doc are set."""
+    """bucket, bits: a bitmap of 2**bits bits in which the cells of doc are set."""
     cell = F.pmod(F.xxhash64(F.col("doc")), F.lit(1 << bits))
     return docs.select("doc").withColumn("cell", cell).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
 
@@ -455,9 +463,10 @@ def _told(docs: DataFrame, key: str, maps: DataFrame, name: str, bits: int) -> D
 
 
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """doc and packed text of the documents in needed, and of few others: a bitmap of 2**BITS
-    bits (4 MB, whatever the input) drops most of the rest before texts are shuffled."""
-    held = _told(docs.select("doc_id", "text"), "doc_id", _bitmap(needed, BITS), "__q_held", BITS).where("__q_held")
+    """doc and packed text of the documents in needed (written), and of few others: a bitmap of
+    2**BITS bits at most (4 MB) drops most of the rest before texts are shuffled."""
+    bits = _bits(needed.count(), BITS)
+    held = _told(docs.select("doc_id", "text"), "doc_id", _bitmap(needed, bits), "__q_held", bits).where("__q_held")
     return repeats.packed(held.select("doc_id", "text")).select(F.col("doc_id").alias("doc"), "z").dropDuplicates(["doc"])
 
 
@@ -533,8 +542,9 @@ def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with __q_gone, __q_stays: whether either bitmap has their cell."""
     out = docs.withColumn("__q_id", F.col("doc_id").cast("long"))
+    bits = _bits(found.count(), KEPT_BITS)
     for name, rows in (("__q_gone", found.where(~F.col("first"))), ("__q_stays", found.where("first"))):
-        out = _told(out, "__q_id", _bitmap(rows, KEPT_BITS), name, KEPT_BITS)
+        out = _told(out, "__q_id", _bitmap(rows, bits), name, bits)
     # a null doc_id is nobody's copy
     return out.withColumn("__q_gone", F.col("__q_gone") & F.col("doc_id").isNotNull())
 

@@ -132,6 +132,17 @@ def test_texts_of_told_documents_are_not_shuffled(spark, monkeypatch, bits):
     assert unsure < n / 100 if bits == 26 else unsure > 0
 
 
+def test_few_documents_have_small_bitmaps(spark, monkeypatch):
+    """A broadcast stands in the driver several times over: it follows the documents."""
+    made, plain = [], jaccard._bitmap
+    monkeypatch.setattr(jaccard, "_bitmap", lambda docs, bits: made.append(plain(docs, bits)) or made[-1])
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    found = spark.range(500).select(F.col("id").alias("doc"), (F.col("id") % 3 == 0).alias("first"))
+    assert jaccard._kept(docs, found).count() == 167
+    assert jaccard._texts(docs, found.where("first").select("doc")).count() >= 167
+    assert len(made) == 3 and all(m.agg(F.sum(F.length("bits"))).first()[0] <= 1 << 13 for m in made)
+
+
 def test_null_and_repeated_ids_and_empty_tables(spark):
     t = "z" * 400
     rows = [(None, t), (1, t), (1, t), (2, "short"), (2, t)]
