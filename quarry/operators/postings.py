@@ -22,9 +22,13 @@ import json
 import math
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,8 @@ PROBE = 4
 BUCKET_WORDS, BUCKETS = 1 << 22, (16, 4096)
 #: Documents whose blocks of one partition are written by one task.
 SPREAD_DOCS = 1 << 20
+#: Documents whose postings are listed together on their way to the blocks.
+LIST_DOCS = 4096
 #: scores are rounded to six digits; bounds give way by as much
 SLACK = 2e-6
 
@@ -65,6 +71,26 @@ class Meta:
     layout: int = LAYOUT
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Of a segment: slices of each class of lengths, and tasks for each bucket."""
+
+    parts: dict[int, int]
+    spread: int
+
+    def place_of(self, doc: Column, dl: Column) -> Column:
+        """The number of a document's slice, counted over the classes."""
+        cls, first = _length_class(dl), np.cumsum([0, *self.parts.values()]).tolist()
+        of = lambda values: F.element_at(F.create_map(*[F.lit(x) for p in zip(self.parts, values, strict=False) for x in p]), cls)
+        return (of(first) + F.pmod(F.xxhash64(doc), of(self.parts.values()))).cast("int")
+
+    def slices(self, place: np.ndarray) -> np.ndarray:
+        """Slices by their numbers: the class, and the number in it."""
+        first = np.cumsum([0, *self.parts.values()])
+        at = np.searchsorted(first, place, side="right") - 1
+        return (np.array([*self.parts, 0])[at] << 32) + place - first[at]
+
+
 class InvertedIndex:
     """Postings under a path. A document that is appended again replaces the one that is there;
     the keys of one call must be unique, and rows of a null key are ignored."""
@@ -102,32 +128,25 @@ class InvertedIndex:
         if meta.segments:
             self._delete(meta, docs.select("doc"))
         words = [_words(F.col(f)) for f in meta.weights]
-        size = reduce(lambda a, b: a + b, [F.size(w) for w in words])
-        told = F.concat(*[_weighted(w, v) for w, v in zip(words, meta.weights.values(), strict=True)])
-        sized = docs.select("doc", size.cast("long").alias("dl"), told.alias("told"))
-        rows = sized.select("doc", "dl", F.explode("told").alias("w")).select("doc", "dl", "w.token", "w.weight")
-        rows = rows.withColumn("token", search.stemmed("token")) if meta.stem else rows
-        lengths = sized.select("doc", "dl")
-        meta.segments.append(self._write(rows.groupBy("token", "doc", "dl").agg(F.sum("weight").alias("tf")), lengths, lengths))
+        size = reduce(lambda a, b: a + b, [F.size(w) for w in words]).cast("long").alias("dl")
+        meta.segments.append(self._write(meta, docs.select("doc", size), lambda shape: _counts(docs.select("doc", size, *[w.alias(f"w{i}") for i, w in enumerate(words)]), meta, shape)))
         self._put(meta)
 
-    def _write(self, occurrences: DataFrame, lengths: DataFrame, documents: DataFrame) -> Segment:
-        """A segment of token, doc, dl, tf; lengths (doc, dl) are those of all its documents."""
+    def _write(self, meta: Meta, lengths: DataFrame, lists: Callable[[Shape], DataFrame]) -> Segment:
+        """A segment of documents (doc, dl: all of them) and of the lists made for its shape: salt,
+        token, and doc, tf, dl, place of some of its postings in arrays. Lists are shuffled once,
+        as they are; a task then joins a token's."""
+        name = f"segment-{uuid.uuid4().hex}"
+        lengths.write.parquet(f"{self.path}/{name}/lengths")
+        lengths = self.spark.read.schema(f"doc {meta.key_type}, dl long").parquet(f"{self.path}/{name}/lengths")
         classes = lengths.groupBy(_length_class(F.col("dl")).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")).collect()  # a row for each half power of two
         docs, words = sum(r["n"] for r in classes), sum(r["words"] or 0 for r in classes)
-        parts = F.create_map(*[F.lit(x) for r in classes for x in (r["c"], -(-r["n"] // SLICE_DOCS))]) if classes else F.create_map(F.lit(0), F.lit(1))
         buckets = max(BUCKETS[0], min(BUCKETS[1], words // BUCKET_WORDS))
-        spread = -(-max(docs, 1) // SPREAD_DOCS)
-        cls = _length_class(F.col("dl"))
-        part = F.pmod(F.xxhash64("doc"), F.element_at(parts, cls))
-        x = occurrences.withColumns({"bucket": (F.crc32(F.col("token").cast("binary")) % buckets).cast("int"), "slice": F.shiftleft(cls.cast("long"), 32) + part})
-        x = x.withColumn("salt", F.pmod(F.xxhash64("slice"), F.lit(spread)))
-        posting = F.sort_array(F.collect_list(F.struct("doc", "tf", "dl")))
-        # grouping by more than the shuffle's keys needs no shuffle of its own
-        blocks = x.repartition(buckets * spread, "bucket", "salt").groupBy("bucket", "salt", "token", "slice").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), posting.alias("docs"))
-        name = f"segment-{uuid.uuid4().hex}"
-        blocks.sortWithinPartitions("bucket", "token", "slice").select("bucket", "token", "slice", "n", "max_tf", "min_dl", "docs").write.partitionBy("bucket").parquet(f"{self.path}/{name}/blocks")
-        documents.select("doc", "dl").write.parquet(f"{self.path}/{name}/lengths")
+        shape = Shape({r["c"]: -(-r["n"] // SLICE_DOCS) for r in classes} or {0: 1}, -(-max(docs, 1) // SPREAD_DOCS))
+        x = lists(shape).withColumn("bucket", (F.crc32(F.col("token").cast("binary")) % buckets).cast("int"))
+        x = x.repartition(buckets * shape.spread, "bucket", "salt").drop("salt").sortWithinPartitions("bucket", "token")
+        blocks = x.mapInArrow(partial(_blocked, shape=shape), f"bucket int, token string, slice long, n long, max_tf double, min_dl long, docs array<struct<doc: {meta.key_type}, tf: double, dl: bigint>>")
+        blocks.sortWithinPartitions("bucket", "token", "slice").write.partitionBy("bucket").parquet(f"{self.path}/{name}/blocks")
         return Segment(name, docs, words, buckets)
 
     def _lengths(self, meta: Meta) -> DataFrame:
@@ -166,9 +185,11 @@ class InvertedIndex:
         meta = self.meta()
         if len(meta.segments) < 2 and not meta.deleted:
             return
-        blocks = self._read(meta, None).select("name", "token", F.explode("docs").alias("d")).select("name", "token", "d.*")
-        lengths = self._lengths(meta).select("doc", "dl")
-        meta.segments = [self._write(self._alive(meta, blocks).drop("name"), lengths, lengths)]
+        blocks = self._read(meta, None).select("name", "token", *[F.col(f"docs.{c}").alias(c) for c in ("doc", "tf", "dl")])
+        if meta.deleted:
+            one = blocks.select("name", "token", F.explode(F.arrays_zip("doc", "tf", "dl")).alias("d")).select("name", "token", "d.*")
+            blocks = self._alive(meta, one).select("token", *[F.array(c).alias(c) for c in ("doc", "tf", "dl")])
+        meta.segments = [self._write(meta, self._lengths(meta).select("doc", "dl"), lambda shape: _relisted(blocks, meta, shape))]
         meta.deleted, meta.deleted_docs, meta.deleted_words = [], 0, 0
         self._put(meta)
 
@@ -262,10 +283,114 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(search.folded(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def _weighted(words: Column, weight: float) -> Column:
-    return F.transform(words, lambda x: F.struct(x.alias("token"), F.lit(float(weight)).alias("weight")))
-
-
 def _length_class(dl: Column) -> Column:
     """Half powers of two."""
     return F.floor(F.log2(F.greatest(dl, F.lit(1)).cast("double")) * 2).cast("int")
+
+
+def _lists_schema(meta: Meta) -> str:
+    return f"salt int, token string, doc array<{meta.key_type}>, tf array<double>, dl array<int>, place array<int>"
+
+
+def _counts(docs: DataFrame, meta: Meta, shape: Shape) -> DataFrame:
+    """The lists of documents (doc, dl, and the words of each field in w0, w1, ...)."""
+    docs = docs.withColumns({"place": shape.place_of(F.col("doc"), F.col("dl")), "dl": F.col("dl").cast("int")})
+    return docs.mapInArrow(partial(_counted, weights=list(meta.weights.values()), stem=meta.stem, spread=shape.spread), _lists_schema(meta))
+
+
+def _relisted(blocks: DataFrame, meta: Meta, shape: Shape) -> DataFrame:
+    """The lists of blocks (token, and doc, tf, dl in arrays)."""
+    places = F.transform(F.arrays_zip("doc", "dl"), lambda d: shape.place_of(d["doc"], d["dl"]))
+    lists = blocks.select("token", "doc", "tf", F.col("dl").cast("array<int>").alias("dl"), places.alias("place"))
+    return lists.mapInArrow(partial(_joined, spread=shape.spread), _lists_schema(meta))
+
+
+def _salt(place: np.ndarray, spread: int) -> np.ndarray:
+    return ((place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(spread)).astype(np.int32)
+
+
+def _listed(spread: int, group: np.ndarray, names: pa.Array, doc: pa.Array, tf: np.ndarray, dl: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """A row for each group and salt; names has the groups' tokens."""
+    salt = _salt(place, spread)
+    order = np.lexsort((salt, group))
+    salt, group = salt[order], group[order]
+    first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (salt[1:] != salt[:-1])]))
+    ends = pa.array(np.append(first, len(group)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, v) for v in (doc.take(pa.array(order)), pa.array(tf[order]), pa.array(dl[order]), pa.array(place[order]))]
+    return pa.RecordBatch.from_arrays([pa.array(salt[first]), names.take(pa.array(group[first])), *lists], ["salt", "token", "doc", "tf", "dl", "place"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], weights: list[float], stem: bool, spread: int) -> Iterator[pa.RecordBatch]:
+    """Keys are unique, so a document's words are counted where it lies. Postings of LIST_DOCS
+    documents are listed by token."""
+    known: dict[str, str] = {}
+    for batch in batches:
+        for i in range(0, batch.num_rows, LIST_DOCS):
+            part = batch.slice(i, LIST_DOCS)
+            fields = [part.column(f"w{f}") for f in range(len(weights))]
+            sizes = [pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False) for w in fields]
+            told = pa.concat_arrays([w.flatten() for w in fields]).dictionary_encode()
+            if not len(told):
+                continue
+            code, names = told.indices.to_numpy().astype(np.int64), told.dictionary
+            if stem:
+                stems = pa.array([known.setdefault(w, search.porter(w)) for w in names.to_pylist()], pa.string()).dictionary_encode()
+                code, names = stems.indices.to_numpy().astype(np.int64)[code], stems.dictionary
+            owner = np.concatenate([np.repeat(np.arange(part.num_rows), n) for n in sizes])
+            weight = np.repeat(weights, [int(n.sum()) for n in sizes])
+            posting, at = np.unique(code * part.num_rows + owner, return_inverse=True)
+            group, row = posting // part.num_rows, posting % part.num_rows
+            dl, place = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("dl", "place"))
+            yield _listed(spread, group, names, part.column("doc").take(pa.array(row)), np.bincount(at, weights=weight), dl, place)
+
+
+def _flat(lists: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The row of each posting, doc, tf, dl, place."""
+    row = np.repeat(np.arange(lists.num_rows), pc.list_value_length(lists.column("doc")).to_numpy(zero_copy_only=False))
+    return row, lists.column("doc").flatten(), *[lists.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("tf", "dl", "place")]
+
+
+def _joined(batches: Iterator[pa.RecordBatch], spread: int) -> Iterator[pa.RecordBatch]:
+    """The lists of one token in a batch become one for each salt; files are sorted by token."""
+    for batch in batches:
+        row, *values = _flat(batch)
+        if len(row):
+            told = batch.column("token").dictionary_encode()
+            yield _listed(spread, told.indices.to_numpy()[row], told.dictionary, *values)
+
+
+def _blocked(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
+    """Lists sorted by token become blocks; of a batch the last token's wait for the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token = batch.column("token")
+        if held and held[-1].column("token")[0] != token[0]:
+            yield _blocks(held, shape)
+            held = []
+        last = pc.index(token, token[-1]).as_py()
+        if last:
+            yield _blocks([*held, batch.slice(0, last)], shape)
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield _blocks(held, shape)
+
+
+def _blocks(lists: list[pa.RecordBatch], shape: Shape) -> pa.RecordBatch:
+    """The blocks of whole tokens' lists."""
+    x = pa.Table.from_batches(lists).combine_chunks().to_batches()[0]
+    row, doc, tf, dl, place = _flat(x)
+    slices = shape.slices(place)
+    group = x.column("token").dictionary_encode().indices.to_numpy()[row]
+    rank = np.empty(len(doc), dtype=np.int64)
+    rank[pc.array_sort_indices(doc).to_numpy()] = np.arange(len(doc))
+    order = np.lexsort((rank, slices, group))
+    row, tf, dl, slices, group = (v[order] for v in (row, tf, dl, slices, group))
+    first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (slices[1:] != slices[:-1])]))
+    ends = np.append(first, len(group))
+    docs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([doc.take(pa.array(order)), pa.array(tf), pa.array(dl.astype(np.int64))], ["doc", "tf", "dl"]))
+    heads = x.select(["bucket", "token"]).take(pa.array(row[first]))
+    made = [pa.array(slices[first]), pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(dl, first).astype(np.int64)), docs]
+    return pa.RecordBatch.from_arrays([*heads.columns, *made], ["bucket", "token", "slice", "n", "max_tf", "min_dl", "docs"])

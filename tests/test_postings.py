@@ -113,3 +113,27 @@ def test_repeated_keys_are_refused_and_null_keys_ignored(spark, tmp_path):
     assert empty.top("a").count() == 0
     empty.append(frame(spark, [(7, "a", None)]))
     assert [r.id for r in empty.top("a").collect()] == [7]
+
+
+def test_postings_are_shuffled_once_and_as_lists(spark, tmp_path, monkeypatch):
+    """Words are counted where their document lies, and a token's postings travel together."""
+    made, plain = [], InvertedIndex._write
+    monkeypatch.setattr(InvertedIndex, "_write", lambda self, meta, lengths, lists: plain(self, meta, lengths, lambda shape: made.append(lists(shape)) or made[-1]))
+    index = InvertedIndex(spark, str(tmp_path / "i")).create(frame(spark, rows(200)), "id", WEIGHTS)
+    index.append(frame(spark, rows(200, 2, 1000)))
+    index.merge()
+    for lists in made:
+        assert "hashpartitioning" not in lists._jdf.queryExecution().executedPlan().toString()
+        assert lists.count() <= 3 * 2 * len(WORDS) < lists.select(F.explode("doc")).count()
+
+
+def test_a_tokens_documents_over_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "SLICE_DOCS", 4)
+    monkeypatch.setattr(postings, "SPREAD_DOCS", 40)
+    index = InvertedIndex(spark, str(tmp_path / "i")).create(frame(spark, rows(150)), "id", WEIGHTS)
+    index.append(frame(spark, rows(90, 2, 1000)))
+    index.merge()
+    same(index, frame(spark, rows(150) + rows(90, 2, 1000)), "word1 word40 word3")
+    heads = index._read(index.meta(), None)
+    assert heads.count() == heads.select("token", "slice").distinct().count()
+    assert heads.where("n <> size(docs) OR docs <> sort_array(docs)").count() == 0
