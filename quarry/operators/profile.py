@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
@@ -138,15 +139,60 @@ def exact_quantiles(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
     return hit.groupBy("bucket").agg(F.sum(F.col("v") * F.col("e.weight")).alias("bound"))
 
 
-def key_candidates(tables: dict[str, DataFrame]) -> DataFrame:
-    """table_name, column_name of columns without nulls whose values are all different."""
-    out = None
-    for name, df in tables.items():
-        p = column_profile(df).where((F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count")) & (F.col("row_count") > 0)).select(F.lit(name).alias("table_name"), "column_name")
-        out = p if out is None else out.unionByName(p)
+#: types whose equal values are equal as text, so that they need not be shown as text
+_AS_IS = ("tinyint", "smallint", "int", "bigint", "boolean", "date", "timestamp")
+
+
+def _compared(df: DataFrame, cols: list[str]) -> list[Column]:
+    """c0, c1, ...: what tells the values of columns apart."""
+    kinds, out = dict(df.dtypes), []
+    for i, c in enumerate(cols):
+        v = F.col(f"`{c}`")
+        if kinds[c] not in _AS_IS:
+            v = v.cast("string")
+            v = F.when(F.length(v) > 64, F.sha2(v.cast("binary"), 256)).otherwise(v)
+        out.append(v.alias(f"c{i}"))
     return out
 
 
+def _no_keys(cols: list[str]):
+    """column_name: the columns of which a batch has a null, or a value twice."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = set(range(len(cols)))
+        for batch in batches:
+            for i in sorted(left):
+                c = batch.column(i)
+                if c.null_count or len(pc.unique(c)) < len(c):
+                    left.discard(i)
+                    yield pa.RecordBatch.from_pydict({"column_name": [cols[i]]})
+
+    return step
+
+
+def key_candidates(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name of columns without nulls whose values are all different.
+
+    Most columns show a null or a value twice among a few thousand rows and are ruled out
+    by that; only values of the others are brought together."""
+    tables = {t: flattened(df) for t, df in tables.items()}
+    seen = []
+    for t, df in tables.items():
+        cols = _plain(df)
+        ruled = df.select(*_compared(df, cols)).mapInArrow(_no_keys(cols), "column_name string")
+        seen.append(ruled.select(F.lit(t).alias("table_name"), "column_name").distinct())
+    out = {(r.table_name, r.column_name) for r in reduce(DataFrame.unionByName, seen).collect()}  # names of columns
+    found = []
+    for t, df in tables.items():
+        left = [c for c in _plain(df) if (t, c) not in out]
+        if not left:
+            continue
+        p = column_profile(df.select(*[F.col(f"`{c}`") for c in left]))
+        found.append(p.where((F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count")) & (F.col("row_count") > 0)).select(F.lit(t).alias("table_name"), "column_name"))
+    nothing = next(iter(tables.values())).sparkSession.createDataFrame([], "table_name string, column_name string")
+    return reduce(DataFrame.unionByName, found, nothing)
+
+
 def key_integrity(spark: SparkSession, tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str]]) -> DataFrame:
     """Orphans of each declared key: src_table, src_column, dst_table, dst_column, n_rows,
     n_orphans. Both sides are reduced to distinct values before they meet."""

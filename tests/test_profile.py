@@ -139,3 +139,15 @@ def test_redaction_looks_up_each_rows_own_names(spark):
     assert len(out) == 41 and out[99].seen is None and out[99].list is None and out[99].s is None
     for i in range(40):
         assert out[i].seen == (None if i % 2 else f"v{i}") and out[i].list == [None, "v", None] and out[i].s.a is None and out[i].s.b == i
+
+
+def test_only_possible_keys_are_counted_exactly(spark, monkeypatch):
+    """Columns with a null or a repeated value among the rows of a batch are ruled out there."""
+    n = 4000
+    data = [(i, i % 7, None if i == 5 else i, i // 2 if i > 10 else -i, f"{i:070d}", [i], i / 8, i if i < n - 1 else 0) for i in range(n)]
+    df = spark.createDataFrame(data, "id long, few int, gap long, twice long, text string, list array<long>, ratio double, far long").repartitionByRange(8, "id")
+    asked, plain = [], profile.column_profile
+    monkeypatch.setattr(profile, "column_profile", lambda d, **k: asked.append(d.columns) or plain(d, **k))
+    found = {(r.table_name, r.column_name) for r in profile.key_candidates({"t": df, "none": df.limit(0), "same": df.select("few")}).collect()}
+    assert found == {("t", c) for c in ("id", "text", "list", "ratio")}
+    assert asked[0] == ["id", "text", "list", "ratio", "far"]
