@@ -40,8 +40,9 @@ SLICE_DOCS = 1024
 PROBE = 4
 #: Partitions by term of a segment: one for so many words, within these bounds.
 BUCKET_WORDS, BUCKETS = 1 << 22, (16, 4096)
-#: Documents whose blocks of one partition are written by one task.
-SPREAD_DOCS = 1 << 20
+#: Words of the documents whose blocks are sorted and written by one task: their tokens are
+#: divided among tasks, and the postings of a token by so many documents.
+TASK_WORDS, SPREAD_DOCS = 1 << 20, 1 << 18
 #: Documents whose postings are listed together on their way to the blocks.
 LIST_DOCS = 4096
 #: scores are rounded to six digits; bounds give way by as much
@@ -73,7 +74,8 @@ class Meta:
 
 @dataclass(frozen=True)
 class Shape:
-    """Of a segment: slices of each class of lengths, and tasks for each bucket."""
+    """Of a segment: slices of each class of lengths, and how many tasks a token's postings are
+    divided among."""
 
     parts: dict[int, int]
     spread: int
@@ -143,8 +145,11 @@ class InvertedIndex:
         docs, words = sum(r["n"] for r in classes), sum(r["words"] or 0 for r in classes)
         buckets = max(BUCKETS[0], min(BUCKETS[1], words // BUCKET_WORDS))
         shape = Shape({r["c"]: -(-r["n"] // SLICE_DOCS) for r in classes} or {0: 1}, -(-max(docs, 1) // SPREAD_DOCS))
-        x = lists(shape).withColumn("bucket", (F.crc32(F.col("token").cast("binary")) % buckets).cast("int"))
-        x = x.repartition(buckets * shape.spread, "bucket", "salt").drop("salt").sortWithinPartitions("bucket", "token")
+        # each task takes one share of one bucket's tokens, so that none meets another by chance
+        shares = buckets * max(1, -(-words // (TASK_WORDS * buckets * shape.spread)))
+        x = lists(shape).withColumn("share", (F.crc32(F.col("token").cast("binary")) % shares).cast("int"))
+        x = x.repartitionById(shares * shape.spread, F.col("share") + F.col("salt") * shares)
+        x = x.select((F.col("share") % buckets).alias("bucket"), "token", "doc", "tf", "dl", "place").sortWithinPartitions("bucket", "token")
         blocks = x.mapInArrow(partial(_blocked, shape=shape), f"bucket int, token string, slice long, n long, max_tf double, min_dl long, docs array<struct<doc: {meta.key_type}, tf: double, dl: bigint>>")
         blocks.sortWithinPartitions("bucket", "token", "slice").write.partitionBy("bucket").parquet(f"{self.path}/{name}/blocks")
         return Segment(name, docs, words, buckets)

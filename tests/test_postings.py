@@ -137,3 +137,15 @@ def test_a_tokens_documents_over_several_tasks(spark, tmp_path, monkeypatch):
     heads = index._read(index.meta(), None)
     assert heads.count() == heads.select("token", "slice").distinct().count()
     assert heads.where("n <> size(docs) OR docs <> sort_array(docs)").count() == 0
+
+
+def test_a_task_writes_a_share_of_one_partition(spark, tmp_path, monkeypatch):
+    """More words are more tasks, and none takes several partitions while another has none."""
+    monkeypatch.setattr(postings, "TASK_WORDS", 200, raising=False)
+    data = frame(spark, rows(400))
+    index = InvertedIndex(spark, str(tmp_path / "i")).create(data, "id", WEIGHTS)
+    read = index._read(index.meta(), None).select("token", F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1).alias("task"), "bucket").distinct()
+    tasks = read.groupBy("task").agg(F.countDistinct("bucket").alias("buckets"), F.countDistinct("token").alias("tokens")).collect()
+    assert max(t.buckets for t in tasks) == 1 and len(tasks) > postings.BUCKETS[0] and max(t.tokens for t in tasks) <= 8
+    assert read.count() == read.select("token").distinct().count()
+    same(index, data, "word1 word40")
