@@ -60,10 +60,33 @@ def values(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.select(F.explode(cells).alias("x")).select("x.column_name", "x.value").where(F.col("value").isNotNull())
 
 
+#: types whose values are told apart as they are; equal ones are equal as text
+_NATIVE = ("tinyint", "smallint", "int", "bigint", "boolean", "date", "timestamp_ntz", "decimal")
+
+
+def told(kind: str, c: str) -> tuple[list[Column], Column]:
+    """What tells the values of a column of a type apart (k0, and k1 of the two zeros of floating
+    numbers), and the text of a value by these. Long texts have their SHA-256 in their place."""
+    v = F.col(f"`{c}`")
+    if kind.startswith(_NATIVE):
+        return [v.alias("k0")], F.col("k0").cast("string")
+    if kind == "timestamp":  # as text it is the time of day in the session's zone
+        return [v.cast("timestamp_ntz").alias("k0")], F.col("k0").cast("string")
+    if kind in ("float", "double"):
+        return [v.alias("k0"), F.when(v == 0, v.cast("string")).alias("k1")], F.coalesce("k1", F.col("k0").cast("string"))
+    text = v.cast("string")
+    return [F.when(F.length(text) > 64, F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))).otherwise(text).alias("k0")], F.col("k0")
+
+
 def distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """column_name, distinct_count. Long texts are told apart by their SHA-256."""
-    short = F.when(F.length("value") > 64, F.sha2(F.col("value").cast("binary"), 256)).otherwise(F.col("value"))
-    return values(df, cols).withColumn("value", short).distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    """column_name, distinct_count, of values that differ as text. A column is read by itself, and
+    its values are brought together in their own type."""
+    df = flattened(df)
+    kinds, out = dict(df.dtypes), []
+    for c in cols or _plain(df):
+        keys, _ = told(kinds[c], c)
+        out.append(df.select(*keys).where(F.col("k0").isNotNull()).distinct().agg(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("distinct_count")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _few(cols: list[str], most: int):

@@ -14,6 +14,7 @@ standard deviation at 2^LG_K registers), about 1.3 % of the rank for quantiles (
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 from functools import reduce
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.profile import MOST_COMMON, flattened
+from quarry.operators.profile import MOST_COMMON, flattened, told
 from quarry.operators.reach import checkpointed
 from quarry.sources import files
 
@@ -48,38 +49,77 @@ def _number(kind: str, c: str) -> Column | None:
     return v.cast("double") if kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")) else None
 
 
-def _sketches(df: DataFrame) -> DataFrame:
-    """The file, column_name, rows, nulls, low, high (struct of number and text), hll, kll."""
+def _columns(df: DataFrame) -> dict[str, str]:
+    return {c: k for c, k in df.dtypes if c not in _FILE and k != "binary"}
+
+
+def _file(seed: int) -> Column:
+    """A number for a row's file."""
+    return F.xxhash64(F.lit(seed), *_FILE).alias("file")
+
+
+def _seed(new: DataFrame) -> int:
+    """With which no two of the files (few rows) have one number."""
+    n = new.count()
+    return next(s for s in itertools.count() if new.select(_file(s)).distinct().count() == n)
+
+
+def _counts(df: DataFrame, seed: int) -> DataFrame:
+    """file (its number), column_name, value, n of every value. A column is read by itself; its
+    values are counted in their own type and then shown as text."""
     df = flattened(df)
-    kinds = {c: k for c, k in df.dtypes if c not in _FILE and k != "binary"}
-    aggs, parts = [], []
-    for i, (c, kind) in enumerate(kinds.items()):
+    out = []
+    for c, kind in _columns(df).items():
+        keys, text = told(kind, c)
+        counts = df.select(_file(seed), *keys).where(F.col("k0").isNotNull()).groupBy("file", *[f"k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("n"))
+        out.append(counts.select("file", F.lit(c).alias("column_name"), text.alias("value"), "n"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _sketches(df: DataFrame, counts: DataFrame, files_of: DataFrame) -> DataFrame:
+    """The file, column_name, rows, nulls, low, high (struct of number and text), hll, kll. Numbers'
+    and times' values are sketched as text once for each that a file has, from the counts."""
+    df = flattened(df)
+    aggs, parts, counted = [], [], []
+    for i, (c, kind) in enumerate(_columns(df).items()):
         v, number = F.col(f"`{c}`"), _number(kind, c)
-        shown = F.struct((number if number is not None else F.lit(None).cast("double")).alias("number"), v.cast("string").alias("text"))
-        aggs += [F.count(v).alias(f"n{i}"), F.min(F.when(v.isNotNull(), shown)).alias(f"lo{i}"), F.max(F.when(v.isNotNull(), shown)).alias(f"hi{i}"), F.hll_sketch_agg(v.cast("string"), F.lit(LG_K)).alias(f"hll{i}")]
+        # equal zeros differ as text
+        bound = F.when(v.isNotNull(), F.struct(v.alias("v"), F.when(v == 0, v.cast("string")).alias("zero"))) if kind in ("float", "double") else v
+        aggs += [F.count(v).alias(f"n{i}"), F.min(bound).alias(f"lo{i}"), F.max(bound).alias(f"hi{i}")]
+        # nothing is sketched here of what is counted
+        aggs.append(F.hll_sketch_agg((v if number is None else F.lit(None)).cast("string"), F.lit(LG_K)).alias(f"hll{i}"))
         kll = F.lit(None).cast("binary")
         if number is not None:
+            counted.append(c)
             aggs.append(F.kll_sketch_agg_double(number, F.lit(KLL_K)).alias(f"kll{i}"))
             kll = F.when(F.col(f"n{i}") > 0, F.col(f"kll{i}"))
-        parts.append(F.struct(F.lit(c).alias("column_name"), (F.col("rows") - F.col(f"n{i}")).alias("nulls"), F.col(f"lo{i}").alias("low"), F.col(f"hi{i}").alias("high"), F.col(f"hll{i}").alias("hll"), kll.alias("kll")))
+        shown = [_shown(kind, f"{end}{i}").alias(name) for end, name in (("lo", "low"), ("hi", "high"))]
+        parts.append(F.struct(F.lit(c).alias("column_name"), (F.col("rows") - F.col(f"n{i}")).alias("nulls"), *shown, F.col(f"hll{i}").alias("hll"), kll.alias("kll")))
     one = df.groupBy(*_FILE).agg(F.count(F.lit(1)).alias("rows"), *aggs)
-    return one.select(*_FILE, "rows", F.explode(F.array(*parts)).alias("p")).select(*_FILE, "rows", "p.*")
+    one = one.select(*_FILE, "rows", F.explode(F.array(*parts)).alias("p")).select(*_FILE, "rows", "p.*")
+    values = counts.where(F.col("column_name").isin(counted)).groupBy("file", "column_name").agg(F.hll_sketch_agg("value", F.lit(LG_K)).alias("of_values"))
+    both = one.join(values.join(files_of, "file").drop("file"), [*_FILE, "column_name"], "left")
+    return both.withColumn("hll", F.coalesce("of_values", "hll")).drop("of_values")
 
 
-def _heavy(df: DataFrame, most: int = HEAVY) -> DataFrame:
+def _shown(kind: str, bound: str) -> Column:
+    """A least or greatest value as number and text."""
+    v = f"{bound}.v" if kind in ("float", "double") else bound
+    number, text = (F.lit(None) if (n := _number(kind, bound)) is None else n), F.col(v).cast("string")
+    if v != bound:
+        number, text = F.col(v), F.coalesce(f"{bound}.zero", text)
+    return F.when(F.col(bound).isNotNull(), F.struct(number.cast("double").alias("number"), text.alias("text")))
+
+
+def _heavy(counts: DataFrame, files_of: DataFrame, most: int = HEAVY) -> DataFrame:
     """The file, column_name, value, n, cut: the most common values of each file's columns, and the
     most that any other value of the file's column has (0 if there is no other)."""
-    df = flattened(df)
-    cols = [c for c, k in df.dtypes if c not in _FILE and k != "binary"]
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
-    long = F.when(F.length("x.value") > 64, F.concat(F.lit("sha256:"), F.sha2(F.col("x.value").cast("binary"), 256))).otherwise(F.col("x.value"))
-    every = df.select(*_FILE, F.explode(cells).alias("x")).select(*_FILE, "x.column_name", long.alias("value")).where("value IS NOT NULL")
-    counts = every.groupBy(*_FILE, "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(*_FILE, "column_name").orderBy(F.desc("n"), "value")
+    order = Window.partitionBy("file", "column_name").orderBy(F.desc("n"), "value")
     ranked = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most + 1)
-    whole = Window.partitionBy(*_FILE, "column_name")
+    whole = Window.partitionBy("file", "column_name")
     cut = F.coalesce(F.max(F.when(F.col("r") == most + 1, F.col("n"))).over(whole), F.lit(0))
-    return ranked.withColumn("cut", cut).where(F.col("r") <= most).drop("r")
+    out = ranked.withColumn("cut", cut).where(F.col("r") <= most)
+    return out.join(files_of, "file").select(*_FILE, "column_name", "value", "n", "cut")
 
 
 class ProfileStore:
@@ -105,8 +145,13 @@ class ProfileStore:
         if paths:
             name = f"part-{uuid.uuid4().hex}"
             df = self.spark.read.parquet(*paths).select("*", *_identity())
-            _sketches(df).write.parquet(f"{self.path}/{table}/{name}/sketches")
-            _heavy(df).write.parquet(f"{self.path}/{table}/{name}/heavy")
+            at, seed = f"{self.path}/{table}/{name}", _seed(new)
+            files_of = new.select(_file(seed), *_FILE)
+            _counts(df, seed).write.parquet(f"{at}/counts")
+            counts = self.spark.read.schema("file long, column_name string, value string, n long").parquet(f"{at}/counts")
+            _sketches(df, counts, files_of).write.parquet(f"{at}/sketches")
+            _heavy(counts, files_of).write.parquet(f"{at}/heavy")
+            files.delete(self.spark, f"{at}/counts")
             meta["parts"].append(name)
         if paths or gone:
             meta["files"] = f"files-{uuid.uuid4().hex}"

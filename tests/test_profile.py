@@ -1,11 +1,13 @@
 """Sketched and exact profiles against plain Python."""
 
 import datetime
+import decimal
 import os
 import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry import lifecycle
 from quarry.config import Config, GraphConfig
@@ -151,3 +153,37 @@ def test_only_possible_keys_are_counted_exactly(spark, monkeypatch):
     found = {(r.table_name, r.column_name) for r in profile.key_candidates({"t": df, "none": df.limit(0), "same": df.select("few")}).collect()}
     assert found == {("t", c) for c in ("id", "text", "list", "ratio")}
     assert asked[0] == ["id", "text", "list", "ratio", "far"]
+
+
+def odd(spark):
+    noon = datetime.datetime(2024, 1, 1, 12)
+    data = [(i, [0.0, -0.0, 1.5, float("nan"), None][i % 5], [0.0, -0.0, 0.1][i % 3], decimal.Decimal(i % 4) / 10, noon + datetime.timedelta(days=i % 6), i % 2 == 0, ["x" * 70, "x" * 71, "y", None][i % 4], [i % 3], None, str(i % 9).encode()) for i in range(600)]
+    return spark.createDataFrame(data, "id long, d double, f float, dec decimal(8,2), at timestamp, b boolean, s string, list array<int>, none int, raw binary").coalesce(3)
+
+
+def test_distinct_values_are_brought_together_in_their_own_type(spark):
+    df = odd(spark)
+    found = profile.distinct_counts(df)
+    got = {r.column_name: r.distinct_count for r in found.collect()}
+    assert got == {"id": 600, "d": 4, "f": 3, "dec": 4, "at": 6, "b": 2, "s": 3, "list": 3, "none": 0, "raw": 9}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "cast(id" not in plan
+
+
+def test_profiles_are_made_of_values_counted_once(spark, tmp_path):
+    path, parts = str(tmp_path / "odd.parquet"), str(tmp_path / "p")
+    odd(spark).repartition(3, "id").write.parquet(path)
+    store = ProfileStore(spark, parts)
+    assert store.refresh("t", path)["new"] == 3
+    got = {r.column_name: (r.distinct_count, r.null_count, r.min_value, r.max_value) for r in store.profile("t").collect()}
+    assert {c: g[:2] for c, g in got.items() if c != "id"} == {"d": (4, 120), "f": (3, 0), "dec": (4, 0), "at": (6, 0), "b": (2, 0), "s": (3, 150), "list": (3, 0), "none": (0, 600)}
+    assert got["d"][2:] == ("-0.0", "NaN") and got["f"][2:] == ("-0.0", "0.1") and got["b"][2:] == ("false", "true") and got["s"][2:] == ("x" * 70, "y") and got["none"][2:] == (None, None)
+    cells = odd(spark).drop("raw", "none")
+    for c in cells.columns:
+        text = F.to_json(c) if c == "list" else F.col(c).cast("string")
+        text = F.when(F.length(text) > 64, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+        counts = Counter(r[0] for r in cells.select(text).collect() if r[0] is not None)
+        found = store.common("t", 1000).where(F.col("column_name") == c).collect()
+        assert all(r.least <= counts[r.value] <= r.greatest for r in found)
+        assert c == "id" or {r.value: r.least for r in found} == counts
+    assert {n for part in os.listdir(f"{parts}/t") if part.startswith("part-") for n in os.listdir(f"{parts}/t/{part}")} == {"sketches", "heavy"}
