@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.operators.reach import freed
+
 #: Bytes of text that one numpy pass handles; a longer text forms a pass of its own.
 CHUNK_BYTES = 1 << 20
 #: Bytes (as Spark estimates them) that a range of a sort is made for.
@@ -54,7 +56,8 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed = path
     return out

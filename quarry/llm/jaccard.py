@@ -31,14 +31,17 @@ from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels, repeats
-from quarry.llm.common import as_bytes, discard, passes, stash, tidy
+from quarry.llm.common import BATCH_BYTES, as_bytes, discard, passes, stash, tidy
 from quarry.llm.components import components
 
+#: bits of a key of the index, and entries that a map task packs at a time
+KEY_BITS, HELD = 48, 1 << 20
 #: bits of a set's parities: a bound on how far two sets differ
 PARITY = 512
 #: members that one copy of a leader's text is compared with
@@ -234,12 +237,71 @@ def _copies(sets: DataFrame) -> DataFrame:
     return sets.where(F.col("first") != F.col("doc")).select(F.col("doc").alias("u"), F.col("first").alias("v")).unionByName(firsts.join(least, ["s", "t", "n"]).where("doc <> v").select(F.col("doc").alias("u"), "v"))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers as their lowest bytes, then their next ones, and so on: what a sorted or a
+    narrow column has in common lies together."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).reshape(-1).view("<i8")
+
+
+def _bundles(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, z): the entries (key, document, size and place) of held, sorted by key and
+    packed: keys as their distances, documents by their number in a list of the bundle's."""
+    if not held or not sum(len(x[0]) for x in held):
+        return
+    g, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    bucket = ((g >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(g)  # buckets are ranges of keys
+    g, doc, at, bucket = g[order], doc[order], at[order], bucket[order]
+    border = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(g)]])
+    pack = zstandard.ZstdCompressor(level=1)
+    names, z, size = [], [], 0
+    for i, j in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
+        own, number = np.unique(doc[i:j], return_inverse=True)
+        size_of = np.zeros(len(own), dtype=np.int64)
+        size_of[number] = at[i:j] >> 32
+        same = (size_of[number] == at[i:j] >> 32).all()
+        columns = (np.diff(g[i:j], prepend=np.uint64(0)), number, at[i:j] & 0xFFFFFFFF if same else at[i:j])
+        head = np.array([j - i, len(own), same], dtype="<i8").tobytes()
+        names.append(bucket[i])
+        z.append(pack.compress(head + own.astype("<i8").tobytes() + size_of.astype("<i8").tobytes() + b"".join(_planes(x) for x in columns)))
+        size += len(z[-1])
+        if size > BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(z, pa.binary())], ["bucket", "z"])
+            names, z, size = [], [], 0
+    if names:
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(z, pa.binary())], ["bucket", "z"])
+
+
+def _unbundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries (g, doc, at) of bundles."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for z in batch.column("z"):
+            raw = unpack.decompress(z.as_py())
+            n, docs, same = np.frombuffer(raw, dtype="<i8", count=3).tolist()
+            own, size_of = np.frombuffer(raw, dtype="<i8", count=2 * docs, offset=24).reshape(2, docs)
+            begin = 24 + 16 * docs
+            gap, number, at = (_numbers(raw[begin + i * 8 * n : begin + (i + 1) * 8 * n]) for i in range(3))
+            at = size_of[number] << 32 | at if same else at
+            yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(gap)), pa.array(own[number]), pa.array(at)], ["g", "doc", "at"])
+
+
 def _lists(docs: DataFrame, rule: Rule) -> DataFrame:
     """The written index without lists of one document: LIST rows (g, a: doc, b: size and
-    shingles before the block) and PAIR rows (a: a list's leader, b: a set near it)."""
+    shingles before the block) and PAIR rows (a: a list's leader, b: a set near it).
+
+    Nearly all entries stand alone in their lists but must meet the others to be told so: they
+    are shuffled in bundles, of which an entry takes half the bytes of a row."""
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, int, int], int] = {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for i, j in passes(batch, "text", repeats.PASS):
                 part = batch.slice(i, j - i)
@@ -248,10 +310,12 @@ def _lists(docs: DataFrame, rule: Rule) -> DataFrame:
                 fresh = _first_seen(known, *_sums(ids, h, len(doc)), n, doc) == doc
                 keep = fresh[ids]  # of equal sets in a task one is indexed
                 owner, key, before = blocks(ids[keep], h[keep], np.where(fresh, n, 0), rule)
-                if len(owner):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[owner]), pa.array(n[owner] << 32 | before)], ["g", "doc", "at"])
+                held.append((key >> np.uint64(64 - KEY_BITS), doc[owner], n[owner] << 32 | before))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield from _bundles(held, buckets)
+        yield from _bundles(held, buckets)
 
-    dealt = docs.mapInArrow(tidy(emit), "g long, doc long, at long").repartition("g").sortWithinPartitions("g", "doc")
+    dealt = docs.mapInArrow(tidy(emit), "bucket int, z binary").repartition("bucket").select("z").mapInArrow(tidy(_unbundled), "g long, doc long, at long").sortWithinPartitions("g", "doc")
     return stash(dealt.mapInArrow(tidy(partial(_led, rule=rule)), _LISTED), "jaccard-lists")
 
 

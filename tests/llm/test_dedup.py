@@ -8,6 +8,7 @@ from llm_frames import frame
 from pyspark.sql import functions as F
 
 from quarry.llm import jaccard, substring_dedup, suffix_dedup
+from quarry.llm.common import discard, stash
 from quarry.llm.runlength_index import RunIndex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -172,3 +173,33 @@ def test_run_index_statistics_equal_brute_force():
                     best = max(best, n)
             assert got[at] == best
         assert x.runs <= x.n
+
+
+def test_index_entries_are_shuffled_in_bundles():
+    """Bundles give the entries back, in less than 12 bytes for each; the documents of one bucket stay together."""
+    rng = np.random.default_rng(5)
+    n = 200_000
+    doc = np.sort(rng.integers(0, 1500, n)) * 977 - 5
+    g = rng.integers(0, 1 << jaccard.KEY_BITS, n).astype(np.uint64)
+    at = (doc + 5) // 977 % 900 + 100 << 32 | rng.integers(0, 900, n)
+    batches = list(jaccard._bundles([(g[:90_000], doc[:90_000], at[:90_000]), (g[90_000:], doc[90_000:], at[90_000:])], 40))
+    assert sum(b.column("z").nbytes for b in batches) < 12 * n
+    back = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in jaccard._unbundled(iter(batches))]) for c in ("g", "doc", "at")]
+    assert sorted(zip(*(x.tolist() for x in back), strict=True)) == sorted(zip(g.tolist(), doc.tolist(), at.tolist(), strict=True))
+    assert sum(b.num_rows for b in batches) == 40
+    # sets of one document that differ in size (rows that share a doc_id)
+    odd = [(g[:3], np.array([7, 7, 7]), np.array([3 << 32, 4 << 32 | 1, 3 << 32 | 2]))]
+    (one,) = jaccard._unbundled(jaccard._bundles(odd, 1))
+    assert sorted(one.column("at").to_pylist()) == [3 << 32, 3 << 32 | 2, 4 << 32 | 1]
+    assert list(jaccard._bundles([], 4)) == []
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    def kept():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+    before = kept()
+    out = stash(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+    assert kept() <= before and out.count() == 7
+    discard(out)
