@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -86,6 +87,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written out as Parquet, which takes a fraction of a checkpoint's bytes; its lineage is cut
+    and its shuffle files go."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/rows-{uuid.uuid4().hex}"
+    with freed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def closure(pairs: DataFrame) -> DataFrame:
     """child, ancestor: the transitive closure of pairs (child, parent).
 

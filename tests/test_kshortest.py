@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from quarry.operators import kshortest, paths
+from quarry.operators import kshortest, nearby, paths
 
 EDGE = "src_table string, src_column string, dst_table string, dst_column string, kind string, confidence double"
 
@@ -99,3 +100,54 @@ def test_labels_hold_numbers_of_edges_alone(spark):
     assert labels.columns == ["task", "node", "hops", "inf", "cost", "way"] and labels.schema["way"].dataType.simpleString() == "array<bigint>"
     by_sig = [r.num for r in hop.orderBy("sig").collect()]
     assert by_sig == list(range(1, len(by_sig) + 1))
+
+
+@pytest.mark.parametrize("changes", [{"MOST": 0}, {"STARTS": 2, "MOST": 1 << 20}, {"STARTS": 1 << 7, "FEWEST": 1, "MOST": 22}])
+def test_groups_large_and_small_find_the_same(spark, monkeypatch, changes):
+    """Starts in few or many groups, and those whose groups have too many edges, by shuffled labels."""
+    rows = graph(8, 16, seed=5)
+    edge, some = frame(spark, rows), spark.createDataFrame([("t0",), ("t3",), ("t4",), ("t7",), ("lost",)], "table_name string")
+    want = shown(paths.ranked(paths.enumerate_paths(edge, 4, 2), 3))
+    for name, value in changes.items():
+        monkeypatch.setattr(kshortest, name, value)
+    assert shown(kshortest.best_paths(edge)) == [w for w in want if w[2] == 1]
+    assert shown(kshortest.k_shortest(edge, among=some)) == [w for w in want if {w[0], w[1]} <= {"t0", "t3", "t4", "t7"}]
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_edges_that_differ_in_confidence_alone_are_paths_of_their_own(spark, monkeypatch, most):
+    monkeypatch.setattr(kshortest, "MOST", most)
+    rows = [("a", "x", "b", "id", "inferred", 0.2), ("a", "x", "b", "id", "inferred", 0.5), ("b", "z", "c", "id", "fk", 1.0)]
+    pair = spark.createDataFrame([("a", "c")], "from_table string, to_table string")
+    found = shown(kshortest.k_shortest(frame(spark, rows), pair, 3))
+    assert [(r[2], r[4]) for r in found] == [(1, 3.7), (2, 4.0)]
+    assert found == shown(paths.ranked(paths.enumerate_paths(frame(spark, rows), 4, 2), 3))
+
+
+def test_paths_found_are_not_shuffled(spark):
+    """They are told where they are found: nothing is joined or dealt out above the search."""
+    edge = frame(spark, graph(8, 16, seed=5))
+    for found in (kshortest.best_paths(edge), kshortest.k_shortest(edge, among=edge.select(edge.src_table.alias("table_name")))):
+        above = found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+        assert not any(x in above for x in ("Join", "Repartition", "Aggregate", "Sort"))
+
+
+def test_batches_with_too_many_ways_are_halved(spark, monkeypatch):
+    rows = graph(8, 16, seed=5)
+    want = shown(kshortest.k_shortest(frame(spark, rows), every_pair(spark, rows), 2))
+    near, told = nearby.Near(table(rows)), []
+    monkeypatch.setattr(nearby, "ROOM", 20)
+    batch = pa.RecordBatch.from_pylist([{"p": 0, "role": 0, "a": f"t{i}", "b": f"t{j}"} | dict.fromkeys(["ac", "bc", "kind", "conf", "cost", "marked"]) for i in range(8) for j in range(8) if i != j], GROUP)
+    edges = table(rows).append_column("p", pa.array([0] * near.dst.size, pa.int32())).append_column("role", pa.array([1] * near.dst.size, pa.int32())).select(GROUP.names)
+    for out in nearby.searched(iter([batch, *edges.to_batches(max_chunksize=3)]), nearby.Limits(2, 4, 2, True)):
+        told += out.to_pylist()
+    assert sorted((r["from_table"], r["to_table"], r["rank"], r["hops"], r["cost"] / 1e6) for r in told) == [(w[0], w[1], w[2], w[3], w[4]) for w in want]
+
+
+GROUP = pa.schema([("p", pa.int32()), ("role", pa.int32()), *[(c, pa.float64() if c == "conf" else pa.string()) for c in nearby.STEP], ("cost", pa.int64()), ("marked", pa.bool_())])
+
+
+def table(rows):
+    both = sorted({x for a, ac, b, bc, kind, conf in rows for x in ((a, ac, b, bc, kind, conf), (b, bc, a, ac, kind, conf))})
+    units = [1_000_000 if r[4] == "fk" else round((2.5 + max(0, 0.7 - r[5])) * 1e6) for r in both]
+    return pa.table({c: [r[i] for r in both] for i, c in enumerate(nearby.STEP)} | {"cost": pa.array(units, pa.int64()), "marked": [False] * len(both)})
