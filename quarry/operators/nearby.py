@@ -115,11 +115,11 @@ class Near:
         """Numbers of tables, -1 for those without edges here."""
         return pc.fill_null(pc.index_in(names, self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def labels(self, tasks: Tasks, limits: Limits, within: tuple[np.ndarray, np.ndarray] | None = None) -> Ways:
-        """Ways that no other of their task and table makes useless."""
-        many, size = len(tasks.start), len(self.names)
-        none = np.zeros(many, dtype=np.int64)
-        front = Ways(np.arange(many), tasks.start, none, none, none, np.full((many, limits.depth), -1, dtype=np.int32))
+    def labels(self, tasks: Tasks, limits: Limits, many: int, within: tuple[np.ndarray, np.ndarray] | None = None) -> Ways:
+        """Ways that no other of their task and table makes useless; many: the batch's starts."""
+        size = len(self.names)
+        none = np.zeros(len(tasks.start), dtype=np.int64)
+        front = Ways(np.arange(len(none)), tasks.start, none, none, none, np.full((len(none), limits.depth), -1, dtype=np.int32))
         key, inf, cost, found = front.task * size + front.node, none, none, [front[:0]]
         for h in range(limits.depth):
             if tasks.goal is not None:
@@ -180,7 +180,7 @@ class Near:
     def search(self, starts: np.ndarray, pairs: np.ndarray | None, limits: Limits) -> list[tuple[int, np.ndarray, Ways]]:
         """(rank, start, ways) of the paths from starts; pairs: start and goal as one number."""
         size = len(self.names)
-        found = self.labels(Tasks(starts, np.full(len(starts), limits.inferred)), limits)
+        found = self.labels(Tasks(starts, np.full(len(starts), limits.inferred)), limits, len(starts))
         if limits.goals:
             found = found[self.marked[found.node] if pairs is None else np.isin(starts[found.task] * size + found.node, pairs)]
         last = found.first(found.node, found.task)
@@ -216,11 +216,11 @@ class Near:
         same = ((others == root[:, None]) | (place >= i[:, None])[:, None]).all(axis=2)
         skip = np.where(same, np.take_along_axis(others, np.broadcast_to(i[:, None, None], (*others.shape[:2], 1)), axis=2)[:, :, 0], -1)
         root_inf, root_cost = (np.where(told, x[root], 0).sum(axis=1) for x in (self.inf, self.cost))
-        found, step = [], max(1, ROOM // 64) if many > 1 else len(row)
-        for a in range(0, len(row), max(step, 1)):
+        found, step = [], max(1, ROOM // 64)
+        for a in range(0, len(row), step):
             own = slice(a, a + step)
             tasks = Tasks(at[own], limits.inferred - root_inf[own], goal[pair[own]], avoid[own], skip[own], limits.depth - i[own])
-            x = self.labels(tasks, limits, within)
+            x = self.labels(tasks, limits, many, within)
             x = x[x.node == tasks.goal[x.task]]
             x = x.first(x.task)
             found.append(replace(x, task=x.task + a))

@@ -121,7 +121,7 @@ def test_edges_that_differ_in_confidence_alone_are_paths_of_their_own(spark, mon
     pair = spark.createDataFrame([("a", "c")], "from_table string, to_table string")
     found = shown(kshortest.k_shortest(frame(spark, rows), pair, 3))
     assert [(r[2], r[4]) for r in found] == [(1, 3.7), (2, 4.0)]
-    assert found == shown(paths.ranked(paths.enumerate_paths(frame(spark, rows), 4, 2), 3))
+    assert found == [r for r in shown(paths.ranked(paths.enumerate_paths(frame(spark, rows), 4, 2), 3)) if r[:2] == ("a", "c")]
 
 
 def test_paths_found_are_not_shuffled(spark):
